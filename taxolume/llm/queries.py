@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lang_mixture, quality
 from .common import held_out
+from .jaccard_tree import jaccard_components
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +22,15 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
     model = lang_mixture.fit(docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull()))
     return lang_mixture.predict(docs, model, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op6_language)}
+QUERIES = {f.__name__: f for f in (op1_quality, op4_jaccard, op6_language)}
 ORACLES: dict[str, str] = {}
