@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_mixture, quality
+from . import lang_mixture, pii, quality
 from .common import held_out
 from .jaccard_tree import jaccard_components
 
@@ -32,5 +32,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_mixture.predict(docs, model, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op4_jaccard, op6_language)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    base = pii.base_only(F.col("pii"))
+    counts = [pii.count_of(F.col("pii"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return docs.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op4_jaccard, op6_language, op9_pii)}
 ORACLES: dict[str, str] = {}
