@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import lang_mixture, pii, quality
 from .common import held_out
 from .jaccard_tree import jaccard_components
+from .mixing import mix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -39,5 +44,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op4_jaccard, op6_language, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op4_jaccard, op6_language, op9_pii)}
 ORACLES: dict[str, str] = {}
