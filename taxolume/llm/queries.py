@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_mixture, pii, quality
+from . import lang_mixture, pii, quality, url_filter
 from .common import held_out
 from .jaccard_tree import jaccard_components
 from .mixing import mix
@@ -37,6 +37,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_mixture.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pii.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     base = pii.base_only(F.col("pii"))
@@ -44,5 +48,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op4_jaccard, op6_language, op9_pii)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op4_jaccard, op6_language, op8_url_filter, op9_pii)}
+ORACLES: dict[str, str] = {"op8_url_filter": url_filter.SQL}
