@@ -9,6 +9,7 @@ from . import lang_mixture, pii, quality, url_filter
 from .common import held_out
 from .jaccard_tree import jaccard_components
 from .mixing import mix
+from .packing import pack_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -48,5 +53,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op4_jaccard, op6_language, op8_url_filter, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_packing, op4_jaccard, op6_language, op8_url_filter, op9_pii)}
 ORACLES: dict[str, str] = {"op8_url_filter": url_filter.SQL}
