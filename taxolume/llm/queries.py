@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_mixture, pii, quality, url_filter
+from . import lang_mixture, pii, pivot_search, quality, url_filter
 from .common import held_out
 from .jaccard_tree import jaccard_components
 from .mixing import mix
@@ -36,6 +36,10 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
     model = lang_mixture.fit(docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull()))
@@ -53,5 +57,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_packing, op4_jaccard, op6_language, op8_url_filter, op9_pii)}
-ORACLES: dict[str, str] = {"op8_url_filter": url_filter.SQL}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_packing, op4_jaccard, op5_top_k, op6_language, op8_url_filter, op9_pii)}
+ORACLES: dict[str, str] = {"op5_top_k": pivot_search.SQL, "op8_url_filter": url_filter.SQL}
