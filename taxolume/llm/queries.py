@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_mixture, pii, pivot_search, quality, url_filter
+from . import lang_mixture, pii, pivot_search, quality, url_filter, warc
 from .common import held_out
 from .jaccard_tree import jaccard_components
 from .mixing import mix
@@ -46,6 +46,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_mixture.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.captures(_table(spark, sf_dir, "pages"))
+    return found.select(F.col("page").alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
@@ -57,5 +62,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_packing, op4_jaccard, op5_top_k, op6_language, op8_url_filter, op9_pii)}
-ORACLES: dict[str, str] = {"op5_top_k": pivot_search.SQL, "op8_url_filter": url_filter.SQL}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_packing, op4_jaccard, op5_top_k, op6_language, op7_warc, op8_url_filter, op9_pii)}
+ORACLES: dict[str, str] = {"op5_top_k": pivot_search.SQL, "op7_warc": warc.SQL, "op8_url_filter": url_filter.SQL}
