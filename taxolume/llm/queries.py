@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_mixture, pii, pivot_search, quality, url_filter, warc
+from . import avi_media, lang_mixture, pii, pivot_search, quality, url_filter, warc
 from .common import held_out
 from .jaccard_tree import jaccard_components
 from .mixing import mix
@@ -62,5 +62,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_packing, op4_jaccard, op5_top_k, op6_language, op7_warc, op8_url_filter, op9_pii)}
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = avi_media.decode(avi_media.encode_text(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    cuts = F.array_join(F.transform("clips", lambda c: F.concat_ws("-", c["start_ms"], c["end_ms"], c["mean"])), ",")
+    feature = F.concat(F.lit("frames="), F.col("frames"), F.lit(";clips="), F.size("clips"), F.lit(";"), cuts)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_packing, op4_jaccard, op5_top_k, op6_language, op7_warc, op8_url_filter, op9_pii, op10_media)}
 ORACLES: dict[str, str] = {"op5_top_k": pivot_search.SQL, "op7_warc": warc.SQL, "op8_url_filter": url_filter.SQL}
