@@ -20,6 +20,11 @@ def _sum(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once for each row also where lambdas over components mention it often."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def dot(u: Column, v: Column) -> Column:
     return _sum(F.zip_with(u, v, lambda a, b: a * b))
 
@@ -95,22 +100,21 @@ def reflect(p: Column, normal: Column) -> Column:
     """p mirrored at the hyperplane through the origin with this normal; an error if the normal is 0."""
     n2 = squared_norm(normal)
     factor = F.when(n2 == 0, F.raise_error(F.lit("a normal of length 0"))).otherwise(dot(p, normal) / n2)
-    return F.zip_with(p, normal, lambda a, b: a - b * (factor * 2))
+    return bound(factor * 2, lambda f: F.zip_with(p, normal, lambda a, b: a - b * f))
 
 
 def midpoint(u: Column, v: Column, k: float) -> Column:
     """The gyromidpoint of two points: half of the sum weighted by their conformal factors."""
     lam = lambda x: F.lit(2.0) / (F.lit(1.0) - squared_norm(x) * k)
-    lu, lv = lam(u), lam(v)
-    m = F.zip_with(u, v, lambda a, b: (a * lu + b * lv) / (lu + lv - 2))
-    r = norm(m) * math.sqrt(k)
-    half = F.when(r == 0, F.lit(0.0)).otherwise(F.tanh(F.atanh(F.least(r, F.lit(1 - 1e-15))) / 2) / r)
-    return F.transform(m, lambda x: x * half)
+    half = lambda r: F.when(r == 0, F.lit(0.0)).otherwise(F.tanh(F.atanh(F.least(r, F.lit(1 - 1e-15))) / 2) / r)
+    halved = lambda m: bound(bound(norm(m) * math.sqrt(k), half), lambda h: F.transform(m, lambda x: x * h))
+    whole = lambda w: F.zip_with(u, v, lambda a, b: (a * w["u"] + b * w["v"]) / (w["u"] + w["v"] - 2))
+    return bound(bound(F.struct(lam(u).alias("u"), lam(v).alias("v")), whole), halved)
 
 
 def project(p: Column, normal: Column, k: float) -> Column:
     """p on the hyperplane with this normal: the midpoint of p and its mirror image."""
-    return midpoint(p, reflect(p, normal), k)
+    return bound(reflect(p, normal), lambda r: midpoint(p, r, k))
 
 
 def rotate(v: Column, theta: Column) -> Column:
