@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import vectors
+from . import graphs, lexicon, vectors
 
-MODULES = (vectors,)
+MODULES = (vectors, lexicon, graphs)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
