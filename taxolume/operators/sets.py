@@ -62,7 +62,7 @@ def random_negatives(children: DataFrame, nodes: DataFrame, closure: DataFrame,
     k = max(1, min(buckets, total // (4 * n)))
     h = lambda c: F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
     own = children.select("child").distinct().withColumn("b", h(F.concat(F.lit(f"{seed}|"), "child")) % k)
-    every = nodes.select(F.col("node").alias("negative")).withColumn("b", h(F.concat(F.lit(f"{seed}#"), "node")) % k)
+    every = nodes.select(F.col("node").alias("negative")).withColumn("b", h(F.concat(F.lit(f"{seed}#"), "negative")) % k)
     pairs = own.join(every, "b").filter("child <> negative").select("child", "negative")
     pairs = pairs.join(closure.select(F.col("node").alias("child"), F.col("ancestor").alias("negative")), ["child", "negative"], "left_anti")
     order = F.md5(F.concat(F.lit(f"{seed}:"), "child", F.lit("|"), "negative"))

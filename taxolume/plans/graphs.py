@@ -271,7 +271,7 @@ def nf_text(spark, sf_dir):
     return rows.select("kind", x["left"].alias("left"), x["right"].alias("right"), q["query"].alias("query"), q["answer"].alias("answer"))
 
 
-@query("WITH n AS (SELECT p_brand AS name, min(p_partkey) AS at FROM part GROUP BY p_brand) SELECT name, row_number() OVER (ORDER BY at, name) - 1 AS id FROM n")
+@query("WITH n AS (SELECT p_brand AS name, min(p_partkey) AS k FROM part GROUP BY p_brand) SELECT name, row_number() OVER (ORDER BY k, name) - 1 AS id FROM n")
 def nf_ids(spark, sf_dir):
     return A.number_names(table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("seq")))
 
