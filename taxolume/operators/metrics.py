@@ -247,8 +247,7 @@ def softmax_loss(rows: DataFrame, by: str = "subject", distance: str = "distance
     return per.agg(F.avg("l").alias("loss"))
 
 
-def adjacent_loss(rows: DataFrame, value: str, order: str) -> DataFrame:
-    """(loss): mean positive difference between neighbouring rows (first, second), (third, fourth) and so on."""
-    w = Window.orderBy(order)
-    p = rows.select(value, F.lag(value).over(w).alias("_v"), F.row_number().over(w).alias("_n")).filter("_n % 2 = 0")
-    return p.agg(F.avg(F.greatest(F.lit(0.0), F.col("_v") - F.col(value))).alias("loss"))
+def adjacent_loss(rows: DataFrame, value: str, order: str, pair: Column) -> DataFrame:
+    """(loss): mean positive difference between the first and the second row, by order, of each pair."""
+    p = rows.groupBy(pair.alias("_p")).agg(F.min_by(value, order).alias("a"), F.max_by(value, order).alias("b"), F.count("*").alias("n")).filter("n = 2")
+    return p.agg(F.avg(F.greatest(F.lit(0.0), F.col("a") - F.col("b"))).alias("loss"))

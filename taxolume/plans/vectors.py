@@ -272,7 +272,7 @@ def loss_softmax(spark, sf_dir):
     return M.softmax_loss(d).select(r6(F.col("loss")).alias("loss"))
 
 
-@query(f"WITH {POINTS}, d AS (SELECT id, {sql_depth('vec')} AS d, lag({sql_depth('vec')}) OVER (ORDER BY id) AS p, row_number() OVER (ORDER BY id) AS n FROM points) SELECT round(avg(greatest(0.0::DOUBLE, p - d)), 6) AS loss FROM d WHERE n % 2 = 0")
+@query(f"WITH {POINTS}, d AS (SELECT id, {sql_depth('vec')} AS d, id // 2 AS g FROM points), p AS (SELECT min_by(d, id) AS a, max_by(d, id) AS b FROM d GROUP BY g HAVING count(*) = 2) SELECT round(avg(greatest(0.0::DOUBLE, a - b)), 6) AS loss FROM p")
 def loss_adjacent(spark, sf_dir):
     d = points(spark, sf_dir).select("id", V.depth(V.squared_norm(F.col("vec")), K).alias("d"))
-    return M.adjacent_loss(d, "d", "id").select(r6(F.col("loss")).alias("loss"))
+    return M.adjacent_loss(d, "d", "id", F.floor(F.col("id") / 2)).select(r6(F.col("loss")).alias("loss"))
