@@ -229,9 +229,10 @@ def encode_text(docs: DataFrame, text: str = "text", out: str = "media", keep: l
     """`keep` columns of docs (all but text by default) with `out`: each whole text's UTF-8 as an AVI file.
 
     The bytes are filled up with 255, which UTF-8 never holds, to a positive multiple of 576. A null or empty text is
-    one frame of 255. Rows, nulls and repeats stay.
+    one frame of 255. Rows, nulls and repeats stay; a column
+    that has the new one's name gives way to it.
     """
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if (keep is not None or c != text) and c != out]
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(out, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,12 +260,13 @@ DECODED = f"frames int, n_bytes long, payload_bytes long, payload_sha256 string,
 def decode(media: DataFrame, column: str = "media", keep: list[str] | None = None) -> DataFrame:
     """`keep` columns (all but the media by default) with what the stored bytes hold once read back: frames, n_bytes
     (without the filling), payload_bytes, payload_sha256, tail_crc32 (of the last 32 payload bytes), media_bytes,
-    media_sha256 and clips. A null medium gives nulls."""
+    media_sha256 and clips. A null medium gives nulls. Columns with these names
+    give way to the new ones."""
     from pyspark.sql.types import _parse_datatype_string
 
-    keep = [c for c in media.columns if c != column] if keep is None else keep
-    schema = media.select(*[F.col(f"`{c}`") for c in keep]).schema
     extra = _parse_datatype_string(DECODED)
+    keep = [c for c in (media.columns if keep is None else keep) if (keep is not None or c != column) and c not in extra.names]
+    schema = media.select(*[F.col(f"`{c}`") for c in keep]).schema
     for f in extra.fields:
         schema = schema.add(f)
     from pyspark.sql.pandas.types import to_arrow_type
@@ -309,5 +311,5 @@ def decode(media: DataFrame, column: str = "media", keep: list[str] | None = Non
 def clip_rows(media: DataFrame, column: str = "media") -> DataFrame:
     """One row a clip: the other columns of media, clip, first_frame, last_frame, start_ms, end_ms, mean."""
     rows = decode(media, column)
-    kept = [F.col(f"`{c}`") for c in media.columns if c != column]
-    return rows.select(*kept, F.explode("clips").alias("_clip")).select(*kept, "_clip.*")
+    kept = [F.col(f"`{c}`") for c in media.columns if c != column and c in rows.columns and c not in ("clip", "first_frame", "last_frame", "start_ms", "end_ms", "mean")]
+    return rows.select(F.struct(F.lit(0), *kept).alias("_own"), F.explode("clips").alias("_clip")).select("_own.*", "_clip.*").drop("col1")

@@ -32,8 +32,8 @@ from .components import connected_components
 
 #: n-grams (and 300 for each document) in a chunk of a group.
 CHUNK = 1_500_000
-#: Bytes of input, by the optimizer's statistics, for each hash range.
-RANGE_BYTES = 8 << 20
+#: Bytes of text for each hash range.
+RANGE_BYTES = 16 << 20
 #: Very frequent n-grams that are told to all tasks, at most. It bounds a broadcast and affects speed only.
 FREQUENT = 200_000
 #: Bytes of text whose n-grams are dealt out together.
@@ -393,7 +393,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     spark, whole = docs.sparkSession, docs.filter(F.col("doc").isNotNull())
-    held = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    held = whole.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(24, max(4, (held // RANGE_BYTES).bit_length()))
     blob = "range long, slice long, docs binary, sizes binary, one binary, two binary, hashes binary, places binary"
     dealt = whole.mapInArrow(_deal(size, bits), blob)

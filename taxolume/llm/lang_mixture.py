@@ -144,9 +144,10 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", pred: str
 
     A null or empty text, or one without any letter, is 'und' with score 0 and an empty set; so is each text if the
     model has no languages. Equal proportions go to the language first in code-point order. Whole texts are read;
-    repeated rows stay, and other columns pass through untouched, also under odd names.
+    repeated rows stay, and other columns pass through untouched, but
+    one that has the name of a new column gives way to it.
     """
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if (keep is not None or c != text) and c not in (pred, score, languages)]
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(pred, "string").add(score, "double").add(languages, T.ArrayType(T.StringType()))
     names = model.languages
 

@@ -136,6 +136,6 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with the columns of docs."""
     taken = mix(docs, key, text, **how).filter("copies > 0").select(F.col(key).alias("_id"), "row_key", "copies").dropDuplicates(["_id", "row_key"])
-    rows = docs.withColumn("_key", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")))
-    both = rows.join(taken, F.col(f"`{key}`").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("row_key")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").cast("long").alias("k"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h"))
+    both = rows.join(taken, F.col("k").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("row_key")))
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

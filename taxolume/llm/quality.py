@@ -139,9 +139,9 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", name: str =
     """`keep` columns of docs (all but text by default) with the probability of class 1, from 0 to 1.
 
     Every byte of every text counts. A null or empty text has no features and gets the learned prior. Repeated rows
-    stay; other columns pass through untouched.
+    stay; other columns pass through untouched, but one that has the new column's name gives way to it.
     """
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if (keep is not None or c != text) and c != name]
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(name, "double")
     odds, prior = model.odds.astype(np.float32), float(model.bias[1] - model.bias[0])
 
