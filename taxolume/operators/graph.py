@@ -94,8 +94,7 @@ def ancestors(edges: DataFrame, start: DataFrame | None = None, max_depth: int |
         new = cut(step.join(seen.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
-        seen = cut(seen.union(new))
-        frontier = new
+        seen, frontier = seen.union(new), new  # each part was computed once and is only read again
     return seen
 
 

@@ -42,13 +42,18 @@ def load(spark, folder: str, kind: str) -> Index:
     return Index(kind, *(spark.read.parquet(f"{folder}/{t}") for t in ("postings", "vocabulary", "docs")))
 
 
-def _counts(corpus: DataFrame, tokens: Column) -> DataFrame:
-    return corpus.select("doc_id", F.explode(tokens).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-
-
-def tfidf_index(corpus: DataFrame, text: str = "text", smooth: bool = True, use_idf: bool = True, normalise: bool = False, stop: tuple[str, ...] = STOPWORDS) -> Index:
-    """weight = tf * idf with idf = ln((1 + N) / (1 + df)) + 1 (smooth) or ln(N / df) + 1; rows of norm 1 if asked."""
-    tf = _counts(corpus, words(F.col(text), stop))
+def tfidf_index(corpus: DataFrame, text: str = "text", smooth: bool = True, use_idf: bool = True, normalise: bool = False, stop: tuple[str, ...] = STOPWORDS, only: DataFrame | None = None) -> Index:
+    """weight = tf * idf with idf = ln((1 + N) / (1 + df)) + 1 (smooth) or ln(N / df) + 1; rows of norm 1 if asked.
+
+    only: an index for a search that is run once can leave out all but these terms (term); the others' postings would
+    not be read. Their statistics are the same, as each term's own do not depend on other terms.
+    """
+    if only is not None and normalise:
+        raise ValueError("norms need all terms")
+    tokens = corpus.select("doc_id", F.explode(words(F.col(text), stop)).alias("term"))
+    if only is not None:
+        tokens = tokens.join(only.select("term").distinct(), "term", "left_semi")
+    tf = tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     n = corpus.agg(F.count("*").alias("n"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
     one = 1 if smooth else 0
@@ -61,6 +66,10 @@ def tfidf_index(corpus: DataFrame, text: str = "text", smooth: bool = True, use_
     return Index("tfidf", postings, vocabulary, corpus.select("doc_id"))
 
 
+def query_terms(queries: DataFrame, text: str = "text", stop: tuple[str, ...] = STOPWORDS) -> DataFrame:
+    return queries.select(F.explode(words(F.col(text), stop)).alias("term")).distinct()
+
+
 def tfidf_search(index: Index, queries: DataFrame, k: int | None = 10, text: str = "text", stop: tuple[str, ...] = STOPWORDS) -> DataFrame:
     """(query_id, rank, id, score): sum of query weight times document weight, over documents with a match."""
     q = queries.select("query_id", F.explode(words(F.col(text), stop)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("n"))

@@ -147,7 +147,9 @@ _RANK = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round
 
 @query(f"WITH {_TF}, q AS (SELECT query_id, term, count(*) AS n FROM (SELECT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL), s AS (SELECT query_id, doc_id AS id, sum(q.n * idf * tf * idf) AS score FROM q JOIN v USING (term) JOIN tf USING (term) GROUP BY ALL), {_RANK}")
 def tfidf_search(spark, sf_dir):
-    return L.tfidf_search(L.tfidf_index(_corpus(spark, sf_dir)), _asked(spark, sf_dir)).withColumn("score", F.round("score", 5))
+    asked = _asked(spark, sf_dir)
+    index = L.tfidf_index(_corpus(spark, sf_dir), only=L.query_terms(asked))
+    return L.tfidf_search(index, asked).withColumn("score", F.round("score", 5))
 
 
 _TOK = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
