@@ -5,6 +5,8 @@ comparing all pairs:
 
 1. One scan deals all n-gram hashes out by hash range, as packed arrays. Each range tells which hashes occur more than
    once. A document can only have a link if at least `percent` of its n-grams also occur elsewhere; the others are done.
+   An n-gram that several documents of a slice of the scan hold is counted there and dealt out once with its count, so
+   a passage or a text that a third of all documents share adds one entry a slice to its range, not one a document.
 2. Equal sets collapse to one representative. The representatives' rarest n-grams (the prefix that any linked pair
    must share one of) split them into groups; linked documents always fall into one group. n-grams found very often in
    step 1 come last in that order, whatever order is used the groups are safe.
@@ -38,6 +40,8 @@ RANGE_BYTES = 16 << 20
 FREQUENT = 200_000
 #: Bytes of text whose n-grams are dealt out together.
 SLICE = 8 << 20
+#: Stands for a document's place in a slice where an n-gram has several there.
+SEVERAL = 65_535
 #: Bits of a node's bitmap, at most.
 BITS = 4096
 FAN = 8
@@ -82,8 +86,8 @@ def _deal(size: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
-        names = ["range", "slice", "docs", "sizes", "one", "two", "hashes", "places"]
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
+        names = ["range", "slice", "docs", "sizes", "one", "two", "here", "hashes", "places", "many"]
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 8]
 
         def rows(ids: list[np.ndarray], sets: list[np.ndarray], k: int) -> pa.RecordBatch:
             at = (part << 32) + k
@@ -91,16 +95,26 @@ def _deal(size: int, bits: int):
             one, two = _prints(sets)
             every = np.concatenate(sets)
             place = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+            order = np.argsort(every)
+            first = np.flatnonzero(np.concatenate([[True], np.diff(every[order]) != 0])[: len(every)])
+            times = np.diff(np.append(first, len(every)))
+            again = np.repeat(times > 1, times)
+            here = np.bincount(place[order[again]], minlength=len(sets)).astype(np.int32)
+            once, often = np.sort(order[first[times == 1]]), order[first[times > 1]]
+            many = np.concatenate([np.zeros(len(once), np.uint32), times[times > 1].astype(np.uint32)])
+            place = np.concatenate([place[once], np.full(len(often), SEVERAL, np.uint16)])
+            every = every[np.concatenate([once, often])]
             where = (every >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
-            order = np.argsort(where, kind="stable")
+            order = np.argsort(where, kind="stable")  # in each range those of one document come first
             every = ((every[order] >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            place = place[order]
+            place, many = place[order], many[order]
             bounds = np.searchsorted(where[order], np.arange((1 << bits) + 1))
-            cols: list[list] = [[-1 - at % (1 << bits)], [at], [np.concatenate(ids).tobytes()], [sizes.tobytes()], [one.tobytes()], [two.tobytes()], [None], [None]]
+            cols: list[list] = [[-1 - at % (1 << bits)], [at], [np.concatenate(ids).tobytes()], [sizes.tobytes()], [one.tobytes()], [two.tobytes()], [here.tobytes()], [None], [None], [None]]
             for r in np.flatnonzero(np.diff(bounds)).tolist():
                 own = slice(bounds[r], bounds[r + 1])
                 step = np.diff(place[own], prepend=np.uint16(0))  # small numbers, which shuffle well compressed
-                for c, v in zip(cols, (r, at, None, None, None, None, every[own].tobytes(), step.tobytes()), strict=True):
+                counted = many[own][place[own] == SEVERAL]
+                for c, v in zip(cols, (r, at, None, None, None, None, None, every[own].tobytes(), step.tobytes(), counted.tobytes()), strict=True):
                     c.append(v)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
@@ -133,24 +147,24 @@ def _shared(bits: int, most: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["slice", "docs", "sizes", "one", "two", "places", "counts", "gram", "times"]
-        kinds = [pa.int64(), *[pa.binary()] * 6, pa.int64(), pa.int64()]
+        names = ["slice", "docs", "sizes", "one", "two", "here", "places", "counts", "gram", "times"]
+        kinds = [pa.int64(), *[pa.binary()] * 7, pa.int64(), pa.int64()]
 
         def row(**x) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x.get(c, []) or [None] * len(next(iter(x.values()))), t) for c, t in zip(names, kinds, strict=True)], names)
 
-        def done(r: int, slices: list[int], hashes: list[bytes], places: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def done(r: int, slices: list[int], hashes: list[bytes], places: list[bytes], many: list[bytes]) -> Iterator[pa.RecordBatch]:
             h = np.frombuffer(b"".join(hashes), np.uint32)
             key = np.sort(h.astype(np.uint64) << np.uint64(32) | np.arange(len(h), dtype=np.uint64))
-            value = key >> np.uint64(32)
+            value, of = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
             same = value[1:] == value[:-1]
             twice = np.zeros(len(h), bool)
             twice[1:] = same
             twice[:-1] |= same
-            at = np.sort((key[twice] & np.uint64(0xFFFFFFFF)).astype(np.int64))
-            if not len(at):
-                return
             place = np.concatenate([np.cumsum(np.frombuffer(p, np.uint16), dtype=np.uint16) for p in places])
+            several = place == SEVERAL
+            at = np.sort(of[twice])
+            at = at[~several[at]]  # those of several documents were counted in their slice
             ends = np.searchsorted(at, np.cumsum([len(p) // 2 for p in places]))
             out: dict[str, list] = {"slice": [], "places": [], "counts": []}
             for s, lo, hi in zip(slices, np.concatenate([[0], ends[:-1]]), ends, strict=True):
@@ -159,30 +173,34 @@ def _shared(bits: int, most: int):
                     out["slice"].append(s)
                     out["places"].append(own.tobytes())
                     out["counts"].append(n.astype(np.int32).tobytes())
-            yield row(**out)
+            if out["slice"]:
+                yield row(**out)
+            weight = np.ones(len(h), np.int64)
+            weight[several] = np.frombuffer(b"".join(many), np.uint32)
             first = np.flatnonzero(np.concatenate([[True], ~same]))
-            times = np.diff(np.append(first, len(h)))
+            times = np.add.reduceat(weight[of], first)
             often = np.flatnonzero(times >= 8)
             often = often[np.lexsort((often, -times[often]))][:most]
             if len(often):
                 yield row(gram=((np.int64(r) << np.int64(32)) | value[first[often]].astype(np.int64)).tolist(), times=times[often].tolist())
 
-        now, slices, hashes, places = None, [], [], []
+        now, slices, hashes, places, many = None, [], [], [], []
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(8)]
-            for r, s, docs, sizes, one, two, h, p in zip(*cols, strict=True):
+            cols = [batch.column(i).to_pylist() for i in range(10)]
+            for r, s, docs, sizes, one, two, here, h, p, m in zip(*cols, strict=True):
                 if r < 0:
-                    yield row(slice=[s], docs=[docs], sizes=[sizes], one=[one], two=[two])
+                    yield row(slice=[s], docs=[docs], sizes=[sizes], one=[one], two=[two], here=[here])
                     continue
                 if r != now and slices:
-                    yield from done(now, slices, hashes, places)
-                    slices, hashes, places = [], [], []
+                    yield from done(now, slices, hashes, places, many)
+                    slices, hashes, places, many = [], [], [], []
                 now = r
                 slices.append(s)
                 hashes.append(h)
                 places.append(p)
+                many.append(m)
         if slices:
-            yield from done(now, slices, hashes, places)
+            yield from done(now, slices, hashes, places, many)
 
     return run
 
@@ -202,14 +220,16 @@ def _totals(percent: int):
         now: int | None = None
         x: dict = {}
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(7)]
-            for s, docs, sizes, one, two, places, counts in zip(*cols, strict=True):
+            cols = [batch.column(i).to_pylist() for i in range(8)]
+            for s, docs, sizes, one, two, here, places, counts in zip(*cols, strict=True):
                 if s != now:
                     if now is not None:
                         yield done(x)
                     now, x = s, {"shared": np.zeros(65_536, np.int64)}
                 if docs is not None:
                     x |= {"docs": docs, "sizes": sizes, "one": one, "two": two}
+                    known = np.frombuffer(here, np.int32)
+                    x["shared"][: len(known)] += known
                 if places is not None:
                     x["shared"][np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.int32)
         if now is not None:
@@ -395,10 +415,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark, whole = docs.sparkSession, docs.filter(F.col("doc").isNotNull())
     held = whole.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(24, max(4, (held // RANGE_BYTES).bit_length()))
-    blob = "range long, slice long, docs binary, sizes binary, one binary, two binary, hashes binary, places binary"
+    blob = "range long, slice long, docs binary, sizes binary, one binary, two binary, here binary, hashes binary, places binary, many binary"
     dealt = whole.mapInArrow(_deal(size, bits), blob)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << max(0, bits - 2))
-    told = "slice long, docs binary, sizes binary, one binary, two binary, places binary, counts binary, gram long, times long"
+    told = "slice long, docs binary, sizes binary, one binary, two binary, here binary, places binary, counts binary, gram long, times long"
     ranges = dealt.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_shared(bits, max(1, FREQUENT >> bits)), told)
     ranges = cut(ranges)
     often = ranges.filter("gram is not null").select("gram", "times").orderBy(F.desc("times"), "gram").limit(FREQUENT).toPandas().sort_values("gram")
