@@ -81,6 +81,28 @@ def _prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(one, np.uint64).view(np.int64), np.array(two, np.uint64).view(np.int64)
 
 
+def _combined(every: np.ndarray, place: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """n-grams of a slice, each once: itself, its document's place or SEVERAL, how often it occurs; and for each
+    document how many of its n-grams others of the slice hold. Those of one document come first, in their order."""
+    order = np.argsort(every).astype(np.int32)
+    edge = np.ones(len(every) + 1, bool)
+    own = every[order]
+    np.not_equal(own[1:], own[:-1], out=edge[1:-1])
+    del own
+    alone = edge[:-1] & edge[1:]
+    here = np.bincount(place[order[~alone]], minlength=docs).astype(np.int32)
+    once, first = np.sort(order[alone]), np.flatnonzero(edge[:-1] & ~alone)
+    often = order[first]
+    last = np.flatnonzero(edge[1:] & ~alone)  # where the run that began at first ends
+    times = last - first + 1
+    at = np.concatenate([once, often])
+    many = np.ones(len(at), np.uint32)
+    many[len(once) :] = times
+    place = place[at]
+    place[len(once) :] = SEVERAL
+    return every[at], place, many, here
+
+
 def _deal(size: int, bits: int):
     """Rows of packed n-grams by hash range, and one row a slice with what is known of its documents."""
 
@@ -95,15 +117,8 @@ def _deal(size: int, bits: int):
             one, two = _prints(sets)
             every = np.concatenate(sets)
             place = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
-            order = np.argsort(every)
-            first = np.flatnonzero(np.concatenate([[True], np.diff(every[order]) != 0])[: len(every)])
-            times = np.diff(np.append(first, len(every)))
-            again = np.repeat(times > 1, times)
-            here = np.bincount(place[order[again]], minlength=len(sets)).astype(np.int32)
-            once, often = np.sort(order[first[times == 1]]), order[first[times > 1]]
-            many = np.concatenate([np.zeros(len(once), np.uint32), times[times > 1].astype(np.uint32)])
-            place = np.concatenate([place[once], np.full(len(often), SEVERAL, np.uint16)])
-            every = every[np.concatenate([once, often])]
+            sets.clear()
+            every, place, many, here = _combined(every, place, len(sizes))
             where = (every >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
             order = np.argsort(where, kind="stable")  # in each range those of one document come first
             every = ((every[order] >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
