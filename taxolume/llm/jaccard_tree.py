@@ -473,3 +473,26 @@ def _sizes(size: int):
             yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in _read(batch.column(1), size)], pa.int64())], ["n"])
 
     return run
+
+
+#: The same rows by comparing all documents that share a shingle; doc_id is never repeated in the test tables.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM w
+), x AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM g
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT a, b FROM link
+  UNION
+  SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+)
+SELECT g.doc_id, len(s) AS n_shingles, coalesce(least(g.doc_id, min(reach.b)), g.doc_id) AS component_id
+FROM g LEFT JOIN reach ON g.doc_id = reach.a GROUP BY g.doc_id, s
+"""

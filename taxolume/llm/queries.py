@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi_media, lang_mixture, pii, pivot_search, quality, url_filter, warc
+from . import avi_media, jaccard_tree, lang_mixture, pii, pivot_search, quality, url_filter, warc
 from .common import held_out
 from .jaccard_tree import jaccard_components
 from .mixing import mix
@@ -70,4 +70,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_packing, op4_jaccard, op5_top_k, op6_language, op7_warc, op8_url_filter, op9_pii, op10_media)}
-ORACLES: dict[str, str] = {"op5_top_k": pivot_search.SQL, "op7_warc": warc.SQL, "op8_url_filter": url_filter.SQL}
+ORACLES: dict[str, str] = {"op4_jaccard": jaccard_tree.SQL, "op5_top_k": pivot_search.SQL, "op7_warc": warc.SQL, "op8_url_filter": url_filter.SQL}

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taxolume.llm import avi_media, lang_mixture, pii, quality
-from taxolume.llm.jaccard_tree import jaccard_components, tree_links
+from taxolume.llm.jaccard_tree import SEVERAL, _combined, jaccard_components, tree_links
 
 from .conftest import TEXTS
 
@@ -65,6 +65,17 @@ def test_components_of_random_copies(spark, chunk):
     assert got == components(rows)
 
 
+@pytest.mark.parametrize("docs", [[], [[]], [[7]], [[3, 9], [9], [], [1, 3, 9], [2]], [[5, 6]] * 4])
+def test_shared_grams_of_a_slice_are_counted_there(docs):
+    every = np.array([x for d in docs for x in d], np.uint64)
+    place = np.repeat(np.arange(len(docs), dtype=np.uint16), [len(d) for d in docs])
+    gram, of, many, here = _combined(every, place, len(docs))
+    times = {x: sum(x in d for d in docs) for x in every.tolist()}
+    assert dict(zip(gram.tolist(), many.tolist(), strict=True)) == times and len(gram) == len(times)
+    assert all((p == SEVERAL) == (times[x] > 1) and (p == SEVERAL or x in docs[p]) for x, p in zip(gram.tolist(), of.tolist(), strict=True))
+    assert here.tolist() == [sum(times[x] > 1 for x in d) for d in docs]
+
+
 def test_tree_links_match_all_pairs():
     rng = np.random.default_rng(3)
     for size in (30, 300):
