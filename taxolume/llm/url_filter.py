@@ -2,7 +2,8 @@
 
 Rules name a host, with all its subdomains, and a path prefix; the longest one that fits decides a URL. URLs that
 redirect to each other, or name each other as canonical, are aliases: connected components over those edges carry
-decisions to aliases that no rule fits. In a component with an allowed member an undecided alias is allowed, otherwise
+decisions to aliases that no rule fits. URLs are the same node if they differ in the case of scheme and host or in a
+fragment only. In a component with an allowed member an undecided alias is allowed, otherwise
 one with a blocked member is blocked; a URL's own rule always wins. DataFrame expressions only.
 """
 
@@ -23,8 +24,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Links in a page: a refresh with a target, a canonical link in either order of its attributes.
+#: Links in a page: a refresh with a target and a canonical link, each in either order of its attributes.
 REFRESH = r"""(?is)<meta\s[^>]*?http-equiv\s*=\s*["']?refresh["'\s][^>]*?url\s*=\s*["']?([^"'>\s]+)"""
+REFRESH_TURNED = r"""(?is)<meta\s[^>]*?content\s*=\s*["']?[^>"']*?url\s*=\s*["']?([^"'>\s]+)["'\s][^>]*?http-equiv\s*=\s*["']?refresh["'\s/>]"""
 CANONICAL = r"""(?is)<link\s[^>]*?rel\s*=\s*["']?canonical["'\s][^>]*?href\s*=\s*["']?([^"'>\s]+)"""
 CANONICAL_TURNED = r"""(?is)<link\s[^>]*?href\s*=\s*["']?([^"'>\s]+)["'\s][^>]*?rel\s*=\s*["']?canonical["'\s>]"""
 
@@ -43,6 +45,14 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def normalised(url: Column) -> Column:
+    """The url with its scheme and host in lower case and without its fragment; user and password, path and query stay
+    as they are. What has no scheme stays as it is."""
+    at = r"^([A-Za-z][A-Za-z0-9+.-]*://)([^/?#]*@)?([^/?#]*)([^#]*)(?s:.*)$"
+    part = [F.regexp_extract(url, at, i) for i in range(1, 5)]
+    return F.when(url.rlike(at), F.concat(lower_ascii(part[0]), part[1], lower_ascii(part[2]), part[3])).otherwise(url)
+
+
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
     """struct<rule, verdict> of the longest rule that fits, null if none does; of equal lengths an allow comes first.
 
@@ -56,15 +66,17 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): pages' urls and what they redirect to or call canonical. Relative targets are resolved by site root or
-    directory; a target without a host and a page without a url give no edge."""
+    """(a, b): pages' urls and what they redirect to or call canonical, all links of a page, both normalised. Relative
+    targets are resolved by site root or directory; a target without a host or of a fragment only and a page without a
+    url give no edge."""
     u, h = F.col(f"`{url}`"), F.col(f"`{html}`")
-    marked = F.when(h.rlike("(?i)http-equiv|canonical"), F.array(F.regexp_extract(h, REFRESH, 1), F.regexp_extract(h, CANONICAL, 1), F.regexp_extract(h, CANONICAL_TURNED, 1)))
-    found = pages.filter(u.isNotNull() & h.isNotNull()).select(u.alias("a"), F.explode(marked).alias("t")).filter("t <> ''")
+    links = F.flatten(F.array(*[F.regexp_extract_all(h, F.lit(p), F.lit(1)) for p in (REFRESH, REFRESH_TURNED, CANONICAL, CANONICAL_TURNED)]))
+    marked = F.when(h.rlike("(?i)http-equiv|canonical"), links)
+    found = pages.filter(u.isNotNull() & h.isNotNull()).select(normalised(u).alias("a"), F.explode(marked).alias("t")).filter("t <> '' and t not like '#%'")
     root = F.regexp_extract("a", r"^(?s:.*?)://[^/?#]*", 0)
     folder = F.regexp_replace(F.concat(root, path(F.col("a"))), "/[^/]*$", "")
     whole = F.when(F.col("t").contains("://"), F.col("t")).when(F.startswith("t", F.lit("//")), F.concat(F.regexp_extract("a", "^[^:]*:", 0), F.col("t"))).when(F.startswith("t", F.lit("/")), F.concat(root, F.col("t"))).otherwise(F.concat(folder, F.lit("/"), F.col("t")))
-    return found.select("a", whole.alias("b")).filter("a <> b and b like '%://%'")
+    return found.select("a", normalised(whole).alias("b")).filter("a <> b and b like '%://%'")
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules: Sequence[tuple[str, str, str]] = RULES, edges: DataFrame | None = None, default: str = "allow") -> DataFrame:
@@ -75,11 +87,11 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     All rows stay, repeated urls included; aliases need not be pages themselves: rules are applied to them too.
     """
     where = F.struct(host(F.col(f"`{url}`")).alias("host"), path(F.col(f"`{url}`")).alias("path"))
-    rows = pages.select(F.col(f"`{key}`").alias(key), F.col(f"`{url}`").alias("_url"), where.alias("_w"))
+    rows = pages.select(F.col(f"`{key}`").alias(key), normalised(F.col(f"`{url}`")).alias("_url"), where.alias("_w"))
     rows = rows.withColumn("_r", rule_of(F.col("_w.host"), F.col("_w.path"), rules))
     found = alias_edges(pages, url, html)
     if edges is not None:
-        found = found.union(edges.select("a", "b"))
+        found = found.union(edges.select(normalised(F.col("a")), normalised(F.col("b"))))
     same = connected_components(found)
     nodes = same.withColumn("r", rule_of(host(F.col("node")), path(F.col("node")), rules)["verdict"])
     says = nodes.groupBy("component").agg(F.max(F.col("r") == "allow").alias("allow"), F.max(F.col("r") == "block").alias("block"))

@@ -140,6 +140,21 @@ def test_url_rules_and_aliases(spark):
     assert got[14][3] == "allow"
 
 
+def test_aliases_of_every_redirect(spark):
+    rows = [
+        (1, "http://x.net/1", '<meta content="0;url=http://q.com/de/1" http-equiv="refresh">'), (2, "http://x.net/2", "<META content='3; URL=http://q.com/de/2' data-x HTTP-EQUIV=Refresh/>"), (3, "http://x.net/3", '<meta content="0;url=http://q.com/de/1" name="refresh">'),
+        (4, "http://x.net/4", '<meta http-equiv="refresh" content="9;url=http://x.net/none"><p><meta http-equiv="refresh" content="0;url=http://q.com/de/4">'), (5, "http://x.net/5", '<link rel="canonical" href="/none5"><link rel="canonical" href="http://q.com/fr/5">'),
+        (6, "http://x.net/6", '<link href="http://Y.net/b#part" rel="canonical">'), (7, "HTTP://y.NET/b", '<link rel="canonical" href="http://q.com/de/7">'), (8, "http://x.net/Case#a", '<link rel="canonical" href="http://X.NET/7b#b">'), (9, "http://x.net/7b", '<link rel="canonical" href="http://q.com/de/9">'),
+        (10, "http://x.net/case", ""), (11, "http://x.net/f", '<link rel="canonical" href="#top">'), (12, "http://x.net/", '<link rel="canonical" href="http://q.com/de/12">'), (13, "http://3xx.NET/#z", ""),
+    ]
+    known = spark.createDataFrame([("http://3XX.net/", "http://q.COM/de/13#y")], "a string, b string")
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), edges=known, default="none").collect()
+    assert {r.page_id: r.verdict for r in out} == {1: "block", 2: "block", 3: "none", 4: "block", 5: "allow", 6: "block", 7: "block", 8: "block", 9: "block", 10: "none", 11: "none", 12: "block", 13: "block"}
+    urls = ["HTTP://Me:Pw@A.Org:80/P?Q=R#F", "no Scheme#x", "http://A#b\nc", None]
+    told = spark.createDataFrame([(u,) for u in urls], "u string").select(url_filter.normalised(F.col("u"))).collect()
+    assert [r[0] for r in told] == ["http://Me:Pw@a.org:80/P?Q=R", "no Scheme#x", "http://a", None]
+
+
 def test_pipeline(spark, odd, tmp_path):
     import corpus_pipeline
 
