@@ -65,21 +65,32 @@ class _Chunks(dict):
 
 
 class ByteBpe:
-    """The ids that the vocabulary file's own tokenizer gives, special tokens' strings as ordinary text.
+    """The ids that the vocabulary file's own tokenizer gives with add_special_tokens=False.
 
-    A text is split at spaces, as no merge crosses from one word to the next, and each chunk is encoded once and
-    remembered. Texts with runs of white space around spaces are encoded whole.
+    Added tokens' strings are ids of their own, the leftmost and of those the longest first; what lies between them is
+    encoded as a text. Such a text is split at spaces, as no merge crosses from one word to the next, and each chunk is
+    encoded once and remembered. Texts with runs of white space around spaces are encoded whole.
     """
 
     def __init__(self, vocabulary: str) -> None:
         as_byte = _bytes_of_characters()
         model = json.loads(vocabulary)
-        special = {x["content"] for x in model.get("added_tokens", ())}
-        ranks = {bytes(as_byte[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
+        added = [x for x in model.get("added_tokens", ()) if x["content"]]
+        if any(x.get(how) for x in added for how in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take spaces or need word limits are not known here")
+        self.added = {x["content"]: _packed([x["id"]]) for x in added}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+        ranks = {bytes(as_byte[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in self.added}
         self.encode = tiktoken.Encoding("chunks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.chunks = _Chunks(self.encode)
 
     def packed(self, text: str) -> bytes:
+        if self.marks is None or not self.marks.search(text):
+            return self.between(text)
+        return b"".join(self.added[x] if i % 2 else self.between(x) for i, x in enumerate(self.marks.split(text)))
+
+    def between(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         if "  " in text or _JOINED.search(text):
             return _packed(self.encode(text))
         first, *rest = text.split(" ")

@@ -63,6 +63,21 @@ def test_packing(spark, odd):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def test_added_tokens_have_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(packing.default_vocabulary()), "<|endoftext|>"
+    texts = [f"see {e} here", e, f"{e}{e}", f"a  {e}  b \n{e}\n c", f"<|{e}|>", "<|endoftext|", f"é{e}日本 {e} ", f" {e}don't", f"{e} x" * 1500, "no mark here", "", f"a \n {e} \t b"]
+    with open(packing.default_vocabulary(), encoding="utf-8") as f:
+        bpe = packing.ByteBpe(f.read())
+    assert np.frombuffer(bpe.packed(texts[0]), "<u4").tolist() == [3826, 220, 50256, 994]
+    out = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    ids = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(bpe.packed(x), "<u4").tolist() for x in texts] == ids and out.length.sum() == sum(map(len, ids)) + len(ids)
+    for r in out.itertuples():
+        assert zlib.crc32(np.array((ids[r.doc_id] + [2])[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+
+
 def test_packing_in_several_groups(spark):
     sizes = [(i * 37) % 1000 + 1 for i in range(3000)]
     parts = spark.createDataFrame([(i, 0, 0, s, 0) for i, s in enumerate(sizes)], "key long, piece int, start long, length long, ids_crc32 long")
