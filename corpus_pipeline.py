@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxolume.llm import lang_mixture, pii
-from taxolume.llm.common import held_out, shared_dir
+from taxolume.llm.common import cut, held_out, shared_dir
 from taxolume.llm.jaccard_tree import jaccard_components
 from taxolume.llm.mixing import repeated
 from taxolume.llm.packing import pack_documents
@@ -27,16 +27,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by shared 5-word shingles, the one with the smallest doc_id.
+    """Of each group of rows linked by shared 5-word shingles, the one with the smallest doc_id, null being the largest;
+    of several with that id, the first by text hash and the other columns.
 
-    Rows that share a doc_id are one document. Rows without a doc_id have no links and stay.
+    Where ids are null or repeated, each row is a document of its own and is joined by its place in that order.
     """
-    keep = jaccard_components(docs).filter("component_id = doc_id").select("doc_id")
-    twice = keep.groupBy("doc_id").count().filter("count > 1").limit(1)
-    kept = docs.join(keep.distinct(), "doc_id", "left_semi")
-    if twice.count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    if not docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(1).count():
+        keep = jaccard_components(docs).filter("component_id = doc_id").select("doc_id")
+        return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    # Rows that agree in all columns can change places; _any spreads them over the sort's ranges.
+    order = [F.col("doc_id").asc_nulls_last(), F.sha2("text", 256), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], "_any"]
+    rows = cut(docs.withColumn("_any", F.monotonically_increasing_id()).orderBy(*order).withColumn("_row", F.monotonically_increasing_id()).drop("_any"))
+    keep = jaccard_components(rows, key="_row").filter("component_id = _row").select("_row")
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

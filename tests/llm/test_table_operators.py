@@ -184,3 +184,16 @@ def test_pipeline(spark, odd, tmp_path):
         if name == "personal_data":
             assert docs.filter("text like '%@%'").count() == 0 and docs.filter("n_chars <> length(text)").count() == 0
     assert out.groupby("doc_id").piece.apply(lambda p: (p == 0).sum()).sum() == docs.filter("doc_id is not null").count()
+
+
+def test_near_duplicates_by_rows(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(30)) for w in "abcd")
+    near = a + " more"
+    rows = [(1, a), (2, near), (2, b), (3, c), (3, d), (None, d), (None, "x y"), (None, "x y"), (None, None), (5, near + " words"), (5, b), (None, "q r")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([(1, a), (2, b), (3, c), (3, d), (None, "x y"), (None, None), (None, "q r")], key=repr)
+    for parts in (1, 5):
+        out = corpus_pipeline.near_duplicates(spark, docs.repartition(parts).checkpoint(), "")
+        assert out.columns == docs.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == want
