@@ -85,6 +85,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     keys and sources too (a null source is a source). An empty table gives no rows. No row is taken more than `most`
     times, rounded up; with share and most as they are, twice.
     """
+    return _rounded(docs, key, text, source, weights, share, most, seed).drop("_source")
+
+
+def _rounded(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 1) -> DataFrame:
+    """mix(), with the row's source as _source."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("key"))
     rows = cut(rows.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2("size") * 4).cast("int"))))
     classes = rows.groupBy("source", "class").agg(F.count("*").alias("rows"), F.sum("size").alias("size"))
@@ -130,12 +135,23 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     per = F.broadcast(per) if told[0] <= BROADCAST_ROWS else per
     out = out.join(per, F.col("source").eqNullSafe(F.col("s")))
     copies = F.when(F.col("size") > 0, F.floor(share_of) + F.floor(F.col("mass") / ONE)).otherwise(0).cast("long")
-    return out.select(F.col("id").alias(key), F.col("key").alias("row_key"), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return out.select(F.col("id").alias(key), F.col("key").alias("row_key"), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), F.col("source").alias("_source"))
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with the columns of docs."""
-    taken = mix(docs, key, text, **how).filter("copies > 0").select(F.col(key).alias("_id"), "row_key", "copies").dropDuplicates(["_id", "row_key"])
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").cast("long").alias("k"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h"))
-    both = rows.join(taken, F.col("k").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("row_key")))
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with the columns of docs.
+
+    Rows that agree in key, text and source are numbered by their other columns, and take the counts in that order,
+    largest first.
+    """
+    same = ["_id", "row_key", "_source"]
+    counts = _rounded(docs, key, text, source, **how).select(F.col(key).alias("_id"), "row_key", "_source", "copies")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(f"`{key}`").cast("long").alias("k"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h"), F.col(f"`{source}`").alias("s"))
+    on = F.col("k").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("row_key")) & F.col("s").eqNullSafe(F.col("_source"))
+    if counts.groupBy(*same).count().filter("count > 1").limit(1).count():
+        counts = counts.withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy(F.desc("copies"))))
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("k", "h", "s").orderBy("row")))
+        on = on & (F.col("n") == F.col("_n"))
+    both = rows.join(counts.filter("copies > 0"), on)
     return both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -197,3 +197,15 @@ def test_near_duplicates_by_rows(spark):
     for parts in (1, 5):
         out = corpus_pipeline.near_duplicates(spark, docs.repartition(parts).checkpoint(), "")
         assert out.columns == docs.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == want
+
+
+def test_equal_rows_are_taken_each_by_its_count(spark):
+    rows = [(i, "w " * 5, s) for s in ("a", "b") for i in [None] * 40 + [7] * 30] + [(100 + i, "v " * 5, "c") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").checkpoint()
+    taken = mixing.mix(docs)
+    assert taken.columns == ["doc_id", "row_key", "size", "source_size", "target", "copies", "taken"] and taken.select("copies").distinct().count() > 1
+    out = mixing.repeated(docs).collect()
+    assert len(out) == taken.agg(F.sum("copies")).first()[0]
+    target = {r.s: r.t for r in mixing.targets(docs.select("source", F.lit(5).alias("size"))).select(F.col("source").alias("s"), F.col("target").alias("t")).collect()}
+    for s, t in target.items():
+        assert abs(5 * sum(r.source == s for r in out) - t) <= 5
