@@ -6,12 +6,13 @@ short and a lost executor costs one round.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxolume.functions.text import numeric_key
+from taxolume.storage import cut
+
+from .components import connected_components
 
 #: The predicates that are read.
 SUBCLASS = "rdfs:subClassOf"
@@ -20,14 +21,6 @@ LABEL, PREF_LABEL, ALT_LABEL = "rdfs:label", "skos:prefLabel", "skos:altLabel"
 ON_PROPERTY, SOME_VALUES = "owl:onProperty", "owl:someValuesFrom"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into the folder of spark.checkpoint.dir; one of our own only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def pattern(triples: DataFrame, p: str, s_kind: str | None = None, o_kind: str | None = None) -> DataFrame:
     """(s, o) of the triples with a predicate; the filters reach the scan."""
     found = triples.filter(F.col("p") == p)
@@ -43,24 +36,9 @@ def named_edges(triples: DataFrame) -> DataFrame:
     return pattern(triples, SUBCLASS, "iri", "iri").select(F.col("s").alias("child"), F.col("o").alias("parent")).distinct()
 
 
-def equivalence_classes(equal: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(member, group) of the connected components of (a, b); group is the least member as text.
-
-    Large-star and small-star steps in turn: rounds grow with the logarithm of a chain's length.
-    """
-    e = equal.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).dropna().distinct()
-    e, before = cut(e), None
-    for _ in range(most_rounds):
-        way = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = way.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = way.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(e.filter("u = v")).distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = cut(e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return e.groupBy(F.col("u").alias("member")).agg(F.min("v").alias("group"))
+def equivalence_classes(equal: DataFrame) -> DataFrame:
+    """(member, group) of the connected components of (a, b); group is the least member as text."""
+    return connected_components(equal).select(F.col("node").alias("member"), F.col("component").alias("group"))
 
 
 def canonical(equal: DataFrame) -> DataFrame:
