@@ -40,6 +40,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.folder, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4()}", 0
         self.at: dict[int, str] = {}
+        self.held: list[DataFrame] = []
 
     def put(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -47,9 +48,15 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.at[id(out)] = path
-        out._scratch = self  # keeps the id from being given to another frame while this one lives
+        self.held.append(out)  # an id is not given to another frame while this one lives
         return out
 
+    def clear(self, *but: DataFrame) -> None:
+        """Drops all tables but those given."""
+        keep = {id(df) for df in but}
+        for i in [i for i in self.at if i not in keep]:
+            delete(self.spark, self.at.pop(i))
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             delete(self.spark, self.at.pop(id(df)))
@@ -67,17 +74,18 @@ def told(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def join_hot(many: DataFrame, one: DataFrame, key: str, salt: Column, counts: DataFrame | None = None, how: str = "inner", rows: int | None = None) -> DataFrame:
-    """many joined with one on key, where values of key may hold any share of many; one has each value once.
+def join_hot(many: DataFrame, one: DataFrame, key: str | list[str], salt: Column, counts: DataFrame | None = None, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """many joined with one on key, where values of key may hold any share of many; one has each value once, nulls match nothing.
 
     Values with more rows than HOT_ROWS and 1 / HOT_PARTS of all are split into parts of that size by salt, an
     expression over many, and their row of one goes to each part. The list of such values is the only broadcast; it has
-    fewer than HOT_PARTS rows. counts: (key, n) of many, if known already.
+    fewer than HOT_PARTS rows. counts: (key, _rows) of many, if known already.
     """
+    key = [key] if isinstance(key, str) else key
     total = many.count() if rows is None else rows
     limit = max(HOT_ROWS, total // HOT_PARTS)
-    counts = many.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
-    hot = F.broadcast(counts.filter(F.col("n") > limit).select(F.col(key), F.ceil(F.col("n") / limit).cast("int").alias("_parts")))
+    counts = many.groupBy(*key).agg(F.count("*").alias("_rows")) if counts is None else counts
+    hot = F.broadcast(counts.filter(F.col("_rows") > limit).select(*key, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts")))
     left = many.withColumn("_salt", salt).join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.col("_salt"), F.col("_parts")), F.lit(0)).cast("int")).drop("_salt", "_parts")
     right = one.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return left.join(right, [key, "_part"], how).drop("_part")
+    return left.join(right, [*key, "_part"], how).drop("_part")
