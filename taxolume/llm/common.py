@@ -1,45 +1,37 @@
-"""Shared-folder staging, the held-out fold and byte-level text kernels that the operators use."""
+"""The held-out fold, bounded samples and byte-level text kernels that the operators use."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once into the shared folder, with its lineage cut; it survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether a row belongs to the fold that nothing may be learned from: crc32 of the id as text, mod 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """About `rows` rows of df at most, chosen by a hash of key; all of df if it has no more."""
-    n = df.count()
-    if n <= rows:
-        return df
-    return df.filter(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) < int((1 << 30) * rows / n))
+def bounded_sample(df: DataFrame, key: str, text: str, rows: int, most_bytes: int) -> DataFrame:
+    """Rows of df, at most `rows` with at most `most_bytes` bytes of text in all, chosen by a hash of key and other
+    columns; rows that agree in all columns count once. All of df, but for such repeats, if it is that small."""
+    own = F.xxhash64(F.col(key), F.lit(17), *[F.col(c) for c in df.columns if c != key])
+    hashed = df.withColumn("_h", own)
+    sizes = hashed.select("_h", F.coalesce(F.octet_length(text), F.lit(0)).alias("n"))
+    low, n = -(1 << 63), sizes.count()
+    below = low + int((1 << 64) * min(1.0, 2 * rows / max(1, n))) - 1  # twice as many as needed, so that sorting is small
+    first = sizes.filter(F.col("_h") <= below).groupBy("_h").agg(F.max("n").alias("n")).orderBy("_h").limit(rows).collect()
+    held, last = 0, low
+    for r in first:
+        held += r["n"]
+        if held > most_bytes:
+            break
+        last = r["_h"]
+    return hashed.filter(F.col("_h") <= last).dropDuplicates(["_h"]).drop("_h")
 
 
 def worker_cache() -> dict:

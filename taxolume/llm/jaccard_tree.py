@@ -13,8 +13,10 @@ comparing all pairs:
 3. In each group a signature tree is built: leaves are documents with a bitmap of their n-grams, nodes the OR of their
    children's bitmaps and the range of their sizes. A dual traversal descends into a pair of nodes only if sizes and
    the largest possible overlap allow a link, and skips documents that are connected already; links are then exact.
-   A group beyond `CHUNK` is cut into chunks and each pair of chunks is a task of its own, so no task grows.
-4. Connected components over the links, by DataFrame operations.
+4. A group beyond `CHUNK` is cut into chunks of one size class and of like prefixes, each a tree of its own; cutting it
+   anew by other hashes connects most of what belongs together. Only then are trees of two chunks joined, and of each
+   chunk only those documents that share a prefix n-gram with a document of the other that they are not connected to.
+5. Connected components over the links, by DataFrame operations.
 
 Nothing is dropped or capped: a link between two different sets is found for certain (up to 64-bit hash collisions).
 """
@@ -29,15 +31,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, mixed, utf8_slices, word_hashes, word_spans
-from .components import connected_components
+from taxolume.operators.components import connected_components
+from taxolume.storage import Scratch, join_hot, told
 
-#: n-grams (and 300 for each document) in a chunk of a group.
+from .common import lower_ascii, mixed, utf8_slices, word_hashes, word_spans
+
+#: n-grams (and 300 for each document) in a tree or a pair of trees.
 CHUNK = 1_500_000
-#: Bytes of text for each hash range.
-RANGE_BYTES = 16 << 20
+#: Ways in which a large group is cut before trees of different chunks are joined; it affects speed only.
+CUTS = 2
+#: Bytes of text for each hash range, and the most ranges as a power of 2, so that a slice has several n-grams for each.
+RANGE_BYTES, RANGES = 16 << 20, 18
+#: n-grams of a range that are sorted at a time.
+SORTED = 4_000_000
 #: Very frequent n-grams that are told to all tasks, at most. It bounds a broadcast and affects speed only.
-FREQUENT = 200_000
+FREQUENT = 50_000
 #: Bytes of text whose n-grams are dealt out together.
 SLICE = 8 << 20
 #: Stands for a document's place in a slice where an n-gram has several there.
@@ -103,13 +111,24 @@ def _combined(every: np.ndarray, place: np.ndarray, docs: int) -> tuple[np.ndarr
     return every[at], place, many, here
 
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    return np.array([a.nbytes for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+
+
+def _unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    sizes = np.frombuffer(blob, np.int64, len(kinds)).tolist()
+    out, at = [], 8 * len(kinds)
+    for n, kind in zip(sizes, kinds, strict=True):
+        out.append(np.frombuffer(blob, kind, n // np.dtype(kind).itemsize, at))
+        at += n
+    return out
+
+
 def _deal(size: int, bits: int):
-    """Rows of packed n-grams by hash range, and one row a slice with what is known of its documents."""
+    """Rows of packed n-grams by hash range, and one row a slice, of range -1, with what is known of its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
-        names = ["range", "slice", "docs", "sizes", "one", "two", "here", "hashes", "places", "many"]
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 8]
 
         def rows(ids: list[np.ndarray], sets: list[np.ndarray], k: int) -> pa.RecordBatch:
             at = (part << 32) + k
@@ -124,14 +143,13 @@ def _deal(size: int, bits: int):
             every = ((every[order] >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             place, many = place[order], many[order]
             bounds = np.searchsorted(where[order], np.arange((1 << bits) + 1))
-            cols: list[list] = [[-1 - at % (1 << bits)], [at], [np.concatenate(ids).tobytes()], [sizes.tobytes()], [one.tobytes()], [two.tobytes()], [here.tobytes()], [None], [None], [None]]
+            ranges, blobs = [-1], [_packed(np.concatenate(ids), sizes, one, two, here)]
             for r in np.flatnonzero(np.diff(bounds)).tolist():
                 own = slice(bounds[r], bounds[r + 1])
                 step = np.diff(place[own], prepend=np.uint16(0))  # small numbers, which shuffle well compressed
-                counted = many[own][place[own] == SEVERAL]
-                for c, v in zip(cols, (r, at, None, None, None, None, None, every[own].tobytes(), step.tobytes(), counted.tobytes()), strict=True):
-                    c.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+                ranges.append(r)
+                blobs.append(_packed(every[own], step, many[own][place[own] == SEVERAL]))
+            return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int64()), pa.array([at] * len(ranges), pa.int64()), pa.array(blobs, pa.binary())], ["range", "slice", "blob"])
 
         ids, sets, held = [], [], 0
         for batch in batches:
@@ -162,27 +180,41 @@ def _shared(bits: int, most: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["slice", "docs", "sizes", "one", "two", "here", "places", "counts", "gram", "times"]
-        kinds = [pa.int64(), *[pa.binary()] * 7, pa.int64(), pa.int64()]
-
-        def row(**x) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x.get(c, []) or [None] * len(next(iter(x.values()))), t) for c, t in zip(names, kinds, strict=True)], names)
-
-        def done(r: int, slices: list[int], hashes: list[bytes], places: list[bytes], many: list[bytes]) -> Iterator[pa.RecordBatch]:
-            h = np.frombuffer(b"".join(hashes), np.uint32)
-            key = np.sort(h.astype(np.uint64) << np.uint64(32) | np.arange(len(h), dtype=np.uint64))
-            value, of = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            same = value[1:] == value[:-1]
-            twice = np.zeros(len(h), bool)
-            twice[1:] = same
-            twice[:-1] |= same
-            place = np.concatenate([np.cumsum(np.frombuffer(p, np.uint16), dtype=np.uint16) for p in places])
+        def row(**x: list) -> pa.RecordBatch:
+            n = len(next(iter(x.values())))
+            return pa.RecordBatch.from_arrays([pa.array(x.get(c) or [None] * n, t) for c, t in zip(TOLD, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], list(TOLD))
+
+        def done(r: int, slices: list[int], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+            parts = [_unpacked(x, np.uint32, np.uint16, np.uint32) for x in blobs]
+            blobs.clear()
+            h = np.concatenate([p[0] for p in parts])
+            place = np.concatenate([np.cumsum(p[1], dtype=np.uint16) for p in parts])
+            ends = np.cumsum([len(p[0]) for p in parts])
             several = place == SEVERAL
-            at = np.sort(of[twice])
-            at = at[~several[at]]  # those of several documents were counted in their slice
-            ends = np.searchsorted(at, np.cumsum([len(p) // 2 for p in places]))
+            weight = np.ones(len(h), np.uint32)
+            weight[several] = np.concatenate([p[2] for p in parts])
+            del parts
+            passes, found, often = -(-len(h) // SORTED), [], []
+            for k in range(passes):  # by value, so that equal n-grams come together
+                own = slice(None) if passes == 1 else np.flatnonzero((h.astype(np.uint64) * np.uint64(passes) >> np.uint64(32)) == k)
+                value, of = h[own], np.arange(len(h)) if passes == 1 else own
+                order = np.argsort(value, kind="stable")
+                value, of = value[order], of[order]
+                same = value[1:] == value[:-1]
+                twice = np.zeros(len(value), bool)
+                twice[1:] = same
+                twice[:-1] |= same
+                at = of[twice]
+                found.append(at[~several[at]])  # those of several documents were counted in their slice
+                first = np.flatnonzero(np.concatenate([[True], ~same]))
+                times = np.add.reduceat(weight[of], first, dtype=np.int64)
+                top = np.flatnonzero(times >= 8)
+                top = top[np.lexsort((top, -times[top]))][:most]
+                often.append((value[first[top]].astype(np.int64), times[top]))
+            at = np.sort(np.concatenate(found))
+            bounds = np.searchsorted(at, ends)
             out: dict[str, list] = {"slice": [], "places": [], "counts": []}
-            for s, lo, hi in zip(slices, np.concatenate([[0], ends[:-1]]), ends, strict=True):
+            for s, lo, hi in zip(slices, np.concatenate([[0], bounds[:-1]]), bounds, strict=True):
                 if hi > lo:
                     own, n = np.unique(place[at[lo:hi]], return_counts=True)
                     out["slice"].append(s)
@@ -190,70 +222,90 @@ def _shared(bits: int, most: int):
                     out["counts"].append(n.astype(np.int32).tobytes())
             if out["slice"]:
                 yield row(**out)
-            weight = np.ones(len(h), np.int64)
-            weight[several] = np.frombuffer(b"".join(many), np.uint32)
-            first = np.flatnonzero(np.concatenate([[True], ~same]))
-            times = np.add.reduceat(weight[of], first)
-            often = np.flatnonzero(times >= 8)
-            often = often[np.lexsort((often, -times[often]))][:most]
-            if len(often):
-                yield row(gram=((np.int64(r) << np.int64(32)) | value[first[often]].astype(np.int64)).tolist(), times=times[often].tolist())
-
-        now, slices, hashes, places, many = None, [], [], [], []
+            value, times = (np.concatenate(x) for x in zip(*often, strict=True))
+            top = np.lexsort((value, -times))[:most]
+            if len(top):
+                yield row(gram=((np.int64(r) << np.int64(32)) | value[top]).tolist(), times=times[top].tolist())
+
+        now, slices, blobs = None, [], []
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(10)]
-            for r, s, docs, sizes, one, two, here, h, p, m in zip(*cols, strict=True):
+            for r, s, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if r < 0:
-                    yield row(slice=[s], docs=[docs], sizes=[sizes], one=[one], two=[two], here=[here])
+                    yield row(slice=[s], places=[blob])
                     continue
                 if r != now and slices:
-                    yield from done(now, slices, hashes, places, many)
-                    slices, hashes, places, many = [], [], [], []
+                    yield from done(now, slices, blobs)
+                    slices, blobs = [], []
                 now = r
                 slices.append(s)
-                hashes.append(h)
-                places.append(p)
-                many.append(m)
+                blobs.append(blob)
         if slices:
-            yield from done(now, slices, hashes, places, many)
+            yield from done(now, slices, blobs)
 
     return run
 
 
+#: Columns that tell of ranges: a slice's documents (no counts), shared n-grams by place in it, or a frequent n-gram.
+TOLD = {"slice": "long", "places": "binary", "counts": "binary", "gram": "long", "times": "long"}
+
+
 def _totals(percent: int):
     """The documents of each slice, with whether they can have a link at all. Rows come sorted by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(x: dict) -> pa.RecordBatch:
-            sizes = np.frombuffer(x["sizes"], np.int64)
-            shared = x["shared"]
-            shared = np.pad(shared, (0, max(0, len(sizes) - len(shared))))[: len(sizes)]
+        def done(known: list[np.ndarray], shared: np.ndarray) -> pa.RecordBatch:
+            docs, sizes, one, two, here = known
+            shared = shared[: len(sizes)] + here
             can = (sizes > 0) & (100 * shared >= percent * sizes)
-            cols = [np.frombuffer(x["docs"], np.int64), sizes, np.frombuffer(x["one"], np.int64), np.frombuffer(x["two"], np.int64), can]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc", "n", "one", "two", "can"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (docs, sizes, one, two, can)], ["doc", "n", "one", "two", "can"])
 
-        now: int | None = None
-        x: dict = {}
+        now, known, shared = None, [], np.zeros(0, np.int64)
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(8)]
-            for s, docs, sizes, one, two, here, places, counts in zip(*cols, strict=True):
+            for s, places, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if s != now:
                     if now is not None:
-                        yield done(x)
-                    now, x = s, {"shared": np.zeros(65_536, np.int64)}
-                if docs is not None:
-                    x |= {"docs": docs, "sizes": sizes, "one": one, "two": two}
-                    known = np.frombuffer(here, np.int32)
-                    x["shared"][: len(known)] += known
-                if places is not None:
-                    x["shared"][np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.int32)
+                        yield done(known, shared)
+                    now, shared = s, np.zeros(SEVERAL + 1, np.int64)
+                if counts is None:
+                    known = _unpacked(places, np.int64, np.int64, np.int64, np.int64, np.int32)
+                else:
+                    shared[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.int32)
         if now is not None:
-            yield done(x)
+            yield done(known, shared)
+
+    return run
+
+
+class _Prefix:
+    """The n-grams of a set that any set linked with it must share one of: its rarest, as far as is known."""
+
+    def __init__(self, percent: int, bits: int, grams: np.ndarray, times: np.ndarray) -> None:
+        self.percent, self.bits, self.grams, self.times = percent, bits, grams, times
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        if len(self.grams):
+            short = (s >> np.uint64(32 - self.bits)).astype(np.int64)
+            at = np.minimum(np.searchsorted(self.grams, short), len(self.grams) - 1)
+            s = s[np.lexsort((s, np.where(self.grams[at] == short, self.times[at], 0)))]
+        return s[: len(s) - (self.percent * len(s) + 99) // 100 + 1]
+
+
+def _prefix_rows(size: int, prefix: _Prefix):
+    """(doc, gram) of each document's prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for key, s in zip(keys, _read(batch.column(1), size), strict=True):
+                own = prefix(s).view(np.int64) if len(s) else np.zeros(0, np.int64)
+                for lo in range(0, len(own), 100_000):
+                    some = own[lo : lo + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), key, np.int64)), pa.array(some)], ["doc", "gram"])
 
     return run
 
 
-def _prefixes(size: int, percent: int, bits: int, grams: np.ndarray, times: np.ndarray):
+def _prefixes(size: int, prefix: _Prefix):
     """Edges between documents of a task that share a prefix n-gram, and for each such n-gram its smallest document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,15 +327,10 @@ def _prefixes(size: int, percent: int, bits: int, grams: np.ndarray, times: np.n
             for key, s in zip(keys, _read(batch.column(1), size), strict=True):
                 if not len(s):
                     continue
-                cut_at = len(s) - (percent * len(s) + 99) // 100 + 1
-                if len(grams):
-                    short = (s >> np.uint64(32 - bits)).astype(np.int64)
-                    at = np.minimum(np.searchsorted(grams, short), len(grams) - 1)
-                    often = np.where(grams[at] == short, times[at], 0)
-                    s = s[np.lexsort((s, often))]
-                hashes.append(s[:cut_at])
-                docs.append(np.full(cut_at, key, np.int64))
-                held += cut_at
+                own = prefix(s)
+                hashes.append(own)
+                docs.append(np.full(len(own), key, np.int64))
+                held += len(own)
             if held > 2_000_000:
                 yield from done(hashes, docs)
                 hashes, docs, held = [], [], 0
@@ -391,19 +438,19 @@ def tree_links(ids: np.ndarray, sets: list[np.ndarray], percent: int, sides: np.
 
 
 def _join(size: int, percent: int):
-    """Links of each group; a partition's rows come sorted by group and pair of chunks."""
+    """Links of each chunk or pair of chunks; a partition's rows come sorted by them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(key: tuple, ids: list[int], sides: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            found = tree_links(np.array(ids, np.int64), sets, percent, np.array(sides) if key[1] != key[2] else None)
+            found = tree_links(np.array(ids, np.int64), sets, percent, np.array(sides) if key[0] != key[1] else None)
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         now, ids, sides, sets = None, [], [], []
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            for key, side, doc, s in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), _read(batch.column(5), size), strict=True):
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True))
+            for key, side, doc, s in zip(keys, batch.column(2).to_pylist(), batch.column(3).to_pylist(), _read(batch.column(4), size), strict=True):
                 if key != now and ids:
                     yield from done(now, ids, sides, sets)
                     ids, sides, sets = [], [], []
@@ -428,43 +475,99 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     spark, whole = docs.sparkSession, docs.filter(F.col("doc").isNotNull())
+    store = Scratch(spark, "jaccard")
     held = whole.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = min(24, max(4, (held // RANGE_BYTES).bit_length()))
-    blob = "range long, slice long, docs binary, sizes binary, one binary, two binary, here binary, hashes binary, places binary, many binary"
-    dealt = whole.mapInArrow(_deal(size, bits), blob)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << max(0, bits - 2))
-    told = "slice long, docs binary, sizes binary, one binary, two binary, here binary, places binary, counts binary, gram long, times long"
-    ranges = dealt.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_shared(bits, max(1, FREQUENT >> bits)), told)
-    ranges = cut(ranges)
+    bits = min(RANGES, max(4, (held // RANGE_BYTES).bit_length()))
+    # Four ranges to a task; the rows that describe slices are spread over all.
+    parts = 1 << max(3, bits - 2)
+    task = F.when(F.col("range") < 0, F.pmod(F.xxhash64("slice"), F.lit(parts))).otherwise(F.shiftright("range", bits - parts.bit_length() + 1)).cast("int")
+    dealt = whole.mapInArrow(_deal(size, bits), "range long, slice long, blob binary").repartitionById(parts, task)
+    schema = ", ".join(f"{c} {t}" for c, t in TOLD.items())
+    ranges = store.put(dealt.sortWithinPartitions("range").mapInArrow(_shared(bits, max(1, FREQUENT >> bits)), schema))
     often = ranges.filter("gram is not null").select("gram", "times").orderBy(F.desc("times"), "gram").limit(FREQUENT).toPandas().sort_values("gram")
-    slices = ranges.filter("slice is not null").drop("gram", "times").repartition("slice").sortWithinPartitions("slice")
-    known = cut(slices.mapInArrow(_totals(percent), "doc long, n long, one long, two long, can boolean"))
-
-    copies = known.filter("can").groupBy("n", "one", "two").agg(F.min("doc").alias("rep"))
-    copies = cut(copies)
-    texts = cut(whole.join(copies.select(F.col("rep").alias("doc")).distinct(), "doc"))
-    shared = cut(texts.mapInArrow(_prefixes(size, percent, bits, often["gram"].to_numpy(np.int64), often["times"].to_numpy(np.int64)), "gram long, a long, b long"))
-    across = shared.filter("gram is not null").groupBy("gram").agg(F.min("a").alias("b"), F.collect_set("a").alias("all")).filter("size(all) > 1")
-    edges = shared.filter("gram is null").select("a", "b").union(across.select(F.explode("all").alias("a"), "b").filter("a <> b"))
-    groups = connected_components(edges)
-    groups = groups.select(F.col("node").alias("doc"), F.col("component").alias("group"))
-
-    sized = copies.groupBy(F.col("rep").alias("doc")).agg(F.sum("n").alias("n"))
-    members = cut(groups.join(sized, "doc"))
-    weight = members.groupBy("group").agg(F.sum(F.col("n") + 300).alias("w")).select("group", F.ceil(F.col("w") / chunk).cast("int").alias("k"))
-    placed = members.select("doc", "group").join(weight, "group").withColumn("side", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("side", o).alias("i"), F.greatest("side", o).alias("j")))
-    tasks = placed.select("doc", "group", "side", F.explode(others).alias("p")).select("doc", "group", "p.i", "p.j", "side")
-    tasks = texts.join(tasks, "doc").select("group", "i", "j", "side", "doc", "text")
-    links = tasks.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "doc").mapInArrow(_join(size, percent), "a long, b long")
-    joined = connected_components(links)
-
-    reps = copies.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    reps = reps.select("n", "one", "two", F.coalesce("component", "rep").alias("component"))
-    found = known.filter("can").join(reps, ["n", "one", "two"]).select("doc", "n", "component")
+    slices = ranges.filter("slice is not null").select("slice", "places", "counts").repartition("slice").sortWithinPartitions("slice")
+    known = store.put(slices.mapInArrow(_totals(percent), "doc long, n long, one long, two long, can boolean"))
+    store.drop(ranges)
+
+    copies = store.put(known.filter("can").groupBy("n", "one", "two").agg(F.min("doc").alias("rep")))
+    reps = store.put(copies.groupBy(F.col("rep").alias("doc")).agg(F.sum("n").alias("n")))
+    texts = store.put(whole.join(told(reps.select("doc")), "doc", "left_semi"))
+    prefix = _Prefix(percent, bits, often["gram"].to_numpy(np.int64), often["times"].to_numpy(np.int64))
+    shared = store.put(texts.mapInArrow(_prefixes(size, prefix), "gram long, a long, b long"))
+    across = shared.filter("gram is not null").select("gram", "a")
+    across = join_hot(across, across.groupBy("gram").agg(F.min("a").alias("b")), "gram", F.xxhash64("a")).select("a", "b").filter("a <> b")
+    groups = connected_components(shared.filter("gram is null").select("a", "b").union(across), into=store)
+    store.drop(shared)
+
+    members = store.put(groups.select(F.col("node").alias("doc"), F.col("component").alias("group")).join(reps, "doc").withColumn("w", F.col("n") + 300))
+    weights = members.groupBy("group").agg(F.sum("w").alias("all"))
+    members = store.put(join_hot(members, weights, "group", F.xxhash64("doc")))
+    join = _Joiner(store, texts, size, percent, chunk, members.agg(F.sum("w")).first()[0] or 0)
+    links = join.links(members.filter(F.col("all") <= chunk).select("doc", F.col("group").alias("i"), F.col("group").alias("j"), F.lit(0).alias("side")))
+    large = members.filter(F.col("all") > chunk).drop("all")
+    if not large.isEmpty():
+        links = links.union(_in_chunks(join, store.put(large), prefix))
+    joined = connected_components(links, into=store)
+
+    final = copies.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    final = final.select("n", "one", "two", F.coalesce("component", "rep").alias("component"))
+    found = join_hot(known.filter("can"), final, ["n", "one", "two"], F.xxhash64("doc")).select("doc", "n", "component")
     rest = known.filter("not can").select("doc", "n", F.col("doc").alias("component"))
     nameless = docs.filter(F.col("doc").isNull()).mapInArrow(_sizes(size), "n long").select(F.lit(None).cast("long").alias("doc"), "n", F.lit(None).cast("long").alias("component"))
-    return found.union(rest).union(nameless).select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    out = store.put(found.union(rest).union(nameless))
+    store.clear(out)
+    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+class _Joiner:
+    """Joins signature trees of stated documents of `texts`."""
+
+    def __init__(self, store: Scratch, texts: DataFrame, size: int, percent: int, chunk: int, weight: int) -> None:
+        self.store, self.texts, self.size, self.percent, self.chunk = store, texts, size, percent, chunk
+        self.tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-weight // chunk))
+
+    def links(self, dealt: DataFrame) -> DataFrame:
+        """(a, b) between documents of each chunk, or of each two chunks. dealt: (doc, i, j, side)."""
+        rows = self.texts.join(dealt, "doc").select("i", "j", "side", "doc", "text").repartition(self.tasks, "i", "j")
+        return self.store.put(rows.sortWithinPartitions("i", "j", "doc").mapInArrow(_join(self.size, self.percent), "a long, b long"))
+
+    def prefixes(self, docs: DataFrame, prefix: _Prefix) -> DataFrame:
+        return self.store.put(self.texts.join(told(docs.select("doc").distinct()), "doc", "left_semi").mapInArrow(_prefix_rows(self.size, prefix), "doc long, gram long"))
+
+
+def _in_chunks(join: _Joiner, large: DataFrame, prefix: _Prefix) -> DataFrame:
+    """(a, b) that connect what is linked in groups too large for a tree. large: (doc, group, n, w).
+
+    Linked documents are in one size class or in neighbouring ones and share a prefix n-gram. A chunk has documents of
+    one class whose prefixes have the same least n-gram, or several such; a part only, if these alone are too many.
+    """
+    store, half = join.store, max(1, join.chunk // 2)
+    # A little wider than the limit on sizes, so that rounding cannot set two linked documents two classes apart.
+    large = store.put(large.withColumn("class", F.floor(F.log("n") / float(np.log(100 / join.percent) * 1.000001)).cast("int")))
+    grams = join.prefixes(large, prefix)
+    links = None
+    for seed in range(CUTS):
+        least = grams.groupBy("doc").agg(F.min(F.xxhash64("gram", F.lit(seed))).alias("least"))
+        placed = store.put(large.join(least, "doc").withColumn("of", F.xxhash64("group", "class")).withColumn("cell", F.xxhash64("of", "least")))
+        cells = store.put(placed.groupBy("cell", "of").agg(F.sum("w").alias("w")))
+        light = cells.filter(F.col("w") <= half).groupBy("of").agg(F.sum("w").alias("light"))
+        cells = join_hot(cells, light, "of", F.xxhash64("cell"), how="left")
+        parts = F.when(F.col("w") > half, F.ceil(F.col("w") / half)).otherwise(1).cast("long")
+        home = F.when(F.col("w") > half, F.col("cell")).otherwise(F.xxhash64("of", F.pmod(F.xxhash64("cell", F.lit(seed)), F.ceil(F.col("light") / half).cast("long"))))
+        cells = cells.groupBy("cell").agg(F.max(parts).alias("parts"), F.max(home).alias("home"))
+        chunk = F.xxhash64("home", F.pmod(F.xxhash64("doc", F.lit(seed)), F.col("parts")))
+        placed = store.put(join_hot(placed, cells, "cell", F.xxhash64("doc")).select("doc", "group", "class", chunk.alias("chunk")))
+        found = join.links(placed.select("doc", F.col("chunk").alias("i"), F.col("chunk").alias("j"), F.lit(0).alias("side")))
+        links = found if links is None else links.union(found)
+    labels = connected_components(links, into=store)
+    placed = placed.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc"))
+    where = store.put(grams.join(placed.drop("component"), "doc").withColumn("g", F.xxhash64("gram", "group")).drop("gram", "group"))
+    several = where.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("g")
+    where = store.put(join_hot(where, several, "g", F.xxhash64("doc")))
+    spots = where.groupBy("g", "class", "chunk").agg(F.min("label").alias("low"), F.max("label").alias("high")).withColumnRenamed("chunk", "other")
+    near = where.withColumn("class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)))
+    near = near.join(spots, ["g", "class"]).filter("other <> chunk and (low <> label or high <> label)").select("doc", "chunk", "other").distinct()
+    return links.union(join.links(near.select("doc", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))))
 
 
 def _sizes(size: int):

@@ -22,7 +22,9 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, worker_cache
+from taxolume.storage import cut
+
+from .common import worker_cache
 
 #: The id that ends a document, and the tokens of a sequence.
 END, LENGTH = 2, 1024

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from taxolume.operators.components import connected_components
 
 #: The rules as verdict, host, path.
 RULES = (

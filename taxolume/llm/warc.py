@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from taxolume.storage import cut, shared_dir
 
 #: Payloads of fewer bytes are always stored.
 LEAST_REVISIT = 1000

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taxolume.llm import mixing, packing, pivot_search, url_filter, warc
-from taxolume.llm.components import connected_components
+from taxolume.operators.components import connected_components
 
 from .conftest import TEXTS
 
