@@ -7,16 +7,16 @@ writes each stage's rows as Parquet into the shared folder and reads them back,
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxolume.llm import lang_mixture, pii
-from taxolume.llm.common import cut, held_out, shared_dir
+from taxolume.llm.common import held_out
 from taxolume.llm.jaccard_tree import jaccard_components
 from taxolume.llm.mixing import repeated
 from taxolume.llm.packing import pack_documents
+from taxolume.storage import Scratch, delete, shared_dir, told
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,16 +30,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of rows linked by shared 5-word shingles, the one with the smallest doc_id, null being the largest;
     of several with that id, the first by text hash and the other columns.
 
-    Where ids are null or repeated, each row is a document of its own and is joined by its place in that order.
+    Where ids are null or repeated, each row is a document of its own and is joined by its place in that order. Rows
+    without words are linked with nothing and stay. What is joined with the documents is the list of those that go.
     """
-    if not docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(1).count():
-        keep = jaccard_components(docs).filter("component_id = doc_id").select("doc_id")
-        return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        gone = jaccard_components(docs).filter("component_id <> doc_id").select("doc_id")
+        return docs.join(told(gone), "doc_id", "left_anti").select(*docs.columns)
     # Rows that agree in all columns can change places; _any spreads them over the sort's ranges.
     order = [F.col("doc_id").asc_nulls_last(), F.sha2("text", 256), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], "_any"]
-    rows = cut(docs.withColumn("_any", F.monotonically_increasing_id()).orderBy(*order).withColumn("_row", F.monotonically_increasing_id()).drop("_any"))
-    keep = jaccard_components(rows, key="_row").filter("component_id = _row").select("_row")
-    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
+    rows = docs.withColumn("_any", F.monotonically_increasing_id()).orderBy(*order).withColumn("_row", F.monotonically_increasing_id()).drop("_any")
+    rows = Scratch(spark, "rows").put(rows)
+    gone = jaccard_components(rows, key="_row").filter("component_id <> _row").select("_row")
+    return rows.join(told(gone), "_row", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,11 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Stages are written to the shared folder; a stage's table is deleted once the next one is
+    written, the last one stays."""
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4()}"
-
-    def staged(docs: DataFrame, stage: tuple) -> DataFrame:
-        name, step = stage
-        step(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
-        return spark.read.parquet(f"{at}/{name}")
-
-    return reduce(staged, STAGES, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            delete(spark, f"{at}/{before}")
+        before = name
+    return docs
