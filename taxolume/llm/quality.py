@@ -20,12 +20,12 @@ from .common import bounded_sample, utf8_slices, word_hashes, word_spans
 
 #: Buckets for words, and as many for character n-grams.
 BUCKETS = 1 << 15
-#: Of the word buckets, that of a word that follows itself, and the first of those for a text's length in words.
-REPEATED, LENGTH = 0, 1
+#: Beyond these, the bucket of a word that follows itself, and the first of those for a text's length in words.
+REPEATED, LENGTH = 2 * BUCKETS, 2 * BUCKETS + 1
 #: Lengths in bytes of the character n-grams.
 GRAMS = (3, 5)
-#: Labelled rows that are fitted on, at most.
-SAMPLE_ROWS = 4_000
+#: Labelled rows that are fitted on, at most, and bytes of their texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 16 << 20
 #: Passes over a full sample; a smaller one is passed over until as many steps are taken.
 EPOCHS = 4
 DIM = 16
@@ -76,19 +76,20 @@ def _totals(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, seed: int = 5) -> QualityModel:
-    """A model of a 0/1 label. Rows whose text or label is null teach nothing; a text labelled twice counts twice.
+    """A model of a 0/1 label. Rows whose text or label is null teach nothing.
 
-    Learns from at most about `sample_rows` rows, chosen by a hash of key; without rows, or with one class only, the
-    model gives the prior.
+    Learns from at most `sample_rows` rows and `SAMPLE_BYTES` of text, chosen by a hash of the row; rows that agree in
+    key, text and label count once. Without rows, or with one class only, the model gives the prior.
     """
     known = labelled.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(key, text, label)
-    return _train(bounded_sample(known, F.col(key), sample_rows), text, label, key, seed)
+    return _train(bounded_sample(known, key, text, sample_rows, SAMPLE_BYTES), text, label, key, seed)
 
 
 def fit_ids(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, seed: int = 5) -> QualityModel:
     """As fit, with the labels in a table of their own: they are sampled first, so only sampled texts are joined."""
-    known = bounded_sample(labels.filter(F.col(label).isin(0, 1)).select(key, label), F.col(key), sample_rows)
-    return _train(docs.select(key, text).filter(F.col(text).isNotNull()).join(F.broadcast(known), key), text, label, key, seed)
+    known = bounded_sample(labels.filter(F.col(label).isin(0, 1)).select(key, label), key, label, sample_rows, 1 << 40)
+    joined = docs.select(key, text).filter(F.col(text).isNotNull()).join(F.broadcast(known), key)
+    return _train(bounded_sample(joined, key, text, sample_rows, SAMPLE_BYTES), text, label, key, seed)
 
 
 def _train(sample: DataFrame, text: str, label: str, key: str, seed: int) -> QualityModel:
@@ -106,7 +107,7 @@ def _train(sample: DataFrame, text: str, label: str, key: str, seed: int) -> Qua
 
     rows = sorted(sample.select(F.col(key), F.col(text), F.col(label)).mapInArrow(gather, "key string, label int, ids binary, counts binary").toLocalIterator(), key=lambda r: (r["key"], r["ids"]))
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (2 * BUCKETS, DIM)).astype(np.float32)
+    vectors = rng.uniform(-1 / DIM, 1 / DIM, (LENGTH + 21, DIM)).astype(np.float32)
     out = np.zeros((DIM, 2), np.float32)
     labels = np.array([r["label"] for r in rows], dtype=np.int64)
     share = (np.bincount(labels, minlength=2) + 1.0) / (len(rows) + 2.0)
@@ -157,4 +158,3 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", name: str =
             yield pa.RecordBatch.from_arrays([*(batch.column(1 + i) for i in range(len(keep))), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], [*keep, name])
 
     return docs.select(F.col(text), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
-
