@@ -2,31 +2,30 @@
 
 DataFrame expressions only. A kind's matches come from one extraction of the matches and one split of the text between
 them, so offsets are sums of lengths in code points. Patterns are written so that a match is tried once for each run
-of characters (possessive quantifiers, a look-behind at the start of a run): time is linear in the text also where a
-text is one run of digits or letters.
+of characters (possessive quantifiers, a look-behind at the start of a run), and arrays grow in blocks, so time is close
+to linear in the text also where it is one run of digits or holds very many matches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Kinds in the order that breaks ties between spans of one start.
-KINDS = ("email", "ip", "card", "phone", "iban")
-
 
 @dataclass(frozen=True)
 class Kind:
     """A pattern, a text that each match has (so that texts without it are skipped), the score of a confirmed match
-    before its surroundings are read, and the words nearby that raise it."""
+    before its surroundings are read, the words nearby that adjust it, and by how much."""
 
     name: str
     pattern: str
     needs: str
     score: float
     context: str
+    boost: float = 0.1
 
 
 #: Patterns and context words.
@@ -34,10 +33,47 @@ EMAIL = Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-
 IP = Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.6, r"(?i)\b(?:ip|host|server|address|login)\b")
 CARD = Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", 0.8, r"(?i)\b(?:card|visa|credit|debit|payment|pay)\b")
 PHONE = Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, r"(?i)\b(?:phone|call|tel|mobile|fax|contact)\b")
-IBAN = Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "", 0.9, r"(?i)\b(?:iban|account|bank|transfer)\b")
-PATTERNS = (EMAIL, IP, CARD, PHONE, IBAN)
-#: Code points on either side of a span in which context words count, and what they add.
-WINDOW, BOOST = 40, 0.1
+IBAN = Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "", 0.6, r"(?i)\b(?:iban|account|bank|transfer)\b", 0.3)
+SECRET = Kind("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+", "", 0.3, r"(?i)\b(?:tokens?|secrets?|passwords?|api[ _-]?keys?|keys?|bearer|credentials?)\b", 0.4)
+#: In the order that breaks ties between spans of one start. Base spans always stay; added ones need THRESHOLD.
+BASE, ADDED = (EMAIL, IP, CARD, PHONE), (IBAN, SECRET)
+KINDS = tuple(k.name for k in BASE + ADDED)
+THRESHOLD = 0.5
+#: Code points on either side of a span, up to the neighbouring match of its kind, in which context words count.
+WINDOW = 40
+#: Spans in a block.
+BLOCK = 128
+SPAN = "struct<start:int,rank:int,end:int,kind:string,score:double>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(items: Column, state: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str, opened: Callable[[Column, Column], Column] | None = None) -> Column:
+    """struct<state, out>: out of each item in turn, as an array of `kind`, and the last state.
+
+    step and out take the state and an item. Results grow in blocks, so that each is copied a few times only. opened:
+    what a block of items and the state before it give, computed once a block; step and out then take a struct of that
+    (as `open`) and the state (as `state`).
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def block(a: Column, own: Column) -> Column:
+        def inner(o: Column | None) -> Column:
+            see = (lambda s: s) if o is None else (lambda s: F.struct(o.alias("open"), s.alias("state")))
+            return F.aggregate(own, F.struct(a["state"].alias("state"), none.alias("out")), lambda b, x: F.struct(step(see(b["state"]), x).alias("state"), F.concat(b["out"], F.array(out(see(b["state"]), x))).alias("out")))
+
+        done = inner(None) if opened is None else _let(opened(a["state"], own), inner)
+        return _let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(a["out"], F.array(d["out"])).alias("out")))
+
+    def whole(held: Column) -> Column:
+        n = F.size(held)
+        blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda i: F.slice(held, i * BLOCK + 1, BLOCK))).otherwise(F.array())
+        return F.aggregate(blocks, F.struct(state.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out")), block)
+
+    return _let(_let(items, whole), lambda e: F.struct(e["state"].alias("state"), F.flatten(e["out"]).alias("out")))
 
 
 def _digits(s: Column) -> Column:
@@ -63,48 +99,51 @@ def _confirmed(kind: str, s: Column) -> Column:
         return F.lit(True)
     if kind == "ip":
         return F.forall(F.split(s, r"\."), lambda x: x.rlike(r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
-    d = _digits(s)
     if kind == "card":  # the length is looked at first: a longer run has no sum taken
-        return F.when(F.length(d).between(12, 19), luhn(d)).otherwise(False)
+        return _let(_digits(s), lambda d: F.when(F.length(d).between(12, 19), luhn(d)).otherwise(False))
     if kind == "phone":
-        return F.length(d).between(9, 15)
-    t = F.regexp_replace(s, " ", "")
-    return F.when(F.length(t).between(15, 34), mod97(t)).otherwise(False)
+        return F.length(_digits(s)).between(9, 15)
+    if kind == "secret":  # letters and digits mixed, as in no word or number
+        return s.rlike("[0-9]") & s.rlike("[A-Za-z]") & (F.length(_digits(s)) * 8 >= F.length(s))
+    return _let(F.regexp_replace(s, " ", ""), lambda t: F.when(F.length(t).between(15, 34), mod97(t)).otherwise(False))
 
 
 def _spans(kind: Kind, text: Column) -> Column:
-    """array<struct<start, end, kind, score>> of the confirmed matches of a kind; offsets in code points."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    between = F.split(text, kind.pattern, -1)
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,m:string>>)")
-    placed = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + p["g"] + p["n"]).alias("at"),
-            F.when(_confirmed(kind.name, p["m"]), F.concat(a["spans"], F.array(F.struct((a["at"] + p["g"]).alias("start"), (a["at"] + p["g"] + p["n"]).alias("end"), p["m"].alias("m"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-    )["spans"]
-    near = lambda x: F.substring(text, F.greatest(x["start"] - WINDOW, F.lit(0)) + 1, x["end"] - x["start"] + 2 * WINDOW)
-    full = F.transform(placed, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind.name).alias("kind"), F.lit(KINDS.index(kind.name)).alias("rank"), F.when(near(x).rlike(kind.context), F.lit(kind.score + BOOST)).otherwise(F.lit(kind.score)).alias("score")))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string,rank:int,score:double>>)")
+    """array<SPAN> of the confirmed matches of a kind; offsets in code points."""
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+
+    def seen(found: Column, between: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            near = F.concat(F.right(F.get(between, i), F.lit(WINDOW)), F.lit(" "), F.left(F.get(between, i + 1), F.lit(WINDOW)))
+            score = F.when(near.rlike(kind.context), F.lit(kind.score + kind.boost)).otherwise(F.lit(kind.score))
+            return F.struct(F.length(F.get(between, i)).alias("g"), F.length(m).alias("n"), F.when(_confirmed(kind.name, m), score).alias("score"))
+
+        placed = _running(
+            F.transform(found, one),
+            F.lit(0),
+            lambda at, p: at + p["g"] + p["n"],
+            lambda at, p: F.struct((at + p["g"]).alias("start"), F.lit(KINDS.index(kind.name)).alias("rank"), (at + p["g"] + p["n"]).alias("end"), F.lit(kind.name).alias("kind"), p["score"].alias("score")),
+            SPAN,
+        )["out"]
+        return F.filter(placed, lambda x: x["score"] >= (0.0 if kind in BASE else THRESHOLD))
+
     may = F.contains(text, F.lit(kind.needs)) if kind.needs else F.lit(True)
+    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    full = _let(found, lambda f: F.when(F.size(f) == 0, none).otherwise(_let(F.split(text, kind.pattern, -1), lambda b: seen(f, b))))
     return F.when(may, full).otherwise(none)
 
 
 def find_spans(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
-    """docs with `out`: array<struct<start, end, kind, rank, score>> of all confirmed spans, by start, then kind.
+    """docs with `out`: array<struct<start, rank, end, kind, score>> of all confirmed spans, by start, then kind.
 
     Matches of a kind are leftmost and do not overlap; those of different kinds may. A match that fails its check is
     dropped and its characters are not tried again. The score, 0 to 1, says how surely a span is personal data: its
-    kind's value, raised where context words stand within `WINDOW` characters; no base span is removed by it. Null
-    and empty texts have no spans. All rows and all other columns stay.
+    kind's value, raised where context words stand within `WINDOW` characters. Base kinds stay at any score; added ones
+    (IBANs, secrets) only from `THRESHOLD` on, so that a secret needs its context. Null and empty texts have no spans.
+    All rows and all other columns stay, repeated rows too; a column that has the name of the new one gives way to it.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    all_spans = F.concat(*[_spans(k, body) for k in PATTERNS])
-    keyed = F.transform(all_spans, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), x["score"].alias("score")))
-    return docs.withColumn(out, F.array_sort(keyed))
+    return docs.withColumn(out, F.array_sort(F.concat(*[_spans(k, body) for k in BASE + ADDED])))
 
 
 def span_text(spans: Column) -> Column:
@@ -117,21 +156,21 @@ def count_of(spans: Column, kind: str) -> Column:
 
 
 def base_only(spans: Column) -> Column:
-    return F.filter(spans, lambda x: x["kind"] != "iban")
+    return F.filter(spans, lambda x: x["rank"] < len(BASE))
 
 
 def redact(docs: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
     """docs with each span's characters replaced by its kind in angle brackets; of overlapping spans the earliest names
     the place and the rest of a later one goes too. A null text stays null. The spans column is dropped."""
     body = F.col(f"`{text}`")
-    state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
-    done = F.aggregate(
+    done = _running(
         F.col(f"`{spans}`"),
-        state,
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["end"]).alias("at"),
-            F.when(x["start"] >= a["at"], F.concat(a["parts"], F.array(F.substring(body, a["at"] + 1, x["start"] - a["at"]), F.concat(F.lit("<"), x["kind"], F.lit(">"))))).otherwise(a["parts"]).alias("parts"),
-        ),
+        F.lit(0),
+        lambda a, x: F.greatest(a["state"], x["end"]),
+        # The text between is looked up in the block's own part of the text.
+        lambda a, x: F.when(x["start"] >= a["state"], F.concat(F.substring(a["open"]["part"], a["state"] - a["open"]["at"] + 1, x["start"] - a["state"]), F.lit("<"), x["kind"], F.lit(">"))).otherwise(F.lit("")),
+        "string",
+        opened=lambda at, own: F.struct(at.alias("at"), F.substring(body, at + 1, F.greatest(F.array_max(F.transform(own, lambda x: x["end"])) - at, F.lit(0))).alias("part")),
     )
-    changed = F.concat(F.array_join(done["parts"], ""), F.substring(body, done["at"] + 1, F.length(body)))
+    changed = _let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(body, d["state"] + 1, F.length(body))))
     return docs.withColumn(text, F.when(F.size(F.col(f"`{spans}`")) > 0, changed).otherwise(body)).drop(spans)
