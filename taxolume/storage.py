@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows (of ids and a few numbers) up to which a counted table is broadcast; beyond, joins shuffle.
@@ -89,3 +89,13 @@ def join_hot(many: DataFrame, one: DataFrame, key: str | list[str], salt: Column
     left = many.withColumn("_salt", salt).join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.col("_salt"), F.col("_parts")), F.lit(0)).cast("int")).drop("_salt", "_parts")
     right = one.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return left.join(right, [*key, "_part"], how).drop("_part")
+
+
+def numbered(df: DataFrame, order: list[Column], out: str, store: Scratch) -> DataFrame:
+    """df with its rows numbered from 0 in an order, without a window over all of them: rows go to ranges, ranges are
+    counted, and numbers follow from the counts, of which there is one a partition."""
+    ranged = store.put(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col("b._range") < F.col("a._range"), "left").groupBy(F.col("a._range").alias("_range")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_i", within).join(F.broadcast(before), "_range").withColumn(out, (F.col("_i") + F.col("_before")).cast("long")).drop("_i", "_before", "_range")
