@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +44,9 @@ CUTS = 2
 RANGE_BYTES, RANGES = 16 << 20, 18
 #: n-grams of a range that are sorted at a time.
 SORTED = 4_000_000
-#: Very frequent n-grams that are told to all tasks, at most. It bounds a broadcast and affects speed only.
-FREQUENT = 50_000
+#: Frequent n-grams that reach the driver, 5 bytes each, at most, and the least times that they occur. All tasks are told
+#: a table of them with a byte for each of up to 2 ** CELLS cells. These bounds affect speed only.
+FREQUENT, OFTEN, CELLS = 4_000_000, 8, 25
 #: Bytes of text whose n-grams are dealt out together.
 SLICE = 8 << 20
 #: Stands for a document's place in a slice where an n-gram has several there.
@@ -182,7 +183,7 @@ def _shared(bits: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(**x: list) -> pa.RecordBatch:
             n = len(next(iter(x.values())))
-            return pa.RecordBatch.from_arrays([pa.array(x.get(c) or [None] * n, t) for c, t in zip(TOLD, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], list(TOLD))
+            return pa.RecordBatch.from_arrays([pa.array(x.get(c) or [None] * n, t) for c, t in zip(TOLD, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], list(TOLD))
 
         def done(r: int, slices: list[int], blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
             parts = [_unpacked(x, np.uint32, np.uint16, np.uint32) for x in blobs]
@@ -208,9 +209,9 @@ def _shared(bits: int, most: int):
                 found.append(at[~several[at]])  # those of several documents were counted in their slice
                 first = np.flatnonzero(np.concatenate([[True], ~same]))
                 times = np.add.reduceat(weight[of], first, dtype=np.int64)
-                top = np.flatnonzero(times >= 8)
+                top = np.flatnonzero(times >= OFTEN)
                 top = top[np.lexsort((top, -times[top]))][:most]
-                often.append((value[first[top]].astype(np.int64), times[top]))
+                often.append((value[first[top]], times[top]))
             at = np.sort(np.concatenate(found))
             bounds = np.searchsorted(at, ends)
             out: dict[str, list] = {"slice": [], "places": [], "counts": []}
@@ -225,7 +226,7 @@ def _shared(bits: int, most: int):
             value, times = (np.concatenate(x) for x in zip(*often, strict=True))
             top = np.lexsort((value, -times))[:most]
             if len(top):
-                yield row(gram=((np.int64(r) << np.int64(32)) | value[top]).tolist(), times=times[top].tolist())
+                yield row(range=[r], often=[_packed(value[top], np.log2(times[top]).astype(np.uint8))])
 
         now, slices, blobs = None, [], []
         for batch in batches:
@@ -245,8 +246,8 @@ def _shared(bits: int, most: int):
     return run
 
 
-#: Columns that tell of ranges: a slice's documents (no counts), shared n-grams by place in it, or a frequent n-gram.
-TOLD = {"slice": "long", "places": "binary", "counts": "binary", "gram": "long", "times": "long"}
+#: Columns that tell of ranges: a slice's documents (no counts), shared n-grams by place in it, or frequent n-grams.
+TOLD = {"slice": "long", "places": "binary", "counts": "binary", "range": "long", "often": "binary"}
 
 
 def _totals(percent: int):
@@ -276,28 +277,37 @@ def _totals(percent: int):
     return run
 
 
-class _Prefix:
-    """The n-grams of a set that any set linked with it must share one of: its rarest, as far as is known."""
+def _places(short: np.ndarray, cells: int) -> list[np.ndarray]:
+    h = mixed(short)
+    return [(x & np.uint64(cells - 1)).astype(np.int64) for x in (h, h >> np.uint64(64 - CELLS))]
 
-    def __init__(self, percent: int, bits: int, grams: np.ndarray, times: np.ndarray) -> None:
-        self.percent, self.bits, self.grams, self.times = percent, bits, grams, times
 
-    def __call__(self, s: np.ndarray) -> np.ndarray:
-        if len(self.grams):
-            short = (s >> np.uint64(32 - self.bits)).astype(np.int64)
-            at = np.minimum(np.searchsorted(self.grams, short), len(self.grams) - 1)
-            s = s[np.lexsort((s, np.where(self.grams[at] == short, self.times[at], 0)))]
-        return s[: len(s) - (self.percent * len(s) + 99) // 100 + 1]
+def _cells(told: list[tuple[int, bytes]]) -> np.ndarray:
+    """Each frequent n-gram has two cells, which hold the logarithm of how often it occurs, or more where others share them."""
+    parts = [(r, *_unpacked(x, np.uint32, np.uint8)) for r, x in told]
+    cells = np.zeros(1 << min(CELLS, max(4, (16 * sum(len(p[1]) for p in parts)).bit_length())), np.uint8)
+    for r, value, level in parts:
+        for at in _places(np.uint64(r) << np.uint64(32) | value.astype(np.uint64), len(cells)):
+            np.maximum.at(cells, at, level)
+    return cells
 
 
-def _prefix_rows(size: int, prefix: _Prefix):
+def _prefix(s: np.ndarray, percent: int, bits: int, cells: np.ndarray) -> np.ndarray:
+    """The n-grams of a set that any set linked with it must share one of: its rarest, as far as is known. The lesser of
+    an n-gram's two cells orders it, as any function of the n-gram may."""
+    one, two = _places(s >> np.uint64(32 - bits), len(cells))
+    s = s[np.lexsort((s, np.minimum(cells[one], cells[two])))]
+    return s[: len(s) - (percent * len(s) + 99) // 100 + 1]
+
+
+def _prefix_rows(size: int, percent: int, bits: int, cells: Broadcast[np.ndarray]):
     """(doc, gram) of each document's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for key, s in zip(keys, _read(batch.column(1), size), strict=True):
-                own = prefix(s).view(np.int64) if len(s) else np.zeros(0, np.int64)
+                own = _prefix(s, percent, bits, cells.value).view(np.int64) if len(s) else np.zeros(0, np.int64)
                 for lo in range(0, len(own), 100_000):
                     some = own[lo : lo + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), key, np.int64)), pa.array(some)], ["doc", "gram"])
@@ -305,7 +315,7 @@ def _prefix_rows(size: int, prefix: _Prefix):
     return run
 
 
-def _prefixes(size: int, prefix: _Prefix):
+def _prefixes(size: int, percent: int, bits: int, cells: Broadcast[np.ndarray]):
     """Edges between documents of a task that share a prefix n-gram, and for each such n-gram its smallest document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +337,7 @@ def _prefixes(size: int, prefix: _Prefix):
             for key, s in zip(keys, _read(batch.column(1), size), strict=True):
                 if not len(s):
                     continue
-                own = prefix(s)
+                own = _prefix(s, percent, bits, cells.value)
                 hashes.append(own)
                 docs.append(np.full(len(own), key, np.int64))
                 held += len(own)
@@ -484,7 +494,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     dealt = whole.mapInArrow(_deal(size, bits), "range long, slice long, blob binary").repartitionById(parts, task)
     schema = ", ".join(f"{c} {t}" for c, t in TOLD.items())
     ranges = store.put(dealt.sortWithinPartitions("range").mapInArrow(_shared(bits, max(1, FREQUENT >> bits)), schema))
-    often = ranges.filter("gram is not null").select("gram", "times").orderBy(F.desc("times"), "gram").limit(FREQUENT).toPandas().sort_values("gram")
+    often = [(r["range"], bytes(r["often"])) for r in ranges.filter("often is not null").select("range", "often").toLocalIterator()]
     slices = ranges.filter("slice is not null").select("slice", "places", "counts").repartition("slice").sortWithinPartitions("slice")
     known = store.put(slices.mapInArrow(_totals(percent), "doc long, n long, one long, two long, can boolean"))
     store.drop(ranges)
@@ -492,8 +502,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     copies = store.put(known.filter("can").groupBy("n", "one", "two").agg(F.min("doc").alias("rep")))
     reps = store.put(copies.groupBy(F.col("rep").alias("doc")).agg(F.sum("n").alias("n")))
     texts = store.put(whole.join(told(reps.select("doc")), "doc", "left_semi"))
-    prefix = _Prefix(percent, bits, often["gram"].to_numpy(np.int64), often["times"].to_numpy(np.int64))
-    shared = store.put(texts.mapInArrow(_prefixes(size, prefix), "gram long, a long, b long"))
+    cells = spark.sparkContext.broadcast(_cells(often))
+    shared = store.put(texts.mapInArrow(_prefixes(size, percent, bits, cells), "gram long, a long, b long"))
     across = shared.filter("gram is not null").select("gram", "a")
     across = join_hot(across, across.groupBy("gram").agg(F.min("a").alias("b")), "gram", F.xxhash64("a")).select("a", "b").filter("a <> b")
     groups = connected_components(shared.filter("gram is null").select("a", "b").union(across), into=store)
@@ -502,11 +512,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     members = store.put(groups.select(F.col("node").alias("doc"), F.col("component").alias("group")).join(reps, "doc").withColumn("w", F.col("n") + 300))
     weights = members.groupBy("group").agg(F.sum("w").alias("all"))
     members = store.put(join_hot(members, weights, "group", F.xxhash64("doc")))
-    join = _Joiner(store, texts, size, percent, chunk, members.agg(F.sum("w")).first()[0] or 0)
+    join = _Joiner(store, texts, size, percent, chunk, (bits, cells), members.agg(F.sum("w")).first()[0] or 0)
     links = join.links(members.filter(F.col("all") <= chunk).select("doc", F.col("group").alias("i"), F.col("group").alias("j"), F.lit(0).alias("side")))
     large = members.filter(F.col("all") > chunk).drop("all")
     if not large.isEmpty():
-        links = links.union(_in_chunks(join, store.put(large), prefix))
+        links = links.union(_in_chunks(join, store.put(large)))
     joined = connected_components(links, into=store)
 
     final = copies.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -522,8 +532,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 class _Joiner:
     """Joins signature trees of stated documents of `texts`."""
 
-    def __init__(self, store: Scratch, texts: DataFrame, size: int, percent: int, chunk: int, weight: int) -> None:
-        self.store, self.texts, self.size, self.percent, self.chunk = store, texts, size, percent, chunk
+    def __init__(self, store: Scratch, texts: DataFrame, size: int, percent: int, chunk: int, known: tuple[int, Broadcast[np.ndarray]], weight: int) -> None:
+        self.store, self.texts, self.size, self.percent, self.chunk, self.known = store, texts, size, percent, chunk, known
         self.tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-weight // chunk))
 
     def links(self, dealt: DataFrame) -> DataFrame:
@@ -531,11 +541,11 @@ class _Joiner:
         rows = self.texts.join(dealt, "doc").select("i", "j", "side", "doc", "text").repartition(self.tasks, "i", "j")
         return self.store.put(rows.sortWithinPartitions("i", "j", "doc").mapInArrow(_join(self.size, self.percent), "a long, b long"))
 
-    def prefixes(self, docs: DataFrame, prefix: _Prefix) -> DataFrame:
-        return self.store.put(self.texts.join(told(docs.select("doc").distinct()), "doc", "left_semi").mapInArrow(_prefix_rows(self.size, prefix), "doc long, gram long"))
+    def prefixes(self, docs: DataFrame) -> DataFrame:
+        return self.store.put(self.texts.join(told(docs.select("doc").distinct()), "doc", "left_semi").mapInArrow(_prefix_rows(self.size, self.percent, *self.known), "doc long, gram long"))
 
 
-def _in_chunks(join: _Joiner, large: DataFrame, prefix: _Prefix) -> DataFrame:
+def _in_chunks(join: _Joiner, large: DataFrame) -> DataFrame:
     """(a, b) that connect what is linked in groups too large for a tree. large: (doc, group, n, w).
 
     Linked documents are in one size class or in neighbouring ones and share a prefix n-gram. A chunk has documents of
@@ -544,7 +554,7 @@ def _in_chunks(join: _Joiner, large: DataFrame, prefix: _Prefix) -> DataFrame:
     store, half = join.store, max(1, join.chunk // 2)
     # A little wider than the limit on sizes, so that rounding cannot set two linked documents two classes apart.
     large = store.put(large.withColumn("class", F.floor(F.log("n") / float(np.log(100 / join.percent) * 1.000001)).cast("int")))
-    grams = join.prefixes(large, prefix)
+    grams = join.prefixes(large)
     links = None
     for seed in range(CUTS):
         least = grams.groupBy("doc").agg(F.min(F.xxhash64("gram", F.lit(seed))).alias("least"))

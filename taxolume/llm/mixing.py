@@ -1,22 +1,24 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Each document is to be taken target / source size times. The whole part is certain; the fractional parts are paired:
-two documents of a source pass mass at random from one to the other until one of them is 0 or 1, which decides it, and
-the other goes on to the next pairing. Every expectation is kept and a source's total is off by one document at most,
-of a size near those that it was paired with. Pairs form inside small groups of similar size (source, size class, hash
-bucket), the groups' leftovers in groups of groups, and so on: a distributed reduction tree whose depth grows with the
-logarithm of the rows. Masses are integers, so no rounding error builds up, and all randomness is hashed from row keys,
-so reruns agree. DataFrame expressions only.
+two documents of a source pass words at random from one to the other until one of them is taken or not, which decides
+it, and the other goes on to the next pairing. What one gains in words the other loses, so every expectation and the
+source's words are kept; only the last document of a source, whose coin is left, moves them. Pairs form inside small
+groups of similar size (source, size class, hash bucket), the groups' leftovers in groups of groups, and so on: a
+distributed reduction tree whose depth grows with the logarithm of the rows; the last pairings of a source go from its
+large documents to its small ones. Rows that agree in all columns are one unit of as many copies, so repeats make no
+group larger. Fractions are integers and all randomness is hashed from row keys, so reruns agree. DataFrame expressions
+only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxolume.storage import cut
+from taxolume.storage import Scratch, join_hot, numbered
 
 #: The mass of a whole copy.
 ONE = 1 << 40
@@ -24,6 +26,8 @@ ONE = 1 << 40
 GROUP = 128
 #: Rows of (source, size class) up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
+#: Equal rows that one step writes out at a time.
+REPEATS = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -31,41 +35,48 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, source: str = "source", size: str = "size", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(source, source_size, n, target): share of all sizes, split by weight, at most `most` times a source's size.
+def targets(sizes: DataFrame, source: str = "source", size: str = "size", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, store: Scratch | None = None) -> DataFrame:
+    """(source, source_size, target): share of all sizes, split by weight, at most `most` times a source's size.
 
     Sources in code-point order, null last, take the weights in turn. What a capped source cannot take is shared out
-    again by weight until no target is above its cap: sources are capped in the order of cap over weight, so the level
-    that the others reach follows from running sums.
+    again by weight until no target is above its cap: each round caps the sources below the level that the others
+    reach, which raises the level; it ends when no source is added. Only such levels reach the driver.
     """
-    per = sizes.groupBy(source).agg(F.coalesce(F.sum(size), F.lit(0)).alias("source_size"), F.count("*").alias("n"))
-    turn = (F.row_number().over(Window.orderBy(F.col(source).asc_nulls_last())) - 1) % len(weights)
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (turn + 1).cast("int"))
-    per = per.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    up = Window.orderBy(F.col("cap") / F.col("w"), F.col(source).asc_nulls_last())
-    before, every = up.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
-    left = F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    level = left / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    per = per.withColumn("level", level).withColumn("free", F.col("level") <= F.col("cap") / F.col("w"))
-    reached = F.min(F.when(F.col("free"), F.struct(F.col("cap") / F.col("w"), F.col("level"))).otherwise(None)).over(every)
-    target = F.when(reached.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), reached["level"] * F.col("w")))
-    return per.select(source, "source_size", "n", target.alias("target"))
+    store = store or Scratch(sizes.sparkSession, "targets")
+    per = sizes.groupBy(source).agg(F.coalesce(F.sum(size), F.lit(0)).alias("source_size"))
+    per = numbered(per, [F.col(source).asc_nulls_last()], "_turn", store)
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_turn") % len(weights) + 1).cast("int"))
+    per = store.put(per.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(most))).drop("_turn"))
+    total, level, capped = per.agg(F.sum("source_size")).first()[0] or 0, 0.0, -1
+    while True:
+        low = F.col("cap") < F.lit(level) * F.col("w")
+        n, held, free = per.agg(F.count(F.when(low, 1)), F.coalesce(F.sum(F.when(low, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~low, F.col("w"))), F.lit(0.0))).first()
+        if n == capped or not free:
+            break
+        capped, level = n, (float(share) * total - held) / free
+    target = F.least(F.col("cap"), F.lit(level) * F.col("w")) if free else F.col("cap")
+    return per.select(source, "source_size", target.alias("target"))
+
+
+UNIT = ("size", "key", "id", "n", "mass")
 
 
 def _fold(units: Column, seed: int) -> Column:
     """struct<open, done>: pairs an array of units one after the other; done have mass 0 or ONE, open is the last one."""
-    kind = "struct<size:bigint,key:bigint,id:bigint,mass:bigint>"
+    kind = "struct<" + ",".join(f"{c}:bigint" for c in UNIT) + ">"
 
     def step(a: Column, x: Column) -> Column:
         o = a["open"]
-        total = o["mass"] + x["mass"]
-        dice = F.pmod(F.xxhash64(o["key"], x["key"], F.lit(seed)), F.lit(ONE))  # below ONE
-        # Below ONE one of them takes all, with a chance in proportion to its own; above, one is whole and the other has the rest.
-        small = total < ONE
-        first = F.when(small, dice * (total / F.lit(float(ONE))) < o["mass"]).otherwise(dice * ((F.lit(2 * ONE) - total) / F.lit(float(ONE))) < F.lit(ONE) - x["mass"])
-        winner, loser = F.when(first, o).otherwise(x), F.when(first, x).otherwise(o)
-        open_ = F.when(small, _with(winner, total)).otherwise(_with(loser, total - ONE))
-        closed = F.when(small, _with(loser, F.lit(0))).otherwise(_with(winner, F.lit(ONE)))
+        ratio = x["size"] / o["size"]
+        # What the open one can gain, and lose, until it or its partner is decided; the chance keeps the expectation.
+        rise, fall = F.least((F.lit(ONE) - o["mass"]).cast("double"), x["mass"] * ratio), F.least(o["mass"].cast("double"), (F.lit(ONE) - x["mass"]) * ratio)
+        dice = F.pmod(F.xxhash64(o["key"], x["key"], F.lit(seed)), F.lit(ONE)) / F.lit(float(ONE))
+        up = dice * (rise + fall) < fall
+        own = F.when(up, rise >= (F.lit(ONE) - o["mass"])).otherwise(fall >= o["mass"])  # whether the open one is decided
+        moved = F.when(up, rise).otherwise(-fall)
+        rest = lambda m: F.greatest(F.lit(0), F.least(F.lit(ONE), F.round(m).cast("long")))
+        open_ = F.when(own, _with(x, rest(x["mass"] - moved / ratio))).otherwise(_with(o, rest(o["mass"] + moved)))
+        closed = F.when(own, _with(o, F.when(up, ONE).otherwise(0))).otherwise(_with(x, F.when(up, 0).otherwise(ONE)))
         started = o.isNotNull()
         return F.struct(F.when(started, open_).otherwise(x).alias("open"), F.when(started, F.concat(a["done"], F.array(closed))).otherwise(a["done"]).alias("done"))
 
@@ -74,84 +85,96 @@ def _fold(units: Column, seed: int) -> Column:
 
 
 def _with(unit: Column, mass: Column) -> Column:
-    return F.struct(unit["size"].alias("size"), unit["key"].alias("key"), unit["id"].alias("id"), mass.cast("long").alias("mass"))
+    return F.struct(*[unit[c].alias(c) for c in UNIT[:-1]], mass.cast("long").alias("mass"))
+
+
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of all of a row's columns (maps, which have no order, apart) and of which of them are null."""
+    cols = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(F.array(*[c.isNull() for c in cols]), *cols)
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 1) -> DataFrame:
     """For each row of docs: key, row_key, size, source_size, target, copies, taken (size times copies).
 
-    size is the number of words of the text, 0 for a null one. A row without words is not taken. A row's text and key
-    make its row_key; rows that agree in both are rounded separately but may share a group. All rows are returned, null
-    keys and sources too (a null source is a source). An empty table gives no rows. No row is taken more than `most`
-    times, rounded up; with share and most as they are, twice.
+    size is the number of words of the text, 0 for a null one. A row without words is not taken. All rows are returned,
+    null keys and sources too (a null source is a source). Rows that agree in all columns are rounded together and
+    differ by one copy at most. An empty table gives no rows. No row is taken more than `most` times, rounded up; with
+    share and most as they are, twice.
     """
-    return _rounded(docs, key, text, source, weights, share, most, seed).drop("_source")
+    units = _rounded(docs, key, text, source, weights, share, most, seed)
+    rows = units.filter("n = 1").withColumn("copies", F.col("total"))
+    if not units.filter("n > 1").isEmpty():
+        begin = units.filter("n > 1").withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(REPEATS).cast("long")))).repartition("row_key", "lo")
+        each = begin.withColumn("i", F.explode(F.sequence(F.col("lo"), F.least(F.col("n"), F.col("lo") + REPEATS) - 1)))
+        rows = rows.unionByName(each.withColumn("copies", F.floor(F.col("total") / F.col("n")) + (F.col("i") < F.col("total") % F.col("n")).cast("long")).drop("lo", "i"))
+    return rows.select(F.col("id").alias(key), "row_key", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def _rounded(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 1) -> DataFrame:
-    """mix(), with the row's source as _source."""
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("key"))
-    rows = cut(rows.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2("size") * 4).cast("int"))))
-    classes = rows.groupBy("source", "class").agg(F.count("*").alias("rows"), F.sum("size").alias("size"))
-    goal = targets(classes, weights=weights, share=share, most=most).drop("n").withColumnRenamed("source", "s")
-    plan = classes.drop("size").join(goal, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("class").alias("c"), "source_size", "target", F.ceil(F.col("rows") / GROUP).cast("long").alias("buckets"))
-    plan = cut(plan)
+    """(id, source, row_key, size, source_size, target, n, total): each different row, how often it occurs and is taken."""
+    store = Scratch(docs.sparkSession, "mixing")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), _row_key(docs).alias("key"))
+    rows = rows.groupBy("id", "source", "size", "key").agg(F.count("*").alias("n"))
+    rows = store.put(rows.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2("size") * 4).cast("int")).otherwise(-1)))
+    at = [F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none")]
+    classes = store.put(rows.groupBy("source", "class").agg(F.count("*").alias("rows"), F.sum(F.col("size") * F.col("n")).alias("size")))
+    goal = targets(classes, weights=weights, share=share, most=most, store=store).select(*at, "source_size", "target")
+    plan = classes.select(*at, "class", F.ceil(F.col("rows") / GROUP).cast("long").alias("buckets")).join(goal, ["s", "none"])
+    plan = store.put(plan.select("s", "none", "class", "source_size", "target", "buckets"))
     told = plan.agg(F.count("*"), F.max("buckets")).first()
-    plan = F.broadcast(plan) if told[0] <= BROADCAST_ROWS else plan
-    share_of = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    units = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & F.col("class").eqNullSafe(F.col("c"))).drop("s", "c")
-    units = units.withColumn("whole", F.when(F.col("size") > 0, F.floor(share_of)).otherwise(0).cast("long"))
-    units = units.withColumn("mass", F.when(F.col("size") > 0, F.least(F.round((share_of - F.col("whole")) * ONE).cast("long"), F.lit(ONE))).otherwise(0).cast("long"))
-    units = units.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("buckets")))
-
-    plain = units.filter("mass = 0 or mass = %d" % ONE).select("source", "class", "id", "key", "size", "mass")
-    open_ = units.filter("mass > 0 and mass < %d" % ONE).select("source", "class", "bucket", "size", "key", "id", "mass")
-    decided = [plain]
+    keyed = rows.select("*", *at)
+    units = keyed.join(F.broadcast(plan), ["s", "none", "class"]) if told[0] <= BROADCAST_ROWS else join_hot(keyed, plan, ["s", "none", "class"], F.col("key"))
+    share_of = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
+    units = units.withColumn("exact", share_of * F.col("n")).withColumn("whole", F.floor("exact").cast("long"))
+    units = units.withColumn("mass", F.least(F.round((F.col("exact") - F.col("whole")) * ONE).cast("long"), F.lit(ONE))).withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("buckets")))
+
+    by_source = ["s", "none", "class"]
+    decided = [units.filter(F.col("mass").isin(0, ONE)).select("s", "none", *UNIT)]
+    open_ = units.filter(~F.col("mass").isin(0, ONE)).select(*by_source, "bucket", *UNIT)
     left, level = (told[1] or 1), 0
     while True:
         level += 1
         last = left <= 1 and level > 1
-        by = ["source"] if last else ["source", "class", "bucket"]
-        order = F.struct("class", "size", "key", "id", "mass")
-        group = open_.groupBy(*by).agg(F.array_sort(F.collect_list(order)).alias("units"))
-        folded = group.withColumn("f", _fold(F.transform("units", lambda x: F.struct(x["size"].alias("size"), x["key"].alias("key"), x["id"].alias("id"), x["mass"].alias("mass"))), seed + level))
-        top = F.element_at("units", -1)["class"].alias("class")
+        by = ["s", "none"] if last else [*by_source, "bucket"]
+        ordered = F.reverse(F.array_sort(F.collect_list(F.struct(*UNIT))))
+        folded = open_.groupBy(*by).agg(_fold(ordered, seed + level).alias("f"))
         if last:
             # One document of each source is left with a fraction: a coin of that weight decides it.
             coin = F.when(F.pmod(F.xxhash64(F.col("f.open.key"), F.lit(seed)), F.lit(ONE)) < F.col("f.open.mass"), ONE).otherwise(0)
-            done = folded.select("source", top, F.explode(F.concat("f.done", F.array(_with(F.col("f.open"), coin)))).alias("u"))
-            decided.append(done.select("source", "class", "u.id", "u.key", "u.size", "u.mass"))
+            decided.append(folded.select("s", "none", F.explode(F.concat("f.done", F.array(_with(F.col("f.open"), coin)))).alias("u")).select("s", "none", "u.*"))
             break
-        flat = folded.select(*by, F.col("f.open.key").alias("o"), F.explode(F.concat("f.done", F.array("f.open"))).alias("u"))
-        flat = cut(flat.select(*by, "u.size", "u.key", "u.id", "u.mass"))
-        decided.append(flat.filter("mass = 0 or mass = %d" % ONE).select("source", "class", "id", "key", "size", "mass"))
-        open_ = flat.filter("mass > 0 and mass < %d" % ONE).withColumn("bucket", F.floor(F.col("bucket") / GROUP).cast("long"))
+        flat = store.put(folded.select(*by, F.explode(F.concat("f.done", F.array("f.open"))).alias("u")).select(*by, "u.*"))
+        decided.append(flat.filter(F.col("mass").isin(0, ONE)).select("s", "none", *UNIT))
+        open_ = flat.filter(~F.col("mass").isin(0, ONE)).withColumn("bucket", F.floor(F.col("bucket") / GROUP).cast("long"))
         left = -(-left // GROUP)
     out = decided[0]
     for d in decided[1:]:
         out = out.union(d)
-    # Every class of a source has one target and size; the least class that is there stands for them.
-    per = plan.groupBy("s").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    per = F.broadcast(per) if told[0] <= BROADCAST_ROWS else per
-    out = out.join(per, F.col("source").eqNullSafe(F.col("s")))
-    copies = F.when(F.col("size") > 0, F.floor(share_of) + F.floor(F.col("mass") / ONE)).otherwise(0).cast("long")
-    return out.select(F.col("id").alias(key), F.col("key").alias("row_key"), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), F.col("source").alias("_source"))
+    per = plan.groupBy("s", "none").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    out = out.join(F.broadcast(per), ["s", "none"]) if told[0] <= BROADCAST_ROWS else join_hot(out, per, ["s", "none"], F.col("key"))
+    total = F.floor(share_of * F.col("n")).cast("long") + (F.col("mass") == ONE).cast("long")
+    result = store.put(out.select("id", F.when(~F.col("none"), F.col("s")).alias("source"), F.col("key").alias("row_key"), "size", "source_size", "target", "n", total.alias("total")))
+    store.clear(result)
+    return result
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with the columns of docs.
-
-    Rows that agree in key, text and source are numbered by their other columns, and take the counts in that order,
-    largest first.
-    """
-    same = ["_id", "row_key", "_source"]
-    counts = _rounded(docs, key, text, source, **how).select(F.col(key).alias("_id"), "row_key", "_source", "copies")
+    """The rows of docs, each as often as the mix takes it, with the columns of docs. Rows that agree in all columns
+    are together as many as the mix takes of them."""
+    units = _rounded(docs, key, text, source, **how)
+    at = lambda k, s: [F.coalesce(k, F.lit(-1)).alias("k"), F.coalesce(s, F.lit("")).alias("s")]
+    counts = units.select(F.col("row_key").alias("h"), *at(F.col("id"), F.col("source")), "n", "total")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col(f"`{key}`").cast("long").alias("k"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h"), F.col(f"`{source}`").alias("s"))
-    on = F.col("k").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("row_key")) & F.col("s").eqNullSafe(F.col("_source"))
-    if counts.groupBy(*same).count().filter("count > 1").limit(1).count():
-        counts = counts.withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy(F.desc("copies"))))
-        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("k", "h", "s").orderBy("row")))
-        on = on & (F.col("n") == F.col("_n"))
-    both = rows.join(counts.filter("copies > 0"), on)
-    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    rows = docs.select(row, _row_key(docs).alias("h"), *at(F.col(f"`{key}`").cast("long"), F.col(f"`{source}`")))
+    same = ["h", "k", "s"]
+    once = rows.join(counts.filter("n = 1 and total > 0").drop("n"), same)
+    out = once.select("row", F.explode(F.sequence(F.lit(1), F.col("total").cast("int"))))
+    if not counts.filter("n > 1").isEmpty():
+        many = counts.filter("n > 1 and total > 0")
+        # Equal rows fall together where they are read, so a task shuffles one of each.
+        one = join_hot(rows, many, same, F.monotonically_increasing_id(), many.select(*same, F.col("n").alias("_rows")))
+        one = one.groupBy(*same).agg(F.first("row").alias("row"), F.first("total").alias("total"))
+        begin = one.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(REPEATS).cast("long")))).repartition("h", "lo")
+        out = out.union(begin.select("row", F.explode(F.transform(F.sequence(F.col("lo"), F.least(F.col("total"), F.col("lo") + REPEATS) - 1), lambda i: i.cast("int")))))
+    return out.select("row.*")

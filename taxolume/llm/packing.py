@@ -1,14 +1,15 @@
 """Best-fit packing of token sequences by swap-based local search.
 
 Documents become token ids; only those longer than a sequence are cut. Whole pieces of the full length are sequences of
-their own. The rest is packed: a first packing by best fit, then a local search that moves a piece, exchanges one
-piece for one or one for two between underfull bins, always raising the sum of squared fills, until bins empty or no
-such step is left. The search runs in groups of `GROUP` pieces; what each group leaves underfull is packed again in
+their own. The rest is packed: a first packing by best fit, then a local search that moves a piece, exchanges one piece
+for one or two or two for one between underfull bins, always raising the sum of squared fills, until bins empty and no
+such step is left. The search runs in groups of `GROUP` pieces; the emptiest bins of each group are packed again in
 groups of the groups, up to one last group, so the number of bins approaches the least one at any number of rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import sys
@@ -16,20 +17,23 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolume.storage import cut
+from taxolume.storage import Scratch
 
 from .common import worker_cache
 
 #: The id that ends a document, and the tokens of a sequence.
 END, LENGTH = 2, 1024
-#: Pieces that one task packs at a time; it bounds memory and the search's time.
-GROUP = 20_000
+#: Pieces that one task packs at a time; it bounds memory and the search's time. Of a group's pieces, those of its
+#: emptiest bins, one in KEEP, are packed again with those of other groups.
+GROUP, KEEP = 20_000, 8
 #: Distinct chunks whose ids a worker remembers, at most.
 REMEMBERED = 500_000
 #: Fixed value: how byte-level BPE of this family splits text before merging.
@@ -109,17 +113,18 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     """(key, piece, start, length, ids_crc32): the pieces of each row's ids and `end`; a null text is empty.
 
     The first piece takes what is left over when a document is longer than `length`. vocabulary: a file that the
-    driver reads and sends to the workers.
+    driver reads and sends to the workers. Memory follows the longest text: its ids are held as a whole, 4 bytes each.
     """
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
-        words = docs.sparkSession.sparkContext.broadcast(f.read())
+        told = f.read()
+    words, digest = docs.sparkSession.sparkContext.broadcast(told), hashlib.sha256(told.encode()).hexdigest()
     ending = _packed([end])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = worker_cache()
-        if "bpe" not in held:
-            held["bpe"] = ByteBpe(words.value)
-        bpe = held["bpe"]
+        if digest not in held:
+            held[digest] = ByteBpe(words.value)
+        bpe = held[digest]
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             texts = batch.column(1)
@@ -157,81 +162,166 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, most_steps: int = 100_000) -> list[list[int]]:
+class _Returns:
+    """What bins can give back in an exchange: by number of tokens, the bin with the most room that has so many."""
+
+    def __init__(self, capacity: int) -> None:
+        self.most = np.full(capacity, -1)  # an upper bound of that room
+        self.heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity)]
+
+    def put(self, tokens: int, room: int, b: int, version: int) -> None:
+        heappush(self.heaps[tokens], (-room, b, version))
+        if room > self.most[tokens]:
+            self.most[tokens] = room
+
+    def partner(self, s: int, giver: int, versions: list[int]) -> tuple[int, int] | None:
+        """(bin, tokens) of the exchange of s tokens for the fewest that some other bin's room allows."""
+        while True:
+            can = np.flatnonzero(self.most[1:s] >= s - _UPTO[1:s])
+            if not len(can):
+                return None
+            t = int(can[0]) + 1
+            heap, own = self.heaps[t], None
+            while heap and (versions[heap[0][1]] != heap[0][2] or heap[0][1] == giver):
+                top = heappop(heap)
+                if top[1] == giver and versions[giver] == top[2]:
+                    own = top
+            room, b = (-heap[0][0], heap[0][1]) if heap else (-1, -1)
+            if own:
+                heappush(heap, own)  # the giver's own pieces are no return; they are offered anew once it has changed
+            if room + t >= s:
+                return b, t
+            self.most[t] = room
+
+
+_UPTO = np.arange(1 << 16)
+
+
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """bins after the local search; each step raises the sum of squared fills, so it ends.
 
-    The emptiest bin gives: a piece moves to the bin that it fills best, else it is exchanged for a smaller piece, or
-    for two whose sum is smaller, of a bin that the exchange fills further. A bin that no step changes is set aside.
+    The emptiest bin gives: a piece moves to the fullest bin that has room for it; else one piece is exchanged for one
+    or two smaller ones of another underfull bin, or two for one, whichever brings most tokens over. All underfull bins
+    are partners. A bin that can give nothing is set aside until others have changed; the search ends when none can.
     """
+    bins = [list(b) for b in bins]
     fill = [sum(sizes[i] for i in b) for b in bins]
+    versions = [0] * len(bins)
+    single, double = _Returns(capacity), _Returns(capacity)
     under = sorted((f, b) for b, f in enumerate(fill) if f < capacity)
-    steps = 0
+
+    def offer(b: int) -> None:
+        """Enters what b, an underfull bin, can give back."""
+        versions[b] += 1
+        if not bins[b] or fill[b] == capacity:
+            return
+        own = sorted({sizes[i] for i in bins[b]})
+        for x in own:
+            single.put(x, capacity - fill[b], b, versions[b])
+        for t in _pair_sums([sizes[i] for i in bins[b]]):
+            double.put(t, capacity - fill[b], b, versions[b])
 
     def refill(b: int, now: int) -> None:
         if fill[b] < capacity:
-            under.pop(bisect_left(under, (fill[b], b)))
+            at = bisect_left(under, (fill[b], b))
+            if at < len(under) and under[at] == (fill[b], b):
+                under.pop(at)
         fill[b] = now
         if 0 < now < capacity:
             insort(under, (now, b))
-
-    settled: list[tuple[int, int]] = []
-    while len(under) > 1 and steps < most_steps:
-        _, giver = under[0]
-        found = None
-        for i in sorted(bins[giver], key=lambda i: -sizes[i]):
-            s = sizes[i]
-            # Move: the fullest other bin with room for the piece.
-            at = bisect_left(under, (capacity - s + 1, -1)) - 1
+        offer(b)
+
+    def pick(b: int, tokens: int, many: int) -> list[int]:
+        """One piece of so many tokens, or two that have them together."""
+        if many == 1:
+            return [next(i for i in bins[b] if sizes[i] == tokens)]
+        seen: dict[int, int] = {}
+        for i in bins[b]:
+            if (other := seen.get(tokens - sizes[i])) is not None:
+                return [other, i]
+            seen[sizes[i]] = i
+        raise AssertionError("a pair that was offered is there")
+
+    def step(giver: int) -> tuple[int, list[int], list[int]] | None:
+        """(partner, what it gets, what it gives)."""
+        own = sorted(bins[giver], key=lambda i: -sizes[i])
+        for i in own:
+            at = bisect_left(under, (capacity - sizes[i] + 1, -1)) - 1
             while at >= 0 and under[at][1] == giver:
                 at -= 1
-            if at > 0 or at == 0 and under[0][1] != giver:
-                found = (under[at][1], i, ())
-                break
-            # Exchange with one or two pieces of the fullest bins, by how much they would be filled.
-            for f, b in reversed(under[max(1, len(under) - 12) :]):
-                need = capacity - f
-                own = sorted(bins[b], key=lambda j: sizes[j])
-                one = [j for j in own if 0 < s - sizes[j] <= need]
-                if one:
-                    found = (b, i, (one[0],))
-                    break
-                for x, j in enumerate(own):
-                    if two := [k for k in own[x + 1 :] if 0 < s - sizes[j] - sizes[k] <= need]:
-                        found = (b, i, (j, two[0]))
-                        break
-                if found:
-                    break
-            if found:
-                break
-        if found is None:
-            settled.append(under.pop(0))  # its fill stays; it is not looked at again
-            continue
-        b, i, back = found
-        gain = sizes[i] - sum(sizes[j] for j in back)
-        bins[b] = [j for j in bins[b] if j not in back] + [i]
-        bins[giver] = [j for j in bins[giver] if j != i] + list(back)
-        f, g = fill[b] + gain, fill[giver] - gain
-        refill(b, f)
-        refill(giver, g)
-        steps += 1
+            if at >= 0 and under[at][0] + sizes[i] > fill[giver]:
+                return under[at][1], [i], []
+        for s in dict.fromkeys(sizes[i] for i in own):
+            for returns, many in ((single, 1), (double, 2)):
+                if found := returns.partner(s, giver, versions):
+                    return found[0], pick(giver, s, 1), pick(found[0], found[1], many)
+        for s in sorted((s for s in _pair_sums([sizes[i] for i in own]) if s < capacity), reverse=True):
+            if found := single.partner(s, giver, versions):
+                return found[0], pick(giver, s, 2), pick(found[0], found[1], 1)
+        return None
+
+    for _, b in under:
+        offer(b)
+    settled: list[tuple[int, int]] = []
+    moved = True
+    while moved:
+        moved = False
+        while len(under) > 1:
+            giver = under[0][1]
+            found = step(giver)
+            if found is None:
+                versions[giver] += 1  # no partner of fuller ones
+                settled.append(under.pop(0))
+                continue
+            b, there, back = found
+            moved = True
+            gain = sum(sizes[i] for i in there) - sum(sizes[i] for i in back)
+            bins[b] = [j for j in bins[b] if j not in back] + there
+            bins[giver] = [j for j in bins[giver] if j not in there] + back
+            f, g = fill[b] + gain, fill[giver] - gain
+            refill(b, f)
+            refill(giver, g)
+        for f, b in settled:
+            insort(under, (f, b))
+            offer(b)
+        settled = []
     return [b for b in bins if b]
 
 
-def _pack(capacity: int, keep_open: bool):
-    """Packs each group of a partition's rows, sorted by group; bins that stay underfull come back unpacked if asked."""
+def _pair_sums(sizes: list[int]) -> list[int]:
+    """The different sums of two of sizes."""
+    seen = sums = 0
+    for s in sizes:
+        sums |= seen << s
+        seen |= 1 << s
+    out = []
+    while sums:
+        low = sums & -sums
+        out.append(low.bit_length() - 1)
+        sums ^= low
+    return out
+
+
+def _pack(capacity: int, level: int, keep: int | None):
+    """Packs each group of a partition's rows, sorted by group. Of its emptiest bins, as many as hold a part 1 / keep of
+    its pieces come back unpacked, to be packed with those of other groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "copy", "piece", "start", "length", "ids_crc32", "bin", "offset"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+        names = ["key", "copy", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
         def done(group: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             sizes = [r[4] for r in rows]
+            bins = improve(best_fit(sizes, capacity), sizes, capacity)
+            bins.sort(key=lambda b: sum(sizes[i] for i in b))
+            room = len(rows) // keep if keep else 0
             out: list[tuple] = []
-            for b, items in enumerate(improve(best_fit(sizes, capacity), sizes, capacity)):
-                closed = not keep_open or sum(sizes[i] for i in items) == capacity
+            for b, items in enumerate(bins):
+                room -= len(items)
+                closed = room < 0 or sum(sizes[i] for i in items) == capacity
                 at = 0
                 for i in items:
-                    out.append((*rows[i], f"{group}:{b}" if closed else None, at if closed else None))
+                    out.append((*rows[i], (level << 58) | (group << 22) | b if closed else None, at if closed else None))
                     at += sizes[i]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
@@ -253,33 +343,34 @@ def pack(parts: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
     """parts (key, piece, start, length, ids_crc32) with sequence_id and offset.
 
     Every row is packed once, repeated rows each; rows of a null key too. No sequence holds more than `length`; offsets
-    leave no gap. Deterministic up to the order of rows that agree in all columns. An empty table gives no rows.
+    leave no gap. Ties between pieces of one length go by key, piece and start; the result is the same for the same
+    rows, up to the order of rows that agree in all columns. An empty table gives no rows. A sequence's number has its
+    level in the tree, its group and its bin in bits of their own; full pieces have negative numbers.
     """
+    store = Scratch(parts.sparkSession, "packing")
     kept = ["key", "copy", "piece", "start", "length", "ids_crc32"]
     # Rows that agree in all columns spread over groups too, and stay apart as copies.
-    rows = parts.withColumn("copy", F.monotonically_increasing_id()).select(*kept)
+    rows = store.put(parts.withColumn("copy", F.monotonically_increasing_id()).select(*kept))
     n = rows.filter(F.col("length") < length).count()
-    full = rows.filter(F.col("length") >= length).select(*kept, F.concat_ws(":", F.lit("f"), "key", "piece", "copy").alias("bin"), F.lit(0).cast("long").alias("offset"))
-    open_, level, out, stalled = rows.filter(F.col("length") < length), 0, [full], False
-    schema = "key long, copy long, piece int, start long, length long, ids_crc32 long, bin string, offset long"
+    out = [rows.filter(F.col("length") >= length).select(*kept, (-1 - F.col("copy")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    open_, level = rows.filter(F.col("length") < length), 0
+    schema = "key long, copy long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     while True:
         groups = max(1, -(-n // group))
         at = F.pmod(F.xxhash64("key", "piece", "copy", F.lit(level)), F.lit(groups))
         dealt = open_.withColumn("g", at).select("g", *kept).repartition(min(groups, 10_000), "g").sortWithinPartitions("g", "length", "key", "piece", "start", "copy")
-        packed = cut(dealt.mapInArrow(_pack(length, groups > 1 and not stalled), schema))
-        out.append(packed.filter("bin is not null").withColumn("bin", F.concat(F.lit(f"{level}:"), "bin")))
-        if groups == 1 or stalled:
+        packed = store.put(dealt.mapInArrow(_pack(length, level, KEEP if groups > 1 else None), schema))
+        out.append(packed.filter("sequence_id is not null"))
+        if groups == 1:
             break
-        open_ = packed.filter("bin is null").select(*kept)
-        n, was = open_.count(), n
-        level += 1
-        stalled = n > was * 0.9  # hardly anything closes, as with sizes that never add up: each group keeps its bins
+        open_, level = packed.filter("sequence_id is null").select(*kept), level + 1
+        n = open_.count()
     every = out[0]
     for x in out[1:]:
         every = every.unionByName(x)
-    return every.select("key", "piece", "start", "length", "ids_crc32", F.xxhash64("bin").alias("sequence_id"), "offset")
+    return every.drop("copy")
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
     """key, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row of docs."""
-    return pack(cut(pieces(docs, key, text, vocabulary, length, end)), length).withColumnRenamed("key", key)
+    return pack(pieces(docs, key, text, vocabulary, length, end), length).withColumnRenamed("key", key)

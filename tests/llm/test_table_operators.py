@@ -1,6 +1,7 @@
 """Mixing, packing, search, archives, URL filters, components, the pipeline."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -91,6 +92,35 @@ def test_local_search_empties_bins():
     sizes = [6, 5, 4, 3, 2, 4]
     bins = packing.improve([[0, 4], [1], [2, 3], [5]], sizes, 10)
     assert sorted(i for b in bins for i in b) == list(range(6)) and all(sum(sizes[i] for i in b) <= 10 for b in bins) and len(bins) == 3
+    rng = random.Random(1)
+    sizes = [rng.randint(200, 600) for _ in range(2000)]
+    start = packing.best_fit(sizes, 1024)
+    for first in (start, [[i] for i in range(2000)]):
+        bins = packing.improve(first, sizes, 1024)
+        assert sorted(i for b in bins for i in b) == list(range(2000)) and all(sum(sizes[i] for i in b) <= 1024 for b in bins)
+        assert len(bins) < len(start)
+        fill = [sum(sizes[i] for i in b) for b in bins]
+        gives = min(range(len(bins)), key=lambda b: fill[b])  # nothing is left that the emptiest bin could give
+        assert not any(sizes[j] < sizes[i] <= sizes[j] + 1024 - fill[b] for i in bins[gives] for b in range(len(bins)) if b != gives for j in bins[b])
+
+
+def test_smallest_packings():
+    """Against the least number of bins, by trying all."""
+
+    def least(sizes: list[int], room: tuple[int, ...] = ()) -> int:
+        if not sizes:
+            return len(room)
+        first, *rest = sizes
+        tries = [least(rest, (*room, 10 - first))]
+        tries += [least(rest, (*room[:b], r - first, *room[b + 1 :])) for b, r in enumerate(room) if r >= first]
+        return min(tries)
+
+    rng = random.Random(2)
+    over = 0
+    for _ in range(60):
+        sizes = [rng.randint(1, 9) for _ in range(rng.randint(1, 7))]
+        over += len(packing.improve(packing.best_fit(sizes, 10), sizes, 10)) - least(sizes)
+    assert over <= 1
 
 
 def test_top_k_matches_brute_force(spark):
