@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: A key with more rows than this, and than this part of all rows, is split in joins; so there are fewer than HOT_PARTS of them.
 HOT_ROWS, HOT_PARTS = 1_000, 10_000
+#: Repeats of a row that one step writes out at a time.
+REPEATS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -91,6 +93,14 @@ def join_hot(many: DataFrame, one: DataFrame, key: str | list[str], salt: Column
     return left.join(right, [*key, "_part"], how).drop("_part")
 
 
+def multiplied(df: DataFrame, times: str, index: str, keys: list[str]) -> DataFrame:
+    """Each row of df as often as its `times` says, numbered by `index` from 0; repeats of one row are spread over tasks
+    by keys and number."""
+    n, step = F.col(times).cast("long"), F.lit(REPEATS).cast("long")
+    begin = df.filter(n > 0).withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, step))).repartition(*keys, "_lo")
+    return begin.withColumn(index, F.explode(F.sequence(F.col("_lo"), F.least(n, F.col("_lo") + step) - 1))).drop("_lo")
+
+
 def numbered(df: DataFrame, order: list[Column], out: str, store: Scratch) -> DataFrame:
     """df with its rows numbered from 0 in an order, without a window over all of them: rows go to ranges, ranges are
     counted, and numbers follow from the counts, of which there is one a partition."""
