@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_slices
+from .common import releasing, utf8_slices
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -120,11 +120,15 @@ def avi(frames: list[bytes], side: int = SIDE, period: int = PERIOD) -> bytes:
 
 
 def index_of(media: bytes) -> tuple[int, int, int, list[tuple[int, int]]]:
-    """(microseconds a frame, width, height, [(offset, size) of each frame]) by the file's lists and index."""
-    if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
+    """(microseconds a frame, width, height, [(offset, size) of each frame]) by the file's lists and index.
+
+    Index offsets count from the list of frames or from the file's begin. Without an index the list itself is walked.
+    """
+    if media[:4] != b"RIFF" or media[8:12] != b"AVI " or len(media) < 12:
         raise ValueError("not an AVI file")
     period = width = height = movie = 0
-    frames: list[tuple[int, int]] = []
+    rows = np.zeros(0, np.dtype([("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]))
+    walked: list[tuple[int, int]] = []
     stack = [(12, min(len(media), 8 + struct.unpack_from("<I", media, 4)[0]))]
     while stack:
         at, end = stack.pop()
@@ -133,17 +137,22 @@ def index_of(media: bytes) -> tuple[int, int, int, list[tuple[int, int]]]:
             if name == b"LIST":
                 if media[at + 8 : at + 12] == b"movi":
                     movie = at + 8
-                else:
-                    stack.append((at + 8 + size + (size & 1), end))
-                    at, end = at + 12, at + 8 + size
-                    continue
-            elif name == b"avih":
+                stack.append((at + 8 + size + (size & 1), end))
+                at, end = at + 12, min(end, at + 8 + size)
+                continue
+            if name == b"avih":
                 period = struct.unpack_from("<I", media, at + 8)[0]
                 width, height = struct.unpack_from("<II", media, at + 40)
             elif name == b"idx1":
-                rows = np.frombuffer(media, np.dtype([("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]), size // 16, at + 8)
-                frames = [(movie + int(a) + 8, int(s)) for i, a, s in zip(rows["id"], rows["at"], rows["size"], strict=True) if i.endswith(b"dc")]
+                rows = np.frombuffer(media, rows.dtype, min(size, len(media) - at - 8) // 16, at + 8)
+            elif movie and name[2:] in (b"dc", b"db"):
+                walked.append((at + 8, size))
             at += 8 + size + (size & 1)
+    shown = [(int(a), int(s)) for i, a, s in zip(rows["id"], rows["at"], rows["size"], strict=True) if i[2:] in (b"dc", b"db")]
+    base = movie if shown and media[movie + shown[0][0] : movie + shown[0][0] + 4][2:] in (b"dc", b"db") else 0
+    frames = [(base + a + 8, s) for a, s in shown] or walked
+    if any(a + s > len(media) for a, s in frames):
+        raise ValueError("frames beyond the end of the file")
     return period, width, height, frames
 
 
@@ -213,10 +222,10 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
 
 
 def shots(histograms: np.ndarray) -> list[tuple[int, int]]:
-    """(first frame, frame after the last) of each shot. A cut lies where the histogram difference is at least LEAST
+    """(first frame, frame after the last) of each shot, by the frames' histograms as shares of their samples. A cut lies where the histogram difference is at least LEAST
     and exceeds the mean of those around it by three of their standard deviations, or by half where there are none."""
     n = len(histograms)
-    d = np.abs(np.diff(histograms, axis=0)).sum(axis=1) / (2 * FRAME)
+    d = np.abs(np.diff(histograms, axis=0)).sum(axis=1) / 2
     cuts = [0]
     for i in np.flatnonzero(d >= LEAST).tolist():
         near = np.concatenate([d[max(0, i - AROUND) : i], d[i + 1 : i + 1 + AROUND]])
@@ -229,8 +238,7 @@ def encode_text(docs: DataFrame, text: str = "text", out: str = "media", keep: l
     """`keep` columns of docs (all but text by default) with `out`: each whole text's UTF-8 as an AVI file.
 
     The bytes are filled up with 255, which UTF-8 never holds, to a positive multiple of 576. A null or empty text is
-    one frame of 255. Rows, nulls and repeats stay; a column
-    that has the new one's name gives way to it.
+    one frame of 255. Rows, nulls and repeats stay; a column that has the new one's name gives way to it.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if (keep is not None or c != text) and c != out]
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(out, "binary")
@@ -250,18 +258,61 @@ def encode_text(docs: DataFrame, text: str = "text", out: str = "media", keep: l
                 rows = [batch.column(1 + i).slice(first, len(sizes)) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*rows, pa.array(media, pa.binary())], [*keep, out])
 
-    return docs.select(F.col(text), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    return docs.select(F.col(text), *[F.col(f"`{c}`") for c in keep]).mapInArrow(releasing(run), schema)
 
 
 CLIPS = "array<struct<clip:int,first_frame:int,last_frame:int,start_ms:long,end_ms:long,mean:double>>"
-DECODED = f"frames int, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips {CLIPS}"
+DECODED = f"frames int, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips {CLIPS}, error string"
+
+
+def _histograms(x: np.ndarray) -> np.ndarray:
+    """Shares of each frame's samples in BINS bins. x: (frames, samples)."""
+    n, size = x.shape
+    return np.bincount((np.repeat(np.arange(n), size) * BINS + (x >> 4).ravel()), minlength=n * BINS).reshape(-1, BINS) / max(size, 1)
+
+
+def _decoded(media: list[bytes]) -> list[tuple]:
+    """(payload, microseconds a frame, histograms, means) of each file; all their frames are decoded in step."""
+    rows = [index_of(f) for f in media]
+    frames = [f[a : a + s] for f, r in zip(media, rows, strict=True) for a, s in r[3]]
+    samples = [decode_frames(frames[i : i + 8192]) for i in range(0, len(frames), 8192)]
+    x = np.concatenate(samples).reshape(len(frames), -1) if samples else np.zeros((0, FRAME), np.uint8)
+    bins, means, out, at = _histograms(x), x.mean(axis=1) if len(x) else np.zeros(0), [], 0
+    for r in rows:
+        own = slice(at, at + len(r[3]))
+        out.append((x[own].tobytes(), r[0], bins[own], means[own]))
+        at += len(r[3])
+    return out
+
+
+def _decoded_alone(f: bytes) -> tuple:
+    """As _decoded for one file whose frames may differ in kind and size; raises ValueError with the reason if it can't be read."""
+    try:
+        period, _, _, at = index_of(f)
+        frames = [decode_frames([f[a : a + s]])[0].reshape(1, -1) for a, s in at]
+    except (ValueError, IndexError, KeyError, struct.error) as e:
+        raise ValueError(str(e) or type(e).__name__) from e
+    bins = np.concatenate([_histograms(x) for x in frames]) if frames else np.zeros((0, BINS))
+    return b"".join(x.tobytes() for x in frames), period, bins, np.array([x.mean() for x in frames])
+
+
+def _told(f: bytes, payload: bytes, period: int, bins: np.ndarray, means: np.ndarray) -> tuple:
+    n, ms = len(bins), period / 1000
+    cuts = shots(bins) if n else []
+    clips = [{"clip": i, "first_frame": a, "last_frame": b - 1, "start_ms": round(a * ms), "end_ms": round(b * ms), "mean": round(float(means[a:b].mean()), 4)} for i, (a, b) in enumerate(cuts)]
+    return n, len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(f), hashlib.sha256(f).hexdigest(), clips, None
 
 
 def decode(media: DataFrame, column: str = "media", keep: list[str] | None = None) -> DataFrame:
     """`keep` columns (all but the media by default) with what the stored bytes hold once read back: frames, n_bytes
     (without the filling), payload_bytes, payload_sha256, tail_crc32 (of the last 32 payload bytes), media_bytes,
-    media_sha256 and clips. A null medium gives nulls. Columns with these names
-    give way to the new ones."""
+    media_sha256, clips and error.
+
+    A null medium gives nulls. One that is malformed, or holds frames other than lossless grey JPEGs, gives its
+    media_bytes and media_sha256, nulls, and the reason as error; other rows are not touched by it. Frames of one file
+    may differ in size and tables. Repeated rows stay; columns with these names give way to the new ones.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
     extra = _parse_datatype_string(DECODED)
@@ -269,10 +320,23 @@ def decode(media: DataFrame, column: str = "media", keep: list[str] | None = Non
     schema = media.select(*[F.col(f"`{c}`") for c in keep]).schema
     for f in extra.fields:
         schema = schema.add(f)
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kinds = [to_arrow_type(f.dataType) for f in extra.fields]
 
+    def rows(group: list[bytes | None]) -> Iterator[tuple]:
+        known = [f for f in group if f is not None]
+        try:
+            found = iter(_decoded(known))
+        except (ValueError, IndexError, KeyError, struct.error):  # one of them is of another kind
+            found = None
+        for f in group:
+            if f is None:
+                yield (None,) * len(kinds)
+                continue
+            try:
+                yield _told(f, *(next(found) if found else _decoded_alone(f)))
+            except ValueError as e:
+                yield (None,) * 5 + (len(f), hashlib.sha256(f).hexdigest(), None, str(e))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files = batch.column(0)
@@ -284,28 +348,11 @@ def decode(media: DataFrame, column: str = "media", keep: list[str] | None = Non
                     group.append(f)
                     held += len(f or b"")
                     last += 1
-                rows = [None if f is None else index_of(f) for f in group]
-                frames = [f[a : a + s] for f, r in zip(group, rows, strict=True) if r for a, s in r[3]]
-                samples = [decode_frames(frames[i : i + 8192]) for i in range(0, len(frames), 8192)]
-                x = np.concatenate(samples).reshape(len(frames), -1) if samples else np.zeros((0, FRAME), np.uint8)
-                bins = np.bincount((np.repeat(np.arange(len(x)), FRAME) * BINS + (x >> 4).ravel()), minlength=len(x) * BINS).reshape(-1, BINS)
-                means = x.mean(axis=1) if len(x) else np.zeros(0)
-                out, at = [], 0
-                for f, r in zip(group, rows, strict=True):
-                    if f is None:
-                        out.append((None,) * len(kinds))
-                        continue
-                    n = len(r[3])
-                    payload = x[at : at + n].tobytes()
-                    ms = r[0] // 1000
-                    clips = [{"clip": i, "first_frame": a, "last_frame": b - 1, "start_ms": a * ms, "end_ms": b * ms, "mean": round(float(means[at + a : at + b].mean()), 4)} for i, (a, b) in enumerate(shots(bins[at : at + n]))] if n else []
-                    out.append((n, len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(f), hashlib.sha256(f).hexdigest(), clips))
-                    at += n
                 own = [batch.column(1 + i).slice(first, last - first) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], schema.names)
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(zip(*rows(group), strict=True), kinds, strict=True))], schema.names)
                 first = last
 
-    return media.select(F.col(column), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    return media.select(F.col(column), *[F.col(f"`{c}`") for c in keep]).mapInArrow(releasing(run), schema)
 
 
 def clip_rows(media: DataFrame, column: str = "media") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 
@@ -39,6 +40,25 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache")).__dict__.setdefault("held", {})
 
 
+def release() -> None:
+    """Gives memory that this worker no longer uses back to the system; workers outlive tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def releasing(run):
+    """run, a function of batches, with its memory released at the end of each task."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def utf8_slices(column: pa.Array, most: int = 1 << 20):
     """(first row, bytes, offsets) for runs of rows with about `most` bytes at most; a null is an empty text.
 

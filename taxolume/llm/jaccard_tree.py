@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from taxolume.operators.components import connected_components
 from taxolume.storage import Scratch, join_hot, told
 
-from .common import lower_ascii, mixed, utf8_slices, word_hashes, word_spans
+from .common import lower_ascii, mixed, releasing, utf8_slices, word_hashes, word_spans
 
 #: n-grams (and 300 for each document) in a tree or a pair of trees.
 CHUNK = 1_500_000
@@ -171,7 +171,7 @@ def _deal(size: int, bits: int):
         if sets:
             yield rows(ids, sets, k)
 
-    return run
+    return releasing(run)
 
 
 def _shared(bits: int, most: int):
@@ -243,7 +243,7 @@ def _shared(bits: int, most: int):
         if slices:
             yield from done(now, slices, blobs)
 
-    return run
+    return releasing(run)
 
 
 #: Columns that tell of ranges: a slice's documents (no counts), shared n-grams by place in it, or frequent n-grams.
@@ -274,7 +274,7 @@ def _totals(percent: int):
         if now is not None:
             yield done(known, shared)
 
-    return run
+    return releasing(run)
 
 
 def _places(short: np.ndarray, cells: int) -> list[np.ndarray]:
@@ -312,7 +312,7 @@ def _prefix_rows(size: int, percent: int, bits: int, cells: Broadcast[np.ndarray
                     some = own[lo : lo + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), key, np.int64)), pa.array(some)], ["doc", "gram"])
 
-    return run
+    return releasing(run)
 
 
 def _prefixes(size: int, percent: int, bits: int, cells: Broadcast[np.ndarray]):
@@ -347,7 +347,7 @@ def _prefixes(size: int, percent: int, bits: int, cells: Broadcast[np.ndarray]):
         if hashes:
             yield from done(hashes, docs)
 
-    return run
+    return releasing(run)
 
 
 def tree_links(ids: np.ndarray, sets: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -471,7 +471,7 @@ def _join(size: int, percent: int):
         if ids:
             yield from done(now, ids, sides, sets)
 
-    return run
+    return releasing(run)
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, chunk: int = CHUNK) -> DataFrame:
@@ -585,7 +585,7 @@ def _sizes(size: int):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in _read(batch.column(1), size)], pa.int64())], ["n"])
 
-    return run
+    return releasing(run)
 
 
 #: The same rows by comparing all documents that share a shingle; doc_id is never repeated in the test tables.

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, utf8_slices, word_spans
+from .common import bounded_sample, releasing, utf8_slices, word_spans
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -85,7 +85,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             yield pa.RecordBatch.from_pydict({"lang": list(found), "counts": [x.tobytes() for x in found.values()]})
 
     total: dict[str, np.ndarray] = {}
-    for r in sample.coalesce(8).mapInArrow(count, "lang string, counts binary").toLocalIterator():
+    for r in sample.coalesce(8).mapInArrow(releasing(count), "lang string, counts binary").toLocalIterator():
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["counts"], np.int64)
     languages = sorted(total)
     if not languages:
@@ -216,4 +216,4 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", pred: str
             extra = [pa.array([names[j] if ok else UNKNOWN for j, ok in zip(top, known, strict=True)], pa.string()), pa.array(np.where(known, np.clip(at, 0, 1), 0.0)), pa.array(sets, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(1 + i) for i in range(len(keep))), *extra], [*keep, pred, score, languages])
 
-    return docs.select(F.col(text), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    return docs.select(F.col(text), *[F.col(f"`{c}`") for c in keep]).mapInArrow(releasing(run), schema)

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxolume.storage import Scratch, join_hot, numbered
+from taxolume.storage import Scratch, join_hot, multiplied, numbered
 
 #: The mass of a whole copy.
 ONE = 1 << 40
@@ -26,8 +26,6 @@ ONE = 1 << 40
 GROUP = 128
 #: Rows of (source, size class) up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
-#: Equal rows that one step writes out at a time.
-REPEATS = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -105,9 +103,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     units = _rounded(docs, key, text, source, weights, share, most, seed)
     rows = units.filter("n = 1").withColumn("copies", F.col("total"))
     if not units.filter("n > 1").isEmpty():
-        begin = units.filter("n > 1").withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(REPEATS).cast("long")))).repartition("row_key", "lo")
-        each = begin.withColumn("i", F.explode(F.sequence(F.col("lo"), F.least(F.col("n"), F.col("lo") + REPEATS) - 1)))
-        rows = rows.unionByName(each.withColumn("copies", F.floor(F.col("total") / F.col("n")) + (F.col("i") < F.col("total") % F.col("n")).cast("long")).drop("lo", "i"))
+        each = multiplied(units.filter("n > 1"), "n", "i", ["row_key"])
+        rows = rows.unionByName(each.withColumn("copies", F.floor(F.col("total") / F.col("n")) + (F.col("i") < F.col("total") % F.col("n")).cast("long")).drop("i"))
     return rows.select(F.col("id").alias(key), "row_key", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -175,6 +172,5 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
         # Equal rows fall together where they are read, so a task shuffles one of each.
         one = join_hot(rows, many, same, F.monotonically_increasing_id(), many.select(*same, F.col("n").alias("_rows")))
         one = one.groupBy(*same).agg(F.first("row").alias("row"), F.first("total").alias("total"))
-        begin = one.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(REPEATS).cast("long")))).repartition("h", "lo")
-        out = out.union(begin.select("row", F.explode(F.transform(F.sequence(F.col("lo"), F.least(F.col("total"), F.col("lo") + REPEATS) - 1), lambda i: i.cast("int")))))
+        out = out.union(multiplied(one, "total", "i", ["h"]).select("row", F.col("i").cast("int")))
     return out.select("row.*")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from taxolume.storage import Scratch
 
-from .common import worker_cache
+from .common import releasing, worker_cache
 
 #: The id that ends a document, and the tokens of a sequence.
 END, LENGTH = 2, 1024
@@ -35,7 +35,7 @@ END, LENGTH = 2, 1024
 #: emptiest bins, one in KEEP, are packed again with those of other groups.
 GROUP, KEEP = 20_000, 8
 #: Distinct chunks whose ids a worker remembers, at most.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Fixed value: how byte-level BPE of this family splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space that the split may join across a space; such texts are encoded whole.
@@ -141,7 +141,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["key", "piece", "start", "length", "ids_crc32"])
 
     kept = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    return kept.mapInArrow(run, "key long, piece int, start long, length long, ids_crc32 long")
+    return kept.mapInArrow(releasing(run), "key long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -336,7 +336,7 @@ def _pack(capacity: int, level: int, keep: int | None):
         if rows:
             yield from done(now, rows)
 
-    return run
+    return releasing(run)
 
 
 def pack(parts: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:

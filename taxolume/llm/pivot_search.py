@@ -1,9 +1,11 @@
 """Exact top-k search by pivot-table elimination.
 
-Vectors are integers, so scores are exact. Distances of every vector to a few pivots are computed once; for a query,
-|d(q, p) - d(x, p)| bounds the distance of x from below, hence its inner product from above by
-(|q|^2 + |x|^2 - bound^2) / 2. Candidates are evaluated in the order of that bound until the k-th score found exceeds
-every bound left. Queries are taken in blocks, each sent to all tasks; a task returns its k best per query only.
+Vectors are integers, so scores are exact. Distances of every vector to a few pivots are computed once, into a table
+that is sorted by nearest pivot; for a query, |d(q, p) - d(x, p)| bounds the distance of x from below, hence its inner
+product from above by (|q|^2 + |x|^2 - bound^2) / 2. That skips whole runs of the table by the range of their distances,
+then vectors: candidates are evaluated in the order of their bound until the k-th score found exceeds every bound left.
+A query starts from the k-th score that a bounded sample of the vectors reaches. Queries are taken in blocks, each sent
+to all tasks; a task returns its k best per query only.
 """
 
 from __future__ import annotations
@@ -15,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxolume.storage import cut
+from taxolume.storage import Scratch
 
-#: Pivots; queries in a block, which bounds what is sent to every task; candidates of a task that are held at a time.
-PIVOTS, BLOCK, HELD = 24, 2048, 16_384
-#: Vectors that pivots are chosen from, at most.
-SAMPLE = 2_000
+#: Pivots; queries in a block, which bounds what is sent to every task; blocks of a job; candidates held at a time.
+PIVOTS, BLOCK, JOINT, HELD = 24, 8192, 8, 4096
+#: Vectors that pivots and first scores are taken from, at most.
+SAMPLE = 4_000
 #: Candidates evaluated between two looks at the bound.
 STEP = 64
 
@@ -48,25 +50,30 @@ def _far_apart(x: np.ndarray, n: int) -> np.ndarray:
     return x[at]
 
 
-def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, pivots: np.ndarray, k: int, floor: np.ndarray, counter: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the (ids, scores) of up to k candidates, best first, ties to the smaller id; itself excluded.
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T), 0))
 
-    floor: for each query a score that k vectors are known to reach; candidates below it need no look.
+
+def best_of(q: np.ndarray, q_ids: np.ndarray, dq: np.ndarray, x: np.ndarray, ids: np.ndarray, dx: np.ndarray, k: int, floor: np.ndarray, counter: list[int] | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(query's place, ids, scores) of up to k candidates, best first, ties to the smaller id, itself excluded; queries
+    that the whole run's bound rules out are left out.
+
+    dq, dx: distances to the pivots. floor: for each query a score that k vectors are known to reach; candidates below
+    it need no look. counter gets the number of candidates that were evaluated.
     """
-    distance = lambda a, b: np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T), 0))
-    dq, dx = distance(q, pivots), distance(x, pivots)
     nq, nx = (q * q).sum(axis=1), (x * x).sum(axis=1)
+    # One part in a million and one unit of slack cover what rounding does to the distances.
+    high = lambda n, m, low: (n + m - low * low) / 2 + 1e-6 * (n + m) + 1
+    apart = np.maximum(0, np.maximum(dq - dx.max(axis=0), dx.min(axis=0) - dq)).max(axis=1)
     found = []
-    for i in range(len(q)):
-        low = np.abs(dx - dq[i]).max(axis=1)
-        # One part in a million and one unit of slack cover what rounding does to the distances.
-        high = (nq[i] + nx - low * low) / 2 + 1e-6 * (nq[i] + nx) + 1
-        ok = np.flatnonzero((high >= floor[i]) & (ids != q_ids[i]))
-        order = ok[np.argsort(-high[ok], kind="stable")]
+    for i in np.flatnonzero(high(nq, nx.max(), apart) >= floor).tolist():
+        bound = high(nq[i], nx, np.abs(dx - dq[i]).max(axis=1))
+        ok = np.flatnonzero((bound >= floor[i]) & (ids != q_ids[i]))
+        order = ok[np.argsort(-bound[ok], kind="stable")]
         best_s, best_i, at = np.zeros(0), np.zeros(0, ids.dtype), 0
         step = STEP
         while at < len(order):
-            if len(best_s) >= k and high[order[at]] < best_s[k - 1]:
+            if len(best_s) >= k and bound[order[at]] < best_s[k - 1]:
                 break
             own = order[at : at + step]
             at += step
@@ -77,80 +84,111 @@ def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, pi
             best_s, best_i = s[top], n[top]
         if counter is not None:
             counter.append(min(at, len(order)))
-        found.append((best_i, best_s))
+        if len(best_s):
+            found.append((i, best_i, best_s))
     return found
 
 
-def _search(q: np.ndarray, q_ids: np.ndarray, pivots: np.ndarray, k: int):
+def _place(pivots: np.ndarray):
+    """The pivot table: id, v, its distances to the pivots, and the nearest of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(q)
-        floor = np.full(len(q), -np.inf)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d = _distances(_matrix(batch.column(1), pivots.shape[1]), pivots)
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * d.shape[1]), len(d), [None, pa.py_buffer(np.ascontiguousarray(d))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, pa.array(d.argmin(axis=1).astype(np.int32))], ["id", "v", "d", "near"])
 
-        def take(ids: np.ndarray, x: np.ndarray) -> None:
-            for i, (n, s) in enumerate(best_of(q, q_ids, x, ids, pivots, k, floor)):
-                n, s = np.concatenate([best[i][0], n]), np.concatenate([best[i][1], s])
-                top = np.lexsort((n, -s))[:k]
-                best[i] = (n[top], s[top])
-                if len(top) == k:
-                    floor[i] = s[top[-1]]
+    return run
 
-        ids, rows, held = [], [], 0
+
+def _search(q: np.ndarray, q_ids: np.ndarray, pivots: np.ndarray, k: int, floor: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(q)
+        known, dq = floor.copy(), _distances(q, pivots)
+        looked: list[int] = []
+        rows = 0
         for batch in batches:
-            ids.append(batch.column(0).to_numpy(zero_copy_only=False))
-            rows.append(_matrix(batch.column(1), q.shape[1]))
-            held += batch.num_rows
-            if held >= HELD:
-                take(np.concatenate(ids), np.concatenate(rows))
-                ids, rows, held = [], [], 0
-        if held:
-            take(np.concatenate(ids), np.concatenate(rows))
+            for lo in range(0, batch.num_rows, HELD):
+                own = batch.slice(lo, HELD)
+                rows += own.num_rows
+                dx = np.frombuffer(b"".join(own.column(2).to_pylist()), np.float64).reshape(own.num_rows, -1)
+                ids = own.column(0).to_numpy(zero_copy_only=False)
+                for i, n, s in best_of(q, q_ids, dq, _matrix(own.column(1), q.shape[1]), ids, dx, k, known, looked):
+                    n, s = np.concatenate([best[i][0], n]), np.concatenate([best[i][1], s])
+                    top = np.lexsort((n, -s))[:k]
+                    best[i] = (n[top], s[top])
+                    if len(top) == k:
+                        known[i] = max(known[i], s[top[-1]])
         of = np.repeat(q_ids, [len(n) for n, _ in best])
-        yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(np.concatenate([n for n, _ in best]), pa.int64()), pa.array(np.concatenate([s for _, s in best]).astype(np.int64))], ["query_id", "vec_id", "score"])
+        n, s = (np.concatenate([b[j] for b in best]) for j in (0, 1))
+        # A row without ids tells how many pairs there were and how many of them were evaluated.
+        yield pa.RecordBatch.from_arrays([pa.array([*of.tolist(), None], pa.int64()), pa.array([*n.tolist(), rows * len(q)], pa.int64()), pa.array([*s.astype(np.int64).tolist(), sum(looked)], pa.int64())], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, pivots: int = PIVOTS, block: int = BLOCK, evaluated: list[float] | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where `queries` holds, its k best others by integer inner product.
 
     rank counts from 1; equal scores go to the smaller id; fewer than k others give all of them. Rows whose key is
-    null, or whose vector is null, has null or non-finite components, or another length than most, take no part. Rows
-    that share a key are candidates each on their own, except for queries of that key. Queries run in blocks of
-    `block`, in a loop; each block is one pass over the vectors, and the only thing broadcast.
+    null, or whose vector is null or has null or non-finite components, take no part. Vectors are compared with those of
+    their own length, each length in turn. Rows that share a key are candidates each on their own, except for queries
+    of that key; of several query rows of one key and length, the one whose vector comes first in order asks. Queries
+    run in blocks of about `block`, several blocks in a job; a block is all that is broadcast. An empty table gives no
+    rows; other columns are ignored. evaluated gets, for each length, the share of pairs whose score was computed.
     """
-    spark = vectors.sparkSession
+    spark, store = vectors.sparkSession, Scratch(vectors.sparkSession, "top-k")
     usable = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), quantised(F.col(f"`{vector}`")).alias("v"), queries.alias("q")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
-    out_schema = "query_id long, vec_id long, score long"
-    widths = usable.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    if widths is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width, n = widths["w"], widths["count"]
-    if not width:
-        usable = usable.withColumn("v", F.array(F.lit(0.0)))
-        width = 1
-    usable = cut(usable.filter(F.size("v") == width))
-    sample = usable.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / n))).select("v").limit(2 * SAMPLE).toPandas()
-    chosen = np.array(sample["v"].tolist(), np.float64) if len(sample) else np.zeros((1, width))
-    table = _far_apart(np.unique(chosen, axis=0), pivots)
-    asked = usable.filter("q")
-    blocks = -(-asked.count() // block)
-    of = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(max(1, 2 * blocks if blocks > 1 else 1)))
-    numbered = asked.select("id", "v", of.alias("b"))
-    found = []
-    for b in range(max(1, 2 * blocks if blocks > 1 else 1)):  # half a block each on average
-        own = numbered.filter(F.col("b") == b).select("id", "v").distinct().toPandas().sort_values("id")
-        if not len(own):
-            continue
-        q = np.array(own["v"].tolist(), np.float64)
-        passed = usable.select("id", "v").mapInArrow(_search(q, own["id"].to_numpy(np.int64), table, k), out_schema)
-        best = passed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-        found.append(cut(best.filter(F.col("rank") <= k)))
-    if not found:
+    usable = store.put(usable.withColumn("width", F.size("v")).withColumn("v", F.when(F.col("width") > 0, F.col("v")).otherwise(F.array(F.lit(0.0)))))
+    counts = usable.groupBy("width").agg(F.count("*").alias("n"), F.count_if("q").alias("asked")).filter("asked > 0").orderBy("width")
+    parts = []
+    for r in counts.toLocalIterator():
+        rows = usable.filter(F.col("width") == r["width"])
+        share = min(1.0, SAMPLE / r["n"])
+        sample = rows.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * share)).select("id", "v").limit(2 * SAMPLE).toPandas()
+        seen = np.array(sample["v"].tolist(), np.float64) if len(sample) else np.zeros((1, max(1, r["width"])))
+        chosen = _far_apart(np.unique(seen, axis=0), pivots)
+        table = store.put(rows.select("id", "v").mapInArrow(_place(chosen), "id long, v array<double>, d binary, near int").repartitionByRange("near", "id").sortWithinPartitions("near", "id"))
+        blocks = max(1, -(-r["asked"] // block))
+        asked = rows.filter("q").groupBy("id").agg(F.min("v").alias("v")).withColumn("b", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)))
+        asked = store.put(asked)
+        joint = []
+        for b in range(blocks):
+            own = asked.filter(F.col("b") == b).select("id", "v").toPandas().sort_values("id")
+            if len(own):
+                q, ids = np.array(own["v"].tolist(), np.float64), own["id"].to_numpy(np.int64)
+                joint.append(table.select("id", "v", "d").mapInArrow(_search(q, ids, chosen, k, _first_scores(q, ids, seen, sample["id"].to_numpy(np.int64), k)), "query_id long, vec_id long, score long"))
+            if joint and (len(joint) == JOINT or b == blocks - 1):
+                every = joint[0]
+                for x in joint[1:]:
+                    every = every.union(x)
+                parts.append(store.put(every))
+                joint = []
+        if evaluated is not None:
+            pairs, looked = parts[-1].filter("query_id is null").agg(F.sum("vec_id"), F.sum("score")).first()
+            evaluated.append(looked / pairs)
+    if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = found[0]
-    for x in found[1:]:
+    out = parts[0]
+    for x in parts[1:]:
         out = out.union(x)
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = out.filter("query_id is not null").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    result = store.put(ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+    store.clear(result)
+    return result
+
+
+def _first_scores(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """For each query the k-th score among others of x, or minus infinity if there are fewer."""
+    out = np.full(len(q), -np.inf)
+    for lo in range(0, len(q), 256):
+        s = q[lo : lo + 256] @ x.T if len(ids) else np.zeros((len(q[lo : lo + 256]), 0))
+        s[q_ids[lo : lo + 256, None] == ids] = -np.inf
+        if s.shape[1] >= k:
+            out[lo : lo + 256] = np.partition(s, -k, axis=1)[:, -k]
+    return out
 
 
 SQL = """

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, utf8_slices, word_hashes, word_spans
+from .common import bounded_sample, releasing, utf8_slices, word_hashes, word_spans
 
 #: Buckets for words, and as many for character n-grams.
 BUCKETS = 1 << 15
@@ -105,7 +105,7 @@ def _train(sample: DataFrame, text: str, label: str, key: str, seed: int) -> Qua
                     counts.append(n.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2).cast(pa.int32()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["key", "label", "ids", "counts"])
 
-    rows = sorted(sample.select(F.col(key), F.col(text), F.col(label)).mapInArrow(gather, "key string, label int, ids binary, counts binary").toLocalIterator(), key=lambda r: (r["key"], r["ids"]))
+    rows = sorted(sample.select(F.col(key), F.col(text), F.col(label)).mapInArrow(releasing(gather), "key string, label int, ids binary, counts binary").toLocalIterator(), key=lambda r: (r["key"], r["ids"]))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (LENGTH + 21, DIM)).astype(np.float32)
     out = np.zeros((DIM, 2), np.float32)
@@ -157,4 +157,4 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", name: str =
                 z[first : first + len(offsets) - 1] += total / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(1 + i) for i in range(len(keep))), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], [*keep, name])
 
-    return docs.select(F.col(text), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    return docs.select(F.col(text), *[F.col(f"`{c}`") for c in keep]).mapInArrow(releasing(run), schema)

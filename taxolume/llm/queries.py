@@ -59,7 +59,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pii.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     base = pii.base_only(F.col("pii"))
     counts = [pii.count_of(F.col("pii"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
-    return docs.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"))
+    scores = F.array_join(F.transform("pii", lambda x: F.round(x["score"] * 100).cast("int").cast("string")), ",")
+    return docs.select("doc_id", *counts, F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"), scores.alias("scores"))
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +71,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_packing, op4_jaccard, op5_top_k, op6_language, op7_warc, op8_url_filter, op9_pii, op10_media)}
-ORACLES: dict[str, str] = {"op4_jaccard": jaccard_tree.SQL, "op5_top_k": pivot_search.SQL, "op7_warc": warc.SQL, "op8_url_filter": url_filter.SQL}
+ORACLES: dict[str, str] = {"op4_jaccard": jaccard_tree.SQL, "op5_top_k": pivot_search.SQL, "op7_warc": warc.SQL, "op8_url_filter": url_filter.SQL, "op9_pii": pii.SQL}

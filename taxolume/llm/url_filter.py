@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxolume.operators.components import connected_components
+from taxolume.storage import Scratch, join_hot
 
+#: Bytes of decided aliases up to which they are broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 16 << 20
 #: The rules as verdict, host, path.
 RULES = (
     ("allow", "org", "/"),
@@ -84,7 +87,8 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
 
     edges (a, b) add redirects known from elsewhere, as from a crawl's 3xx records; those in the pages' html always
     count. A URL that no rule and no alias decides gets `default`. Null urls have empty host and path and no aliases.
-    All rows stay, repeated urls included; aliases need not be pages themselves: rules are applied to them too.
+    All rows stay, repeated urls included; aliases need not be pages themselves: rules are applied to them too. An
+    empty table gives no rows; other columns, whatever their names, are ignored.
     """
     where = F.struct(host(F.col(f"`{url}`")).alias("host"), path(F.col(f"`{url}`")).alias("path"))
     rows = pages.select(F.col(f"`{key}`").alias(key), normalised(F.col(f"`{url}`")).alias("_url"), where.alias("_w"))
@@ -92,13 +96,17 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     found = alias_edges(pages, url, html)
     if edges is not None:
         found = found.union(edges.select(normalised(F.col("a")), normalised(F.col("b"))))
-    same = connected_components(found)
+    store = Scratch(pages.sparkSession, "aliases")
+    same = connected_components(found, into=store)
     nodes = same.withColumn("r", rule_of(host(F.col("node")), path(F.col("node")), rules)["verdict"])
     says = nodes.groupBy("component").agg(F.max(F.col("r") == "allow").alias("allow"), F.max(F.col("r") == "block").alias("block"))
     says = says.select("component", F.when(F.col("allow"), "allow").when(F.col("block"), "block").alias("says")).filter("says is not null")
-    told = nodes.filter("r is null").join(says, "component").select(F.col("node").alias("_url"), "says")
-    open_ = rows.filter("_r is null").join(told, "_url", "left")
-    done = rows.filter("_r is not null").withColumn("says", F.lit(None).cast("string"))
+    told = store.put(join_hot(nodes.filter("r is null"), says, "component", F.xxhash64("node")).select(F.col("node").alias("_url"), "says"))
+    store.drop(same)
+    open_ = rows.filter("_r is null and _url is not null")
+    few = (told.agg(F.sum(F.octet_length("_url") + 8)).first()[0] or 0) <= BROADCAST_BYTES
+    open_ = open_.join(F.broadcast(told), "_url", "left") if few else join_hot(open_, told, "_url", F.xxhash64(key), how="left")
+    done = rows.filter("_r is not null or _url is null").withColumn("says", F.lit(None).cast("string"))
     out = done.unionByName(open_)
     return out.select(key, F.col("_w.host").alias("host"), F.col("_w.path").alias("path"), F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", "says", F.lit(default)).alias("verdict"))
 

@@ -1,9 +1,9 @@
 """WARC archives: writing captures, reading records, assembling transactions.
 
 A capture is three records: a request and a metadata record, each concurrent to the main one, which is a response or,
-for a payload that another response holds, a revisit. Archives are written by Spark's text writer, whose rows are whole
-transactions ended by CRLF, gzipped, into the folder that all executors share; they are read back as binary files and
-parsed by their lengths, so payloads may hold anything.
+for a payload that another response holds, a revisit. Archives are written by Spark's text writer, a file for each row,
+which holds whole transactions up to a number of bytes, gzipped, into the folder that all executors share; they are read
+back as binary files, inflated and parsed as streams by their records' lengths, so payloads may hold anything.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolume.storage import cut, shared_dir
+from taxolume.storage import Scratch, join_hot, multiplied, shared_dir
 
 #: Payloads of fewer bytes are always stored.
 LEAST_REVISIT = 1000
-#: Captures in a file, at most, which bounds what one task reads at once.
-PER_FILE = 2000
+#: Bytes of an archive before compression, about, unless one capture has more.
+FILE_BYTES = 16 << 20
+#: Bytes of repeated payloads' digests and urls up to which they are broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 16 << 20
 #: Fixed value: the date that records bear unless the caller gives one.
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -47,13 +49,16 @@ def transactions(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 
     Of rows with equal payloads of at least `least_revisit` bytes the largest key's is a response, with all rows that
     repeat that key; the others are revisits of it. A null payload is empty; a null url has no target; line breaks in
-    a url are percent-encoded.
+    a url are percent-encoded. Null and repeated keys are kept, an empty table gives no rows, other columns are ignored.
     """
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("page"), F.regexp_replace(F.regexp_replace(F.col(f"`{url}`"), "\r", "%0D"), "\n", "%0A").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long"))
     large = rows.filter(F.col("bytes") >= least_revisit)
     first = large.groupBy("digest").agg(F.max(F.struct("page", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    judged = large.join(first, "digest", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("first.page").eqNullSafe(F.col("page")))
+    first = Scratch(pages.sparkSession, "digests").put(first)
+    few = (first.agg(F.sum(F.octet_length("first.url") + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    judged = large.join(F.broadcast(first), "digest", "left") if few else join_hot(large, first, "digest", F.xxhash64("page", "url"), how="left")
+    judged = judged.withColumn("revisit", F.col("first").isNotNull() & ~F.col("first.page").eqNullSafe(F.col("page")))
     small = rows.filter(F.col("bytes") < least_revisit)
     every = judged.unionByName(small.withColumn("first", F.lit(None).cast(first.schema["first"].dataType)).withColumn("revisit", F.lit(False)))
     main = _id("main", F.col("digest"))
@@ -71,34 +76,97 @@ def transactions(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     return every.select(F.substring(whole, F.lit(1), F.length(whole) - 2).alias("value"))
 
 
-def write_archives(pages: DataFrame, folder: str, per_file: int = PER_FILE, **how) -> None:
-    """Gzipped WARC files of all rows of pages in `folder`, with at most per_file captures each."""
-    transactions(pages, **how).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).mode("overwrite").text(folder)
+def _filled(most: int):
+    """Rows of whole transactions joined by CRLF, of about `most` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for value in batch.column(0):
+                own = value.as_py()
+                if rows and held + len(own) > most:
+                    yield pa.RecordBatch.from_arrays([pa.array(["\r\n".join(rows)])], ["value"])
+                    rows, held = [], 0
+                rows.append(own)
+                held += len(own)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(["\r\n".join(rows)])], ["value"])
+
+    return run
+
+
+def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, **how) -> None:
+    """Gzipped WARC files of all rows of pages in `folder`, of about file_bytes each before compression."""
+    files = transactions(pages, **how).mapInArrow(_filled(file_bytes), "value string")
+    files.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", 1).mode("overwrite").text(folder)
+
+
+def _plain(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """An archive's bytes some at a time: gzipped as a whole, by record, or not at all."""
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), step):
+            yield data[at : at + step]
+        return
+    while data:
+        d = zlib.decompressobj(31)
+        while not d.eof:
+            part = d.decompress(data, step)
+            data = d.unconsumed_tail
+            if part:
+                yield part
+            elif not data and not d.eof:
+                raise ValueError("an archive that ends within its compressed data")
+        data = d.unused_data
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record of an archive, gzipped as a whole, by record, or not at all."""
-    if data[:2] == b"\x1f\x8b":
-        plain = []
-        while data:
-            d = zlib.decompressobj(31)
-            plain.append(d.decompress(data))
-            data = d.unused_data
-        data = b"".join(plain)
-    at = 0
-    while at < len(data):
-        if data.startswith(b"\r\n", at):
+    """(header fields, block) of each record of an archive, one record held at a time. Bytes that are no record, or end
+    within one, raise ValueError once the records before them are told."""
+    parts, held, at = _plain(data), bytearray(), 0
+
+    def more() -> bool:
+        nonlocal at
+        try:
+            part = next(parts, None)
+        except zlib.error as e:
+            raise ValueError(f"not gzip: {e}") from e
+        del held[:at]
+        at = 0
+        held.extend(part or b"")
+        return part is not None
+
+    while True:
+        while held.startswith(b"\r\n", at):
             at += 2
-            continue
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
+        if len(held) < at + 5:
+            if more():
+                continue
+            if held.strip():
+                raise ValueError("bytes after the last record")
+            return
+        if not held.startswith(b"WARC/", at):
+            raise ValueError("no WARC record")
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                raise ValueError("a record without an end of its header")
         fields = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
+        for line in bytes(held[at:end]).split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
             fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-        at = end + 4 + int(fields["content-length"])
-        yield fields, data[end + 4 : at]
+        head, size = end + 4 - at, int(fields.get("content-length", "none"))
+        while len(held) < at + head + size:
+            if not more():
+                raise ValueError("a record that is cut off")
+        yield fields, bytes(held[at + head : at + head + size])
+        at += head + size
+
+
+def _told(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """As parse, but what is wrong with an archive is a record of type malformed, its last."""
+    try:
+        yield from parse(data)
+    except ValueError as e:
+        yield {"warc-type": "malformed", "warc-target-uri": str(e)}, b""
 
 
 def _rows(keep_payload: bool):
@@ -112,7 +180,7 @@ def _rows(keep_payload: bool):
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for f, block in parse(content.as_py()):
+                for f, block in _told(content.as_py()):
                     kind = f.get("warc-type", "")
                     payload, size, digest, page, has = None, None, None, None, False
                     if kind == "response":
@@ -121,7 +189,7 @@ def _rows(keep_payload: bool):
                     elif kind == "metadata":
                         has = True
                         for line in block.split(b"\r\n"):
-                            if line.startswith(b"pageId:"):
+                            if line.startswith(b"pageId:") and line[7:].strip().lstrip(b"-").isdigit():
                                 page = int(line[7:])
                     rows.append((f.get("warc-record-id"), kind, f.get("warc-concurrent-to"), f.get("warc-refers-to"), f.get("warc-target-uri"), page, has, size, digest, payload if keep_payload else None))
                     held += len(payload) if keep_payload and payload else 100
@@ -135,7 +203,8 @@ def _rows(keep_payload: bool):
 
 
 def read_records(spark: SparkSession, folder: str, keep_payload: bool = False) -> DataFrame:
-    """The records of all archives in a folder; only responses have a payload, whose size and digest are taken here."""
+    """The records of all archives in a folder; only responses have a payload, whose size and digest are taken here. Of
+    a malformed archive come the records before the fault, and one of type malformed whose uri says what is wrong."""
     files = spark.read.format("binaryFile").load(folder).select("content")
     return files.mapInArrow(_rows(keep_payload), RECORDS)
 
@@ -145,28 +214,36 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Records are joined through the id that they are concurrent to. response has type, uri, payload_bytes,
     payload_digest and payload, for a revisit those of the response that it refers to, null if that is missing. Main
-    records with one id, from repeated rows, give a row each; a capture without a main record gives none.
+    records with one id, from repeated rows, give a row each; a capture without a main record gives none, one without a
+    request or metadata record has nulls there. Records that are concurrent to nothing, or malformed, are left out.
     """
-    records = cut(records)
+    store = Scratch(records.sparkSession, "records")
+    records = store.put(records)
     main = F.col("type").isin("response", "revisit")
-    capture = F.when(main, F.col("id")).otherwise(F.col("concurrent_to"))
-    body = F.struct("type", "uri", "refers_to", "payload_bytes", "payload_digest", "payload")
-    grouped = records.filter("type <> 'warcinfo'").withColumn("capture", capture).groupBy("capture").agg(
-        F.collect_list(F.when(main, body)).alias("mains"),
+    same = ["id", "type", "uri", "refers_to", "payload_digest"]
+    mains = records.filter(main).groupBy(*same).agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload").alias("payload"), F.count("*").alias("n"))
+    about = records.filter(F.col("type").isin("request", "metadata")).groupBy(F.col("concurrent_to").alias("id")).agg(
         F.max(F.when(F.col("type") == "request", F.struct("id", "uri"))).alias("request"),
         F.max(F.when(F.col("type") == "metadata", F.struct("id", "page"))).alias("metadata"),
     )
-    each = grouped.select("capture", "request", "metadata", F.explode("mains").alias("m"))
-    fresh = each.filter("m.type = 'response'").select("capture", "request", "metadata", F.col("m").alias("response"), F.lit(None).cast("long").alias("refers_to_page"))
-    held = fresh.select(F.col("capture").alias("of"), F.col("metadata.page").alias("of_page"), F.col("response").alias("r")).dropDuplicates(["of"])
-    again = each.filter("m.type = 'revisit'").withColumn("of", F.col("m.refers_to")).join(held, "of", "left")
-    whole = F.struct(F.col("m.type").alias("type"), F.col("m.uri").alias("uri"), F.col("m.refers_to").alias("refers_to"), F.col("r.payload_bytes").alias("payload_bytes"), F.col("r.payload_digest").alias("payload_digest"), F.col("r.payload").alias("payload"))
-    again = again.select("capture", "request", "metadata", whole.alias("response"), F.col("of_page").alias("refers_to_page"))
-    return fresh.union(again).select("capture", F.col("metadata.page").alias("page"), "request", "response", "metadata", "refers_to_page")
+    each = mains.join(about, "id", "left")
+    body = F.struct("type", "uri", "refers_to", "payload_bytes", "payload_digest", "payload")
+    fresh = each.filter("type = 'response'").select(F.col("id").alias("capture"), "request", "metadata", body.alias("response"), F.lit(None).cast("long").alias("refers_to_page"), "n")
+    held = each.filter("type = 'response'").groupBy(F.col("id").alias("refers_to")).agg(F.first(F.struct(F.col("metadata.page").alias("page"), "payload_bytes", "payload_digest", "payload")).alias("r"))
+    again = each.filter("type = 'revisit'").drop("payload_bytes", "payload_digest", "payload")
+    again = join_hot(again, held, "refers_to", F.xxhash64("id"), how="left")
+    whole = F.struct("type", "uri", "refers_to", F.col("r.payload_bytes").alias("payload_bytes"), F.col("r.payload_digest").alias("payload_digest"), F.col("r.payload").alias("payload"))
+    again = again.select(F.col("id").alias("capture"), "request", "metadata", whole.alias("response"), F.col("r.page").alias("refers_to_page"), "n")
+    every = fresh.union(again)
+    out = every.filter("n = 1").drop("n")
+    if not records.filter(main).groupBy("id").count().filter("count > 1").isEmpty():
+        out = out.union(multiplied(every.filter("n > 1"), "n", "i", ["capture"]).drop("n", "i"))
+    return out.select("capture", F.col("metadata.page").alias("page"), "request", "response", "metadata", "refers_to_page")
 
 
 def captures(pages: DataFrame, folder: str | None = None, keep_payload: bool = False, **how) -> DataFrame:
-    """pages written to archives in folder, by default a new one in the shared folder, read back and assembled."""
+    """pages written to archives in folder, by default a new one in the shared folder, read back and assembled. A row
+    for each row of pages: null keys and urls, empty and very long payloads and repeated rows included."""
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4()}"
     write_archives(pages, folder, **how)
