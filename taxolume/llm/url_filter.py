@@ -76,10 +76,12 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     links = F.flatten(F.array(*[F.regexp_extract_all(h, F.lit(p), F.lit(1)) for p in (REFRESH, REFRESH_TURNED, CANONICAL, CANONICAL_TURNED)]))
     marked = F.when(h.rlike("(?i)http-equiv|canonical"), links)
     found = pages.filter(u.isNotNull() & h.isNotNull()).select(normalised(u).alias("a"), F.explode(marked).alias("t")).filter("t <> '' and t not like '#%'")
+    # An explode of one element computes what the next step uses many times once.
     root = F.regexp_extract("a", r"^(?s:.*?)://[^/?#]*", 0)
-    folder = F.regexp_replace(F.concat(root, path(F.col("a"))), "/[^/]*$", "")
-    whole = F.when(F.col("t").contains("://"), F.col("t")).when(F.startswith("t", F.lit("//")), F.concat(F.regexp_extract("a", "^[^:]*:", 0), F.col("t"))).when(F.startswith("t", F.lit("/")), F.concat(root, F.col("t"))).otherwise(F.concat(folder, F.lit("/"), F.col("t")))
-    return found.select("a", normalised(whole).alias("b")).filter("a <> b and b like '%://%'")
+    found = found.select("a", "t", F.explode(F.array(F.struct(root.alias("root"), F.regexp_replace(path(F.col("a")), "/[^/]*$", "").alias("folder")))).alias("at"))
+    whole = F.when(F.col("t").contains("://"), F.col("t")).when(F.startswith("t", F.lit("//")), F.concat(F.regexp_extract("a", "^[^:]*:", 0), F.col("t"))).when(F.startswith("t", F.lit("/")), F.concat("at.root", F.col("t"))).otherwise(F.concat("at.root", "at.folder", F.lit("/"), F.col("t")))
+    found = found.select("a", F.explode(F.array(whole)).alias("w")).select("a", F.explode(F.array(normalised(F.col("w")))).alias("b"))
+    return found.filter("a <> b and b like '%://%'")
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules: Sequence[tuple[str, str, str]] = RULES, edges: DataFrame | None = None, default: str = "allow") -> DataFrame:

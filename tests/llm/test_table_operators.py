@@ -1,5 +1,6 @@
 """Mixing, packing, search, archives, URL filters, components, the pipeline."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -79,6 +80,22 @@ def test_added_tokens_have_their_ids(spark):
         assert zlib.crc32(np.array((ids[r.doc_id] + [2])[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
 
 
+def test_each_vocabulary_has_its_own_ids(spark, tmp_path):
+    """Two vocabularies, one after the other in the same workers."""
+    import json
+
+    with open(packing.default_vocabulary(), encoding="utf-8") as f:
+        whole = json.load(f)
+    whole["model"]["merges"] = []
+    byte = packing._bytes_of_characters()
+    whole["model"]["vocab"] = {c: i for i, c in enumerate(sorted(byte, key=byte.get))}
+    whole["added_tokens"] = []
+    (tmp_path / "bytes.json").write_text(json.dumps(whole))
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string").coalesce(1)
+    assert packing.pieces(docs).first()["length"] == 4
+    assert packing.pieces(docs, vocabulary=str(tmp_path / "bytes.json")).first()["length"] == 14
+
+
 def test_packing_in_several_groups(spark):
     sizes = [(i * 37) % 1000 + 1 for i in range(3000)]
     parts = spark.createDataFrame([(i, 0, 0, s, 0) for i, s in enumerate(sizes)], "key long, piece int, start long, length long, ids_crc32 long")
@@ -141,20 +158,34 @@ def test_top_k_matches_brute_force(spark):
     assert pivot_search.top_k(df.filter("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
-def test_bounds_eliminate():
+def test_bounds_eliminate(spark):
+    """On clustered vectors few pairs are evaluated; results are those of brute force."""
     rng = np.random.default_rng(6)
-    centres = rng.normal(size=(20, 16)) * 1024
-    x = np.floor(np.repeat(centres, 200, axis=0) + rng.normal(size=(4000, 16)) * 30)
-    looked: list[int] = []
-    pivot_search.best_of(x[:5], np.arange(5), x, np.arange(4000), pivot_search._far_apart(x[::50], 24), 10, np.full(5, -np.inf), looked)
-    assert max(looked) < 2000
+    x = np.repeat(rng.normal(size=(20, 16)), 200, axis=0) + rng.normal(size=(4000, 16)) * 0.03
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    shares: list[float] = []
+    got = pivot_search.top_k(df, F.col("vec_id") % 50 == 0, evaluated=shares).collect()
+    z = np.floor(1024 * x).astype(int)
+    for q in range(0, 4000, 50):
+        s = z @ z[q]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [int(i) for i in np.lexsort((np.arange(4000), -s)) if i != q][:10]
+    assert shares[0] < 0.25
+
+
+def test_top_k_of_odd_rows(spark):
+    """Lengths are compared each with its own; of queries that share a key one asks."""
+    rows = [(0, [1.0, 0.0], 7), (0, [0.0, 1.0], 7), (1, [1.0, 1.0], 7), (2, [3.0], 7), (100, [2.0], 7), (3, [], 7), (200, [], 7), (4, [1.0, 1.0], 7), (4, [1.0, 1.0], 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score long")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in pivot_search.top_k(df, F.col("vec_id") % 100 == 0).collect())
+    one = 1024 * 1024
+    assert got == [(0, 1, 1, one), (0, 2, 4, one), (0, 3, 4, one), (100, 1, 2, 6 * one), (200, 1, 3, 0)]
 
 
 def test_archives(spark, tmp_path):
     big = "<p>" + "é" * 600 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"
     rows = [(1, "http://a.b/c?d", big), (2, "http://a.b/\r\nX: y", big), (3, None, big), (4, "http://a.b", "small"), (5, "http://a.b", "small"), (6, "x", None), (None, "http://n", "nil"), (7, "", ""), (7, "", ""), (3, None, big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
-    out = warc.captures(pages, str(tmp_path / "w"), keep_payload=True, per_file=3).collect()
+    out = warc.captures(pages, str(tmp_path / "w"), keep_payload=True, file_bytes=2000).collect()
     assert len(out) == len(rows)
     got = sorted((repr(r.page), r.response.type, r.response.payload_bytes, r.response.payload_digest, r.refers_to_page, bytes(r.response.payload)) for r in out)
     want = []
@@ -169,6 +200,25 @@ def test_archives(spark, tmp_path):
         list(warc.parse(b"not an archive"))
 
 
+def test_archives_of_long_and_broken_parts(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", f"{i} " * n) for i, n in enumerate([5, 900_000, 5, 200_000])] + [(9, "http://hot", "x" * 2000)] * 1500
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = warc.captures(pages, str(tmp_path / "w"), file_bytes=100_000)
+    assert out.count() == len(rows) and len(list((tmp_path / "w").glob("*.gz"))) > 10
+    assert sorted(r[0] for r in out.select("response.payload_bytes").distinct().collect()) == sorted({len(h) for _, _, h in rows})
+    whole = gzip.decompress(next((tmp_path / "w").glob("*.gz")).read_bytes())
+    told = list(warc.parse(whole))
+    singly = b"".join(gzip.compress(p) for p in re.split(rb"(?=WARC/1\.1\r\nWARC-Type)", whole) if p)
+    assert [f for f, _ in warc.parse(singly)] == [f for f, _ in told] and len(told) >= 3
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "a.warc").write_bytes(whole + b"WARC/1.1\r\nContent-Length: 99\r\n\r\ncut off")
+    (tmp_path / "b" / "b.warc.gz").write_bytes(gzip.compress(whole)[:-20])
+    (tmp_path / "b" / "c.warc").write_bytes(b"")
+    kinds = [r.type for r in warc.read_records(spark, str(tmp_path / "b")).collect()]
+    assert kinds.count("malformed") == 2 and len(kinds) >= 2 + len(told)
+    assert warc.assemble(warc.read_records(spark, str(tmp_path / "b"))).count() >= 1
+
+
 def test_url_rules_and_aliases(spark):
     rows = [
         (1, "http://A.Example.org/es/x?q", ""), (2, "http://example.org/en/17", ""), (3, "http://example.org/en/2", ""), (4, "http://notexample.org/es/1", ""), (5, "http://q.com/de/", None), (6, "http://q.com/fr/", ""), (7, None, "x"), (8, "no scheme", ""),

@@ -181,3 +181,28 @@ def test_media_round_trip(spark, odd):
     assert {r.first_frame for r in avi_media.clip_rows(shots).collect()} >= {0, 5, 20}
     assert avi_media.decode(spark.createDataFrame([(1, None)], "i int, media binary")).first().frames is None
     assert avi_media.decode(avi_media.encode_text(odd.limit(0).select("text", F.lit(1).alias("media")))).count() == 0
+
+
+def test_media_errors_stay_with_their_row(spark):
+    rng = np.random.default_rng(2)
+    good = avi_media.avi(avi_media.encode_frames(rng.integers(0, 256, (3, 24, 24), dtype=np.uint8)))
+    at = good.index(b"idx1")
+    rows = [(1, good), (2, b"nothing"), (3, b""), (4, good[:200]), (5, None), (6, good[:at]), (7, good.replace(b"\xff\xc3", b"\xff\xc0"))]
+    out = {r.i: r for r in avi_media.decode(spark.createDataFrame(rows, "i int, media binary").coalesce(1)).collect()}
+    assert out[1].error is None and out[1].frames == 3 and out[6].frames == 3 and out[6].payload_sha256 == out[1].payload_sha256
+    assert all(out[i].error and out[i].frames is None and out[i].media_bytes == len(dict(rows)[i]) for i in (2, 3, 7)) and out[5].error is None and out[5].frames is None
+    assert out[4].frames in (None, 0)
+
+
+def test_many_and_overlapping_spans(spark):
+    text = "ab.c@d.ef 1.2.3.4, " * 3000
+    over = "4111 1111 1111 1111@x.com +12 3456 7890 123 (45) 1.2.3.4@y.org"
+    rows = [(1, text), (2, over), (3, "no such token here: abcdefghijklmnopqrstuvwxyz0"), (4, "number f33e61083db5dbdf4bd2369d2f80176e57f7fda2"), (5, "my key f33e61083db5dbdf4bd2369d2f80176e57f7fda2 x")]
+    docs = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string").withColumn("pii", F.lit(1)))
+    found = {r.doc_id: r for r in docs.collect()}
+    assert [(x.start, x.end) for x in found[1].pii] == [p for i in range(3000) for p in ((19 * i, 19 * i + 9), (19 * i + 10, 19 * i + 17))]
+    assert not found[3].pii and not found[4].pii and [(x.kind, round(x.score, 2)) for x in found[5].pii] == [("secret", 0.7)]
+    assert {round(x.score, 2) for x in found[1].pii} == {0.9, 0.6}
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[1] == "<email> <ip>, " * 3000
+    assert clean[2] == "<card>.com <phone>) <ip>.org" or "@" not in clean[2] and "1111" not in clean[2]
