@@ -6,11 +6,11 @@ short and a lost executor costs one round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolume.functions.text import numeric_key
-from taxolume.storage import cut
+from taxolume.storage import Scratch, numbered
 
 from .components import connected_components
 
@@ -58,22 +58,28 @@ def canonicalise(edges: DataFrame, equiv: DataFrame) -> DataFrame:
 def ancestors(edges: DataFrame, start: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """(node, ancestor, depth): every ancestor of each start node (all nodes by default) with its least distance.
 
-    One frontier for all nodes at once; a pair that is known is not followed again, so cycles end.
+    Nodes are numbered once, so that rounds compare integers. One frontier for all nodes at once: a round extends the
+    pairs of the round before by one edge, and pairs that are known are not followed again, so cycles end.
     """
-    first = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct()
+    store = Scratch(edges.sparkSession, "closure")
+    pairs = edges.select(F.col("child"), F.col("parent")).dropna().distinct()
+    names = store.put(numbered(pairs.select(F.col("child").alias("name")).union(pairs.select("parent")).distinct(), [F.col("name")], "i", store))
+    by = lambda df, column, out: df.join(names.select(F.col("name").alias(column), F.col("i").alias(out)), column).drop(column)
+    up = store.put(by(by(pairs, "child", "a"), "parent", "next"))
+    first = up.select(F.col("a").alias("n"), F.col("next").alias("a"))
     if start is not None:
-        first = first.join(start.select("node").distinct(), "node", "left_semi")
-    seen = cut(first.withColumn("depth", F.lit(1)))
-    frontier, depth = seen, 1
-    up = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("next")).distinct()
+        first = first.join(by(start.select("node").distinct(), "node", "n"), "n", "left_semi")
+    frontier, depth = store.put(first.withColumn("depth", F.lit(1))), 1
+    seen = frontier
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.join(up, "ancestor").select("node", F.col("next").alias("ancestor")).distinct()
-        new = cut(step.join(seen.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = frontier.select("n", "a").join(up, "a").select("n", F.col("next").alias("a")).distinct()
+        new = store.put(step.join(seen.select("n", "a"), ["n", "a"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
         seen, frontier = seen.union(new), new  # each part was computed once and is only read again
-    return seen
+    back = lambda df, column, out: df.join(names.select(F.col("i").alias(column), F.col("name").alias(out)), column).drop(column)
+    return back(back(seen, "n", "node"), "a", "ancestor").select("node", "ancestor", "depth")
 
 
 def transitive_edges(edges: DataFrame, closure: DataFrame | None = None) -> DataFrame:
@@ -85,9 +91,11 @@ def transitive_edges(edges: DataFrame, closure: DataFrame | None = None) -> Data
 def transitive_reduction(edges: DataFrame, closure: DataFrame | None = None) -> DataFrame:
     """edges without those to a parent that another parent of the same child reaches."""
     closure = ancestors(edges) if closure is None else closure
-    other = edges.select("child", F.col("parent").alias("m"))
-    reached = edges.join(other, "child").filter("parent <> m").join(closure.select(F.col("node").alias("m"), F.col("ancestor").alias("parent")), ["m", "parent"])
-    return edges.join(reached.select("child", "parent").distinct(), ["child", "parent"], "left_anti")
+    # Ancestors by way of a direct parent, with the edges that they repeat: at most one row for each row of the closure
+    # and edge below it.
+    over = edges.select("child", F.col("parent").alias("node")).join(closure.filter("node <> ancestor").select("node", "ancestor"), "node")
+    reached = over.select("child", F.col("ancestor").alias("parent")).distinct()
+    return edges.join(reached, ["child", "parent"], "left_anti")
 
 
 def restrictions(triples: DataFrame) -> DataFrame:
@@ -119,6 +127,46 @@ def assemble(closure: DataFrame) -> DataFrame:
     return closure.groupBy("node").agg(names(near(F.col("depth") == 1)).alias("parents"), names(near(F.col("depth") > 1)).alias("ancestors"))
 
 
+def assembled(nodes: DataFrame, closure: DataFrame, triples: DataFrame | None = None, equiv: DataFrame | None = None) -> DataFrame:
+    """(node, parents, ancestors[, restrictions][, equivalents]) of each of nodes (node), empty lists where it has none.
+
+    restrictions (property, filler) are added if triples are given, equivalents if the classes (member, canon) are.
+    """
+    out = nodes.select("node").distinct().join(assemble(closure), "node", "left")
+    empty = {"parents": "string", "ancestors": "string"}
+    if triples is not None:
+        found = restrictions(triples).groupBy(F.col("s").alias("node")).agg(F.array_sort(F.collect_list(F.struct("property", "filler"))).alias("restrictions"))
+        out, empty = out.join(found, "node", "left"), empty | {"restrictions": "struct<property:string,filler:string>"}
+    if equiv is not None:
+        out, empty = out.join(equivalents(equiv).select(F.col("canon").alias("node"), F.col("members").alias("equivalents")), "node", "left"), empty | {"equivalents": "string"}
+    return out.withColumns({c: F.coalesce(F.col(c), F.expr(f"cast(array() as array<{t}>)")) for c, t in empty.items()})
+
+
+def target_ids(queries: DataFrame) -> DataFrame:
+    """(id): the different targets of annotated queries."""
+    return queries.select(F.col("target_entity.iri").alias("id")).filter("id is not null").distinct()
+
+
+def level_order(edges: DataFrame, names: DataFrame, equal: DataFrame | None = None, top: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
+    """(depth, node, place, sentence): what is said of each node at its least depth below the top nodes (roots by
+    default): its equivalents and then its parents, each by name. names: (iri, label); equal: (a, b), symmetric.
+    """
+    start = roots(edges) if top is None else top.select("node")
+    down = edges.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
+    at = ancestors(down, start, max_depth).groupBy(F.col("ancestor").alias("node")).agg(F.min("depth").alias("depth"))
+    depths = start.distinct().withColumn("depth", F.lit(0)).union(at.join(start, "node", "left_anti").select("node", "depth"))
+    if max_depth == 0:
+        depths = depths.filter("depth = 0")
+    label = names.select(F.col("iri").alias("node"), "label")
+    says = edges.select(F.col("child").alias("node"), F.lit(1).alias("kind"), F.lit(" is a subclass of ").alias("how"), F.col("parent").alias("other"))
+    if equal is not None:
+        says = says.union(equal.select(F.col("a"), F.lit(0), F.lit(" is equivalent to "), F.col("b")))
+    said = depths.join(says, "node").join(label, "node", "left").withColumn("own", F.coalesce("label", "node")).drop("label")
+    said = said.join(label.withColumnRenamed("node", "other"), "other", "left").withColumn("that", F.coalesce("label", "other"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("kind", "that", "other"))
+    return said.distinct().select("depth", "node", place.alias("place"), F.concat("own", "how", "that").alias("sentence"))
+
+
 def merge_ancestors(targets: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
     """targets with parents and ancestors by node, empty arrays where there are none, and how many have none."""
     missing = targets.join(found, "node", "left_anti").count()

@@ -113,11 +113,14 @@ def macro_pr(ranked: DataFrame, relevant: DataFrame, steps: int = 100) -> DataFr
     return q.crossJoin(F.broadcast(grid)).join(best, ["query_id", "g"], "left").groupBy("g").agg(F.avg(F.coalesce("p", F.lit(0.0))).alias("precision")).select((F.col("g") / F.lit(float(steps))).alias("recall"), "precision")
 
 
-def trapezoid(points: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """([by,] area) under the points sorted by x, y."""
+def trapezoid(points: DataFrame, x: str, y: str, by: Sequence[str] = (), order: str | None = None) -> DataFrame:
+    """([by,] area) under the points sorted by x, y. order: the points' own order, in which x must not fall, else an error."""
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(x, y)
     part = (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
     rows = points.withColumn("_a", part)
+    if order is not None:
+        was = F.lag(x).over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(order))
+        rows = rows.withColumn("_a", F.when(F.col(x) < was, F.raise_error(F.lit(f"{x} falls"))).otherwise(F.col("_a")))
     return rows.groupBy(*by).agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias("area"))
 
 
@@ -182,6 +185,89 @@ def best_weight(bests: DataFrame) -> DataFrame:
     return tried.groupBy().agg(F.max_by(F.struct("weight", "threshold", "f1"), F.struct("f1", "weight")).alias("b")).select("b.*")
 
 
+def evaluate(scored: DataFrame, weight: float | None = None, threshold: float | None = None, granularity: int = 100, smaller_better: bool = False) -> DataFrame:
+    """(weight, threshold, precision, recall, f1, acc, acc_neg) of (weight, score, label).
+
+    With a weight and a threshold these are tested; else the best of all is, by a search. Zero is a value like any other.
+    """
+    if weight is None or threshold is None:
+        grid = threshold_grid(scored, granularity, smaller_better, by=["weight"])
+        best = best_weight(best_threshold(grid, by=["weight"])).first()
+        if best is None:
+            return by_threshold(scored.filter("false"), 0.0).select(F.lit(None).cast("double").alias("weight"), F.lit(None).cast("double").alias("threshold"), "*")
+        weight, threshold = best["weight"], best["threshold"]
+    own = by_threshold(scored.filter(F.col("weight") == weight), threshold, smaller_better)
+    return own.select(F.lit(float(weight)).alias("weight"), F.lit(float(threshold)).alias("threshold"), "*")
+
+
+def hand_off(validation: DataFrame, test: DataFrame, granularity: int = 100, smaller_better: bool = False) -> DataFrame:
+    """evaluate() of test at the weight and threshold that are best on validation; both (weight, score, label)."""
+    best = evaluate(validation, granularity=granularity, smaller_better=smaller_better).first()
+    return evaluate(test, best["weight"], best["threshold"], granularity, smaller_better)
+
+
+def probe(pairs: DataFrame, predict, template: str = "{child} is a {parent}.", granularity: int = 1000) -> DataFrame:
+    """Best threshold of a probing model: predict maps a sentence made of each of (child, parent, label) to a score."""
+    before, rest = template.split("{child}")
+    between, after = rest.split("{parent}")
+    sentence = F.concat(F.lit(before), "child", F.lit(between), "parent", F.lit(after))
+    return best_threshold(threshold_grid(pairs.select(predict(sentence).alias("score"), "label"), granularity))
+
+
+def static_evaluation(distances: DataFrame, poincare: bool = True) -> DataFrame:
+    """Best threshold of (row, place, score) of a subject with its objects: place 0 is the true one, smaller is better.
+    Steps are whole numbers for Poincare distances and hundredths for cone energies."""
+    labelled = distances.select("score", (F.col("place") == 0).cast("int").alias("label"))
+    return best_threshold(threshold_grid(labelled, 1 if poincare else 100, smaller_better=True))
+
+
+def kind_ranks(queries: DataFrame, candidates: DataFrame, score, weights: Sequence[float] = (1.0,)) -> DataFrame:
+    """(weight, kind, query_id, rank) of queries (kind, query_id, q, answer) among candidates (id, vec), by each weight.
+
+    score(child, parent, weight) is better when large. A query's vector is the child; for nf3 it is the parent and the
+    candidates are the children. The stated queries are broadcast, so candidates are read once and never shuffled; each
+    task counts those before the answer, whose own score comes from a join on its id.
+    """
+    swap = lambda q, c: F.when(F.col("kind") == "nf3", score(c, q, F.col("weight"))).otherwise(score(q, c, F.col("weight")))
+    own = queries.join(candidates.select(F.col("id").alias("answer"), F.col("vec").alias("_a")), "answer")
+    own = own.withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
+    own = own.select("weight", "kind", "query_id", "q", "answer", swap(F.col("q"), F.col("_a")).alias("t"))
+    scored = candidates.crossJoin(F.broadcast(own)).withColumn("_s", swap(F.col("q"), F.col("vec")))
+    before = (F.col("_s") > F.col("t")) | ((F.col("_s") == F.col("t")) & (F.col("id") < F.col("answer")))
+    return scored.groupBy("weight", "kind", "query_id").agg((F.sum(before.cast("long")) + 1).alias("rank"))
+
+
+KINDS = ("nf1", "nf2", "nf3", "nf4")
+
+
+def kind_evaluation(queries: DataFrame, candidates: DataFrame, score, weight: float = 1.0) -> DataFrame:
+    """rank_metrics() of kind_ranks() by kind, in their order up to the first kind without queries; only if all four are
+    there is a row of all of them, kind 'combined'."""
+    there = {r["kind"] for r in queries.select("kind").distinct().collect()}
+    shown = KINDS[: next((i for i, k in enumerate(KINDS) if k not in there), len(KINDS))]
+    ranks = kind_ranks(queries.filter(F.col("kind").isin(*shown) if shown else F.lit(False)), candidates, score, (weight,))
+    return rank_metrics(ranks, grand_total=len(shown) == len(KINDS)).withColumn("weight", F.lit(float(weight)))
+
+
+def best_rank_weight(queries: DataFrame, candidates: DataFrame, score, weights: Sequence[float] = tuple(i / 10 for i in range(20)), kind: str = "nf1") -> DataFrame:
+    """(weight, n, h1, ..., mrr, ...) of the weight with the largest MRR on one kind, of equal ones the smallest."""
+    ranks = kind_ranks(queries.filter(F.col("kind") == kind), candidates, score, weights)
+    return rank_metrics(ranks, by="weight", grand_total=False).orderBy(F.desc("mrr"), "weight").limit(1)
+
+
+def classified_ranks(queries: DataFrame, candidates: DataFrame, classify, block: int = 4096) -> DataFrame:
+    """(query_id, rank) of each query's answer by a pair classifier: classify maps the concatenation of a candidate's
+    vector and the query's to a score, better when large. Queries (query_id, q, answer) are a stated set of at most
+    `block`, checked, which is broadcast."""
+    if queries.limit(block + 1).count() > block:
+        raise ValueError(f"more than {block} queries")
+    pair = lambda c, q: classify(F.concat(c, q))
+    own = queries.join(candidates.select(F.col("id").alias("answer"), F.col("vec").alias("_a")), "answer").select("query_id", "q", "answer", pair(F.col("_a"), F.col("q")).alias("t"))
+    scored = candidates.crossJoin(F.broadcast(own)).withColumn("s", pair(F.col("vec"), F.col("q")))
+    before = (F.col("s") > F.col("t")) | ((F.col("s") == F.col("t")) & (F.col("id") < F.col("answer")))
+    return scored.groupBy("query_id").agg((F.sum(before.cast("long")) + 1).alias("rank"))
+
+
 def target_rank(scores: DataFrame, targets: DataFrame, ascending: bool = True) -> DataFrame:
     """(query_id, rank) of each query's target (query_id, id): 1 plus the candidates before it, ties by id."""
     t = scores.join(targets, ["query_id", "id"]).select("query_id", F.col("id").alias("t_id"), F.col("score").alias("t"))
@@ -251,3 +337,22 @@ def adjacent_loss(rows: DataFrame, value: str, order: str, pair: Column) -> Data
     """(loss): mean positive difference between the first and the second row, by order, of each pair."""
     p = rows.groupBy(pair.alias("_p")).agg(F.min_by(value, order).alias("a"), F.max_by(value, order).alias("b"), F.count("*").alias("n")).filter("n = 2")
     return p.agg(F.avg(F.greatest(F.lit(0.0), F.col("a") - F.col("b"))).alias("loss"))
+
+
+def conjunction_loss(first: Column, second: Column) -> Column:
+    """The mean of the hierarchy losses of a conjunction with each of its parts."""
+    return (first + second) / 2
+
+
+def existential_loss(kind: str, whole_to_made: Column, made_to_whole: Column | None = None) -> Column:
+    """Loss of an existential's text against its vector made of role and filler: 'hit', the mean of the hierarchy losses
+    both ways; 'pair', a pair loss of its own; 'dist', the mean distance."""
+    if kind == "hit":
+        if made_to_whole is None:
+            raise ValueError("losses in both ways are needed")
+        return (whole_to_made + made_to_whole) / 2
+    if kind == "pair":
+        return whole_to_made
+    if kind == "dist":
+        return F.avg(whole_to_made)
+    raise ValueError(f"no such kind: {kind}")

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolume.functions.text import option_lines, options_depend
+from taxolume.sources.io import append_metrics
+from taxolume.storage import Scratch, numbered
 
 from .axioms import gate_axioms
-from .retrieve import retrieve, with_metadata
+from .metrics import accuracy
+from .retrieve import best_entity, retrieve, select_entities, with_metadata
 
 INSTRUCTION = "Answer the question below. Give the letter of the best choice only."
 INSTRUCTION_WITH_CONTEXT = "Answer the question below. Use the context only where it supports a choice. Give the letter of the best choice only."
@@ -86,6 +89,110 @@ def run(questions: DataFrame, context: DataFrame | None, predict: Callable[[Colu
     return out.select("dataset", "question_id", "prompt", predict(F.col("prompt")).alias("prediction"), "answer")
 
 
+def run_datasets(questions: DataFrame, datasets: list[str], context: DataFrame | None, predict: Callable[[Column], Column], seed: str | None = None, least_overlap: int = 2) -> DataFrame:
+    """run() over several datasets in one pass; one that has no question is an error."""
+    own = questions_of(questions, datasets)
+    there = {r["dataset"] for r in own.select("dataset").distinct().collect()}
+    if missing := [d for d in datasets if d not in there]:
+        raise ValueError(f"no questions of {', '.join(missing)}")
+    return run(own, context, predict, seed, least_overlap)
+
+
+def question_map(questions: DataFrame, dataset: str) -> DataFrame:
+    """(i, question_id): a dataset's questions numbered from 0 in the order of their ids."""
+    own = questions_of(questions, [dataset]).select("question_id").distinct()
+    return numbered(own, [F.col("question_id")], "i", Scratch(questions.sparkSession, "questions")).select("i", "question_id")
+
+
+def tag_spans(docs: DataFrame, words: DataFrame, text: str = "text", key: str = "doc_id", most_words: int = 4) -> DataFrame:
+    """(key, entity_literal, start_position, end_position, entity_type): runs of up to most_words words that are in a
+    dictionary (word, entity_type), words being runs of letters, digits, hyphens and apostrophes, lower-cased.
+
+    Of runs that begin at one place the longest counts, and one inside another does not. Positions are code points.
+    Words and gaps come from one split each, and runs are looked up by a join, so any dictionary size will do.
+    """
+    pattern, body = r"[\p{L}\p{N}'-]+", F.coalesce(F.col(text), F.lit(""))
+    found, gaps = F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), F.split(body, pattern, -1)
+    rows = docs.select(F.col(key), F.posexplode(F.arrays_zip(found.alias("w"), F.slice(gaps, 1, F.size(found)).alias("g"))).alias("i", "t"))
+    upto = Window.partitionBy(key).orderBy("i")
+    rows = rows.select(key, "i", F.col("t.w").alias("w"), F.col("t.g").alias("g"))
+    rows = rows.withColumn("end", F.sum(F.length("g") + F.length("w")).over(upto)).withColumn("start", F.col("end") - F.length("w"))
+    ahead = upto.rowsBetween(0, most_words - 1)
+    rows = rows.withColumn("next", F.collect_list(F.struct("w", "g", "end")).over(ahead))
+    run = lambda n: F.array_join(F.transform(F.slice("next", 1, n), lambda x, j: F.when(j == 0, x["w"]).otherwise(F.concat(x["g"], x["w"]))), "")
+    every = rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("next")))).select(key, "start", F.element_at("next", F.col("n"))["end"].alias("end"), run(F.col("n")).alias("entity_literal"))
+    known = words.select(F.lower("word").alias("_w"), "entity_type").groupBy("_w").agg(F.min("entity_type").alias("entity_type"))
+    met = every.withColumn("_w", F.lower("entity_literal")).join(known, "_w")
+    before = Window.partitionBy(key).orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    kept = met.withColumn("_far", F.coalesce(F.max("end").over(before), F.lit(0))).filter(F.col("end") > F.col("_far"))
+    return kept.select(key, "entity_literal", F.col("start").cast("int").alias("start_position"), F.col("end").cast("int").alias("end_position"), "entity_type")
+
+
+def answer_context(questions: DataFrame, mentions: DataFrame, retriever, axioms: DataFrame, method: str, top: int = 10, append_k: int = 10, ascending: bool = True) -> DataFrame:
+    """(question_id, id, iri, prompt, context, messages): what a language model is asked for each open question.
+
+    mentions: (question_id, mention_id, q) with a vector each; retriever ranks them; the best `top` entities of all
+    mentions, each once, bring their verbal and logical axioms (iri, sentences, logic). context is the first entity's
+    sentence and its logical form; a question without entities has an empty one. Methods are hit and ont.
+    """
+    if method not in ("hit", "ont"):
+        raise ValueError(f"no such method: {method}")
+    ids = mentions.select(F.concat_ws("|", F.col("question_id").cast("string"), F.col("mention_id").cast("string")).alias("query_id"), "question_id", "mention_id", "q")
+    found = retriever.top(ids.select("query_id", "q"), top)
+    ranked = ids.select("query_id", "question_id", "mention_id").join(found, "query_id")
+    ranked = ranked.withColumn("id", F.col("iri")) if "iri" in ranked.columns else ranked
+    best = select_entities(ranked.select("question_id", "mention_id", "rank", "id", "score"), append_k, max(append_k, top), ascending, top)
+    shown = best.join(axioms.select(F.col("iri").alias("id"), "label", "sentences", "logic"), "id", "left")
+    line = lambda c: F.concat_ws(" ", "label", F.element_at(F.coalesce(c, F.array(F.lit(""))), 1))
+    said = shown.groupBy("question_id").agg(
+        F.array_sort(F.collect_list(F.struct("place", line(F.when(F.size("sentences") > 0, F.col("sentences"))).alias("verbal"), line(F.when(F.size("logic") > 0, F.col("logic"))).alias("logic"), "id"))).alias("s")
+    )
+    out = questions.select("question_id", "question").join(said, "question_id", "left")
+    verbal = F.transform("s", lambda x: x["verbal"])
+    first = F.get(F.col("s"), F.lit(0))
+    made = open_prompt(F.col("question"), verbal)
+    return out.select("question_id", first["id"].alias("id"), made.alias("prompt"), F.coalesce(F.concat(first["verbal"], F.lit(" .. DL: "), first["logic"]), F.lit("")).alias("context"), chat(made).alias("messages"))
+
+
+def harness(questions: DataFrame, mentions: DataFrame, retriever, axioms: DataFrame, predict: Callable[[Column], Column], datasets: list[str], folder: str | None = None, seed: str | None = None, least_overlap: int = 2, top: int = 10, ascending: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(results, accuracy) of a whole run: rank the mentions (dataset, question_id, mention_id, q), take each question's
+    best entity, gate its sentences (iri, sentences) by the question, prompt, predict, score by dataset.
+
+    Questions without mentions are prompted plainly. With a folder, results are written there as JSON lines by dataset
+    and read back, and accuracies are appended as a table.
+    """
+    key = F.concat_ws("|", "dataset", F.col("question_id").cast("string"))
+    ids = mentions.select(F.concat_ws("|", key, F.col("mention_id").cast("string")).alias("query_id"), key.alias("of"), "dataset", F.col("question_id").alias("qid"), "mention_id", "q")
+    ranked = ids.drop("q").join(retriever.top(ids.select("query_id", "q"), top), "query_id")
+    ranked = ranked.withColumn("id", F.col("iri")) if "iri" in ranked.columns else ranked
+    best = best_entity(select_entities(ranked.select(F.col("of").alias("question_id"), "mention_id", "rank", "id", "score"), top, top, ascending), ascending)
+    said = best.join(axioms.select(F.col("iri").alias("id"), "sentences"), "id").select(F.col("question_id").alias("of"), "sentences")
+    context = ids.select("of", "dataset", F.col("qid").alias("question_id")).distinct().join(said, "of").drop("of")
+    results = run_datasets(questions, datasets, context, predict, seed, least_overlap)
+    if folder is not None:
+        results.write.mode("overwrite").partitionBy("dataset").json(f"{folder}/results")
+        results = questions.sparkSession.read.schema(results.schema).json(f"{folder}/results")
+    scored = accuracy(results)
+    if folder is not None:
+        append_metrics(scored, f"{folder}/accuracy")
+    return results, scored
+
+
+#: The scores that each dense method takes by name, and what it falls back to.
+METHODS = {"sbert": ({}, "cosine"), "hit": ({"entity-subsumption": "subsumption"}, "poincare"), "ont": ({"concept-subsumption": "subsumption"}, "poincare")}
+
+
+def search_by_name(queries: DataFrame, table: DataFrame, entities: DataFrame, method: str, score_function: str | None = None, top: int = 10, weight: float | None = None, curvature: float = 1.0, lexical=None) -> DataFrame:
+    """search() by the names of the service's methods: tf-idf, bm-25, sbert, hit, ont. A score function that a method
+    does not have falls back to its distance; a weight of 0 or none is 0.35; another method is an error."""
+    if method in ("tf-idf", "bm-25"):
+        return search(queries, table, entities, method.replace("-", ""), None, top, lexical=lexical)
+    if method not in METHODS:
+        raise ValueError(f"no such method: {method}")
+    named, plain = METHODS[method]
+    return search(queries, table, entities, "dense", named.get(score_function or "", plain), top, weight or 0.35, curvature)
+
+
 def search(queries: DataFrame, table: DataFrame, entities: DataFrame, method: str, score: str | None = None, top: int = 10, weight: float | None = None, curvature: float = 1.0, lexical=None) -> DataFrame:
     """(query_id, rank, iri, score, verbalisation) by a method: dense (with a score function), tfidf or bm25.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,20 @@ def mixed(tables: list[DataFrame], sigmas: list[float], kernel: str = "exp", k:
     return top_k(joined.select("query_id", "id", score.alias("score")), k, ascending=kernel == "dist").select("query_id", "rank", "id", "score")
 
 
+def mixed_scan(queries: DataFrame, table: DataFrame, parts: list[tuple[str, str]], sigmas: list[float], kernel: str = "exp", k: int | None = 10, curvature: float | Column = 1.0, exclude_self: bool = True) -> DataFrame:
+    """As mixed, over spaces whose vectors stand side by side in one table: (query column, table column) each with the
+    score of the same place in `scores`. The table is read once, all distances of a pair are taken together, and nothing
+    but the best rows is shuffled. queries: (query_id, ...), stated and broadcast up to QUERY_BLOCK rows."""
+    few = queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
+    q = queries.select("query_id", *[F.col(c).alias(f"_q{i}") for i, (c, _) in enumerate(parts)])
+    pairs = table.crossJoin(F.broadcast(q) if few else q)
+    if exclude_self:
+        pairs = pairs.filter("query_id <> id")
+    distances = [V.SCORES[kind][0](F.col(f"_q{i}"), F.col(c), curvature, 0.35) for i, (c, kind) in enumerate((t, "poincare") for _, t in parts)]
+    score = V.mixed_distance(distances, sigmas, kernel)
+    return top_k(pairs.select("query_id", "id", score.alias("score")), k, ascending=kernel == "dist").select("query_id", "rank", "id", "score")
+
+
 def assert_aligned(*tables: DataFrame) -> None:
     """An error unless all tables have as many rows."""
     counts = {t.count() for t in tables}
@@ -133,3 +148,63 @@ def best_entity(candidates: DataFrame, ascending: bool, gate: float | None = Non
     key = F.struct(F.col("score") if ascending else -F.col("score"), F.col("id"))
     best = candidates.groupBy("question_id").agg(F.min_by("id", key).alias("id"), F.min_by("score", key).alias("score"))
     return best if gate is None else best.withColumn("id", F.when(F.col("score") >= gate, F.col("id")))
+
+
+@dataclass(frozen=True)
+class Retriever:
+    """A model's table with the score that ranks it; norms are kept beside the vectors if the score uses them."""
+
+    model: str
+    score: str
+    table: DataFrame
+    entities: DataFrame | None = None
+    curvature: float = 1.0
+    weight: float = 0.35
+
+    def top(self, queries: DataFrame, k: int | None = 10) -> DataFrame:
+        """(query_id, rank, id, score), or with entities (query_id, rank, iri, score, verbalisation)."""
+        if self.score == "poincare" and "norm" in self.table.columns:
+            found = top_k(scan_with_norms(queries, self.table, self.curvature), k, True).select("query_id", "rank", "id", "score")
+        else:
+            found = retrieve(queries, self.table.select("id", "vec"), self.score, k, self.curvature, self.weight, exclude_self=False)
+        return found if self.entities is None else with_metadata(found, self.entities)
+
+    def bulk(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """As top for Euclidean and Poincare distances and inner products, by matrix products over blocks of queries."""
+        kind = {"l2": "l2", "poincare": "poincare", "inner": "inner"}.get(self.score)
+        if kind is None:
+            raise ValueError(f"no bulk form of {self.score}")
+        return bulk_top_k(queries, self.table.select("id", "vec"), k, self.curvature, kind)
+
+
+class Retrievers:
+    """Makes retrievers by model over one folder of vectors (mapping_id, model, vec) and one table of entities."""
+
+    #: The score of each model unless another is asked for.
+    SCORES = {"sbert": "cosine", "hit": "poincare", "ont": "poincare"}
+
+    def __init__(self, vectors: DataFrame, entities: DataFrame, curvature: float = 1.0) -> None:
+        self.vectors, self.entities, self.curvature = vectors, entities, curvature
+
+    def make(self, model: str, score: str | None = None, weight: float | None = None) -> Retriever:
+        """A weight that is not given, or is 0, is 0.35. An unknown model is an error."""
+        if model not in self.SCORES:
+            raise ValueError(f"no such model: {model}")
+        own = self.vectors.filter(F.col("model") == model).select(F.col("mapping_id").alias("id"), "vec")
+        score = score or self.SCORES[model]
+        if score == "poincare":
+            own = with_norms(own)
+        return Retriever(model, score, own, self.entities, self.curvature, weight or 0.35)
+
+
+def with_norms(table: DataFrame, vec: str = "vec") -> DataFrame:
+    """table with norm, the squared norm of each vector, so that scans need not take it anew for each query."""
+    return table.withColumn("norm", V.squared_norm(F.col(vec)))
+
+
+def scan_with_norms(queries: DataFrame, table: DataFrame, k: float | Column = 1.0) -> DataFrame:
+    """As scan by Poincare distance, from the norms that table has and those of the stated queries."""
+    q = with_norms(queries, "q").withColumnRenamed("norm", "q_norm")
+    few = q.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
+    pairs = table.crossJoin(F.broadcast(q) if few else q)
+    return pairs.select("query_id", "id", V.poincare_from_norms(F.col("q_norm"), F.col("norm"), V.dot(F.col("q"), F.col("vec")), k).alias("score"))

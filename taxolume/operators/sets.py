@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolume.functions.text import percentage, stable_order
+from taxolume.storage import Scratch, numbered
 
 
 def _lowered(words: DataFrame) -> DataFrame:
@@ -45,6 +46,19 @@ def sample(df: DataFrame, key: str, n: int, seed: int | str, prefix: str = "mc-"
     return chosen.withColumn("sample_id", F.format_string(f"{prefix}%04d", F.row_number().over(Window.orderBy("_o", key)))).drop("_o")
 
 
+def check_exists(df: DataFrame, n: int) -> int:
+    """n, if df has so many rows; else an error. Reads no more rows than that."""
+    if df.limit(n).count() < n:
+        raise ValueError(f"fewer than {n} rows")
+    return n
+
+
+def random_question(questions: DataFrame, dataset: str, seed: int | str) -> DataFrame:
+    """One question of a dataset, the first in an order fixed by the seed."""
+    own = questions.filter(F.col("dataset") == dataset)
+    return own.withColumn("_o", stable_order(F.col("question_id").cast("string"), seed)).orderBy("_o", "question_id").limit(1).drop("_o")
+
+
 def hard_negatives(edges: DataFrame, closure: DataFrame) -> DataFrame:
     """(child, negative): siblings that are neither the child nor one of its ancestors."""
     pairs = edges.join(edges.select(F.col("child").alias("negative"), "parent"), "parent").select("child", "negative").filter("child <> negative").distinct()
@@ -52,21 +66,37 @@ def hard_negatives(edges: DataFrame, closure: DataFrame) -> DataFrame:
     return pairs.join(up, ["child", "negative"], "left_anti")
 
 
-def random_negatives(children: DataFrame, nodes: DataFrame, closure: DataFrame, n: int, seed: int | str, buckets: int = 64) -> DataFrame:
-    """(child, negative, place): up to n nodes for each child that are neither itself nor an ancestor.
+def random_negatives(children: DataFrame, nodes: DataFrame, closure: DataFrame, n: int, seed: int | str) -> DataFrame:
+    """(child, negative, place): n nodes for each child that are neither itself nor an ancestor, or all such nodes if
+    there are fewer.
 
-    Nodes are dealt to hash buckets; a child meets those of a few buckets of its own only, not all nodes. About 4 n
-    candidates come from `buckets` adapted to the number of nodes, so that n remain after ancestors are taken out.
+    Nodes stand in an order fixed by the seed; each child draws places in it by a hash and looks nodes up by place, so
+    no child meets all nodes. Draws that repeat, or hit the child or an ancestor, are replaced in further rounds, twice
+    as many each; a child that has drawn as often as there are nodes is given all nodes.
     """
-    total = nodes.count()
-    k = max(1, min(buckets, total // (4 * n)))
-    h = lambda c: F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
-    own = children.select("child").distinct().withColumn("b", h(F.concat(F.lit(f"{seed}|"), "child")) % k)
-    every = nodes.select(F.col("node").alias("negative")).withColumn("b", h(F.concat(F.lit(f"{seed}#"), "negative")) % k)
-    pairs = own.join(every, "b").filter("child <> negative").select("child", "negative")
-    pairs = pairs.join(closure.select(F.col("node").alias("child"), F.col("ancestor").alias("negative")), ["child", "negative"], "left_anti")
-    order = F.md5(F.concat(F.lit(f"{seed}:"), "child", F.lit("|"), "negative"))
-    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("child").orderBy(order, "negative"))).filter(F.col("place") <= n)
+    store = Scratch(children.sparkSession, "negatives")
+    order = F.md5(F.concat(F.lit(f"{seed}#"), "node"))
+    listed = store.put(numbered(nodes.select("node").distinct(), [order, F.col("node")], "i", store))
+    total = listed.count()
+    up = closure.select(F.col("node").alias("child"), F.col("ancestor").alias("negative"))
+    open_, want, found = store.put(children.select("child").distinct()), 2 * n, None
+    while total and not open_.isEmpty():
+        whole = want >= total
+        places = F.sequence(F.lit(0), F.lit(min(want, total) - 1))
+        drawn = open_.withColumn("draw", F.explode(places))
+        at = F.col("draw") if whole else F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), "child", F.lit("|"), F.col("draw").cast("string"))), 1, 12), 16, 10).cast("long") % total
+        met = drawn.withColumn("i", at.cast("long")).join(listed, "i").filter("child <> node").groupBy("child", F.col("node").alias("negative")).agg(F.min("draw").alias("draw"))
+        rank = F.md5(F.concat(F.lit(f"{seed}:"), "child", F.lit("|"), "negative")) if whole else F.col("draw")
+        kept = met.join(up, ["child", "negative"], "left_anti").withColumn("place", F.row_number().over(Window.partitionBy("child").orderBy(rank, "negative"))).filter(F.col("place") <= n)
+        kept = store.put(kept.select("child", "negative", "place"))
+        full = kept if whole else kept.join(kept.groupBy("child").agg(F.count("*").alias("_n")).filter(F.col("_n") == n).select("child"), "child", "left_semi")
+        found = full if found is None else found.union(full)
+        if whole:
+            break
+        open_, want = store.put(open_.join(full.select("child").distinct(), "child", "left_anti")), want * 2
+    if found is None:
+        return children.select("child", F.col("child").alias("negative"), F.lit(1).alias("place")).limit(0)
+    return found
 
 
 def examples(edges: DataFrame, hard: DataFrame, random: DataFrame, n: int = 10) -> DataFrame:
@@ -95,10 +125,20 @@ def pairs(ex: DataFrame) -> DataFrame:
 
 
 def index_lists(ex: DataFrame, ids: DataFrame) -> DataFrame:
-    """(idx): ids of child, parent and negatives in that order; names without an id are an error downstream of `lookup`."""
+    """(idx): ids of child, parent and negatives in that order; a name without an id raises an error when it is read."""
     names = F.concat(F.array("child", "parent"), F.col("negatives"))
-    rows = ex.select(F.xxhash64("child", "parent").alias("row"), F.posexplode(names).alias("pos", "name")).join(ids, "name")
-    return rows.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("idx")).select("idx")
+    rows = ex.withColumn("row", F.monotonically_increasing_id()).select("row", F.posexplode(names).alias("pos", "name")).join(ids, "name", "left")
+    number = F.when(F.col("id").isNotNull(), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("no id for "), "name")))
+    return rows.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", number.alias("id")))), lambda x: x["id"]).alias("idx")).select("idx")
+
+
+def static_vectors(idx: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(row, place, subject, object) of index lists (row, idx): the vector of the first id beside that of each other one,
+    by place from 0. vectors: (id, vec); an id without a vector raises an error."""
+    each = idx.select("row", F.element_at("idx", 1).alias("s"), F.posexplode(F.slice("idx", 2, F.size("idx"))).alias("place", "o"))
+    found = each.join(vectors.select(F.col("id").alias("s"), F.col("vec").alias("subject")), "s", "left").join(vectors.select(F.col("id").alias("o"), F.col("vec").alias("object")), "o", "left")
+    there = lambda c, i: F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(F.concat(F.lit("no vector for "), F.col(i).cast("string"))))
+    return found.select("row", "place", there("subject", "s").alias("subject"), there("object", "o").alias("object"))
 
 
 def lookup(df: DataFrame, names: DataFrame, key: str, out: str) -> DataFrame:

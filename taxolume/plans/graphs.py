@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from taxolume.operators import axioms as A
 from taxolume.operators import graph as G
 from taxolume.operators import sets as S
+from taxolume.storage import Scratch, numbered
 
 from .views import CLOSURE, EDGES, PATHS, PLACES, SAME, edges, places, same_as, table
 
@@ -39,10 +40,9 @@ def equivalent_members(spark, sf_dir):
     return G.equivalents(G.canonical(same_as(spark, sf_dir)))
 
 
-@query(f"WITH RECURSIVE {_COMP}, e AS (SELECT child, parent FROM (SELECT 'O:' || l_orderkey AS child, 'S:' || l_suppkey AS parent FROM lineitem UNION SELECT 'S:' || s_suppkey, 'N:' || s_nationkey FROM supplier)) SELECT DISTINCT coalesce(c.canon, child) AS child, coalesce(p.canon, parent) AS parent FROM e LEFT JOIN canon c ON c.member = child LEFT JOIN canon p ON p.member = parent")
+@query(f"WITH RECURSIVE {_COMP}, {EDGES} SELECT DISTINCT coalesce(c.canon, child) AS child, coalesce(p.canon, parent) AS parent FROM edges LEFT JOIN canon c ON c.member = child LEFT JOIN canon p ON p.member = parent")
 def direct_parents(spark, sf_dir):
-    e = edges(spark, sf_dir).filter("substring(child, 1, 2) = 'O:' and substring(parent, 1, 2) = 'S:' or substring(child, 1, 2) = 'S:'")
-    return G.canonicalise(e, G.canonical(same_as(spark, sf_dir)))
+    return G.canonicalise(edges(spark, sf_dir), G.canonical(same_as(spark, sf_dir)))
 
 
 @query(f"WITH RECURSIVE {CLOSURE} SELECT node, ancestor, depth FROM closure")
@@ -75,9 +75,9 @@ def antecedents(spark, sf_dir):
     return G.antecedents(edges(spark, sf_dir))
 
 
-@query(f"WITH {PLACES} SELECT parent, list_sort(list(DISTINCT child)) AS children FROM edges GROUP BY parent")
+@query(f"WITH {EDGES} SELECT parent, list_sort(list(DISTINCT child)) AS children FROM edges GROUP BY parent")
 def descendants(spark, sf_dir):
-    return G.descendants(places(spark, sf_dir))
+    return G.descendants(edges(spark, sf_dir))
 
 
 @query(f"WITH {SAME} SELECT a, b FROM same UNION SELECT b, a FROM same")
@@ -95,9 +95,9 @@ def hasse_assemble(spark, sf_dir):
     return G.assemble(G.ancestors(edges(spark, sf_dir)))
 
 
-@query(f"WITH RECURSIVE {PLACES}{PATHS}, h AS (SELECT node, list_sort(list(ancestor)) AS a FROM closure GROUP BY node) SELECT n.node, len(coalesce(a, []))::INTEGER AS n FROM (SELECT child AS node FROM edges UNION SELECT parent FROM edges) n LEFT JOIN h ON h.node = n.node")
+@query(f"WITH RECURSIVE {CLOSURE}, h AS (SELECT node, list_sort(list(ancestor)) AS a FROM closure GROUP BY node) SELECT n.node, len(coalesce(a, []))::INTEGER AS n FROM (SELECT child AS node FROM edges UNION SELECT parent FROM edges) n LEFT JOIN h ON h.node = n.node")
 def merge_left_default(spark, sf_dir):
-    e = places(spark, sf_dir)
+    e = edges(spark, sf_dir)
     targets = e.select(F.col("child").alias("node")).union(e.select("parent")).distinct()
     merged, _ = G.merge_ancestors(targets, G.assemble(G.ancestors(e)))
     return merged.select("node", (F.size("parents") + F.size("ancestors")).alias("n"))
@@ -141,9 +141,9 @@ def classify_nodes(spark, sf_dir):
     return G.classify_nodes(_triples(spark, sf_dir))
 
 
-@query("WITH d AS (SELECT 'R:' || n_regionkey AS top, 1 AS depth FROM nation UNION ALL SELECT 'R:' || n_regionkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey), x AS (SELECT depth FROM d WHERE top = 'R:1' UNION ALL SELECT 0) SELECT (depth + 1)::BIGINT AS bin, count(*) AS n FROM x GROUP BY depth")
+@query(f"WITH RECURSIVE {CLOSURE}, x AS (SELECT depth FROM closure WHERE ancestor = 'R:1' UNION ALL SELECT 0) SELECT (depth + 1)::BIGINT AS bin, count(*) AS n FROM x GROUP BY depth")
 def depth_histogram(spark, sf_dir):
-    return G.histogram(G.depths_from(places(spark, sf_dir), "R:1"), "depth", 0, 10, 10)
+    return G.histogram(G.depths_from(edges(spark, sf_dir), "R:1"), "depth", 0, 10, 10)
 
 
 _HARD = PLACES + PATHS + ", hard AS (SELECT DISTINCT a.child, b.child AS negative FROM edges a JOIN edges b ON a.parent = b.parent WHERE a.child <> b.child AND NOT EXISTS (SELECT 1 FROM closure c WHERE c.node = a.child AND c.ancestor = b.child))"
@@ -159,13 +159,18 @@ def _examples(spark, sf_dir):
     e = places(spark, sf_dir)
     closure = G.ancestors(e)
     nodes = e.select(F.col("child").alias("node")).union(e.select("parent")).distinct()
-    random = S.random_negatives(e, nodes, closure, 10, 3, buckets=1)
+    random = S.random_negatives(e, nodes, closure, 10, 3)
     return S.examples(e, S.hard_negatives(e, closure), random, 10)
 
 
 _EX = _HARD + """, nodes AS (SELECT child AS node FROM edges UNION SELECT parent FROM edges),
-rnd AS (SELECT child, node AS negative, row_number() OVER (PARTITION BY child ORDER BY md5('3:' || child || '|' || node), node) AS place FROM (SELECT DISTINCT child FROM edges) c, nodes
-  WHERE node <> child AND NOT EXISTS (SELECT 1 FROM closure x WHERE x.node = c.child AND x.ancestor = nodes.node)),
+total AS (SELECT count(*) AS total FROM nodes), numbered AS (SELECT node, row_number() OVER (ORDER BY md5('3#' || node), node) - 1 AS i FROM nodes), kids AS (SELECT DISTINCT child FROM edges),
+drawn AS (SELECT child, d, ('0x' || substr(md5('3|' || child || '|' || d), 1, 12))::BIGINT % total AS i FROM kids, (SELECT unnest(range(640)) AS d), total),
+met AS (SELECT child, node AS negative, min(d) AS d FROM drawn JOIN numbered USING (i) WHERE node <> child AND NOT EXISTS (SELECT 1 FROM closure x WHERE x.node = drawn.child AND x.ancestor = numbered.node) GROUP BY ALL),
+met2 AS (SELECT child, negative, row_number() OVER (PARTITION BY child ORDER BY d, negative) AS place, d FROM met),
+enough AS (SELECT child FROM met2, total WHERE place = 10 AND 20 * power(2, CASE WHEN d < 20 THEN 0 ELSE floor(log2(d / 20.0::DOUBLE)) + 1 END) < total),
+rnd AS (SELECT child, negative, place FROM met2 WHERE child IN (SELECT child FROM enough) UNION ALL SELECT child, node AS negative, row_number() OVER (PARTITION BY child ORDER BY md5('3:' || child || '|' || node), node) AS place FROM kids c, nodes
+  WHERE node <> child AND child NOT IN (SELECT child FROM enough) AND NOT EXISTS (SELECT 1 FROM closure x WHERE x.node = c.child AND x.ancestor = nodes.node)),
 neg AS (SELECT child, negative, row_number() OVER (PARTITION BY child ORDER BY kind, o, negative) AS i FROM (
   SELECT child, negative, 0 AS kind, 0 AS o FROM hard UNION ALL SELECT child, negative, 1, place FROM rnd r WHERE place <= 10 AND NOT EXISTS (SELECT 1 FROM hard h WHERE h.child = r.child AND h.negative = r.negative))),
 ex AS (SELECT e.child, e.parent, n.negative FROM edges e JOIN neg n ON e.child = n.child WHERE i <= 10)"""
@@ -183,11 +188,9 @@ def pairs(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_EX}, ids AS (SELECT node AS name, row_number() OVER (ORDER BY node) AS id FROM nodes), f AS (SELECT e.child, e.parent, list(i.id ORDER BY n.i) AS neg FROM edges e JOIN neg n ON e.child = n.child JOIN ids i ON i.name = n.negative WHERE n.i <= 10 GROUP BY e.child, e.parent) SELECT list_concat([c.id, p.id], neg) AS idx FROM f JOIN ids c ON c.name = f.child JOIN ids p ON p.name = f.parent")
 def index_lists(spark, sf_dir):
-    from pyspark.sql import Window
-
     e = places(spark, sf_dir)
     nodes = e.select(F.col("child").alias("name")).union(e.select("parent")).distinct()
-    ids = nodes.withColumn("id", F.row_number().over(Window.orderBy("name")).cast("long"))
+    ids = numbered(nodes, [F.col("name")], "id", Scratch(spark, "ids")).withColumn("id", F.col("id") + 1)
     return S.index_lists(_examples(spark, sf_dir), ids)
 
 
@@ -241,13 +244,9 @@ def axiom_gate(spark, sf_dir):
 
 
 def _axioms(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    iri = lambda c: F.struct(F.lit("IRI").alias("type"), F.col(c).alias("verbal"))
-    name = F.to_json(iri("s_name"))
-    inner = F.struct(F.lit("EX.").alias("type"), F.concat(F.lit("part of some "), "r_name").alias("verbal"), F.lit("part of").alias("property"), iri("r_name").alias("class"))
-    both = F.to_json(inner)
-    whole = F.concat(F.lit('{"type":"AND","verbal":"'), "n_name", F.lit(" and part of some "), "r_name", F.lit('","classes":['), F.to_json(iri("n_name")), F.lit(","), both, F.lit("]}"))
-    return s.select(F.col("s_suppkey").alias("axiom_id"), F.lit("equiv").alias("kind"), name.alias("child"), whole.alias("parent"))
+    """Each supplier's name is equivalent to its nation and part of some region."""
+    e = _expressions(spark, sf_dir)
+    return e.filter("expr_id like '%/d'").select(F.regexp_extract("expr_id", "[0-9]+", 0).cast("long").alias("axiom_id"), F.lit("equiv").alias("kind"), F.regexp_replace("expr_id", "/d", "/b").alias("child"), F.col("expr_id").alias("parent"))
 
 
 @query(f"""WITH {_EXPR}, f AS (
@@ -258,7 +257,7 @@ def _axioms(spark, sf_dir):
   UNION ALL SELECT DISTINCT 'nf4', 'part of', region, 'part of some ' || region FROM sup
 ) SELECT kind, first, second, third FROM f""")
 def nf_normalise(spark, sf_dir):
-    return A.distinct_forms(A.normalise(_axioms(spark, sf_dir))).select("kind", "first", "second", "third")
+    return A.distinct_forms(A.normalise(_axioms(spark, sf_dir), _expressions(spark, sf_dir))).select("kind", "first", "second", "third")
 
 
 @query(f"WITH {_EXPR} SELECT 'nf1' AS kind, name AS left, nation AS right, name AS query, nation AS answer FROM sup UNION ALL SELECT 'nf2', nation || ' and ' || region, name, nation || ' and ' || region, name FROM sup UNION ALL SELECT 'nf3', name, 'part of some ' || region, 'part of some ' || region, name FROM sup UNION ALL SELECT 'nf4', 'part of some ' || region, name, 'part of some ' || region, name FROM sup")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evaluation, graphs, lexicon, questions, vectors
+from . import evaluation, flows, graphs, lexicon, questions, vectors
 
-MODULES = (vectors, lexicon, graphs, evaluation, questions)
+MODULES = (vectors, lexicon, graphs, evaluation, questions, flows)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -84,14 +84,96 @@ def read_examples(spark: SparkSession, folder: str, splits: Iterable[str] = SPLI
     return out
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """(s, s_kind, p, o, o_kind) of N-Triples lines; comments and blank lines are skipped."""
+def read_dataset(spark: SparkSession, folder: str, names: DataFrame, negative: str = "random", shape: str = "triplet") -> dict[str, DataFrame]:
+    """train, val and test, as far as they are there, of a downloaded hierarchy set: JSON lines (child, parent,
+    random_negatives, hard_negatives) with ids in place of names.
+
+    shape: triplet (child, parent, negative) or pair (child, parent, label) with names (id, name), or idx (idx) with
+    numbers (name being the id as text, id its number). An id without a name is an error.
+    """
+    from taxolume.operators import sets as S
+
+    if negative not in ("random", "hard") or shape not in ("triplet", "pair", "idx"):
+        raise ValueError(f"no such negatives or shape: {negative}, {shape}")
+    out = {}
+    for split in ("train", "val", "test"):
+        path = f"{folder}/{split}.jsonl"
+        if not _exists(spark, path):
+            continue
+        ex = read_jsonl(spark, path, "child string, parent string, random_negatives array<string>, hard_negatives array<string>")
+        ex = ex.select("child", "parent", F.coalesce(f"{negative}_negatives", F.expr("cast(array() as array<string>)")).alias("negatives"))
+        if shape == "idx":
+            out[split] = S.index_lists(ex, names)
+            continue
+        flat = S.triplets(ex) if shape == "triplet" else S.pairs(ex)
+        by = names.select(F.col("id").cast("string").alias("id"), "name")
+        for c in [c for c in flat.columns if c != "label"]:
+            flat = S.lookup(flat, by, c, "_named").drop(c).withColumnRenamed("_named", c)
+        out[split] = flat.select("child", "parent", *(["negative"] if shape == "triplet" else ["label"]))
+    return out
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_rows_or_map(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """(key, value) of a JSON file that is an array of values or an object of them: key is the object's key, or the place
+    in the array from 0. value: the values' type."""
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
+    listed = F.transform(F.from_json("v", f"array<{value}>"), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))
+    every = F.when(F.startswith("v", F.lit("[")), listed).otherwise(F.map_entries(F.from_json("v", f"map<string,{value}>")))
+    return whole.select(F.explode(every).alias("e")).select("e.key", "e.value")
+
+
+def forms_from_npy(spark: SparkSession, folder: str) -> DataFrame:
+    """(kind, row, first, second, third) of the integer files nf1.npy to nf4.npy that folder has; numbers are ids."""
+    import os
+
+    import numpy as np
+
+    out = spark.createDataFrame([], FORMS)
+    for n in range(1, 5):
+        path = f"{folder}/nf{n}.npy"
+        if os.path.exists(path):
+            m = np.load(path, mmap_mode="r").reshape(-1, 2 if n == 1 else 3)
+            out = out.union(spark.createDataFrame([(f"nf{n}", i, *map(int, r), *([None] if n == 1 else [])) for i, r in enumerate(m)], FORMS))
+    return out
+
+
+FORMS = "kind string, row long, first long, second long, third long"
+
+
+def forms_to_npy(forms: DataFrame, folder: str, most_rows: int = 10_000_000) -> None:
+    """The files nf1.npy to nf4.npy of forms (kind, first, second, third), ids in numbers, a kind at a time on the driver;
+    an error for a kind beyond most_rows. Kinds without rows have no file."""
+    import os
+
+    import numpy as np
+
+    os.makedirs(folder, exist_ok=True)
+    for kind, width in (("nf1", 2), ("nf2", 3), ("nf3", 3), ("nf4", 3)):
+        own = forms.filter(F.col("kind") == kind).select(*("first", "second", "third")[:width])
+        n = own.limit(most_rows + 1).count()
+        if n > most_rows:
+            raise ValueError(f"{kind} has more than {most_rows} rows")
+        if n:
+            np.save(f"{folder}/{kind}.npy", own.orderBy(*own.columns).toPandas().to_numpy(np.int64))
+
+
+def read_ntriples(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """(s, s_kind, p, o, o_kind) of N-Triples lines; comments and blank lines are skipped. A line that is no triple is an
+    error when it is read; with strict off it gives a row of nulls but for o, the line, and o_kind 'malformed'."""
     line = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"\S*)\s*\.\s*$'
-    rows = spark.read.text(path).filter(F.col("value").rlike(line))
+    rows = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(?:#.*)?$"))
+    ok = F.col("value").rlike(line)
     part = lambda i: F.regexp_extract("value", line, i)
     kind = lambda c: F.when(F.startswith(c, F.lit("<")), "iri").when(F.startswith(c, F.lit("_:")), "bnode").otherwise("literal")
     text = lambda c: F.when(F.startswith(c, F.lit("<")), F.substring(c, F.lit(2), F.length(c) - 2)).when(F.startswith(c, F.lit('"')), F.regexp_extract(c, r'^"((?:[^"\\]|\\.)*)"', 1)).otherwise(c)
-    return rows.select(text(part(1)).alias("s"), kind(part(1)).alias("s_kind"), part(2).alias("p"), text(part(3)).alias("o"), kind(part(3)).alias("o_kind"))
+    wrong = F.raise_error(F.concat(F.lit("no triple: "), "value")).cast("string") if strict else F.lit("malformed")
+    some = lambda c: F.when(ok, c)
+    return rows.select(some(text(part(1))).alias("s"), some(kind(part(1))).alias("s_kind"), some(part(2)).alias("p"), some(text(part(3))).otherwise(F.col("value")).alias("o"), some(kind(part(3))).otherwise(wrong).alias("o_kind"))
 
 
 def vectors_from_npy(spark: SparkSession, path: str, folder: str, model: str, rows_per_file: int = 50_000) -> None:
@@ -113,13 +195,28 @@ def write_json(df: DataFrame, folder: str, by: str | None = None) -> None:
     (w.partitionBy(by) if by else w).json(folder)
 
 
+def write_summary(payload: dict, path: str, indent: int = 4) -> None:
+    """A small summary as one JSON document, written by the driver."""
+    import json
+
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(payload, f, indent=indent)
+
+
 def append_metrics(df: DataFrame, folder: str, sep: str = ",") -> None:
-    """CSV files with a header each; readers take the folder as one table."""
-    df.coalesce(1).write.mode("append").option("header", True).option("sep", sep).csv(folder)
+    """A CSV table with one header: the first file of the folder has it, those that are appended later have none."""
+    first = not _exists(df.sparkSession, folder)
+    df.coalesce(1).write.mode("append").option("header", first).option("sep", sep).csv(folder)
 
 
 def read_metrics(spark: SparkSession, folder: str, schema: str | T.StructType, sep: str = ",") -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("sep", sep).csv(folder)
+    """The rows of an appended table. The header is the one line that has the columns' names."""
+    shape = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    raw = spark.read.option("sep", sep).schema(T.StructType([T.StructField(f.name, T.StringType()) for f in shape.fields])).csv(folder)
+    names = F.lit(True)
+    for f in shape.fields:
+        names = names & F.col(f"`{f.name}`").eqNullSafe(F.lit(f.name))
+    return raw.filter(~names).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in shape.fields])
 
 
 def text_table(df: DataFrame, most_rows: int = 1000) -> str:

@@ -128,11 +128,97 @@ def test_render_and_normalise(spark):
     e = spark.createDataFrame([("r", None, 0, "some", "has"), ("p", "r", 0, "and", ""), ("x", "p", 0, "iri", "X"), ("y", "p", 1, "iri", "Y")], "expr_id string, parent_expr string, pos int, kind string, name string")
     assert dict(map(tuple, A.render(e).collect()))["r"] == "has some X and Y"
     assert dict(map(tuple, A.render(e, A.LOGIC).collect()))["r"] == " ∃has.X ⊓ Y "
-    iri = lambda n: f'{{"type":"IRI","verbal":"{n}"}}'
-    three = '{"type":"AND","verbal":"A and B and C","classes":[%s,%s,%s]}' % (iri("A"), iri("B"), iri("C"))
-    df = spark.createDataFrame([(1, "sub", three, iri("D"))], "axiom_id long, kind string, child string, parent string")
-    got = {(r.kind, r.first, r.second, r.third, r.derived) for r in A.normalise(df).collect()}
-    assert ("nf2", "A", "B and C", "D", False) in got and ("nf2", "B", "C", "B and C", True) in got and ("nf1", "B and C", "B", None, True) in got
+
+
+def plain_forms(tree, kind, left, right):
+    """Normal forms of one axiom by definition; tree: id -> (kind, name, parts)."""
+
+    def text(x):
+        k, name, parts = tree[x]
+        return name if k == "iri" else " and ".join(map(text, parts)) if k == "and" else f"{name} some {text(parts[0])}"
+
+    out, defined = set(), set()
+
+    def define(parts):
+        """parts: one expression, or the parts of a conjunction."""
+        if len(parts) == 1:
+            k, name, own = tree[parts[0]]
+            if k == "iri":
+                return
+            if k == "some":
+                define(own)
+                defined.update({("nf3", text(parts[0]), name, text(own[0])), ("nf4", name, text(own[0]), text(parts[0]))})
+                return
+            parts = own
+        words = [text(p) for p in parts]
+        for p in parts:
+            define([p])
+        defined.update(("nf1", " and ".join(words), w, None) for w in words)
+        defined.update(("nf2", words[i], " and ".join(words[i + 1 :]), " and ".join(words[i:])) for i in range(len(words) - 1))
+
+    def below(x, y):
+        k, name, parts = tree[y]
+        if k == "and":
+            for p in parts:
+                below(x, p)
+        elif k == "some":
+            define([x])
+            define(parts)
+            out.add(("nf3", text(x), name, text(parts[0])))
+        else:
+            kx, nx, px = tree[x]
+            if kx == "iri":
+                out.add(("nf1", text(x), text(y), None))
+            elif kx == "and":
+                define([px[0]])
+                define(px[1:])
+                out.add(("nf2", text(px[0]), " and ".join(map(text, px[1:])), text(y)))
+            else:
+                define(px)
+                out.add(("nf4", nx, text(px[0]), text(y)))
+
+    below(left, right)
+    if kind == "equiv":
+        below(right, left)
+    return {(False, *x) for x in out} | {(True, *x) for x in defined}
+
+
+def test_normal_forms_match_their_definition(spark):
+    rng, rows, trees, axioms = random.Random(3), [], {}, []
+
+    def grow(axiom, height):
+        at = f"{axiom}/{len(trees[axiom])}"
+        kind = rng.choice(["iri", "and", "some"]) if height else "iri"
+        trees[axiom][at] = None
+        parts = [grow(axiom, height - 1) for _ in range({"iri": 0, "and": rng.choice([2, 2, 3, 4]), "some": 1}[kind])]
+        trees[axiom][at] = (kind, {"iri": rng.choice("ABCDE"), "and": "", "some": rng.choice("rs")}[kind], parts)
+        return at
+
+    for i in range(25):
+        trees[i] = {}
+        axioms.append((i, rng.choice(["sub", "equiv"]), grow(i, 3), grow(i, 3)))
+        for x, (kind, name, parts) in trees[i].items():
+            up = [(y, p.index(x)) for y, (_, _, p) in trees[i].items() if x in p]
+            rows.append((x, up[0][0] if up else None, up[0][1] if up else 0, kind, name))
+    e = spark.createDataFrame(rows, "expr_id string, parent_expr string, pos int, kind string, name string")
+    a = spark.createDataFrame(axioms, "axiom_id long, kind string, child string, parent string")
+    forms = A.normalise(a, e).checkpoint()
+    got = {}
+    for r in forms.collect():
+        got.setdefault(r.axiom_id, []).append((r.derived, r.kind, r.first, r.second, r.third))
+    for i, kind, left, right in axioms:
+        assert sorted(set(got[i]), key=repr) == sorted(plain_forms(trees[i], kind, left, right), key=repr)
+    assert A.normalise(a.limit(0), e).count() == 0
+    names = spark.createDataFrame([(n, i) for i, n in enumerate("ABCDE")], "name string, seq long")
+    ids = {r.name: (r.id, r.label) for r in A.concept_ids(names, forms).collect()}
+    assert [ids[n] for n in "ABCDE"] == [(i, n) for i, n in enumerate("ABCDE")] and sorted(i for i, _ in ids.values()) == list(range(len(ids)))
+    assert all(label == f"N{i - 5}" for n, (i, label) in ids.items() if n not in "ABCDE")
+    made = A.training_rows(A.distinct_forms(forms), A.concept_ids(names, forms).select("name", "id"), 4)
+    assert made.count() == A.distinct_forms(forms).select("kind", "first", "second", "third").count()
+    for r in made.collect():
+        assert len(r.negative) == 4 and (r.kind != "nf3" or all(x.startswith(f"{r.role} some ") for x in r.negative))
+        assert (r.con1 is not None) == (r.kind == "nf2") and (r.role is not None) == (r.kind in ("nf3", "nf4"))
+    assert A.conjunction_rows(made).filter("Concept <> concat(con1, ' and ', con2)").isEmpty() and A.existential_rows(made).count() == made.filter("role is not null").count()
 
 
 def test_stream(spark, tmp_path):
