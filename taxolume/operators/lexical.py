@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxolume.functions.text import STOPWORDS, tokenise
+from taxolume.storage import Scratch, spread, told
 
 from .retrieve import top_k
 
@@ -42,6 +43,12 @@ def load(spark, folder: str, kind: str) -> Index:
     return Index(kind, *(spark.read.parquet(f"{folder}/{t}") for t in ("postings", "vocabulary", "docs")))
 
 
+def _frequencies(corpus: DataFrame, tokens: Column) -> DataFrame:
+    """(doc_id, dl, term, tf): each document's terms with its length, tokenised once into the shared folder."""
+    rows = spread(corpus).select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    return Scratch(corpus.sparkSession, "terms").put(rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
+
+
 def tfidf_index(corpus: DataFrame, text: str = "text", smooth: bool = True, use_idf: bool = True, normalise: bool = False, stop: tuple[str, ...] = STOPWORDS, only: DataFrame | None = None) -> Index:
     """weight = tf * idf with idf = ln((1 + N) / (1 + df)) + 1 (smooth) or ln(N / df) + 1; rows of norm 1 if asked.
 
@@ -50,10 +57,9 @@ def tfidf_index(corpus: DataFrame, text: str = "text", smooth: bool = True, use_
     """
     if only is not None and normalise:
         raise ValueError("norms need all terms")
-    tokens = corpus.select("doc_id", F.explode(words(F.col(text), stop)).alias("term"))
+    tf = _frequencies(corpus, words(F.col(text), stop))
     if only is not None:
-        tokens = tokens.join(only.select("term").distinct(), "term", "left_semi")
-    tf = tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+        tf = tf.join(told(only.select("term").distinct()), "term", "left_semi")
     n = corpus.agg(F.count("*").alias("n"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
     one = 1 if smooth else 0
@@ -66,8 +72,9 @@ def tfidf_index(corpus: DataFrame, text: str = "text", smooth: bool = True, use_
     return Index("tfidf", postings, vocabulary, corpus.select("doc_id"))
 
 
-def query_terms(queries: DataFrame, text: str = "text", stop: tuple[str, ...] = STOPWORDS) -> DataFrame:
-    return queries.select(F.explode(words(F.col(text), stop)).alias("term")).distinct()
+def query_terms(queries: DataFrame, text: str = "text", stop: tuple[str, ...] = STOPWORDS, plain: bool = False) -> DataFrame:
+    """(term) that a search with these queries reads; plain: as BM25 splits them."""
+    return queries.select(F.explode(tokenise(F.col(text)) if plain else words(F.col(text), stop)).alias("term")).distinct()
 
 
 def tfidf_search(index: Index, queries: DataFrame, k: int | None = 10, text: str = "text", stop: tuple[str, ...] = STOPWORDS) -> DataFrame:
@@ -84,18 +91,18 @@ def _rounded_top(hits: DataFrame, k: int | None) -> DataFrame:
     return ranked.select("query_id", "rank", "id", "score")
 
 
-def bm25_index(corpus: DataFrame, text: str = "text", k1: float = 1.3, b: float = 0.7, epsilon: float = 0.25) -> Index:
+def bm25_index(corpus: DataFrame, text: str = "text", k1: float = 1.3, b: float = 0.7, epsilon: float = 0.25, only: DataFrame | None = None) -> Index:
     """weight = idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)), idf = ln(N - df + .5) - ln(df + .5); a negative
-    idf becomes epsilon times the mean idf of the vocabulary."""
-    tokens = corpus.select("doc_id", tokenise(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    lengths = tokens.select("doc_id", F.size("t").alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = tokens.select("doc_id", F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    idf becomes epsilon times the mean idf of the vocabulary. only: as for tfidf_index; the vocabulary has all terms."""
+    tf = _frequencies(corpus, tokenise(F.coalesce(F.col(text), F.lit(""))))
+    n = corpus.agg(F.count("*").alias("n"))
+    stats = tf.agg(F.sum("tf").alias("tokens")).crossJoin(n).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
     raw = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     vocabulary = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    postings = tf.join(lengths, "doc_id").crossJoin(F.broadcast(stats)).join(vocabulary, "term").select("term", "doc_id", (F.col("idf") * part).alias("weight"))
+    own = tf if only is None else tf.join(told(only.select("term").distinct()), "term", "left_semi")
+    postings = own.crossJoin(F.broadcast(stats)).join(vocabulary, "term").select("term", "doc_id", (F.col("idf") * part).alias("weight"))
     return Index("bm25", postings, vocabulary, corpus.select("doc_id"))
 
 

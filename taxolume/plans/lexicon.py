@@ -169,7 +169,9 @@ def bm25_stats(spark, sf_dir):
 
 @query(f"WITH {_BM}, q AS (SELECT query_id, term, count(*) AS n FROM (SELECT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY ALL), s AS (SELECT query_id, tf.doc_id AS id, sum(q.n * idf * (tf * 2.3::DOUBLE / (tf + 1.3::DOUBLE * (1 - 0.7::DOUBLE + 0.7::DOUBLE * dl / avgdl)))) AS score FROM q JOIN v USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), st GROUP BY ALL), {_RANK}")
 def bm25_search(spark, sf_dir):
-    return L.bm25_search(L.bm25_index(_corpus(spark, sf_dir)), _asked(spark, sf_dir)).withColumn("score", F.round("score", 5))
+    asked = _asked(spark, sf_dir)
+    index = L.bm25_index(_corpus(spark, sf_dir), only=L.query_terms(asked, plain=True))
+    return L.bm25_search(index, asked).withColumn("score", F.round("score", 5))
 
 
 _VOC = r"a AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark)), b AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(string_split(text, ' ')) AS w FROM conversations))"

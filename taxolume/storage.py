@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: A key with more rows than this, and than this part of all rows, is split in joins; so there are fewer than HOT_PARTS of them.
 HOT_ROWS, HOT_PARTS = 1_000, 10_000
+#: Bytes of a table that is small enough to be shuffled once more.
+SMALL_BYTES = 1 << 30
 #: Repeats of a row that one step writes out at a time.
 REPEATS = 10_000
 
@@ -70,6 +73,17 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over as many tasks as run at once, if it is a scan of less than SMALL_BYTES in fewer files than that: a
+    file is often one row group, which one task reads. Larger scans, and what has been shuffled, stay as they are."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    shuffled = re.search(r"\b(Join|Aggregate|Sort|Repartition\w*|Window|Generate|LogicalRDD)\b", plan.toString())
+    if shuffled or int(str(plan.stats().sizeInBytes())) > SMALL_BYTES:
+        return df
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if 0 < len(df.inputFiles()) < n else df
+
+
 def told(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, marked for a broadcast if it has at most BROADCAST_ROWS rows (counted unless given)."""
     n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows

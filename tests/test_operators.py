@@ -1,5 +1,7 @@
 """Operators on small hand-made inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
