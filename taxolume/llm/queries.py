@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxolume.storage import spread
+
 from . import avi_media, jaccard_tree, lang_mixture, pii, pivot_search, quality, url_filter, warc
 from .common import held_out
 from .jaccard_tree import jaccard_components
@@ -16,8 +18,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of all documents; a table in one small file is dealt over the tasks first."""
+    return spread(_table(spark, sf_dir, "documents").select(*columns or ["*"]))
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    docs = _texts(spark, sf_dir, "doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     free = labels.filter(F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
     model = quality.fit_ids(docs.filter("not held_out"), free)
@@ -25,15 +32,15 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(_texts(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_table(spark, sf_dir, "documents"))
+    return pack_documents(_texts(spark, sf_dir, "doc_id", "text"))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"))
+    return jaccard_components(_texts(spark, sf_dir, "doc_id", "text"))
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +48,7 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
+    docs = _texts(spark, sf_dir, "doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
     model = lang_mixture.fit(docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull()))
     return lang_mixture.predict(docs, model, keep=["doc_id", "held_out"])
 
@@ -56,7 +63,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pii.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    docs = pii.find_spans(_texts(spark, sf_dir, "doc_id", "text")).select("doc_id", "pii")
     base = pii.base_only(F.col("pii"))
     counts = [pii.count_of(F.col("pii"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
     scores = F.array_join(F.transform("pii", lambda x: F.round(x["score"] * 100).cast("int").cast("string")), ",")
@@ -64,7 +71,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = avi_media.decode(avi_media.encode_text(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    found = avi_media.decode(avi_media.encode_text(_texts(spark, sf_dir, "doc_id", "text")))
     cuts = F.array_join(F.transform("clips", lambda c: F.concat_ws("-", c["start_ms"], c["end_ms"], c["mean"])), ",")
     feature = F.concat(F.lit("frames="), F.col("frames"), F.lit(";clips="), F.size("clips"), F.lit(";"), cuts)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
