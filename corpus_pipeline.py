@@ -16,7 +16,7 @@ from taxolume.llm.common import held_out
 from taxolume.llm.jaccard_tree import jaccard_components
 from taxolume.llm.mixing import repeated
 from taxolume.llm.packing import pack_documents
-from taxolume.storage import Scratch, delete, shared_dir, told
+from taxolume.storage import Scratch, delete, shared_dir, spread, told
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixture", mixture), ("packing", packing)]
-#: Local search and tokenizing are not SQL; tests hold run() against a brute-force version.
+#: Local search and tokenizing are not SQL; tests/llm/test_queries.py holds run() against a plain version, stage by stage.
 ORACLE_SQL = None
 
 
@@ -69,7 +69,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Stages are written to the shared folder; a stage's table is deleted once the next one is
     written, the last one stays."""
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4()}"
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, before = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
