@@ -54,12 +54,20 @@ def _running(h: DataFrame) -> DataFrame:
     return h.withColumn("seen", F.sum("rel").over(Window.partitionBy("query_id").orderBy("rank")))
 
 
+def average_precisions(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
+    """(query_id, ap, ap_seen): sum of hits / rank at each hit over all relevant ids, and over those that were seen. Only
+    hits are sorted by rank."""
+    known = relevant.select("query_id", "id").distinct()
+    n = known.groupBy("query_id").agg(F.count("*").alias("total"))
+    seen = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    got = ranked.join(known, ["query_id", "id"]).withColumn("seen", seen).groupBy("query_id").agg(F.sum(F.col("seen") / F.col("rank")).alias("s"), F.count("*").alias("n"))
+    over = lambda c: F.coalesce(F.try_divide(F.col("s"), F.col(c)), F.lit(0.0))
+    return n.join(got, "query_id", "left").select("query_id", over("total").alias("ap"), over("n").alias("ap_seen"))
+
+
 def average_precision(ranked: DataFrame, relevant: DataFrame, over_seen: bool = False) -> DataFrame:
-    """(query_id, ap): sum of hits / rank at each hit over all relevant ids, or over those that were seen."""
-    n = relevant.groupBy("query_id").agg(F.count_distinct("id").alias("total"))
-    got = _running(hits(ranked, relevant)).groupBy("query_id").agg(F.sum(F.when(F.col("rel") == 1, F.col("seen") / F.col("rank")).otherwise(0.0)).alias("s"), F.sum("rel").alias("n"))
-    whole = F.col("n") if over_seen else F.col("total")
-    return n.join(got, "query_id", "left").select("query_id", F.coalesce(F.try_divide(F.col("s"), whole), F.lit(0.0)).alias("ap"))
+    """(query_id, ap) over all relevant ids, or over those that were seen."""
+    return average_precisions(ranked, relevant).select("query_id", F.col("ap_seen" if over_seen else "ap").alias("ap"))
 
 
 def r_precision(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -193,7 +201,7 @@ def evaluate(scored: DataFrame, weight: float | None = None, threshold: float |
     if weight is None or threshold is None:
         grid = threshold_grid(scored, granularity, smaller_better, by=["weight"])
         best = best_weight(best_threshold(grid, by=["weight"])).first()
-        if best is None:
+        if best is None or best["weight"] is None:
             return by_threshold(scored.filter("false"), 0.0).select(F.lit(None).cast("double").alias("weight"), F.lit(None).cast("double").alias("threshold"), "*")
         weight, threshold = best["weight"], best["threshold"]
     own = by_threshold(scored.filter(F.col("weight") == weight), threshold, smaller_better)

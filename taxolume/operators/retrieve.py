@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,17 +56,16 @@ def mixed(tables: list[DataFrame], sigmas: list[float], kernel: str = "exp", k:
     return top_k(joined.select("query_id", "id", score.alias("score")), k, ascending=kernel == "dist").select("query_id", "rank", "id", "score")
 
 
-def mixed_scan(queries: DataFrame, table: DataFrame, parts: list[tuple[str, str]], sigmas: list[float], kernel: str = "exp", k: int | None = 10, curvature: float | Column = 1.0, exclude_self: bool = True) -> DataFrame:
-    """As mixed, over spaces whose vectors stand side by side in one table: (query column, table column) each with the
-    score of the same place in `scores`. The table is read once, all distances of a pair are taken together, and nothing
-    but the best rows is shuffled. queries: (query_id, ...), stated and broadcast up to QUERY_BLOCK rows."""
+def mixed_scan(queries: DataFrame, table: DataFrame, parts: list[tuple[str, str, Callable[[Column, Column], Column]]], sigmas: list[float], kernel: str = "exp", k: int | None = 10, exclude_self: bool = True) -> DataFrame:
+    """As mixed, over spaces whose vectors stand side by side in one table: parts are (query column, table column,
+    distance). The table is read once, all distances of a pair are taken together, and nothing but the best rows is
+    shuffled. queries: (query_id, ...), stated and broadcast up to QUERY_BLOCK rows."""
     few = queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
-    q = queries.select("query_id", *[F.col(c).alias(f"_q{i}") for i, (c, _) in enumerate(parts)])
+    q = queries.select("query_id", *[F.col(c).alias(f"_q{i}") for i, (c, _, _) in enumerate(parts)])
     pairs = table.crossJoin(F.broadcast(q) if few else q)
     if exclude_self:
         pairs = pairs.filter("query_id <> id")
-    distances = [V.SCORES[kind][0](F.col(f"_q{i}"), F.col(c), curvature, 0.35) for i, (c, kind) in enumerate((t, "poincare") for _, t in parts)]
-    score = V.mixed_distance(distances, sigmas, kernel)
+    score = V.mixed_distance([distance(F.col(f"_q{i}"), F.col(c)) for i, (_, c, distance) in enumerate(parts)], sigmas, kernel)
     return top_k(pairs.select("query_id", "id", score.alias("score")), k, ascending=kernel == "dist").select("query_id", "rank", "id", "score")
 
 

@@ -35,9 +35,9 @@ run AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS seen FR
 tot AS (SELECT query_id, count(DISTINCT id) AS total FROM relevant GROUP BY query_id)"""
 
 
-def _ranked(spark, sf_dir):
+def _ranked(spark, sf_dir, k=None):
     pts = points(spark, sf_dir)
-    return R.retrieve(asked(pts).select("query_id", "q"), pts.select("id", "vec"), "poincare", None, K).select("query_id", "id", "rank")
+    return R.retrieve(asked(pts).select("query_id", "q"), pts.select("id", "vec"), "poincare", k, K).select("query_id", "id", "rank")
 
 
 def _relevant(spark, sf_dir):
@@ -58,28 +58,26 @@ def _f1(k: int) -> str:
 @query(f"WITH {_RANKED}, f AS (SELECT g.query_id, min(rank) AS first FROM gold g LEFT JOIN ranked r ON r.query_id = g.query_id AND r.id = g.id AND rank <= 100 GROUP BY g.query_id) SELECT round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(coalesce(first, 101)), 6) AS mr, median(coalesce(first, 101))::DOUBLE AS median, round(avg((first IS NOT NULL)::INTEGER), 6) AS coverage, {', '.join(map(_f1, (1, 3, 5, 10)))} FROM f")
 def metric_single_target(spark, sf_dir):
     """A miss within the first 100 counts as rank 101."""
-    firsts = M.first_hits(_ranked(spark, sf_dir).filter("rank <= 100"), _gold(spark, sf_dir))
+    firsts = M.first_hits(_ranked(spark, sf_dir, 100), _gold(spark, sf_dir))
     out = M.single_target(firsts, 100)
     return out.select(*[(F.col(c) if c == "median" else r6(F.col(c))).alias(c) for c in out.columns])
 
 
 @query(f"WITH {_RANKED}, k AS (SELECT unnest([1, 3, 5, 10]) AS k), f AS (SELECT t.query_id, k.k, total, count(DISTINCT h.id) AS hits FROM tot t CROSS JOIN k LEFT JOIN h ON h.query_id = t.query_id AND rel = 1 AND rank <= k.k GROUP BY ALL) SELECT query_id, k, hits, round(hits / k, 6) AS precision, round(hits / total, 6) AS recall, round(CASE WHEN hits > 0 THEN 2.0 * hits / k * hits / total / (hits / k + hits / total) ELSE 0 END, 6) AS f1 FROM f")
 def metric_hits_at_k(spark, sf_dir):
-    return M.at_k(_ranked(spark, sf_dir), _relevant(spark, sf_dir)).withColumns({c: r6(F.col(c)) for c in ("precision", "recall", "f1")})
+    return M.at_k(_ranked(spark, sf_dir, 10), _relevant(spark, sf_dir)).withColumns({c: r6(F.col(c)) for c in ("precision", "recall", "f1")})
 
 
 @query(f"WITH {_RANKED}, k AS (SELECT unnest([1, 3, 5, 10]) AS k), f AS (SELECT t.query_id, k.k, total, count(DISTINCT h.id) AS hits FROM tot t CROSS JOIN k LEFT JOIN h ON h.query_id = t.query_id AND rel = 1 AND rank <= k.k GROUP BY ALL) SELECT k, round(sum(hits) / sum(total), 6) AS coverage FROM f GROUP BY k")
 def metric_coverage(spark, sf_dir):
     rel = _relevant(spark, sf_dir)
     n = rel.agg(F.count_distinct("query_id", "id").alias("n"))
-    return M.at_k(_ranked(spark, sf_dir), rel).groupBy("k").agg(F.sum("hits").alias("h")).crossJoin(F.broadcast(n)).select("k", r6(F.col("h") / F.col("n")).alias("coverage"))
+    return M.at_k(_ranked(spark, sf_dir, 10), rel).groupBy("k").agg(F.sum("hits").alias("h")).crossJoin(F.broadcast(n)).select("k", r6(F.col("h") / F.col("n")).alias("coverage"))
 
 
 @query(f"WITH {_RANKED}, a AS (SELECT query_id, sum(CASE WHEN rel = 1 THEN seen / rank ELSE 0 END) AS s, sum(rel) AS n FROM run GROUP BY query_id) SELECT query_id, round(s / total, 6) AS ap, round(s / n, 6) AS ap_seen FROM a JOIN tot USING (query_id)")
 def metric_map(spark, sf_dir):
-    ranked, rel = _ranked(spark, sf_dir), _relevant(spark, sf_dir)
-    seen = M.average_precision(ranked, rel, over_seen=True).select("query_id", r6(F.col("ap")).alias("ap_seen"))
-    return M.average_precision(ranked, rel).select("query_id", r6(F.col("ap")).alias("ap")).join(seen, "query_id")
+    return M.average_precisions(_ranked(spark, sf_dir), _relevant(spark, sf_dir)).withColumns({c: r6(F.col(c)) for c in ("ap", "ap_seen")})
 
 
 @query(f"WITH {_RANKED} SELECT query_id, round(sum(CASE WHEN rank <= total THEN rel ELSE 0 END) / total, 6) AS rp FROM h JOIN tot USING (query_id) GROUP BY query_id, total")
@@ -98,12 +96,12 @@ def _ndcg_sql(kind: str) -> str:
 
 @query(_ndcg_sql("exp"))
 def metric_ndcg(spark, sf_dir):
-    return M.ndcg(_ranked(spark, sf_dir), _relevant(spark, sf_dir)).withColumns({c: r6(F.col(c)) for c in ("dcg", "idcg", "ndcg")})
+    return M.ndcg(_ranked(spark, sf_dir, 10), _relevant(spark, sf_dir)).withColumns({c: r6(F.col(c)) for c in ("dcg", "idcg", "ndcg")})
 
 
 @query(_ndcg_sql("linear"))
 def metric_ndcg_linear(spark, sf_dir):
-    return M.ndcg(_ranked(spark, sf_dir), _relevant(spark, sf_dir), kind="linear").withColumns({c: r6(F.col(c)) for c in ("dcg", "idcg", "ndcg")})
+    return M.ndcg(_ranked(spark, sf_dir, 10), _relevant(spark, sf_dir), kind="linear").withColumns({c: r6(F.col(c)) for c in ("dcg", "idcg", "ndcg")})
 
 
 @query(f"WITH {_RANKED}, p AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id % 6, id) AS p, (id % 6)::INTEGER AS depth FROM relevant), c AS (SELECT query_id, id, depth + 1 AS depth, p FROM p WHERE p <= 5), g AS (SELECT *, max(depth) OVER (PARTITION BY query_id) - depth + 1 AS relevance FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, p)::INTEGER AS rank FROM g) SELECT query_id, id, depth, relevance, rank, round({_gain('relevance', 'rank', 'exp')}, 6) AS dcg FROM r")
