@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words without weight in lexical comparisons.
 STOPWORDS = (
@@ -122,9 +123,21 @@ def answer_letter(text: Column, letters: Column) -> Column:
     return F.when(F.array_contains(letters, found), found)
 
 
-def signature(*fields: str) -> Column:
-    """A canonical text of columns, independent of the order in which they are named."""
-    return F.to_json(F.struct(*[F.col(f) for f in sorted(fields)]), {"ignoreNullFields": "false"})
+def signature(*fields: str, schema: T.StructType | None = None) -> Column:
+    """A canonical text of columns, independent of the order in which they are named; with their schema, also of the
+    order of fields in nested structs and of keys in maps."""
+    known = {f.name: f.dataType for f in schema.fields} if schema is not None else {}
+    return F.to_json(F.struct(*[_sorted(F.col(f), known.get(f)).alias(f) for f in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def _sorted(c: Column, kind: T.DataType | None) -> Column:
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_sorted(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _sorted(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), _sorted(e["value"], kind.valueType).alias("value"))))
+    return c
 
 
 def stable_order(key: Column, seed: int | str) -> Column:

@@ -12,19 +12,28 @@ from pyspark.sql import functions as F
 
 from taxolume.functions import vector as V
 
-#: Query rows up to which they are sent to every task; more are taken in blocks.
-QUERY_BLOCK = 4096
+#: Query rows up to which they are sent to every task; more are taken in blocks. Table rows scored with a block at a time.
+QUERY_BLOCK, ROWS = 4096, 512
 
 
-def scan(queries: DataFrame, table: DataFrame, score: str = "poincare", k: float | Column = 1.0, weight: float = 0.35) -> DataFrame:
-    """(query_id, id, score) of every query against every row. queries: (query_id, q), table: (id, vec).
+def stated(queries: DataFrame, table: DataFrame) -> DataFrame:
+    """Every row of table beside every one of the stated queries (query_id, ...), which are broadcast: all at once if
+    they are at most QUERY_BLOCK, else in blocks of about that size by a hash of their ids, a scan of table each."""
+    n = queries.count()
+    blocks = -(-n // QUERY_BLOCK)
+    if blocks <= 1:
+        return table.crossJoin(F.broadcast(queries))
+    parts = [table.crossJoin(F.broadcast(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))) for b in range(blocks)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
-    The stated query set is broadcast if it has at most QUERY_BLOCK rows, else the join is left to the optimizer.
-    """
+
+def scan(queries: DataFrame, table: DataFrame, score: str = "poincare", k: float | Column = 1.0, weight: float = 0.35) -> DataFrame:
+    """(query_id, id, score) of every query against every row. queries: (query_id, q), table: (id, vec)."""
     build, _ = V.SCORES[score]
-    few = queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
-    pairs = table.crossJoin(F.broadcast(queries) if few else queries)
-    return pairs.select("query_id", "id", build(F.col("q"), F.col("vec"), k, weight).alias("score"))
+    return stated(queries, table).select("query_id", "id", build(F.col("q"), F.col("vec"), k, weight).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int | None, ascending: bool, by: str = "query_id", id_: str = "id", score: str = "score") -> DataFrame:
@@ -59,10 +68,8 @@ def mixed(tables: list[DataFrame], sigmas: list[float], kernel: str = "exp", k:
 def mixed_scan(queries: DataFrame, table: DataFrame, parts: list[tuple[str, str, Callable[[Column, Column], Column]]], sigmas: list[float], kernel: str = "exp", k: int | None = 10, exclude_self: bool = True) -> DataFrame:
     """As mixed, over spaces whose vectors stand side by side in one table: parts are (query column, table column,
     distance). The table is read once, all distances of a pair are taken together, and nothing but the best rows is
-    shuffled. queries: (query_id, ...), stated and broadcast up to QUERY_BLOCK rows."""
-    few = queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
-    q = queries.select("query_id", *[F.col(c).alias(f"_q{i}") for i, (c, _, _) in enumerate(parts)])
-    pairs = table.crossJoin(F.broadcast(q) if few else q)
+    shuffled. queries: (query_id, ...), stated."""
+    pairs = stated(queries.select("query_id", *[F.col(c).alias(f"_q{i}") for i, (c, _, _) in enumerate(parts)]), table)
     if exclude_self:
         pairs = pairs.filter("query_id <> id")
     score = V.mixed_distance([distance(F.col(f"_q{i}"), F.col(c)) for i, (_, c, distance) in enumerate(parts)], sigmas, kernel)
@@ -97,26 +104,30 @@ def bulk_top_k(queries: DataFrame, table: DataFrame, k: int = 10, curvature: flo
 
 
 def _block_scan(q: np.ndarray, q_ids: np.ndarray, k: int, c: float, kind: str):
+    """A task's k best rows for each query; queries by ROWS rows are scored at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nq = (q * q).sum(axis=1)
+        best_key, best_id, best_s = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max), np.zeros((len(q), k))
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            s = q @ x.T
-            if kind != "inner":
-                nx = (x * x).sum(axis=1)
-                s = np.maximum(nq[:, None] + nx - 2 * s, 0)
-                s = np.sqrt(s) if kind == "l2" else np.arccosh(np.maximum(1, 1 + 2 * c * s / ((1 - (c * nq + 1e-7))[:, None] * (1 - (c * nx + 1e-7))))) / np.sqrt(c)
-            key = -s if kind == "inner" else s.copy()
-            key[q_ids[:, None] == ids] = np.inf
-            take = min(k, len(ids))
-            order = np.argsort(ids, kind="stable")
-            best = order[np.argsort(key[:, order], axis=1, kind="stable")[:, :take]]  # ties by id
-            rows = np.repeat(np.arange(len(q)), take)
-            cols = best.ravel()
-            ok = np.isfinite(key[rows, cols])
-            rows, cols = rows[ok], cols[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids[cols]), pa.array(s[rows, cols])], ["query_id", "id", "score"])
+            for lo in range(0, batch.num_rows, ROWS):
+                own = batch.slice(lo, ROWS)
+                ids = own.column(0).to_numpy(zero_copy_only=False)
+                x = own.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                s = q @ x.T
+                if kind != "inner":
+                    nx = (x * x).sum(axis=1)
+                    s = np.maximum(nq[:, None] + nx - 2 * s, 0)
+                    s = np.sqrt(s) if kind == "l2" else np.arccosh(np.maximum(1, 1 + 2 * c * s / ((1 - (c * nq + 1e-7))[:, None] * (1 - (c * nx + 1e-7))))) / np.sqrt(c)
+                key = -s if kind == "inner" else s.copy()
+                key[q_ids[:, None] == ids] = np.inf
+                at = np.flatnonzero((key <= best_key[:, -1:]).any(axis=1) & (key.min(axis=1) < np.inf))  # the others keep what they have
+                every = np.concatenate([best_id[at], np.broadcast_to(ids, (len(at), len(ids)))], axis=1)
+                key, s = np.concatenate([best_key[at], key[at]], axis=1), np.concatenate([best_s[at], s[at]], axis=1)
+                order = np.lexsort((every, key), axis=1)[:, :k]  # ties by id
+                best_key[at], best_s[at], best_id[at] = (np.take_along_axis(a, order, axis=1) for a in (key, s, every))
+        rows, cols = np.nonzero(np.isfinite(best_key))
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(best_id[rows, cols]), pa.array(best_s[rows, cols])], ["query_id", "id", "score"])
 
     return run
 
@@ -204,6 +215,4 @@ def with_norms(table: DataFrame, vec: str = "vec") -> DataFrame:
 def scan_with_norms(queries: DataFrame, table: DataFrame, k: float | Column = 1.0) -> DataFrame:
     """As scan by Poincare distance, from the norms that table has and those of the stated queries."""
     q = with_norms(queries, "q").withColumnRenamed("norm", "q_norm")
-    few = q.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
-    pairs = table.crossJoin(F.broadcast(q) if few else q)
-    return pairs.select("query_id", "id", V.poincare_from_norms(F.col("q_norm"), F.col("norm"), V.dot(F.col("q"), F.col("vec")), k).alias("score"))
+    return stated(q, table).select("query_id", "id", V.poincare_from_norms(F.col("q_norm"), F.col("norm"), V.dot(F.col("q"), F.col("vec")), k).alias("score"))

@@ -114,6 +114,30 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
     assert got == sorted((h, k, 3, float(sum(i for i in range(6 * h, 6 * h + 6) if i % 2 == (k == "b")))) for h in (0, 1) for k in "ab")
 
 
+def test_nested_signatures(spark):
+    from taxolume.functions.text import signature
+
+    a = spark.sql("select 1 as id, named_struct('x', 1, 'y', array(named_struct('p', 1, 'q', map('k', 1, 'a', 2)))) as s")
+    b = spark.sql("select 1 as id, named_struct('y', array(named_struct('q', map('a', 2, 'k', 1), 'p', 1)), 'x', 1) as s")
+    c = spark.sql("select 1 as id, named_struct('y', array(named_struct('q', map('a', 2, 'k', 1), 'p', 2)), 'x', 1) as s")
+    sign = lambda df: df.select(signature("s", "id", schema=df.schema)).first()[0]
+    assert sign(a) == sign(b) != sign(c)
+
+
+def test_queries_beyond_a_block(spark, monkeypatch):
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    t = spark.createDataFrame([(i, [float(i * i % 17), float(i % 5)]) for i in range(700)], "id long, vec array<double>")
+    q = t.filter("id < 20").select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
+    rows = lambda df: sorted((r.query_id, r["rank"], r.id) for r in df.collect())
+    x = {r.id: r.vec for r in t.collect()}
+    want = []
+    for i in range(20):
+        near = sorted((round(sum((a - b) ** 2 for a, b in zip(x[i], x[j], strict=True)), 9), j) for j in x if j != i)[:4]
+        want += [(i, n + 1, j) for n, (_, j) in enumerate(near)]
+    assert rows(R.retrieve(q, t, "l2", 4)) == want and rows(R.bulk_top_k(q, t, 4, kind="l2", block=7)) == want
+    assert "CartesianProduct" not in R.scan(q, t, "l2")._jdf.queryExecution().toString()
+
+
 def test_joins_on_hot_keys(spark):
     many = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
     one = spark.range(10_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
