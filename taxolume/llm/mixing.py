@@ -6,7 +6,9 @@ it, and the other goes on to the next pairing. What one gains in words the other
 source's words are kept; only the last document of a source, whose coin is left, moves them. Pairs form inside small
 groups of similar size (source, size class, hash bucket), the groups' leftovers in groups of groups, and so on: a
 distributed reduction tree whose depth grows with the logarithm of the rows; the last pairings of a source go from its
-large documents to its small ones. Rows that agree in all columns are one unit of as many copies, so repeats make no
+large documents to its small ones. A source's few very large documents are decided first, in a tree of their own, and
+what that moves is made up for by the others' shares, so that a source comes near its target also where one document is
+a large part of it. Rows that agree in all columns are one unit of as many copies, so repeats make no
 group larger. Fractions are integers and all randomness is hashed from row keys, so reruns agree. DataFrame expressions
 only.
 """
@@ -24,6 +26,8 @@ from taxolume.storage import Scratch, join_hot, multiplied, numbered
 ONE = 1 << 40
 #: Documents in a group of the tree's lowest level, about, and groups that one above takes together.
 GROUP = 128
+#: A document of more than this part of its source's target is decided before the others.
+LARGE = 50
 #: Rows of (source, size class) up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,7 +65,7 @@ UNIT = ("size", "key", "id", "n", "mass")
 
 def _fold(units: Column, seed: int) -> Column:
     """struct<open, done>: pairs an array of units one after the other; done have mass 0 or ONE, open is the last one."""
-    kind = "struct<" + ",".join(f"{c}:bigint" for c in UNIT) + ">"
+    kind = "struct<" + ",".join(f"{c}:bigint" for c in (*UNIT, "whole")) + ">"
 
     def step(a: Column, x: Column) -> Column:
         o = a["open"]
@@ -83,7 +87,7 @@ def _fold(units: Column, seed: int) -> Column:
 
 
 def _with(unit: Column, mass: Column) -> Column:
-    return F.struct(*[unit[c].alias(c) for c in UNIT[:-1]], mass.cast("long").alias("mass"))
+    return F.struct(*[unit[c].alias(c) for c in UNIT[:-1]], mass.cast("long").alias("mass"), unit["whole"].alias("whole"))
 
 
 def _row_key(docs: DataFrame) -> Column:
@@ -122,38 +126,52 @@ def _rounded(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     told = plan.agg(F.count("*"), F.max("buckets")).first()
     keyed = rows.select("*", *at)
     units = keyed.join(F.broadcast(plan), ["s", "none", "class"]) if told[0] <= BROADCAST_ROWS else join_hot(keyed, plan, ["s", "none", "class"], F.col("key"))
+    units = units.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("buckets")))
     share_of = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
-    units = units.withColumn("exact", share_of * F.col("n")).withColumn("whole", F.floor("exact").cast("long"))
-    units = units.withColumn("mass", F.least(F.round((F.col("exact") - F.col("whole")) * ONE).cast("long"), F.lit(ONE))).withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("buckets")))
+    large = F.col("size") * LARGE > F.col("target")
+    first = _decided(store, units.filter(large).withColumn("exact", share_of * F.col("n")), told[1] or 1, seed)
+    # What the large documents took more or less than their part goes to the others' shares, whose mean stays as it was.
+    by_source = lambda df: join_hot(df, sums, ["s", "none"], F.col("key"), how="left") if told[0] > BROADCAST_ROWS else df.join(F.broadcast(sums), ["s", "none"], "left")
+    sums = store.put(first.groupBy("s", "none").agg(F.sum(F.col("size") * F.col("total")).alias("had"), F.sum(F.col("size") * F.col("n")).alias("was")))
+    rest = F.col("source_size") - F.coalesce("was", F.lit(0))
+    share_of = F.when((rest > 0) & (F.col("size") > 0), F.least(F.lit(float(most)), F.greatest(F.lit(0.0), (F.col("target") - F.coalesce("had", F.lit(0))) / rest))).otherwise(0.0)
+    second = _decided(store, by_source(units.filter(~large)).withColumn("exact", share_of * F.col("n")).drop("had", "was"), told[1] or 1, seed + 50)
+    per = plan.groupBy("s", "none").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    out = first.unionByName(second)
+    out = out.join(F.broadcast(per), ["s", "none"]) if told[0] <= BROADCAST_ROWS else join_hot(out, per, ["s", "none"], F.col("key"))
+    result = store.put(out.select("id", F.when(~F.col("none"), F.col("s")).alias("source"), F.col("key").alias("row_key"), "size", "source_size", "target", "n", "total"))
+    store.clear(result)
+    return result
+
 
-    by_source = ["s", "none", "class"]
-    decided = [units.filter(F.col("mass").isin(0, ONE)).select("s", "none", *UNIT)]
-    open_ = units.filter(~F.col("mass").isin(0, ONE)).select(*by_source, "bucket", *UNIT)
-    left, level = (told[1] or 1), 0
+def _decided(store: Scratch, units: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """(s, none, size, key, id, n, total) of units that are to be taken `exact` times: its whole part and, for some, one
+    more. units: (s, none, class, bucket, size, key, id, n, exact), with fewer than `buckets` buckets in a class."""
+    kept = ["s", "none", *UNIT[:-1], "whole"]
+    units = units.withColumn("whole", F.floor("exact").cast("long"))
+    units = store.put(units.withColumn("mass", F.least(F.round((F.col("exact") - F.col("whole")) * ONE).cast("long"), F.lit(ONE))).select("class", "bucket", *kept, "mass"))
+    decided = [units.filter(F.col("mass").isin(0, ONE)).select(*kept, "mass")]
+    open_, left, level = units.filter(~F.col("mass").isin(0, ONE)).select("class", "bucket", *kept, "mass"), buckets, 0
+    cols = [*UNIT, "whole"]
     while True:
         level += 1
         last = left <= 1 and level > 1
-        by = ["s", "none"] if last else [*by_source, "bucket"]
-        ordered = F.reverse(F.array_sort(F.collect_list(F.struct(*UNIT))))
+        by = ["s", "none"] if last else ["s", "none", "class", "bucket"]
+        ordered = F.reverse(F.array_sort(F.collect_list(F.struct(*cols))))
         folded = open_.groupBy(*by).agg(_fold(ordered, seed + level).alias("f"))
         if last:
             # One document of each source is left with a fraction: a coin of that weight decides it.
             coin = F.when(F.pmod(F.xxhash64(F.col("f.open.key"), F.lit(seed)), F.lit(ONE)) < F.col("f.open.mass"), ONE).otherwise(0)
-            decided.append(folded.select("s", "none", F.explode(F.concat("f.done", F.array(_with(F.col("f.open"), coin)))).alias("u")).select("s", "none", "u.*"))
+            decided.append(folded.select("s", "none", F.explode(F.concat("f.done", F.array(_with(F.col("f.open"), coin)))).alias("u")).select("s", "none", "u.*").select(*kept, "mass"))
             break
         flat = store.put(folded.select(*by, F.explode(F.concat("f.done", F.array("f.open"))).alias("u")).select(*by, "u.*"))
-        decided.append(flat.filter(F.col("mass").isin(0, ONE)).select("s", "none", *UNIT))
+        decided.append(flat.filter(F.col("mass").isin(0, ONE)).select(*kept, "mass"))
         open_ = flat.filter(~F.col("mass").isin(0, ONE)).withColumn("bucket", F.floor(F.col("bucket") / GROUP).cast("long"))
         left = -(-left // GROUP)
     out = decided[0]
     for d in decided[1:]:
         out = out.union(d)
-    per = plan.groupBy("s", "none").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    out = out.join(F.broadcast(per), ["s", "none"]) if told[0] <= BROADCAST_ROWS else join_hot(out, per, ["s", "none"], F.col("key"))
-    total = F.floor(share_of * F.col("n")).cast("long") + (F.col("mass") == ONE).cast("long")
-    result = store.put(out.select("id", F.when(~F.col("none"), F.col("s")).alias("source"), F.col("key").alias("row_key"), "size", "source_size", "target", "n", total.alias("total")))
-    store.clear(result)
-    return result
+    return store.put(out.select("s", "none", *UNIT[:-1], (F.col("whole") + (F.col("mass") == ONE).cast("long")).alias("total")))
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
