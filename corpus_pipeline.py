@@ -20,7 +20,8 @@ from taxolume.storage import Scratch, delete, shared_dir, spread, told
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those whose language is unknown (no text, no letter) go."""
+    """Documents in a known language; those whose language is unknown (no text, no letter) go, all of them if nothing is
+    labelled. Nothing is learned from rows without an id or language. Other columns, and repeated rows, stay."""
     model = lang_mixture.fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
     found = lang_mixture.predict(docs, model, pred="_lang", score="_score", languages="_set", keep=docs.columns)
     return found.filter(F.col("_lang") != lang_mixture.UNKNOWN).select(*docs.columns)
@@ -45,18 +46,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind and n_chars counted anew. Null and empty texts stay as they
+    are (n_chars of a null text is null), repeated rows too; an empty table gives no rows."""
     clean = pii.redact(pii.find_spans(docs, out="_pii"), spans="_pii")
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
+    """Documents as often as the mix of their sources takes them, none more than twice. A null source is a source; texts
+    without words, null ones included, are not taken; equal rows are together as many as are taken of them."""
     return repeated(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens."""
+    """The pieces of all documents in sequences of 1024 tokens. Documents that the mixture repeats are packed each time;
+    null ids stay null, an empty text is its end token alone, and an empty table gives no sequences."""
     return pack_documents(docs)
 
 
