@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolume.functions.text import percentage, stable_order
-from taxolume.storage import Scratch, numbered
+from taxolume.storage import Scratch, join_hot, numbered
 
 
 def _lowered(words: DataFrame) -> DataFrame:
@@ -59,44 +59,57 @@ def random_question(questions: DataFrame, dataset: str, seed: int | str) -> Data
     return own.withColumn("_o", stable_order(F.col("question_id").cast("string"), seed)).orderBy("_o", "question_id").limit(1).drop("_o")
 
 
-def hard_negatives(edges: DataFrame, closure: DataFrame) -> DataFrame:
-    """(child, negative): siblings that are neither the child nor one of its ancestors."""
-    pairs = edges.join(edges.select(F.col("child").alias("negative"), "parent"), "parent").select("child", "negative").filter("child <> negative").distinct()
+def hard_negatives(edges: DataFrame, closure: DataFrame, n: int | None = None, seed: int | str = 0) -> DataFrame:
+    """(child, negative): siblings that are neither the child nor one of its ancestors.
+
+    All of them by default, which are as many as the square of a parent's children; with n, up to n of each child, drawn
+    by place among each parent's children, so that a parent of very many is no larger a task than another.
+    """
     up = closure.select(F.col("node").alias("child"), F.col("ancestor").alias("negative"))
-    return pairs.join(up, ["child", "negative"], "left_anti")
+    if n is None:
+        pairs = edges.join(edges.select(F.col("child").alias("negative"), "parent"), "parent").select("child", "negative").filter("child <> negative").distinct()
+        return pairs.join(up, ["child", "negative"], "left_anti")
+    store = Scratch(edges.sparkSession, "siblings")
+    listed = store.put(numbered(edges.select("child", "parent").distinct(), [F.col("parent"), F.md5(F.concat(F.lit(f"{seed}#"), "child")), F.col("child")], "i", store))
+    spans = listed.groupBy("parent").agg(F.min("i").alias("lo"), F.count("*").alias("m"))
+    own = join_hot(listed, spans, "parent", F.xxhash64("child")).select("child", "lo", "m")
+    return _drawn(store, own, listed.select("i", F.col("child").alias("node")), up, n, seed).select("child", "negative")
 
 
 def random_negatives(children: DataFrame, nodes: DataFrame, closure: DataFrame, n: int, seed: int | str) -> DataFrame:
     """(child, negative, place): n nodes for each child that are neither itself nor an ancestor, or all such nodes if
-    there are fewer.
-
-    Nodes stand in an order fixed by the seed; each child draws places in it by a hash and looks nodes up by place, so
-    no child meets all nodes. Draws that repeat, or hit the child or an ancestor, are replaced in further rounds, twice
-    as many each; a child that has drawn as often as there are nodes is given all nodes.
-    """
+    there are fewer. Nodes stand in an order fixed by the seed; each child draws places in it."""
     store = Scratch(children.sparkSession, "negatives")
-    order = F.md5(F.concat(F.lit(f"{seed}#"), "node"))
-    listed = store.put(numbered(nodes.select("node").distinct(), [order, F.col("node")], "i", store))
+    listed = store.put(numbered(nodes.select("node").distinct(), [F.md5(F.concat(F.lit(f"{seed}#"), "node")), F.col("node")], "i", store))
     total = listed.count()
     up = closure.select(F.col("node").alias("child"), F.col("ancestor").alias("negative"))
-    open_, want, found = store.put(children.select("child").distinct()), 2 * n, None
-    while total and not open_.isEmpty():
-        whole = want >= total
-        places = F.sequence(F.lit(0), F.lit(min(want, total) - 1))
-        drawn = open_.withColumn("draw", F.explode(places))
-        at = F.col("draw") if whole else F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), "child", F.lit("|"), F.col("draw").cast("string"))), 1, 12), 16, 10).cast("long") % total
-        met = drawn.withColumn("i", at.cast("long")).join(listed, "i").filter("child <> node").groupBy("child", F.col("node").alias("negative")).agg(F.min("draw").alias("draw"))
-        rank = F.md5(F.concat(F.lit(f"{seed}:"), "child", F.lit("|"), "negative")) if whole else F.col("draw")
-        kept = met.join(up, ["child", "negative"], "left_anti").withColumn("place", F.row_number().over(Window.partitionBy("child").orderBy(rank, "negative"))).filter(F.col("place") <= n)
-        kept = store.put(kept.select("child", "negative", "place"))
-        full = kept if whole else kept.join(kept.groupBy("child").agg(F.count("*").alias("_n")).filter(F.col("_n") == n).select("child"), "child", "left_semi")
+    own = children.select("child").distinct().select("child", F.lit(0).cast("long").alias("lo"), F.lit(total).cast("long").alias("m"))
+    return _drawn(store, own.filter("m > 0"), listed, up, n, seed)
+
+
+def _drawn(store: Scratch, own: DataFrame, listed: DataFrame, up: DataFrame, n: int, seed: int | str) -> DataFrame:
+    """(child, negative, place): up to n of the nodes that each child (child, lo, m) may draw, the m from place lo on in
+    listed (i, node), without itself and its ancestors up (child, negative).
+
+    Places are drawn by a hash and looked up, so no child meets all nodes. Draws that repeat, or hit the child or an
+    ancestor, are replaced in further rounds, twice as many each; where as many are drawn as there are, all are taken.
+    """
+    open_, want, found = store.put(own), 2 * n, None
+    while not open_.isEmpty():
+        whole = F.col("m") <= want
+        drawn = open_.withColumn("whole", whole).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("m"), F.lit(want)) - 1)))
+        hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), "child", F.lit("|"), F.col("draw").cast("string"))), 1, 12), 16, 10).cast("long") % F.col("m")
+        at = F.col("lo") + F.when(F.col("whole"), F.col("draw")).otherwise(hashed)
+        met = drawn.withColumn("i", at).join(listed, "i").filter("child <> node").groupBy("child", F.col("node").alias("negative")).agg(F.min("draw").alias("draw"), F.min("whole").alias("whole"))
+        by_hash = F.md5(F.concat(F.lit(f"{seed}:"), "child", F.lit("|"), "negative"))
+        rank = F.row_number().over(Window.partitionBy("child").orderBy("whole", F.when(~F.col("whole"), F.col("draw")), by_hash, "negative"))
+        kept = store.put(met.join(up, ["child", "negative"], "left_anti").withColumn("place", rank).filter(F.col("place") <= n).select("child", "negative", "place"))
+        done = kept.groupBy("child").agg(F.count("*").alias("_n")).filter(F.col("_n") == n).select("child")
+        done = done.union(open_.groupBy("child").agg(F.max("m").alias("m")).filter(F.col("m") <= want).select("child")).distinct()
+        full = kept.join(done, "child", "left_semi")
         found = full if found is None else found.union(full)
-        if whole:
-            break
-        open_, want = store.put(open_.join(full.select("child").distinct(), "child", "left_anti")), want * 2
-    if found is None:
-        return children.select("child", F.col("child").alias("negative"), F.lit(1).alias("place")).limit(0)
-    return found
+        open_, want = store.put(open_.join(done, "child", "left_anti")), want * 2
+    return own.select("child", F.col("child").alias("negative"), F.lit(1).alias("place")).limit(0) if found is None else found
 
 
 def examples(edges: DataFrame, hard: DataFrame, random: DataFrame, n: int = 10) -> DataFrame:

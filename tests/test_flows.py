@@ -85,6 +85,9 @@ def test_negatives_are_as_many_as_there_are(spark):
     every = S.random_negatives(edges.filter("child = 'p'"), nodes, closure, 1000, 1)
     assert every.count() == 300 and every.filter("negative in ('p', 'top')").count() == 0
     assert S.random_negatives(edges.limit(0), nodes, closure, 5, 1).count() == 0
+    hard, all_hard = S.hard_negatives(edges, closure, 6, 2), S.hard_negatives(edges, closure)
+    assert hard.join(all_hard, ["child", "negative"], "left_anti").isEmpty() and {r.n for r in hard.groupBy("child").agg(F.count_distinct("negative").alias("n")).collect()} == {6}
+    assert S.hard_negatives(edges, closure, 400).count() == all_hard.count() == 300 * 299
     with pytest.raises(Exception, match="no id for"):
         S.index_lists(spark.createDataFrame([("a", "b", ["d"])], "child string, parent string, negatives array<string>"), spark.createDataFrame([("a", 1), ("b", 2)], "name string, id long")).collect()
     with pytest.raises(Exception, match="no vector for"):
