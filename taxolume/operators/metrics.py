@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxolume.storage import Scratch, numbered
+
 
 def hits(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     """ranked with rel (0 or 1) and relevance (0 where not relevant)."""
@@ -294,18 +296,22 @@ def rank_metrics(ranks: DataFrame, by: str = "kind", grand_total: bool = True) -
 
 def rank_auc(ranks: DataFrame, candidates: int) -> DataFrame:
     """(auc) of ranks among so many candidates: true positives so far against wrong ones placed before, by trapezoids
-    from (0, 0) to (1, 1)."""
-    h = ranks.groupBy("rank").agg(F.count("*").alias("v"))
-    upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(F.lit(0))
-    n = F.sum("v").over(every)
-    below = F.sum("v").over(upto)
-    fp = (F.col("rank") - 1) * below + F.col("rank") * (n - below)
-    pts = h.select((fp / (F.lit(float(candidates - 1)) * n)).alias("x"), (below / n).alias("y"))
-    ends = ranks.sparkSession.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "x double, y double")
-    w = Window.orderBy("y", "x")
-    area = (F.col("x") - F.lag("x").over(w)) * (F.col("y") + F.lag("y").over(w)) / 2
-    return pts.union(ends).select(area.alias("a")).agg(F.sum("a").alias("auc"))
+    from (0, 0) to (1, 1).
+
+    Ranks are counted first; their running sums come from sums of ranges, each rank meets the one before it by number.
+    """
+    store = Scratch(ranks.sparkSession, "auc")
+    n = ranks.count()
+    if not n:
+        return ranks.sparkSession.createDataFrame([(0.5,)], "auc double")
+    h = ranks.groupBy(F.col("rank").cast("long").alias("rank")).agg(F.count("*").alias("v"))
+    run = numbered(h, [F.col("rank")], "i", store, "v", "below")
+    x = ((F.col("rank") * n - F.col("below")) / F.lit(float(candidates - 1) * n)).alias("x")
+    pts = store.put(run.select("i", x, (F.col("below") / F.lit(float(n))).alias("y")))
+    before = pts.select((F.col("i") + 1).alias("i"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+    area = (F.col("x") - F.coalesce("x0", F.lit(0.0))) * (F.col("y") + F.coalesce("y0", F.lit(0.0))) / 2
+    last = pts.agg(F.max_by("x", "i").alias("x")).select((F.lit(1.0) - F.col("x")).alias("a"))  # from the last rank, where y is 1
+    return pts.join(before, "i", "left").select(area.alias("a")).union(last).agg(F.sum("a").alias("auc"))
 
 
 def clustering_loss(d_pos: Column, d_neg: Column, margin: float = 5.0) -> Column:

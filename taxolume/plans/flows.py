@@ -448,9 +448,18 @@ def question_map(spark, sf_dir):
     return Q.question_map(questions(spark, sf_dir), "parts")
 
 
-@query(None)
+_WORD = "[\\p{L}\\p{N}''-]+"
+
+
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS f, string_split_regex(coalesce(text, ''), '{_WORD}') AS g FROM documents),
+u AS (SELECT doc_id, unnest(f) AS w, unnest(g[1:len(f)]) AS g, generate_subscripts(f, 1) AS i FROM w), p AS (SELECT *, sum(length(g) + length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM u),
+q AS (SELECT doc_id, e - length(w) AS s, w, e, {', '.join(f'lead({c}, {n}) OVER x AS {c}{n}' for n in (1, 2, 3) for c in 'wge')} FROM p WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, s, e, w AS lit FROM q UNION ALL SELECT doc_id, s, e1, w || g1 || w1 FROM q UNION ALL SELECT doc_id, s, e2, w || g1 || w1 || g2 || w2 FROM q UNION ALL SELECT doc_id, s, e3, w || g1 || w1 || g2 || w2 || g3 || w3 FROM q),
+d(word, type) AS (VALUES ('token', 'secret'), ('the', 'word'), ('der', 'word'), ('of the', 'phrase')), m AS (SELECT doc_id, s, e, lit, type FROM r JOIN d ON lower(lit) = word),
+k AS (SELECT *, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS far FROM m)
+SELECT doc_id, lit AS entity_literal, s::INTEGER AS start_position, e::INTEGER AS end_position, type AS entity_type FROM k WHERE e > far""")
 def span_tagger(spark, sf_dir):
-    """Dictionary spans of all documents; the tests hold tag_spans against a plain version."""
+    """Dictionary spans of all documents."""
     words = spark.createDataFrame([("token", "secret"), ("the", "word"), ("der", "word"), ("of the", "phrase")], "word string, entity_type string")
     return Q.tag_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), words)
 

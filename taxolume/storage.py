@@ -115,11 +115,19 @@ def multiplied(df: DataFrame, times: str, index: str, keys: list[str]) -> DataFr
     return begin.withColumn(index, F.explode(F.sequence(F.col("_lo"), F.least(n, F.col("_lo") + step) - 1))).drop("_lo")
 
 
-def numbered(df: DataFrame, order: list[Column], out: str, store: Scratch) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], out: str, store: Scratch, value: str | None = None, running: str = "running") -> DataFrame:
     """df with its rows numbered from 0 in an order, without a window over all of them: rows go to ranges, ranges are
-    counted, and numbers follow from the counts, of which there is one a partition."""
+    counted, and numbers follow from the counts, of which there is one a partition. With value, also its running sum."""
     ranged = store.put(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col("b._range") < F.col("a._range"), "left").groupBy(F.col("a._range").alias("_range")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return ranged.withColumn("_i", within).join(F.broadcast(before), "_range").withColumn(out, (F.col("_i") + F.col("_before")).cast("long")).drop("_i", "_before", "_range")
+    own = F.sum(value) if value else F.lit(0)
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"), own.alias("_s"))
+    ahead = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col("b._range") < F.col("a._range"), "left").groupBy(F.col("a._range").alias("_range"))
+    before = ahead.agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"), F.coalesce(F.sum("b._s"), F.lit(0)).alias("_had"))
+    upto = Window.partitionBy("_range").orderBy(*order)
+    rows = ranged.withColumn("_i", F.row_number().over(upto) - 1)
+    if value:
+        rows = rows.withColumn("_run", F.sum(value).over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(F.broadcast(before), "_range").withColumn(out, (F.col("_i") + F.col("_before")).cast("long"))
+    if value:
+        rows = rows.withColumn(running, F.col("_run") + F.col("_had"))
+    return rows.drop("_i", "_before", "_range", "_had", "_run")
