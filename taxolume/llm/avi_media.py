@@ -3,12 +3,13 @@
 A payload's bytes are the samples of grey frames of 24 by 24; each frame is a JPEG of its own (lossless process, SOF3,
 prediction from the left), so it is stored exactly and any frame decodes alone. The reader follows the RIFF lists and
 the idx1 index, decodes the intra frames, and finds shots where a frame's histogram differs from the one before by more
-than the differences around it explain. Coding and decoding run over all frames of a batch at once in numpy.
+than the differences around it explain. Baseline frames of other writers are decoded too. Coding and decoding run over all frames of a batch at once in numpy.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -221,6 +222,141 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
     return out.transpose(2, 0, 1)
 
 
+@cache
+def _zigzag() -> np.ndarray:
+    """Where each coefficient of a block stands, in the order of the scan: diagonal by diagonal, up and down in turn."""
+    cells = sorted(((y, x) for y in range(8) for x in range(8)), key=lambda c: (sum(c), c[0] if sum(c) % 2 else c[1]))
+    return np.array([8 * y + x for y, x in cells])
+
+
+@cache
+def _cosines() -> np.ndarray:
+    k, x = np.arange(8)[:, None], np.arange(8)[None, :]
+    return np.where(k == 0, np.sqrt(1 / 8), 0.5) * np.cos((2 * x + 1) * k * np.pi / 16)
+
+
+def _lookup(body: bytes) -> list[tuple[int, int]]:
+    """(symbol, bits) by the next 16 bits; 0 bits where no code begins so."""
+    table, value, k = [(0, 0)] * (1 << 16), 0, 0
+    for n in range(1, 17):
+        for _ in range(body[n - 1]):
+            low = value << (16 - n)
+            table[low : low + (1 << (16 - n))] = [(body[16 + k], n)] * (1 << (16 - n))
+            value, k = value + 1, k + 1
+        value <<= 1
+    return table
+
+
+class _Bits:
+    """Entropy-coded bits of one interval between restarts."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at, self.held, self.n = data, 0, 0, 0
+
+    def need(self, n: int) -> None:
+        while self.n < n:
+            byte = self.data[self.at] if self.at < len(self.data) else 0
+            self.at += 1
+            self.held, self.n = (self.held << 8 | byte) & 0xFFFFFFFF, self.n + 8
+
+    def symbol(self, table: list[tuple[int, int]]) -> int:
+        self.need(16)
+        symbol, n = table[self.held >> (self.n - 16) & 0xFFFF]
+        if not n or self.at > len(self.data) + 4:
+            raise ValueError("bits that are no code")
+        self.n -= n
+        return symbol
+
+    def value(self, s: int) -> int:
+        """The signed number of s bits."""
+        if not s:
+            return 0
+        self.need(s)
+        self.n -= s
+        v = self.held >> self.n & ((1 << s) - 1)
+        return v if v >> (s - 1) else v - (1 << s) + 1
+
+
+def decode_baseline(frame: bytes) -> np.ndarray:
+    """Luminance samples (height, width) of a baseline JPEG with its Huffman tables, grey or with subsampled colours."""
+    at, steps, tables, parts, restart = 2, {}, {}, [], 0
+    while True:
+        mark, size = struct.unpack_from(">xBH", frame, at)
+        body = frame[at + 4 : at + 2 + size]
+        at += 2 + size
+        if mark == 0xDB:
+            while body:
+                wide = 2 if body[0] >> 4 else 1
+                steps[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * wide], ">u2" if wide == 2 else "u1").astype(np.int64)
+                body = body[1 + 64 * wide :]
+        elif mark == 0xC4:
+            while body:
+                tables[body[0]] = _lookup(body[1:])
+                body = body[17 + sum(body[1:17]) :]
+        elif mark == 0xC0:
+            precision, height, width, n = struct.unpack_from(">BHHB", body)
+            if precision != 8:
+                raise ValueError("only 8-bit frames")
+            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+        elif mark == 0xDD:
+            restart = struct.unpack_from(">H", body)[0]
+        elif mark == 0xDA:
+            if body[0] != len(parts):
+                raise ValueError("only one scan of all colours")
+            dealt = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
+            break
+    if not parts:
+        raise ValueError("not a baseline frame")
+    coded = frame[at : frame.rindex(b"\xff\xd9")]
+    intervals = [_Bits(x.replace(b"\xff\x00", b"\xff")) for x in re.split(rb"\xff[\xd0-\xd7]", coded)]
+    most_h, most_v = max(p[1] for p in parts), max(p[2] for p in parts)
+    across, down = -(-width // (8 * most_h)), -(-height // (8 * most_v))
+    if len(parts) == 1:  # a single colour is not interleaved: its blocks lie row by row
+        parts, most_h, most_v = [(parts[0][0], 1, 1, parts[0][3])], 1, 1
+        across, down = -(-width // 8), -(-height // 8)
+    _, first_h, first_v, quant = parts[0]
+    blocks = np.zeros((down * first_v, across * first_h, 64))
+    zigzag = _zigzag()
+    for unit in range(across * down):
+        if unit % (restart or across * down) == 0:
+            bits, before = intervals[unit // restart if restart else 0], [0] * len(parts)
+        for i, (name, h, v, _) in enumerate(parts):
+            dc, ac = tables[dealt[name] >> 4], tables[16 | dealt[name] & 15]
+            for k in range(h * v):
+                before[i] += bits.value(bits.symbol(dc))
+                own = [0] * 64
+                own[0], j = before[i], 1
+                while j < 64:
+                    symbol = bits.symbol(ac)
+                    if not symbol:
+                        break
+                    j += symbol >> 4
+                    if symbol & 15:
+                        own[j] = bits.value(symbol & 15)
+                    j += 1
+                if i == 0:
+                    blocks[unit // across * v + k // h, unit % across * h + k % h, zigzag] = own
+    turned = np.zeros(64)
+    turned[zigzag] = steps[quant]
+    c = _cosines()
+    x = np.einsum("ky,abkl,lx->abyx", c, (blocks * turned).reshape(*blocks.shape[:2], 8, 8), c)
+    plane = np.clip(np.round(x + 128), 0, 255).astype(np.uint8).transpose(0, 2, 1, 3).reshape(8 * blocks.shape[0], -1)
+    # A first colour that is itself subsampled keeps its own size.
+    return plane[: -(-height * first_v // most_v), : -(-width * first_h // most_h)]
+
+
+def _frame(f: bytes) -> np.ndarray:
+    at = 2
+    while at + 4 <= len(f):
+        mark, size = struct.unpack_from(">xBH", f, at)
+        if mark in (0xC0, 0xC3):
+            return decode_baseline(f) if mark == 0xC0 else decode_frames([f])[0]
+        if mark == 0xDA:
+            break
+        at += 2 + size
+    raise ValueError("neither a baseline nor a lossless frame")
+
+
 def shots(histograms: np.ndarray) -> list[tuple[int, int]]:
     """(first frame, frame after the last) of each shot, by the frames' histograms as shares of their samples. A cut lies where the histogram difference is at least LEAST
     and exceeds the mean of those around it by three of their standard deviations, or by half where there are none."""
@@ -289,7 +425,7 @@ def _decoded_alone(f: bytes) -> tuple:
     """As _decoded for one file whose frames may differ in kind and size; raises ValueError with the reason if it can't be read."""
     try:
         period, _, _, at = index_of(f)
-        frames = [decode_frames([f[a : a + s]])[0].reshape(1, -1) for a, s in at]
+        frames = [_frame(f[a : a + s]).reshape(1, -1) for a, s in at]
     except (ValueError, IndexError, KeyError, struct.error) as e:
         raise ValueError(str(e) or type(e).__name__) from e
     bins = np.concatenate([_histograms(x) for x in frames]) if frames else np.zeros((0, BINS))
@@ -308,9 +444,9 @@ def decode(media: DataFrame, column: str = "media", keep: list[str] | None = Non
     (without the filling), payload_bytes, payload_sha256, tail_crc32 (of the last 32 payload bytes), media_bytes,
     media_sha256, clips and error.
 
-    A null medium gives nulls. One that is malformed, or holds frames other than lossless grey JPEGs, gives its
-    media_bytes and media_sha256, nulls, and the reason as error; other rows are not touched by it. Frames of one file
-    may differ in size and tables. Repeated rows stay; columns with these names give way to the new ones.
+    Frames are lossless grey JPEGs, or baseline ones with their tables, of which the luminance counts; they may differ
+    in size and tables. A null medium gives nulls. One that is malformed or of another kind gives its media_bytes and
+    media_sha256, nulls, and the reason as error; other rows are not touched by it. Repeated rows stay; columns with these names give way to the new ones.
     """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string

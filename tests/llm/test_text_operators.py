@@ -206,3 +206,78 @@ def test_many_and_overlapping_spans(spark):
     clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     assert clean[1] == "<email> <ip>, " * 3000
     assert clean[2] == "<card>.com <phone>) <ip>.org" or "@" not in clean[2] and "1111" not in clean[2]
+
+
+def baseline_jpeg(coefs, height, width, parts, restart=0):
+    """A baseline JPEG from quantised coefficients by part and block in scan order: every symbol has an 8-bit code."""
+    import struct
+
+    symbols = {0: list(range(12)), 1: [0, 0xF0, *[r << 4 | s for r in range(16) for s in range(1, 9)]]}
+    code = {k: {s: i for i, s in enumerate(v)} for k, v in symbols.items()}
+    out = [b"\xff\xd8\xff\xdb" + struct.pack(">HB", 67, 0) + bytes([3] + [2] * 63)]
+    for k in (0, 1):
+        out.append(b"\xff\xc4" + struct.pack(">HB", 19 + len(symbols[k]), k << 4) + bytes([0] * 7 + [len(symbols[k])] + [0] * 8) + bytes(symbols[k]))
+    out.append(b"\xff\xc0" + struct.pack(">HBHHB", 8 + 3 * len(parts), 8, height, width, len(parts)) + b"".join(bytes([i, h << 4 | v, 0]) for i, (h, v) in enumerate(parts)))
+    if restart:
+        out.append(b"\xff\xdd" + struct.pack(">HH", 4, restart))
+    out.append(b"\xff\xda" + struct.pack(">HB", 6 + 2 * len(parts), len(parts)) + b"".join(bytes([i, 0]) for i in range(len(parts))) + bytes([0, 63, 0]))
+    bits, before, coded = "", [0] * len(parts), []
+
+    def put(k, symbol, value, size):
+        nonlocal bits
+        bits += f"{code[k][symbol]:08b}" + (f"{value if value > 0 else value + (1 << size) - 1:0{size}b}" if size else "")
+
+    def flush():
+        nonlocal bits
+        bits += "1" * (-len(bits) % 8)
+        coded.append(bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00"))
+        bits = ""
+
+    for unit, blocks in enumerate(coefs):
+        if restart and unit and unit % restart == 0:
+            flush()
+            before = [0] * len(parts)
+        for i, own in blocks:
+            d = own[0] - before[i]
+            before[i] = own[0]
+            put(0, abs(d).bit_length(), d, abs(d).bit_length())
+            run = 0
+            for x in own[1:]:
+                if not x:
+                    run += 1
+                    continue
+                while run > 15:
+                    put(1, 0xF0, 0, 0)
+                    run -= 16
+                put(1, run << 4 | abs(x).bit_length(), x, abs(x).bit_length())
+                run = 0
+            if run:
+                put(1, 0, 0, 0)
+    flush()
+    marked = b"".join(c + (b"\xff" + bytes([0xD0 + i % 8]) if i < len(coded) - 1 else b"") for i, c in enumerate(coded))
+    return b"".join(out) + marked + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("parts, restart", [([(1, 1)], 0), ([(1, 1)], 2), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 3)])
+def test_baseline_frames(spark, parts, restart):
+    rng = random.Random(restart)
+    height, width = 29, 37
+    h, v = parts[0]
+    across, down = -(-width // (8 * h)), -(-height // (8 * v))
+    block = lambda: [rng.randint(-150, 150), *[rng.choice([0, 0, 0, 0, rng.randint(-20, 20)]) for _ in range(40)], *[0] * 22, rng.choice([0, 5])]
+    coefs = [[(i, block()) for i, (a, b) in enumerate(parts) for _ in range(a * b)] for _ in range(across * down)]
+    got = avi_media.decode_baseline(baseline_jpeg(coefs, height, width, parts, restart))
+    assert got.shape == (height, width)
+    order = sorted(((y, x) for y in range(8) for x in range(8)), key=lambda c: (c[0] + c[1], c[0] if (c[0] + c[1]) % 2 else c[1]))
+    assert order[:6] == [(0, 0), (0, 1), (1, 0), (2, 0), (1, 1), (0, 2)]
+    for y, x in ((0, 0), (7, 8), (15, 16), (28, 36), (20, 3), (9, 30)):
+        by, bx = y // 8, x // 8
+        own = [b for i, b in coefs[by // v * across + bx // h] if i == 0][by % v * h + bx % h]
+        total = 0.0
+        for k, (u, w) in enumerate(order):
+            scale = (np.sqrt(1 / 8) if u == 0 else 0.5) * (np.sqrt(1 / 8) if w == 0 else 0.5)
+            total += own[k] * (3 if k == 0 else 2) * scale * np.cos((2 * (y % 8) + 1) * u * np.pi / 16) * np.cos((2 * (x % 8) + 1) * w * np.pi / 16)
+        assert abs(int(got[y, x]) - min(255, max(0, total + 128))) <= 0.51
+    jpeg = [baseline_jpeg([[(i, [level] + [0] * 63) for i, (a, b) in enumerate(parts) for _ in range(a * b)] for _ in range(across * down)], height, width, parts, restart) for level in [-100] * 4 + [100] * 5]
+    r = avi_media.decode(spark.createDataFrame([(1, avi_media.avi(jpeg))], "i int, media binary")).first()
+    assert r.error is None and r.frames == 9 and [c.first_frame for c in r.clips] == [0, 4] and r.payload_bytes == 9 * height * width
