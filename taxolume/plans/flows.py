@@ -18,7 +18,7 @@ from taxolume.operators import sets as S
 from taxolume.sources import io
 from taxolume.storage import Scratch, numbered, shared_dir
 
-from .evaluation import _LAMBDA, _PAIRS, _scored
+from .evaluation import _PAIRS, _scored
 from .graphs import _EXPR, _TRIPLES, _axioms, _expressions, _triples
 from .questions import _MCQA, questions
 from .views import ASKED, EDGES, K, NEIGHBOURS, PATHS, PLACES, POINTS, SAME, asked, edges, neighbours, places, points, r6, same_as, sql_poincare, sql_subsumption, table
