@@ -480,8 +480,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Words are runs of other characters than space and 0x09-0x0D, A-Z lower-cased; a document's set has its distinct
     n-grams of `size` words, or its whole word sequence if that is shorter. A null or empty text has an empty set and
     is linked with nothing. Equal sets are linked. Rows with equal keys but different texts are judged each by its
-    own text, and their key counts as one node. A row whose key is null is returned with its set's size and a null component. Other columns are ignored.
-    The input must give the same rows when it is read again, as files do.
+    own text, and their key counts as one node. A row whose key is null is returned with its set's size and a null
+    component. Other columns are ignored; an empty table gives no rows. The input must give the same rows when it is
+    read again, as files do.
     """
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     spark, whole = docs.sparkSession, docs.filter(F.col("doc").isNotNull())
@@ -495,8 +496,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     schema = ", ".join(f"{c} {t}" for c, t in TOLD.items())
     ranges = store.put(dealt.sortWithinPartitions("range").mapInArrow(_shared(bits, max(1, FREQUENT >> bits)), schema))
     often = [(r["range"], bytes(r["often"])) for r in ranges.filter("often is not null").select("range", "often").toLocalIterator()]
-    slices = ranges.filter("slice is not null").select("slice", "places", "counts").repartition("slice").sortWithinPartitions("slice")
-    known = store.put(slices.mapInArrow(_totals(percent), "doc long, n long, one long, two long, can boolean"))
+    slices = ranges.filter("slice is not null").select("slice", "places", "counts")
+    many = held >> 30  # a task for each GB of text, where that is more than there are anyway
+    slices = slices.repartition(many, "slice") if many > int(spark.conf.get("spark.sql.shuffle.partitions")) else slices.repartition("slice")
+    known = store.put(slices.sortWithinPartitions("slice").mapInArrow(_totals(percent), "doc long, n long, one long, two long, can boolean"))
     store.drop(ranges)
 
     copies = store.put(known.filter("can").groupBy("n", "one", "two").agg(F.min("doc").alias("rep")))
