@@ -40,10 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 class Scratch:
     """A job's tables as compressed Parquet in a folder of its own. Each is deleted as soon as it was used for the last
-    time; what a lazily evaluated result still reads stays."""
+    time; what a lazily evaluated result still reads stays until `clean`."""
+
+    made_here: list[str] = []
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.folder, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4()}", 0
+        Scratch.made_here.append(self.folder)
         self.at: dict[int, str] = {}
         self.held: list[DataFrame] = []
 
@@ -67,6 +70,12 @@ class Scratch:
             delete(self.spark, self.at.pop(id(df)))
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that this process has left in the shared folder. Results that still read them end with it."""
+    while Scratch.made_here:
+        delete(spark, Scratch.made_here.pop())
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder by Spark's own file systems, wherever it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -156,6 +156,8 @@ def test_joins_on_hot_keys(spark):
     a, b = store.put(one), store.put(many)
     store.clear(a)
     assert os.listdir(store.folder.removeprefix("file:")) == ["1"] and a.count() == 10_000 and b is not None
+    storage.clean(spark)
+    assert not os.path.exists(store.folder.removeprefix("file:")) and not storage.Scratch.made_here
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
