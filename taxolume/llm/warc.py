@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolume.storage import Scratch, join_hot, multiplied, shared_dir
+from taxolume.storage import Scratch, delete, join_hot, multiplied, shared_dir
 
 #: Payloads of fewer bytes are always stored.
 LEAST_REVISIT = 1000
@@ -242,12 +242,16 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame, folder: str | None = None, keep_payload: bool = False, **how) -> DataFrame:
-    """pages written to archives in folder, by default a new one in the shared folder, read back and assembled. A row
-    for each row of pages: null keys and urls, empty and very long payloads and repeated rows included."""
+    """pages written to archives in folder, read back and assembled; without a folder, in a new one in the shared folder
+    that is deleted once it was read. A row for each row of pages: null keys and urls, empty and very long payloads and
+    repeated rows included."""
     spark = pages.sparkSession
-    folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4()}"
-    write_archives(pages, folder, **how)
-    return assemble(read_records(spark, folder, keep_payload))
+    at = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4()}"
+    write_archives(pages, at, **how)
+    found = assemble(read_records(spark, at, keep_payload))  # which has read all records once it returns
+    if folder is None:
+        delete(spark, at)
+    return found
 
 
 SQL = """
