@@ -130,8 +130,8 @@ def numbered(df: DataFrame, order: list[Column], out: str, store: Scratch, value
     ranged = store.put(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     own = F.sum(value) if value else F.lit(0)
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"), own.alias("_s"))
-    ahead = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col("b._range") < F.col("a._range"), "left").groupBy(F.col("a._range").alias("_range"))
-    before = ahead.agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"), F.coalesce(F.sum("b._s"), F.lit(0)).alias("_had"))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    before = counts.select("_range", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(as_) for c, as_ in (("_n", "_before"), ("_s", "_had"))])
     upto = Window.partitionBy("_range").orderBy(*order)
     rows = ranged.withColumn("_i", F.row_number().over(upto) - 1)
     if value:
