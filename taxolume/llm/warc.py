@@ -37,11 +37,11 @@ def _id(kind: str, digest: Column, page: str = "page", url: str = "url") -> Colu
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
-def _record(kind: str, id_: Column, fields: list[tuple[str, Column]], block: Column) -> Column:
+def _record(kind: str, id_: Column, fields: list[tuple[str, Column]], block: Column, end: str = "\r\n\r\n") -> Column:
     lines = [F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: "), id_, F.lit("\r\n")]
     for name, value in fields:  # a null field is left out
         lines.append(F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit("")))
-    return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block, F.lit("\r\n\r\n"))
+    return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block, F.lit(end))
 
 
 def transactions(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", date: str = DATE, least_revisit: int = LEAST_REVISIT) -> DataFrame:
@@ -57,10 +57,9 @@ def transactions(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     first = large.groupBy("digest").agg(F.max(F.struct("page", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     first = Scratch(pages.sparkSession, "digests").put(first)
     few = (first.agg(F.sum(F.octet_length("first.url") + 64)).first()[0] or 0) <= BROADCAST_BYTES
-    judged = large.join(F.broadcast(first), "digest", "left") if few else join_hot(large, first, "digest", F.xxhash64("page", "url"), how="left")
-    judged = judged.withColumn("revisit", F.col("first").isNotNull() & ~F.col("first.page").eqNullSafe(F.col("page")))
-    small = rows.filter(F.col("bytes") < least_revisit)
-    every = judged.unionByName(small.withColumn("first", F.lit(None).cast(first.schema["first"].dataType)).withColumn("revisit", F.lit(False)))
+    # Smaller payloads have no digest in common with these; they pass through the same join.
+    judged = rows.join(F.broadcast(first), "digest", "left") if few else join_hot(rows, first, "digest", F.xxhash64("page", "url"), how="left")
+    every = judged.withColumn("revisit", F.col("first").isNotNull() & ~F.col("first.page").eqNullSafe(F.col("page")))
     main = _id("main", F.col("digest"))
     refers = _id("main", F.col("digest"), "first.page", "first.url")
     host = F.coalesce(F.regexp_extract("url", r"^(?s:.*?)://([^/?#]*)", 1), F.lit(""))
@@ -71,9 +70,9 @@ def transactions(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     response = _record("response", main, seen, F.concat(http, F.col("payload")))
     revisit = _record("revisit", main, [*seen, ("WARC-Refers-To", refers), ("WARC-Profile", F.lit(PROFILE))], http)
     request = _record("request", _id("request", F.col("digest")), [*common, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/http;msgtype=request"))], F.concat(F.lit("GET "), target, F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n")))
-    about = _record("metadata", _id("metadata", F.col("digest")), [*common, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/warc-fields"))], F.coalesce(F.concat(F.lit("pageId: "), F.col("page").cast("string"), F.lit("\r\n")), F.lit("")))
+    about = _record("metadata", _id("metadata", F.col("digest")), [*common, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/warc-fields"))], F.coalesce(F.concat(F.lit("pageId: "), F.col("page").cast("string"), F.lit("\r\n")), F.lit("")), end="\r\n")
     whole = F.concat(request, F.when(F.col("revisit"), revisit).otherwise(response), about)
-    return every.select(F.substring(whole, F.lit(1), F.length(whole) - 2).alias("value"))
+    return every.select(whole.alias("value"))
 
 
 def _filled(most: int):
