@@ -90,11 +90,11 @@ def transitive_edges(edges: DataFrame, closure: DataFrame | None = None) -> Data
 
 def transitive_reduction(edges: DataFrame, closure: DataFrame | None = None) -> DataFrame:
     """edges without those to a parent that another parent of the same child reaches."""
-    closure = ancestors(edges) if closure is None else closure
+    closure = Scratch(edges.sparkSession, "reduction").put(ancestors(edges)) if closure is None else closure
     # Ancestors by way of a direct parent, with the edges that they repeat: at most one row for each row of the closure
     # and edge below it.
     over = edges.select("child", F.col("parent").alias("node")).join(closure.filter("node <> ancestor").select("node", "ancestor"), "node")
-    reached = over.select("child", F.col("ancestor").alias("parent")).distinct()
+    reached = over.select("child", F.col("ancestor").alias("parent"))
     return edges.join(reached, ["child", "parent"], "left_anti")
 
 
