@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxolume.functions.text import STOPWORDS, tokenise
-from taxolume.storage import Scratch, spread, told
+from taxolume.storage import Scratch, told
 
 from .retrieve import top_k
 
@@ -45,7 +45,7 @@ def load(spark, folder: str, kind: str) -> Index:
 
 def _frequencies(corpus: DataFrame, tokens: Column) -> DataFrame:
     """(doc_id, dl, term, tf): each document's terms with its length, tokenised once into the shared folder."""
-    rows = spread(corpus).select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    rows = corpus.select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
     return Scratch(corpus.sparkSession, "terms").put(rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
 
 

@@ -122,7 +122,7 @@ _TF = f"tf AS (SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unn
 
 
 def _corpus(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _asked(spark, sf_dir):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -42,11 +41,11 @@ class Scratch:
     """A job's tables as compressed Parquet in a folder of its own. Each is deleted as soon as it was used for the last
     time; what a lazily evaluated result still reads stays until `clean`."""
 
-    made_here: list[str] = []
+    made_here: list[tuple[str, str]] = []  # (session, folder)
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.folder, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4()}", 0
-        Scratch.made_here.append(self.folder)
+        Scratch.made_here.append((_session(spark), self.folder))
         self.at: dict[int, str] = {}
         self.held: list[DataFrame] = []
 
@@ -70,10 +69,17 @@ class Scratch:
             delete(self.spark, self.at.pop(id(df)))
 
 
+def _session(spark: SparkSession) -> str:
+    return spark._jsparkSession.sessionUUID()
+
+
 def clean(spark: SparkSession) -> None:
-    """Deletes all tables that this process has left in the shared folder. Results that still read them end with it."""
-    while Scratch.made_here:
-        delete(spark, Scratch.made_here.pop())
+    """Deletes all tables that this session has left in the shared folder. Results that still read them end with it;
+    tables of other sessions stay."""
+    own = _session(spark)
+    for folder in [f for s, f in Scratch.made_here if s == own]:
+        delete(spark, folder)
+    Scratch.made_here[:] = [x for x in Scratch.made_here if x[0] != own]
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -83,11 +89,10 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over as many tasks as run at once, if it is a scan of less than SMALL_BYTES in fewer files than that: a
-    file is often one row group, which one task reads. Larger scans, and what has been shuffled, stay as they are."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    shuffled = re.search(r"\b(Join|Aggregate|Sort|Repartition\w*|Window|Generate|LogicalRDD)\b", plan.toString())
-    if shuffled or int(str(plan.stats().sizeInBytes())) > SMALL_BYTES:
+    """df, which the caller says is a plain scan of files, dealt over as many tasks as run at once if it has less than
+    SMALL_BYTES in fewer files than that: a file is often one row group, which one task reads. Larger scans stay as they
+    are. Only the placing of rows changes, so no result may depend on it."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_BYTES:
         return df
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if 0 < len(df.inputFiles()) < n else df
