@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxolume.storage import Scratch
+from taxolume.storage import Scratch, multiplied
 
 from .common import releasing, worker_cache
 
@@ -34,8 +34,10 @@ END, LENGTH = 2, 1024
 #: Pieces that one task packs at a time; it bounds memory and the search's time. Of a group's pieces, those of its
 #: emptiest bins, one in KEEP, are packed again with those of other groups.
 GROUP, KEEP = 20_000, 8
-#: Distinct chunks whose ids a worker remembers, at most.
-REMEMBERED = 500_000
+#: Bytes of chunks and their ids that a worker remembers, about; longer chunks than CHUNK characters are encoded anew.
+REMEMBERED, CHUNK = 48 << 20, 32
+#: What a dictionary needs for an entry besides its key and value, about.
+ENTRY = 100
 #: Fixed value: how byte-level BPE of this family splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space that the split may join across a space; such texts are encoded whole.
@@ -57,16 +59,21 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Chunks(dict):
-    """Packed little-endian uint32 ids of a space and a chunk, encoded when first asked for."""
+    """Packed little-endian uint32 ids of a space and a chunk, encoded when first asked for. Chunks of a text without
+    spaces may be as long as it is, so only short ones are remembered, and all are forgotten at a number of bytes."""
 
     def __init__(self, encode) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.held = encode, 0
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[chunk] = got = _packed(self.encode(" " + chunk))
+        got = _packed(self.encode(" " + chunk))
+        if len(chunk) <= CHUNK:
+            self.held += sys.getsizeof(chunk) + sys.getsizeof(got) + ENTRY
+            if self.held > REMEMBERED:
+                self.clear()
+                self.held = 0
+            self[chunk] = got
         return got
 
 
@@ -74,8 +81,8 @@ class ByteBpe:
     """The ids that the vocabulary file's own tokenizer gives with add_special_tokens=False.
 
     Added tokens' strings are ids of their own, the leftmost and of those the longest first; what lies between them is
-    encoded as a text. Such a text is split at spaces, as no merge crosses from one word to the next, and each chunk is
-    encoded once and remembered. Texts with runs of white space around spaces are encoded whole.
+    encoded as a text. Such a text is split at spaces, as no merge crosses from one word to the next, and short chunks
+    are encoded once and remembered. Texts with runs of white space around spaces are encoded whole.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -343,22 +350,30 @@ def pack(parts: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
     """parts (key, piece, start, length, ids_crc32) with sequence_id and offset.
 
     Every row is packed once, repeated rows each; rows of a null key too. No sequence holds more than `length`; offsets
-    leave no gap. Ties between pieces of one length go by key, piece and start; the result is the same for the same
-    rows, up to the order of rows that agree in all columns. An empty table gives no rows. A sequence's number has its
-    level in the tree, its group and its bin in bits of their own; full pieces have negative numbers.
+    leave no gap. Ties between pieces of one length go by key, piece, start and checksum, equal rows by a number among
+    themselves, so that equal tables give equal sequences, however they are stored and dealt over tasks. An empty table
+    gives no rows. A sequence's number has its level in the tree, its group and its bin in bits of their own; full
+    pieces are sequences of their own with negative numbers, which alone depend on how the table is dealt.
     """
     store = Scratch(parts.sparkSession, "packing")
     kept = ["key", "copy", "piece", "start", "length", "ids_crc32"]
     # Rows that agree in all columns spread over groups too, and stay apart as copies.
-    rows = store.put(parts.withColumn("copy", F.monotonically_increasing_id()).select(*kept))
+    same = parts.groupBy("key", "piece", "start", "length", "ids_crc32").agg(F.count("*").alias("times"))
+    same = store.put(same)
+    repeats = multiplied(same.filter("times > 1"), "times", "copy", ["key", "piece", "start", "ids_crc32"])
+    rows = same.filter("times = 1").withColumn("copy", F.lit(0).cast("long")).select(*kept)
+    if not same.filter("times > 1").isEmpty():
+        rows = store.put(rows.unionByName(repeats.select(*kept)))
+        store.drop(same)
     n = rows.filter(F.col("length") < length).count()
-    out = [rows.filter(F.col("length") >= length).select(*kept, (-1 - F.col("copy")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    full = rows.filter(F.col("length") >= length)
+    out = [full.select(*kept, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     open_, level = rows.filter(F.col("length") < length), 0
     schema = "key long, copy long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     while True:
         groups = max(1, -(-n // group))
-        at = F.pmod(F.xxhash64("key", "piece", "copy", F.lit(level)), F.lit(groups))
-        dealt = open_.withColumn("g", at).select("g", *kept).repartition(min(groups, 10_000), "g").sortWithinPartitions("g", "length", "key", "piece", "start", "copy")
+        at = F.pmod(F.xxhash64("key", "piece", "ids_crc32", "copy", F.lit(level)), F.lit(groups))
+        dealt = open_.withColumn("g", at).select("g", *kept).repartition(min(groups, 10_000), "g").sortWithinPartitions("g", "length", "key", "piece", "start", "ids_crc32", "copy")
         packed = store.put(dealt.mapInArrow(_pack(length, level, KEEP if groups > 1 else None), schema))
         out.append(packed.filter("sequence_id is not null"))
         if groups == 1:
@@ -372,5 +387,10 @@ def pack(parts: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
-    """key, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row of docs."""
+    """key, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row of docs.
+
+    A null or empty text is its end token alone; a null key stays null; equal rows are packed each. A very long text is
+    held by one task while its ids are made (4 bytes an id) and gives many full pieces. Other columns are ignored,
+    whatever their names. An empty table gives no rows.
+    """
     return pack(pieces(docs, key, text, vocabulary, length, end), length).withColumnRenamed("key", key)
