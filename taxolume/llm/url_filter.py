@@ -27,11 +27,14 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Links in a page: a refresh with a target and a canonical link, each in either order of its attributes.
-REFRESH = r"""(?is)<meta\s[^>]*?http-equiv\s*=\s*["']?refresh["'\s][^>]*?url\s*=\s*["']?([^"'>\s]+)"""
-REFRESH_TURNED = r"""(?is)<meta\s[^>]*?content\s*=\s*["']?[^>"']*?url\s*=\s*["']?([^"'>\s]+)["'\s][^>]*?http-equiv\s*=\s*["']?refresh["'\s/>]"""
-CANONICAL = r"""(?is)<link\s[^>]*?rel\s*=\s*["']?canonical["'\s][^>]*?href\s*=\s*["']?([^"'>\s]+)"""
-CANONICAL_TURNED = r"""(?is)<link\s[^>]*?href\s*=\s*["']?([^"'>\s]+)["'\s][^>]*?rel\s*=\s*["']?canonical["'\s>]"""
+#: A page's meta and link tags. Nothing between < and > is given back, so a page is read once, whatever is in it.
+TAGS = r"(?i)<(?:meta|link)\s([^<>]*+)>"
+#: What a tag says, anywhere among its attributes.
+IS_REFRESH, IS_CANONICAL = r"""(?i)(?:^|[\s"'])http-equiv\s*+=\s*+["']?refresh(?:["'\s/]|$)""", r"""(?i)(?:^|[\s"'])rel\s*+=\s*+["']?canonical(?:["'\s/]|$)"""
+#: The value of content, and the target in it; the value of href.
+CONTENT = r"""(?i)(?:^|[\s"'])content\s*+=\s*+(?:"([^"]*+)|'([^']*+)|([^\s"']\S*+))"""
+TARGET = r"""(?i)(?:^|[\s;,])url\s*+=\s*+["']?([^"'\s]++)"""
+HREF = r"""(?i)(?:^|[\s"'])href\s*+=\s*+["']?([^"'\s]++)"""
 
 
 def lower_ascii(s: Column) -> Column:
@@ -71,11 +74,15 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): pages' urls and what they redirect to or call canonical, all links of a page, both normalised. Relative
     targets are resolved by site root or directory; a target without a host or of a fragment only and a page without a
-    url give no edge."""
+    url give no edge. Tags are cut out first, in time that grows with the page's length; attributes are looked for
+    inside each, in any order. A tag whose attributes hold < or > is not read."""
     u, h = F.col(f"`{url}`"), F.col(f"`{html}`")
-    links = F.flatten(F.array(*[F.regexp_extract_all(h, F.lit(p), F.lit(1)) for p in (REFRESH, REFRESH_TURNED, CANONICAL, CANONICAL_TURNED)]))
-    marked = F.when(h.rlike("(?i)http-equiv|canonical"), links)
-    found = pages.filter(u.isNotNull() & h.isNotNull()).select(normalised(u).alias("a"), F.explode(marked).alias("t")).filter("t <> '' and t not like '#%'")
+    tags = F.when(h.rlike("(?i)http-equiv|canonical"), F.regexp_extract_all(h, F.lit(TAGS), F.lit(1)))
+    tags = F.filter(tags, lambda t: t.rlike(IS_REFRESH) | t.rlike(IS_CANONICAL))
+    found = pages.filter(u.isNotNull() & h.isNotNull()).select(u.alias("a"), F.explode(tags).alias("tag"))
+    content = F.concat(*[F.coalesce(F.regexp_extract("tag", CONTENT, i), F.lit("")) for i in (1, 2, 3)])
+    says = F.array(F.when(F.col("tag").rlike(IS_REFRESH), F.regexp_extract(content, TARGET, 1)), F.when(F.col("tag").rlike(IS_CANONICAL), F.regexp_extract("tag", HREF, 1)))
+    found = found.select(normalised(F.col("a")).alias("a"), F.explode(says).alias("t")).filter("t <> '' and t not like '#%'")
     # An explode of one element computes what the next step uses many times once.
     root = F.regexp_extract("a", r"^(?s:.*?)://[^/?#]*", 0)
     found = found.select("a", "t", F.explode(F.array(F.struct(root.alias("root"), F.regexp_replace(path(F.col("a")), "/[^/]*$", "").alias("folder")))).alias("at"))
@@ -89,8 +96,9 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
 
     edges (a, b) add redirects known from elsewhere, as from a crawl's 3xx records; those in the pages' html always
     count. A URL that no rule and no alias decides gets `default`. Null urls have empty host and path and no aliases.
-    All rows stay, repeated urls included; aliases need not be pages themselves: rules are applied to them too. An
-    empty table gives no rows; other columns, whatever their names, are ignored.
+    All rows stay, repeated urls included; aliases need not be pages themselves: rules are applied to them too. Very
+    long pages are read whole, in time that grows with their length. An empty table gives no rows; other columns,
+    whatever their names, are ignored.
     """
     where = F.struct(host(F.col(f"`{url}`")).alias("host"), path(F.col(f"`{url}`")).alias("path"))
     rows = pages.select(F.col(f"`{key}`").alias(key), normalised(F.col(f"`{url}`")).alias("_url"), where.alias("_w"))
