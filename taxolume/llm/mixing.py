@@ -102,7 +102,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     size is the number of words of the text, 0 for a null one. A row without words is not taken. All rows are returned,
     null keys and sources too (a null source is a source). Rows that agree in all columns are rounded together and
     differ by one copy at most. An empty table gives no rows. No row is taken more than `most` times, rounded up; with
-    share and most as they are, twice.
+    share and most as they are, twice. Very long texts count in full; those that are large against their source's target
+    are decided first, and the others make up for them. Other columns, whatever their names, only tell rows apart.
     """
     units = _rounded(docs, key, text, source, weights, share, most, seed)
     rows = units.filter("n = 1").withColumn("copies", F.col("total"))
@@ -183,12 +184,12 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row, _row_key(docs).alias("h"), *at(F.col(f"`{key}`").cast("long"), F.col(f"`{source}`")))
     same = ["h", "k", "s"]
-    once = rows.join(counts.filter("n = 1 and total > 0").drop("n"), same)
-    out = once.select("row", F.explode(F.sequence(F.lit(1), F.col("total").cast("int"))))
-    if not counts.filter("n > 1").isEmpty():
-        many = counts.filter("n > 1 and total > 0")
-        # Equal rows fall together where they are read, so a task shuffles one of each.
-        one = join_hot(rows, many, same, F.monotonically_increasing_id(), many.select(*same, F.col("n").alias("_rows")))
-        one = one.groupBy(*same).agg(F.first("row").alias("row"), F.first("total").alias("total"))
-        out = out.union(multiplied(one, "total", "i", ["h"]).select("row", F.col("i").cast("int")))
+    # Copies of a repeated row may be any part of all rows: the join splits them, and each task keeps one of each.
+    taken = counts.filter("total > 0")
+    if counts.filter("n > 1").isEmpty():
+        return rows.join(taken.drop("n"), same).select("row", F.explode(F.sequence(F.lit(1), F.col("total").cast("int")))).select("row.*")
+    all_ = join_hot(rows, taken, same, F.monotonically_increasing_id(), taken.select(*same, F.col("n").alias("_rows")))
+    out = all_.filter("n = 1").select("row", F.explode(F.sequence(F.lit(1), F.col("total").cast("int"))))
+    one = all_.filter("n > 1").groupBy(*same).agg(F.first("row").alias("row"), F.first("total").alias("total"))
+    out = out.union(multiplied(one, "total", "i", ["h"]).select("row", F.col("i").cast("int")))
     return out.select("row.*")
