@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from taxolume.storage import spread
 
-from . import avi_media, jaccard_tree, lang_mixture, pii, pivot_search, quality, url_filter, warc
+from . import avi_media, jaccard_tree, lang_mixture, line_dedup, pii, pivot_search, quality, spelling, url_filter, warc, whitening
 from .common import held_out
 from .jaccard_tree import jaccard_components
 from .mixing import mix
@@ -77,5 +77,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_packing, op4_jaccard, op5_top_k, op6_language, op7_warc, op8_url_filter, op9_pii, op10_media)}
-ORACLES: dict[str, str] = {"op4_jaccard": jaccard_tree.SQL, "op5_top_k": pivot_search.SQL, "op7_warc": warc.SQL, "op8_url_filter": url_filter.SQL, "op9_pii": pii.SQL}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_texts(spark, sf_dir, "doc_id", "text"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeats(_texts(spark, sf_dir, "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_packing, op4_jaccard, op5_top_k, op6_language, op7_warc, op8_url_filter, op9_pii, op10_media, op11_spelling, op12_line_dedup, op13_whitening)}
+ORACLES: dict[str, str] = {"op4_jaccard": jaccard_tree.SQL, "op5_top_k": pivot_search.SQL, "op7_warc": warc.SQL, "op8_url_filter": url_filter.SQL, "op9_pii": pii.SQL, "op11_spelling": spelling.SQL, "op12_line_dedup": line_dedup.SQL}
