@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolume.functions.text import numeric_key
-from taxolume.storage import Scratch, numbered
+from taxolume.storage import Scratch, numbered, told
 
 from .components import connected_components
+from .reach import Reach, reach_index, redundant
 
 #: The predicates that are read.
 SUBCLASS = "rdfs:subClassOf"
@@ -88,14 +89,17 @@ def transitive_edges(edges: DataFrame, closure: DataFrame | None = None) -> Data
     return closure.filter("node <> ancestor").select(F.col("node").alias("child"), F.col("ancestor").alias("parent")).join(edges, ["child", "parent"], "left_anti")
 
 
-def transitive_reduction(edges: DataFrame, closure: DataFrame | None = None) -> DataFrame:
-    """edges without those to a parent that another parent of the same child reaches."""
-    closure = Scratch(edges.sparkSession, "reduction").put(ancestors(edges)) if closure is None else closure
-    # Ancestors by way of a direct parent, with the edges that they repeat: at most one row for each row of the closure
-    # and edge below it.
-    over = edges.select("child", F.col("parent").alias("node")).join(closure.filter("node <> ancestor").select("node", "ancestor"), "node")
-    reached = over.select("child", F.col("ancestor").alias("parent"))
-    return edges.join(reached, ["child", "parent"], "left_anti")
+def transitive_reduction(edges: DataFrame, index: Reach | None = None) -> DataFrame:
+    """edges without those to a parent that another parent of the same child reaches.
+
+    Only parents can reach a parent, so that nodes which are nobody's parent need no label: by default the index is made
+    of the edges between parents.
+    """
+    if index is None:
+        pairs = Scratch(edges.sparkSession, "reduction").put(edges.select("child", "parent").dropna().distinct())
+        over = pairs.select(F.col("parent").alias("child")).distinct()
+        index = reach_index(pairs.join(told(over), "child", "left_semi"), over.withColumnRenamed("child", "node"))
+    return edges.join(redundant(index, edges), ["child", "parent"], "left_anti")
 
 
 def restrictions(triples: DataFrame) -> DataFrame:

@@ -49,6 +49,16 @@ def _frequencies(corpus: DataFrame, tokens: Column) -> DataFrame:
     return Scratch(corpus.sparkSession, "terms").put(rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
 
 
+def tfidf_idf(n: Column, df: Column, smooth: bool = True) -> Column:
+    """ln((1 + N) / (1 + df)) + 1, or without smoothing ln(N / df) + 1."""
+    one = 1 if smooth else 0
+    return F.log((n + one).cast("double") / (df + one)) + 1
+
+
+def bm25_raw(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
 def tfidf_index(corpus: DataFrame, text: str = "text", smooth: bool = True, use_idf: bool = True, normalise: bool = False, stop: tuple[str, ...] = STOPWORDS, only: DataFrame | None = None) -> Index:
     """weight = tf * idf with idf = ln((1 + N) / (1 + df)) + 1 (smooth) or ln(N / df) + 1; rows of norm 1 if asked.
 
@@ -62,8 +72,7 @@ def tfidf_index(corpus: DataFrame, text: str = "text", smooth: bool = True, use_
         tf = tf.join(told(only.select("term").distinct()), "term", "left_semi")
     n = corpus.agg(F.count("*").alias("n"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
-    one = 1 if smooth else 0
-    idf = F.log((F.col("n") + one).cast("double") / (F.col("df") + one)) + 1 if use_idf else F.lit(1.0)
+    idf = tfidf_idf(F.col("n"), F.col("df"), smooth) if use_idf else F.lit(1.0)
     vocabulary = df.select("term", "df", idf.alias("idf"))
     postings = tf.join(vocabulary, "term").select("term", "doc_id", (F.col("tf") * F.col("idf")).alias("weight"))
     if normalise:
@@ -97,7 +106,7 @@ def bm25_index(corpus: DataFrame, text: str = "text", k1: float = 1.3, b: float
     tf = _frequencies(corpus, tokenise(F.coalesce(F.col(text), F.lit(""))))
     n = corpus.agg(F.count("*").alias("n"))
     stats = tf.agg(F.sum("tf").alias("tokens")).crossJoin(n).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
-    raw = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    raw = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", "df", bm25_raw(F.col("n"), F.col("df")).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     vocabulary = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * epsilon).otherwise(F.col("raw")).alias("idf"))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from taxolume.functions import text as T
+from taxolume.operators import blockmax as B
 from taxolume.operators import lexical as L
 from taxolume.operators import sets as S
+from taxolume.storage import spread
 
 from .views import r6, table
 
@@ -148,8 +150,7 @@ _RANK = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round
 @query(f"WITH {_TF}, q AS (SELECT query_id, term, count(*) AS n FROM (SELECT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL), s AS (SELECT query_id, doc_id AS id, sum(q.n * idf * tf * idf) AS score FROM q JOIN v USING (term) JOIN tf USING (term) GROUP BY ALL), {_RANK}")
 def tfidf_search(spark, sf_dir):
     asked = _asked(spark, sf_dir)
-    index = L.tfidf_index(_corpus(spark, sf_dir), only=L.query_terms(asked))
-    return L.tfidf_search(index, asked).withColumn("score", F.round("score", 5))
+    return B.search(B.tfidf_blocks(_corpus(spark, sf_dir)), asked).withColumn("score", F.round("score", 5))
 
 
 _TOK = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
@@ -170,8 +171,7 @@ def bm25_stats(spark, sf_dir):
 @query(f"WITH {_BM}, q AS (SELECT query_id, term, count(*) AS n FROM (SELECT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY ALL), s AS (SELECT query_id, tf.doc_id AS id, sum(q.n * idf * (tf * 2.3::DOUBLE / (tf + 1.3::DOUBLE * (1 - 0.7::DOUBLE + 0.7::DOUBLE * dl / avgdl)))) AS score FROM q JOIN v USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), st GROUP BY ALL), {_RANK}")
 def bm25_search(spark, sf_dir):
     asked = _asked(spark, sf_dir)
-    index = L.bm25_index(_corpus(spark, sf_dir), only=L.query_terms(asked, plain=True))
-    return L.bm25_search(index, asked).withColumn("score", F.round("score", 5))
+    return B.search(B.bm25_blocks(_corpus(spark, sf_dir)), asked).withColumn("score", F.round("score", 5))
 
 
 _VOC = r"a AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark)), b AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(string_split(text, ' ')) AS w FROM conversations))"
