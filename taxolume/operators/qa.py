@@ -104,30 +104,6 @@ def question_map(questions: DataFrame, dataset: str) -> DataFrame:
     return numbered(own, [F.col("question_id")], "i", Scratch(questions.sparkSession, "questions")).select("i", "question_id")
 
 
-def tag_spans(docs: DataFrame, words: DataFrame, text: str = "text", key: str = "doc_id", most_words: int = 4) -> DataFrame:
-    """(key, entity_literal, start_position, end_position, entity_type): runs of up to most_words words that are in a
-    dictionary (word, entity_type), words being runs of letters, digits, hyphens and apostrophes, lower-cased.
-
-    Of runs that begin at one place the longest counts, and one inside another does not. Positions are code points.
-    Words and gaps come from one split each, and runs are looked up by a join, so any dictionary size will do.
-    """
-    pattern, body = r"[\p{L}\p{N}'-]+", F.coalesce(F.col(text), F.lit(""))
-    found, gaps = F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), F.split(body, pattern, -1)
-    rows = docs.select(F.col(key), F.posexplode(F.arrays_zip(found.alias("w"), F.slice(gaps, 1, F.size(found)).alias("g"))).alias("i", "t"))
-    upto = Window.partitionBy(key).orderBy("i")
-    rows = rows.select(key, "i", F.col("t.w").alias("w"), F.col("t.g").alias("g"))
-    rows = rows.withColumn("end", F.sum(F.length("g") + F.length("w")).over(upto)).withColumn("start", F.col("end") - F.length("w"))
-    ahead = upto.rowsBetween(0, most_words - 1)
-    rows = rows.withColumn("next", F.collect_list(F.struct("w", "g", "end")).over(ahead))
-    run = lambda n: F.array_join(F.transform(F.slice("next", 1, n), lambda x, j: F.when(j == 0, x["w"]).otherwise(F.concat(x["g"], x["w"]))), "")
-    every = rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("next")))).select(key, "start", F.element_at("next", F.col("n"))["end"].alias("end"), run(F.col("n")).alias("entity_literal"))
-    known = words.select(F.lower("word").alias("_w"), "entity_type").groupBy("_w").agg(F.min("entity_type").alias("entity_type"))
-    met = every.withColumn("_w", F.lower("entity_literal")).join(known, "_w")
-    before = Window.partitionBy(key).orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    kept = met.withColumn("_far", F.coalesce(F.max("end").over(before), F.lit(0))).filter(F.col("end") > F.col("_far"))
-    return kept.select(key, "entity_literal", F.col("start").cast("int").alias("start_position"), F.col("end").cast("int").alias("end_position"), "entity_type")
-
-
 def answer_context(questions: DataFrame, mentions: DataFrame, retriever, axioms: DataFrame, method: str, top: int = 10, append_k: int = 10, ascending: bool = True) -> DataFrame:
     """(question_id, id, iri, prompt, context, messages): what a language model is asked for each open question.
 

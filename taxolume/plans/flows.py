@@ -15,6 +15,7 @@ from taxolume.operators import metrics as M
 from taxolume.operators import qa as Q
 from taxolume.operators import retrieve as R
 from taxolume.operators import sets as S
+from taxolume.operators import tagger
 from taxolume.sources import io
 from taxolume.storage import Scratch, numbered, shared_dir
 
@@ -461,7 +462,19 @@ SELECT doc_id, lit AS entity_literal, s::INTEGER AS start_position, e::INTEGER A
 def span_tagger(spark, sf_dir):
     """Dictionary spans of all documents."""
     words = spark.createDataFrame([("token", "secret"), ("the", "word"), ("der", "word"), ("of the", "phrase")], "word string, entity_type string")
-    return Q.tag_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), words)
+    return tagger.tag_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), words)
+
+
+_SPANS = ORACLES["span_tagger"].replace("SELECT doc_id, lit", "SELECT entity_type, entity_literal, count(*) AS n, sum(start_position)::BIGINT AS starts, sum(end_position)::BIGINT AS ends FROM (SELECT doc_id, lit") + ") GROUP BY ALL"
+
+
+@query(_SPANS)
+def span_tagger_in_sql(spark, sf_dir):
+    """The same spans by the table function of SQL, counted by literal."""
+    words = spark.createDataFrame([("token", "secret"), ("the", "word"), ("der", "word"), ("of the", "phrase")], "word string, entity_type string")
+    tagger.register(spark, "tagger", words)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("tagged_documents")
+    return spark.sql("SELECT entity_type, entity_literal, count(*) AS n, sum(start_position) AS starts, sum(end_position) AS ends FROM tagger(TABLE(SELECT doc_id, text FROM tagged_documents)) GROUP BY entity_type, entity_literal")
 
 
 @query(f"WITH {_MCQA} SELECT question_id, 'Context:' || chr(10) || 'fact ' || question_id AS part, open FROM (SELECT dataset, question_id, true AS open FROM mcqa) WHERE dataset = 'parts'")

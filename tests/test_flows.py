@@ -26,7 +26,7 @@ def test_spans_of_a_dictionary(spark):
     words = {"type 2 diabetes": "disease", "diabetes": "disease", "insulin": "drug", "heart": "part", "heart failure": "disease", "failure of the heart": "disease"}
     texts = ["Type 2 diabetes and INSULIN, insulin.", "heart  failure or heart failure; failure of the heart failure", "", None, "no such words", "é insulin 🙂 diabetes insulin's"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted((r.doc_id, r.start_position, r.end_position, r.entity_literal, r.entity_type) for r in Q.tag_spans(docs, spark.createDataFrame(list(words.items()), "word string, entity_type string")).collect())
+    got = sorted((r.doc_id, r.start_position, r.end_position, r.entity_literal, r.entity_type) for r in tagger.tag_spans(docs, spark.createDataFrame(list(words.items()), "word string, entity_type string")).collect())
     want = []
     for i, t in enumerate(texts):
         tokens, far = list(re.finditer(r"[\w'-]+", (t or "").replace("_", " "))), 0
