@@ -1,7 +1,8 @@
 """Ranking, threshold and loss metrics as aggregations.
 
 ranked: (query_id, id, rank from 1); relevant: (query_id, id[, relevance]). Every query of `queries` or `relevant` counts,
-also one without a hit.
+also one without a hit. Metrics over whole rankings only look at relevant rows, so ranked may hold these alone, as
+`ranks.relevant_ranks` makes them, with the length of each ranking.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from taxolume.storage import Scratch, numbered
 
+from .retrieve import stated
+
 
 def hits(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     """ranked with rel (0 or 1) and relevance (0 where not relevant)."""
@@ -73,9 +76,13 @@ def average_precision(ranked: DataFrame, relevant: DataFrame, over_seen: bool =
 
 
 def r_precision(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
-    """(query_id, rp): hits among the first R over R, R the number of relevant ids; 0 for a list shorter than R."""
+    """(query_id, rp): hits among the first R over R, R the number of relevant ids; 0 for a list shorter than R. A list's
+    length is its column length, or else its largest rank."""
     n = relevant.groupBy("query_id").agg(F.count_distinct("id").alias("total"))
-    got = hits(ranked, relevant).join(n, "query_id").groupBy("query_id", "total").agg(F.sum(F.when(F.col("rank") <= F.col("total"), F.col("rel")).otherwise(0)).alias("h"), F.max("rank").alias("last"))
+    own = hits(ranked, relevant)
+    if "length" in ranked.columns:
+        own = own.drop("rank").join(ranked.select("query_id", "id", "rank", "length"), ["query_id", "id"])
+    got = own.join(n, "query_id").groupBy("query_id", "total").agg(F.sum(F.when(F.col("rank") <= F.col("total"), F.col("rel")).otherwise(0)).alias("h"), F.max("length" if "length" in ranked.columns else "rank").alias("last"))
     return n.select("query_id").join(got, "query_id", "left").select("query_id", F.coalesce(F.when(F.col("last") >= F.col("total"), F.col("h") / F.col("total")), F.lit(0.0)).alias("rp"))
 
 
@@ -123,15 +130,49 @@ def macro_pr(ranked: DataFrame, relevant: DataFrame, steps: int = 100) -> DataFr
     return q.crossJoin(F.broadcast(grid)).join(best, ["query_id", "g"], "left").groupBy("g").agg(F.avg(F.coalesce("p", F.lit(0.0))).alias("precision")).select((F.col("g") / F.lit(float(steps))).alias("recall"), "precision")
 
 
+def pr_curve(ranks: DataFrame, relevant: DataFrame) -> DataFrame:
+    """(recall, precision): the ends of the curve's steps, whose area is that of its points at all depths.
+
+    recall and precision at a depth are means over queries, of hits so far over relevant ids and over depth. Between two
+    depths with a hit of any query recall stays, and precision is largest at the first and smallest at the last depth;
+    so a step is these two points. ranks: (query_id, id, rank, length) of the relevant rows.
+    """
+    store = Scratch(ranks.sparkSession, "curve")
+    n = relevant.groupBy("query_id").agg(F.count_distinct("id").alias("total"))
+    queries = n.count()
+    hit = store.put(ranks.join(n, "query_id").groupBy("rank").agg((F.sum(F.lit(1.0) / F.col("total")) / queries).alias("dr"), F.count("*").alias("dn")))
+    found = store.put(numbered(hit, [F.col("rank")], "i", store, "dr", "recall").select("i", "rank", "recall", "dn"))
+    found = store.put(numbered(found, [F.col("rank")], "i", store, "dn", "seen").select("i", "rank", "recall", "seen"))
+    length = ranks.agg(F.max("length").alias("length"))
+    after = found.select((F.col("i") - 1).alias("i"), (F.col("rank") - 1).alias("last"))
+    steps = found.join(after, "i", "left").crossJoin(F.broadcast(length)).withColumn("last", F.coalesce("last", "length"))
+    at = lambda depth: (F.col("seen") / F.lit(float(queries)) / F.col(depth)).alias("precision")
+    ends = steps.select("recall", at("rank")).union(steps.select("recall", at("last")))
+    zero = found.agg(F.min("rank").alias("first")).filter("first > 1").select(F.lit(0.0).alias("recall"), F.lit(0.0).alias("precision"))
+    return ends.union(zero)
+
+
 def trapezoid(points: DataFrame, x: str, y: str, by: Sequence[str] = (), order: str | None = None) -> DataFrame:
-    """([by,] area) under the points sorted by x, y. order: the points' own order, in which x must not fall, else an error."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(x, y)
-    part = (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
-    rows = points.withColumn("_a", part)
-    if order is not None:
-        was = F.lag(x).over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(order))
-        rows = rows.withColumn("_a", F.when(F.col(x) < was, F.raise_error(F.lit(f"{x} falls"))).otherwise(F.col("_a")))
-    return rows.groupBy(*by).agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias("area"))
+    """([by,] area) under the points sorted by x, y. order: the points' own order, in which x must not fall, else an
+    error. Without `by` each point meets the one before it by number, so that no task holds the whole curve."""
+    width, height = (lambda was: F.col(x) - was), (lambda was: F.col(y) + was)
+    if by:
+        w = Window.partitionBy(*by).orderBy(x, y)
+        rows = points.withColumn("_a", width(F.lag(x).over(w)) * height(F.lag(y).over(w)) / 2)
+        if order is not None:
+            was = F.lag(x).over(Window.partitionBy(*by).orderBy(order))
+            rows = rows.withColumn("_a", F.when(F.col(x) < was, F.raise_error(F.lit(f"{x} falls"))).otherwise(F.col("_a")))
+        return rows.groupBy(*by).agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias("area"))
+    store = Scratch(points.sparkSession, "area")
+
+    def beside(frame: DataFrame, *order_: str) -> DataFrame:
+        run = store.put(numbered(frame, [F.col(c) for c in order_], "_at", store).select("_at", x, y))
+        return run.join(run.select((F.col("_at") + 1).alias("_at"), F.col(x).alias("_x"), F.col(y).alias("_y")), "_at")
+
+    points = store.put(points.select(x, y, *([order] if order else [])))
+    if order is not None and not beside(points, order).filter(F.col(x) < F.col("_x")).isEmpty():
+        raise ValueError(f"{x} falls")
+    return beside(points, x, y).agg(F.coalesce(F.sum(width(F.col("_x")) * height(F.col("_y")) / 2), F.lit(0.0)).alias("area"))
 
 
 def accuracy(answers: DataFrame, by: str = "dataset") -> DataFrame:
@@ -235,14 +276,14 @@ def kind_ranks(queries: DataFrame, candidates: DataFrame, score, weights: Sequen
     """(weight, kind, query_id, rank) of queries (kind, query_id, q, answer) among candidates (id, vec), by each weight.
 
     score(child, parent, weight) is better when large. A query's vector is the child; for nf3 it is the parent and the
-    candidates are the children. The stated queries are broadcast, so candidates are read once and never shuffled; each
-    task counts those before the answer, whose own score comes from a join on its id.
+    candidates are the children. The stated queries, times weights, are broadcast in blocks, so candidates are read once
+    a block and never shuffled; each task counts those before the answer, whose own score comes from a join on its id.
     """
     swap = lambda q, c: F.when(F.col("kind") == "nf3", score(c, q, F.col("weight"))).otherwise(score(q, c, F.col("weight")))
     own = queries.join(candidates.select(F.col("id").alias("answer"), F.col("vec").alias("_a")), "answer")
     own = own.withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
-    own = own.select("weight", "kind", "query_id", "q", "answer", swap(F.col("q"), F.col("_a")).alias("t"))
-    scored = candidates.crossJoin(F.broadcast(own)).withColumn("_s", swap(F.col("q"), F.col("vec")))
+    own = Scratch(candidates.sparkSession, "asked").put(own.select("weight", "kind", "query_id", "q", "answer", swap(F.col("q"), F.col("_a")).alias("t")))
+    scored = stated(own, candidates, ("weight", "kind", "query_id")).withColumn("_s", swap(F.col("q"), F.col("vec")))
     before = (F.col("_s") > F.col("t")) | ((F.col("_s") == F.col("t")) & (F.col("id") < F.col("answer")))
     return scored.groupBy("weight", "kind", "query_id").agg((F.sum(before.cast("long")) + 1).alias("rank"))
 
@@ -265,21 +306,21 @@ def best_rank_weight(queries: DataFrame, candidates: DataFrame, score, weights:
     return rank_metrics(ranks, by="weight", grand_total=False).orderBy(F.desc("mrr"), "weight").limit(1)
 
 
-def classified_ranks(queries: DataFrame, candidates: DataFrame, classify, block: int = 4096) -> DataFrame:
+def classified_ranks(queries: DataFrame, candidates: DataFrame, classify) -> DataFrame:
     """(query_id, rank) of each query's answer by a pair classifier: classify maps the concatenation of a candidate's
-    vector and the query's to a score, better when large. Queries (query_id, q, answer) are a stated set of at most
-    `block`, checked, which is broadcast."""
-    if queries.limit(block + 1).count() > block:
-        raise ValueError(f"more than {block} queries")
+    vector and the query's to a score, better when large. Queries (query_id, q, answer) are a stated set, which is
+    broadcast in blocks."""
     pair = lambda c, q: classify(F.concat(c, q))
     own = queries.join(candidates.select(F.col("id").alias("answer"), F.col("vec").alias("_a")), "answer").select("query_id", "q", "answer", pair(F.col("_a"), F.col("q")).alias("t"))
-    scored = candidates.crossJoin(F.broadcast(own)).withColumn("s", pair(F.col("vec"), F.col("q")))
+    own = Scratch(candidates.sparkSession, "asked").put(own)
+    scored = stated(own, candidates).withColumn("s", pair(F.col("vec"), F.col("q")))
     before = (F.col("s") > F.col("t")) | ((F.col("s") == F.col("t")) & (F.col("id") < F.col("answer")))
     return scored.groupBy("query_id").agg((F.sum(before.cast("long")) + 1).alias("rank"))
 
 
 def target_rank(scores: DataFrame, targets: DataFrame, ascending: bool = True) -> DataFrame:
-    """(query_id, rank) of each query's target (query_id, id): 1 plus the candidates before it, ties by id."""
+    """(query_id, rank) of each query's target (query_id, id): 1 plus the candidates before it, ties by id. scores are
+    computed twice; `ranks.ranks_of` computes them from vectors, once."""
     t = scores.join(targets, ["query_id", "id"]).select("query_id", F.col("id").alias("t_id"), F.col("score").alias("t"))
     before = (F.col("score") < F.col("t")) if ascending else (F.col("score") > F.col("t"))
     tie = (F.col("score") == F.col("t")) & (F.col("id") < F.col("t_id"))

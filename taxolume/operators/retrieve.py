@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,14 +16,14 @@ from taxolume.functions import vector as V
 QUERY_BLOCK, ROWS = 4096, 512
 
 
-def stated(queries: DataFrame, table: DataFrame) -> DataFrame:
+def stated(queries: DataFrame, table: DataFrame, by: Sequence[str] = ("query_id",)) -> DataFrame:
     """Every row of table beside every one of the stated queries (query_id, ...), which are broadcast: all at once if
-    they are at most QUERY_BLOCK, else in blocks of about that size by a hash of their ids, a scan of table each."""
+    they are at most QUERY_BLOCK, else in blocks of about that size by a hash of `by`, a scan of table each."""
     n = queries.count()
     blocks = -(-n // QUERY_BLOCK)
     if blocks <= 1:
         return table.crossJoin(F.broadcast(queries))
-    parts = [table.crossJoin(F.broadcast(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))) for b in range(blocks)]
+    parts = [table.crossJoin(F.broadcast(queries.filter(F.pmod(F.xxhash64(*by), F.lit(blocks)) == b))) for b in range(blocks)]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -44,10 +44,14 @@ def top_k(scores: DataFrame, k: int | None, ascending: bool, by: str = "query_id
 
 
 def retrieve(queries: DataFrame, table: DataFrame, score: str = "poincare", k: int | None = 10, curvature: float | Column = 1.0, weight: float = 0.35, exclude_self: bool = True) -> DataFrame:
-    """(query_id, rank, id, score) of the k best rows for each query."""
+    """(query_id, rank, id, score) of the k best rows for each query, of all rows if k is None."""
     found = scan(queries, table, score, curvature, weight)
     if exclude_self:
         found = found.filter("query_id <> id")
+    if k is None:
+        from .ranks import full_ranks
+
+        return full_ranks(found, V.SCORES[score][1]).select("query_id", "rank", "id", "score")
     return top_k(found, k, V.SCORES[score][1]).select("query_id", "rank", "id", "score")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from taxolume.functions import vector as V
 from taxolume.operators import metrics as M
+from taxolume.operators import ranks as N
 from taxolume.operators import retrieve as R
 
 from .views import ASKED, K, NEIGHBOURS, asked, neighbours, points, r6, sql_poincare, sql_subsumption
@@ -35,7 +35,7 @@ run AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS seen FR
 tot AS (SELECT query_id, count(DISTINCT id) AS total FROM relevant GROUP BY query_id)"""
 
 
-def _ranked(spark, sf_dir, k=None):
+def _ranked(spark, sf_dir, k):
     pts = points(spark, sf_dir)
     return R.retrieve(asked(pts).select("query_id", "q"), pts.select("id", "vec"), "poincare", k, K).select("query_id", "id", "rank")
 
@@ -46,6 +46,12 @@ def _relevant(spark, sf_dir):
     return q.join(pts.select("id", "label"), "label").filter("id <> query_id").select("query_id", "id", (F.col("id") % 4 + 1).cast("int").alias("relevance"))
 
 
+def _ranks(spark, sf_dir, wanted):
+    """Ranks of the wanted rows among all, counted."""
+    pts = points(spark, sf_dir)
+    return N.relevant_ranks(asked(pts).select("query_id", "q"), pts.select("id", "vec"), wanted, "poincare", K)
+
+
 def _gold(spark, sf_dir):
     return _relevant(spark, sf_dir).filter("id > query_id").groupBy("query_id").agg(F.min("id").alias("id"))
 
@@ -77,12 +83,14 @@ def metric_coverage(spark, sf_dir):
 
 @query(f"WITH {_RANKED}, a AS (SELECT query_id, sum(CASE WHEN rel = 1 THEN seen / rank ELSE 0 END) AS s, sum(rel) AS n FROM run GROUP BY query_id) SELECT query_id, round(s / total, 6) AS ap, round(s / n, 6) AS ap_seen FROM a JOIN tot USING (query_id)")
 def metric_map(spark, sf_dir):
-    return M.average_precisions(_ranked(spark, sf_dir), _relevant(spark, sf_dir)).withColumns({c: r6(F.col(c)) for c in ("ap", "ap_seen")})
+    rel = _relevant(spark, sf_dir)
+    return M.average_precisions(_ranks(spark, sf_dir, rel), rel).withColumns({c: r6(F.col(c)) for c in ("ap", "ap_seen")})
 
 
 @query(f"WITH {_RANKED} SELECT query_id, round(sum(CASE WHEN rank <= total THEN rel ELSE 0 END) / total, 6) AS rp FROM h JOIN tot USING (query_id) GROUP BY query_id, total")
 def metric_rprecision(spark, sf_dir):
-    return M.r_precision(_ranked(spark, sf_dir), _relevant(spark, sf_dir)).withColumn("rp", r6(F.col("rp")))
+    rel = _relevant(spark, sf_dir)
+    return M.r_precision(_ranks(spark, sf_dir, rel), rel).withColumn("rp", r6(F.col("rp")))
 
 
 def _gain(rel: str, rank: str, kind: str) -> str:
@@ -112,7 +120,8 @@ def targets_with_gain(spark, sf_dir):
 
 @query(f"WITH {_RANKED} SELECT query_id, rank, seen::BIGINT AS seen, total, round(seen / rank, 6) AS precision, round(seen / total, 6) AS recall FROM run JOIN tot USING (query_id) WHERE rel = 1")
 def metric_pr_points(spark, sf_dir):
-    return M.pr_points(_ranked(spark, sf_dir), _relevant(spark, sf_dir)).withColumns({c: r6(F.col(c)) for c in ("precision", "recall")})
+    rel = _relevant(spark, sf_dir)
+    return M.pr_points(_ranks(spark, sf_dir, rel), rel).withColumns({c: r6(F.col(c)) for c in ("precision", "recall")})
 
 
 _MACRO = _RANKED + ", pt AS (SELECT query_id, seen, total, seen / rank AS p FROM run JOIN tot USING (query_id) WHERE rel = 1), g AS (SELECT unnest(range(101)) AS g), m AS (SELECT t.query_id, g.g, coalesce(max(p), 0) AS p FROM tot t CROSS JOIN g LEFT JOIN pt ON pt.query_id = t.query_id AND pt.seen * 100 >= g.g * pt.total GROUP BY ALL), c AS (SELECT g / 100.0::DOUBLE AS recall, avg(p) AS precision FROM m GROUP BY g)"
@@ -120,23 +129,22 @@ _MACRO = _RANKED + ", pt AS (SELECT query_id, seen, total, seen / rank AS p FROM
 
 @query(f"WITH {_MACRO} SELECT recall, round(precision, 6) AS precision FROM c")
 def metric_macro_pr(spark, sf_dir):
-    return M.macro_pr(_ranked(spark, sf_dir), _relevant(spark, sf_dir)).withColumn("precision", r6(F.col("precision")))
+    rel = _relevant(spark, sf_dir)
+    return M.macro_pr(_ranks(spark, sf_dir, rel), rel).withColumn("precision", r6(F.col("precision")))
 
 
 @query(f"WITH {_MACRO}, t AS (SELECT (recall - lag(recall) OVER (ORDER BY recall)) * (precision + lag(precision) OVER (ORDER BY recall)) / 2 AS a FROM c) SELECT round(sum(a), 6) AS area FROM t")
 def metric_macro_pr_auc(spark, sf_dir):
-    return M.trapezoid(M.macro_pr(_ranked(spark, sf_dir), _relevant(spark, sf_dir)), "recall", "precision").select(r6(F.col("area")).alias("area"))
+    rel = _relevant(spark, sf_dir)
+    return M.trapezoid(M.macro_pr(_ranks(spark, sf_dir, rel), rel), "recall", "precision").select(r6(F.col("area")).alias("area"))
 
 
 @query(f"WITH {_RANKED}, x AS (SELECT rank, avg(seen / total) AS r, avg(seen / rank) AS p FROM run JOIN tot USING (query_id) GROUP BY rank), t AS (SELECT (r - lag(r) OVER (ORDER BY r, p)) * (p + lag(p) OVER (ORDER BY r, p)) / 2 AS a FROM x) SELECT round(sum(a), 5) AS area FROM t")
 def metric_pr_auc(spark, sf_dir):
     """The area under (recall@k, precision@k) of all depths k."""
     rel = _relevant(spark, sf_dir)
-    n = rel.groupBy("query_id").agg(F.count_distinct("id").alias("total"))
-    seen = F.sum("rel").over(Window.partitionBy("query_id").orderBy("rank"))
-    run = M.hits(_ranked(spark, sf_dir), rel).withColumn("seen", seen).join(n, "query_id")
-    pts = run.groupBy("rank").agg(F.avg(F.col("seen") / F.col("total")).alias("r"), F.avg(F.col("seen") / F.col("rank")).alias("p"))
-    return M.trapezoid(pts, "r", "p").select(F.round("area", 5).alias("area"))
+    pts = M.pr_curve(_ranks(spark, sf_dir, rel), rel)
+    return M.trapezoid(pts, "recall", "precision").select(F.round("area", 5).alias("area"))
 
 
 _PAIRS = NEIGHBOURS + f", sc AS (SELECT id, round({sql_subsumption('u', 'v', 0.35)}, 6) AS score, (u_label = v_label OR id % 9 = 0)::INTEGER AS label FROM nb)"
@@ -202,9 +210,8 @@ _TARGET = _RANKED + ", tr AS (SELECT CASE g.query_id % 200 WHEN 0 THEN 'nf1' ELS
 
 
 def _target_ranks(spark, sf_dir):
-    pts = points(spark, sf_dir)
-    scores = R.scan(asked(pts).select("query_id", "q"), pts.select("id", "vec"), "poincare", K).filter("query_id <> id")
-    return M.target_rank(scores, _gold(spark, sf_dir)).withColumn("kind", F.when(F.col("query_id") % 200 == 0, "nf1").otherwise("nf2"))
+    found = _ranks(spark, sf_dir, _gold(spark, sf_dir))
+    return found.withColumn("kind", F.when(F.col("query_id") % 200 == 0, "nf1").otherwise("nf2"))
 
 
 @query(f"WITH {_TARGET} SELECT kind, query_id, rank FROM tr")
