@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from taxolume.operators import axioms as A
 from taxolume.operators import graph as G
+from taxolume.operators import owl as O
+from taxolume.operators import reach as X
 from taxolume.operators import sets as S
 from taxolume.storage import Scratch, numbered
 
@@ -65,6 +67,25 @@ def transitive_reduction(spark, sf_dir):
     return G.transitive_reduction(edges(spark, sf_dir))
 
 
+_PAIRED = CLOSURE + ", asked AS (SELECT DISTINCT child, 'N:' || (hash_ % 25) AS parent FROM (SELECT child, ('0x' || substr(md5(child), 1, 8))::BIGINT AS hash_ FROM edges))"
+
+
+@query(f"WITH RECURSIVE {_PAIRED} SELECT a.child, a.parent, c.node IS NOT NULL AS above FROM asked a LEFT JOIN closure c ON c.node = a.child AND c.ancestor = a.parent")
+def reachable_pairs(spark, sf_dir):
+    """Whether a nation is above a node, for a nation drawn for every node, by the labels of both."""
+    e = edges(spark, sf_dir)
+    drawn = F.conv(F.substring(F.md5("child"), 1, 8), 16, 10).cast("long") % 25
+    pairs = e.select("child").distinct().withColumn("parent", F.concat(F.lit("N:"), drawn.cast("string")))
+    return X.related(X.reach_index(e), pairs)
+
+
+@query(f"WITH RECURSIVE {CLOSURE} SELECT node, ancestor FROM closure WHERE node NOT LIKE 'O:%'")
+def ancestor_lookup(spark, sf_dir):
+    """All ancestors of customers, suppliers, nations and parts, by their labels."""
+    e = edges(spark, sf_dir)
+    return X.look_up(X.reach_index(e), e.select(F.col("child").alias("node")).filter("node not like 'O:%'"))
+
+
 @query(f"WITH {EDGES} SELECT DISTINCT parent AS node FROM edges WHERE parent NOT IN (SELECT child FROM edges)")
 def roots(spark, sf_dir):
     return G.roots(edges(spark, sf_dir))
@@ -217,6 +238,79 @@ def verbalise(spark, sf_dir):
     return both.filter("expr_id like '%/a'").select("expr_id", "text", "logic")
 
 
+def _owl(spark, sf_dir):
+    """The same expressions as triples: a supplier is equivalent to located in some (nation and part of some region)."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    key, nat, reg = text("S:", "s_suppkey"), text("N:", "n_nationkey"), text("R:", "n_regionkey")
+    b = {x: text(f"_:{x}", "s_suppkey") for x in "adfxyuv"}
+    t = lambda a, ak, p, o, ok: F.struct(a.alias("s"), F.lit(ak).alias("s_kind"), F.lit(p).alias("p"), (F.lit(o) if isinstance(o, str) else o).alias("o"), F.lit(ok).alias("o_kind"))
+    rows = [t(key, "iri", G.EQUIVALENT, b["a"], "bnode"), t(b["a"], "bnode", O.INTERSECTION, b["x"], "bnode"), t(b["x"], "bnode", O.FIRST, nat, "iri"), t(b["x"], "bnode", O.REST, b["y"], "bnode"), t(b["y"], "bnode", O.FIRST, b["d"], "bnode"), t(b["y"], "bnode", O.REST, O.NIL, "iri")]
+    rows += [t(b["d"], "bnode", G.ON_PROPERTY, "part of", "iri"), t(b["d"], "bnode", G.SOME_VALUES, b["f"], "bnode"), t(b["f"], "bnode", O.INTERSECTION, b["u"], "bnode"), t(b["u"], "bnode", O.FIRST, reg, "iri"), t(b["u"], "bnode", O.REST, b["v"], "bnode"), t(b["v"], "bnode", O.FIRST, nat, "iri"), t(b["v"], "bnode", O.REST, O.NIL, "iri")]
+    return s.select(F.explode(F.array(*rows)).alias("t")).select("t.*")
+
+
+def _names(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("iri"), F.col("s_name").alias("label")).union(table(spark, sf_dir, "nation").select(F.concat(F.lit("N:"), F.col("n_nationkey").cast("string")), F.col("n_name"))).union(table(spark, sf_dir, "region").select(F.concat(F.lit("R:"), F.col("r_regionkey").cast("string")), F.col("r_name")))
+
+
+@query(f"WITH {_EXPR} SELECT 'S:' || k || '|owl:equivalentClass|_:a' || k || '/r' AS expr_id, nation || ' and part of some ' || region || ' and ' || nation AS text, nation || ' ⊓  ∃part of.' || region || ' ⊓ ' || nation || ' ' AS logic FROM sup")
+def verbalise_triples(spark, sf_dir):
+    """Expressions out of triples with lists, in words and in logic."""
+    found = O.expressions(_owl(spark, sf_dir), _names(spark, sf_dir))
+    own = found.axioms.select(F.col("parent").alias("expr_id"))
+    return own.join(A.render(found.expressions), "expr_id").join(A.render(found.expressions, A.LOGIC, "logic"), "expr_id").select("expr_id", "text", "logic")
+
+
+@query(f"""WITH {_EXPR}, f AS (
+  SELECT 'nf1' AS kind, name AS first, nation AS second, NULL AS third FROM sup
+  UNION ALL SELECT 'nf3', name, 'part of', region || ' and ' || nation FROM sup
+  UNION ALL SELECT 'nf2', nation, 'part of some ' || region || ' and ' || nation, name FROM sup
+  UNION ALL SELECT DISTINCT 'nf3', 'part of some ' || region || ' and ' || nation, 'part of', region || ' and ' || nation FROM sup
+  UNION ALL SELECT DISTINCT 'nf4', 'part of', region || ' and ' || nation, 'part of some ' || region || ' and ' || nation FROM sup
+  UNION ALL SELECT DISTINCT 'nf1', region || ' and ' || nation, region, NULL FROM sup
+  UNION ALL SELECT DISTINCT 'nf1', region || ' and ' || nation, nation, NULL FROM sup
+  UNION ALL SELECT DISTINCT 'nf2', region, nation, region || ' and ' || nation FROM sup
+) SELECT kind, first, second, third FROM f""")
+def nf_from_triples(spark, sf_dir):
+    """Normal forms of the axioms that the triples hold."""
+    found = O.expressions(_owl(spark, sf_dir), _names(spark, sf_dir))
+    return A.distinct_forms(A.normalise(found.axioms, found.expressions)).select("kind", "first", "second", "third")
+
+
+#: A supplier is in its nation, whose suppliers are traders; who is in a nation that is part of a region is of the region.
+_EL = """sub0 AS (SELECT 'S:' || s_suppkey AS x, 'N:' || s_nationkey AS n, 'R:' || n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+nf AS (
+  SELECT DISTINCT 'nf1' AS kind, x AS first, 'in ' || n AS second, NULL AS third FROM sub0
+  UNION SELECT 'nf3', 'in ' || n, 'located in', n FROM sub0
+  UNION SELECT 'nf4', 'part of', r, 'of ' || r FROM sub0
+  UNION SELECT 'nf3', n, 'located in', r FROM sub0
+  UNION SELECT 'nf4', 'part of', 'of ' || r, 'trader of ' || r FROM sub0
+  UNION SELECT 'nf2', 'in ' || n, 'trader of ' || r, 'both ' || n FROM sub0
+  UNION SELECT 'nf1', 'both ' || n, 'in ' || n, NULL FROM sub0)"""
+
+
+@query(f"""WITH RECURSIVE {_EL}, role AS (SELECT 'located in' AS r, 'located in' AS w UNION ALL SELECT 'located in', 'part of'),
+name AS (SELECT first AS c FROM nf WHERE kind IN ('nf1', 'nf2', 'nf3') UNION SELECT second FROM nf WHERE kind IN ('nf1', 'nf2', 'nf4') UNION SELECT third FROM nf WHERE kind <> 'nf1'),
+one AS (SELECT c AS sub, c AS super FROM name UNION SELECT o.sub, f.second FROM one o JOIN nf f ON f.kind = 'nf1' AND f.first = o.super),
+link1 AS (SELECT DISTINCT o.sub, w AS role, f.third AS filler FROM one o JOIN nf f ON f.kind = 'nf3' AND f.first = o.super JOIN role ON r = f.second),
+two AS (SELECT * FROM one UNION SELECT l.sub, f.third FROM link1 l JOIN one o ON o.sub = l.filler JOIN nf f ON f.kind = 'nf4' AND f.first = l.role AND f.second = o.super),
+three AS (SELECT * FROM two UNION SELECT l.sub, f.third FROM link1 l JOIN two o ON o.sub = l.filler JOIN nf f ON f.kind = 'nf4' AND f.first = l.role AND f.second = o.super),
+four AS (SELECT * FROM three UNION SELECT a.sub, f.third FROM three a JOIN nf f ON f.kind = 'nf2' AND f.first = a.super JOIN three b ON b.sub = a.sub AND b.super = f.second)
+SELECT DISTINCT sub, super FROM four""")
+def el_saturation(spark, sf_dir):
+    """What follows from normal forms and a role inclusion, as a reasoner derives it."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    x, n, r = text("S:", "s_suppkey"), text("N:", "s_nationkey"), text("R:", "n_regionkey")
+    row = lambda kind, a, b, c: F.struct(F.lit(kind).alias("kind"), a.alias("first"), b.alias("second"), c.alias("third"))
+    say, none = (lambda p, c: F.concat(F.lit(p), c)), F.lit(None).cast("string")
+    rows = [row("nf1", x, say("in ", n), none), row("nf3", say("in ", n), F.lit("located in"), n), row("nf4", F.lit("part of"), r, say("of ", r)), row("nf3", n, F.lit("located in"), r), row("nf4", F.lit("part of"), say("of ", r), say("trader of ", r)), row("nf2", say("in ", n), say("trader of ", r), say("both ", n)), row("nf1", say("both ", n), say("in ", n), none)]
+    forms = s.select(F.explode(F.array(*rows)).alias("f")).select("f.*").distinct()
+    wider = spark.createDataFrame([("located in", "part of")], "sub string, super string")
+    return O.saturate(forms, wider)[0]
+
+
 @query(f"WITH {_EXPR} SELECT 'S:' || k AS iri, name AS label, [nation] AS subclass_of, ['located in some ' || nation] AS equivalent_to, 'is a type of ' || nation AS verbal, 'defined as located in some ' || nation AS defined, '⊑ ' || nation AS dl, '≡  ∃located in.' || nation || ' ' AS dl_equivalent FROM sup")
 def axiom_catalogue(spark, sf_dir):
     c = _catalogue(spark, sf_dir).filter("iri like 'S:%'")
