@@ -16,7 +16,7 @@ from taxolume.operators import qa as Q
 from taxolume.operators import retrieve as R
 from taxolume.operators import sets as S
 from taxolume.operators import tagger
-from taxolume.sources import io
+from taxolume.sources import io, turtle
 from taxolume.storage import Scratch, numbered, shared_dir
 
 from .evaluation import _PAIRS, _scored
@@ -92,6 +92,19 @@ def ntriples_round_trip(spark, sf_dir):
     return io.read_ntriples(spark, at, strict=False)
 
 
+@query(f"WITH {_TRIPLES}, x AS (SELECT s, s_kind, p, o || CASE WHEN o_kind = 'literal' THEN ' . \"é\"' || chr(10) || ' @prefix' ELSE '' END AS o, o_kind FROM triples) SELECT * FROM x")
+def turtle_round_trip(spark, sf_dir):
+    """Triples as Turtle with prefixes, escapes and strings over several lines, in several files and blocks, and back."""
+    t, at = _triples(spark, sf_dir), _folder(spark)
+    node = lambda c, kind: F.when(F.col(kind) == "iri", F.concat(F.lit("<"), F.replace(c, F.lit(" "), F.lit("\\u0020")), F.lit(">"))).when(F.col(kind) == "bnode", F.col(c)).otherwise(F.concat(F.lit('\"\"\"'), c, F.lit(' . \\"\\u00e9\\"\n @prefix\"\"\"@en')))
+    said = t.select(F.col("s_kind"), F.col("s"), F.concat("p", F.lit(" "), node("o", "o_kind")).alias("po"))
+    own = said.groupBy("s", "s_kind").agg(F.array_join(F.array_sort(F.collect_list("po")), " ;\n  ").alias("po"))
+    lines = own.select("s", F.concat(node("s", "s_kind"), F.lit(" "), "po", F.lit(" .")).alias("value")).repartitionByRange(3, "s").sortWithinPartitions("s").select("value")
+    head = "\n".join(f"@prefix {p}: <{n}> ." for p, n in turtle.NAMESPACES.items())
+    lines.withColumn("value", F.concat(F.lit(head + "\n"), "value")).write.text(at)
+    return turtle.compact(turtle.read_turtle(spark, at))
+
+
 @query("SELECT vec_id AS mapping_id, 'm' AS model, embedding AS vec FROM embeddings")
 def matrix_file_round_trip(spark, sf_dir):
     """Vectors as a matrix file and back; ids are rows."""

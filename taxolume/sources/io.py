@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,8 +163,9 @@ def forms_to_npy(forms: DataFrame, folder: str, most_rows: int = 10_000_000) ->
 
 
 def read_ntriples(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """(s, s_kind, p, o, o_kind) of N-Triples lines; comments and blank lines are skipped. A line that is no triple is an
-    error when it is read; with strict off it gives a row of nulls but for o, the line, and o_kind 'malformed'."""
+    """(s, s_kind, p, o, o_kind) of N-Triples lines, escapes decoded; comments and blank lines are skipped. A line that is
+    no triple is an error when it is read; with strict off it gives a row of nulls but for o, the line, and o_kind
+    'malformed'."""
     line = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"\S*)\s*\.\s*$'
     rows = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(?:#.*)?$"))
     ok = F.col("value").rlike(line)
@@ -173,7 +174,22 @@ def read_ntriples(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     text = lambda c: F.when(F.startswith(c, F.lit("<")), F.substring(c, F.lit(2), F.length(c) - 2)).when(F.startswith(c, F.lit('"')), F.regexp_extract(c, r'^"((?:[^"\\]|\\.)*)"', 1)).otherwise(c)
     wrong = F.raise_error(F.concat(F.lit("no triple: "), "value")).cast("string") if strict else F.lit("malformed")
     some = lambda c: F.when(ok, c)
-    return rows.select(some(text(part(1))).alias("s"), some(kind(part(1))).alias("s_kind"), some(part(2)).alias("p"), some(text(part(3))).otherwise(F.col("value")).alias("o"), some(kind(part(3))).otherwise(wrong).alias("o_kind"))
+    text_ = lambda i: _unescaped(text(part(i)))
+    return rows.select(some(text_(1)).alias("s"), some(kind(part(1))).alias("s_kind"), some(_unescaped(part(2))).alias("p"), some(text_(3)).otherwise(F.col("value")).alias("o"), some(kind(part(3))).otherwise(wrong).alias("o_kind"))
+
+
+def _unescaped(c: Column) -> Column:
+    """A text with its escapes decoded: a letter after a backslash, four or eight hexadecimal digits after u or U."""
+    pieces = F.regexp_extract_all(c, F.lit(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"), F.lit(0))
+    code = lambda x: F.decode(F.unhex(F.lpad(F.substring(x, F.lit(3), F.length(x)), 8, "0")), "UTF-32")
+
+    def plain(x: Column) -> Column:
+        out = F.when(F.startswith(x, F.lit("\\")) & (F.length(x) == 2), F.substring(x, 2, 1)).otherwise(x)
+        for letter, means in (("t", "\t"), ("b", "\b"), ("n", "\n"), ("r", "\r"), ("f", "\f")):
+            out = F.when(x == F.lit("\\" + letter), F.lit(means)).otherwise(out)
+        return F.when(x.rlike(r"^\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})$"), code(x)).otherwise(out)
+
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(pieces, plain), "")).otherwise(c)
 
 
 def vectors_from_npy(spark: SparkSession, path: str, folder: str, model: str, rows_per_file: int = 50_000) -> None:
