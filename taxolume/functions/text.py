@@ -23,6 +23,8 @@ BROAD = (
 ROMAN = ("II", "III", "IV", "V", "VI", "VII", "VIII", "IX")
 #: Fixed value: options that depend on each other or on their order.
 DEPENDENT = r"(?i)(all of the above|none of the above|neither|both|option\s+[A-F]|answers?\s+[A-F])"
+#: Fixed value: Unicode's white space and the separators U+001C to U+001F, as a class of characters.
+SPACES = "\\t-\\r\\x1c-\\x20\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the label of what has no name.
 TOP_LABEL = "owl:Thing"
 NO_NUMBER = 9223372036854775807
@@ -34,8 +36,8 @@ def strip_parens(s: Column) -> Column:
 
 
 def tokenise(s: Column) -> Column:
-    """Lower-cased runs of other characters than white space."""
-    return F.filter(F.split(F.lower(s), r"\s+"), lambda x: x != "")
+    """Lower-cased runs of other characters than white space, of which Unicode has more than ASCII."""
+    return F.filter(F.split(F.lower(s), f"[{SPACES}]+"), lambda x: x != "")
 
 
 def verbalisation(name: Column) -> Column:

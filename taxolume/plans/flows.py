@@ -21,7 +21,7 @@ from taxolume.storage import Scratch, numbered, shared_dir
 
 from .evaluation import _PAIRS, _scored
 from .graphs import _EXPR, _TRIPLES, _axioms, _expressions, _triples
-from .questions import _MCQA, questions
+from .questions import _LINES, _MCQA, LETTER, hashed_letter, prompt_sql, questions
 from .views import ASKED, EDGES, K, NEIGHBOURS, PATHS, PLACES, POINTS, SAME, asked, edges, neighbours, places, points, r6, same_as, sql_poincare, sql_subsumption, table
 
 QUERIES: dict = {}
@@ -320,13 +320,15 @@ def nf_pairs(spark, sf_dir):
     return A.conjunction_rows(rows).select(F.lit("conj").alias("kind"), "Concept", F.col("con1").alias("a"), F.col("con2").alias("b")).union(A.existential_rows(rows).select(F.lit("exist"), "Concept", "role", "con")).distinct()
 
 
-@query(f"WITH {_EXPR}, a AS (SELECT name, row_number() OVER (ORDER BY k) - 1 AS id FROM sup), n AS (SELECT nation AS name, min(k) AS k FROM sup GROUP BY nation UNION ALL SELECT region, min(k) FROM sup GROUP BY region UNION ALL SELECT 'part of some ' || region, min(k) FROM sup GROUP BY region) SELECT name, name AS label FROM a UNION ALL SELECT 'part of some ' || region, 'N' FROM sup GROUP BY region UNION ALL SELECT region, 'N' FROM sup GROUP BY region")
+@query(f"""WITH {_EXPR}, a AS (SELECT name, row_number() OVER (ORDER BY k) - 1 AS id FROM sup),
+m AS (SELECT name, min(k) AS k FROM (SELECT region AS name, k FROM sup UNION ALL SELECT 'part of some ' || region, k FROM sup) GROUP BY name),
+l AS (SELECT name, row_number() OVER (ORDER BY k, name) - 1 AS i FROM m)
+SELECT name, id, name AS label FROM a UNION ALL SELECT name, i + (SELECT count(*) FROM a), 'N' || i FROM l""")
 def nf_concept_ids(spark, sf_dir):
-    """Suppliers are the atomic names; what definitions bring in gets N and a number, here the letter alone."""
+    """Suppliers are the atomic names; what definitions bring in is numbered after them, by its first axiom."""
     forms = A.normalise(_axioms(spark, sf_dir), _expressions(spark, sf_dir))
     atomic = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("seq"))
-    ids = A.concept_ids(atomic, forms)
-    return ids.select("name", F.when(F.col("label").rlike("^N[0-9]+$"), "N").otherwise(F.col("label")).alias("label"))
+    return A.concept_ids(atomic, forms)
 
 
 # Samples and sets.
@@ -490,12 +492,11 @@ def span_tagger_in_sql(spark, sf_dir):
     return spark.sql("SELECT entity_type, entity_literal, count(*) AS n, sum(start_position) AS starts, sum(end_position) AS ends FROM tagger(TABLE(SELECT doc_id, text FROM tagged_documents)) GROUP BY entity_type, entity_literal")
 
 
-@query(f"WITH {_MCQA} SELECT question_id, 'Context:' || chr(10) || 'fact ' || question_id AS part, open FROM (SELECT dataset, question_id, true AS open FROM mcqa) WHERE dataset = 'parts'")
+@query(f"WITH {_MCQA} SELECT question_id, '{Q.INSTRUCTION_WITH_CONTEXT}' || chr(10) || chr(10) || 'Context:' || chr(10) || 'fact ' || question_id || chr(10) || 'more' || chr(10) || chr(10) || 'Question:' || chr(10) || question || chr(10) || chr(10) || 'Answer: ' AS prompt FROM mcqa WHERE dataset = 'parts'")
 def open_prompts(spark, sf_dir):
-    """Prompts without choices; the part that the test tables determine."""
+    """Prompts without choices."""
     q = Q.questions_of(questions(spark, sf_dir), ["parts"])
-    made = Q.open_prompt(F.col("question"), F.array(F.concat(F.lit("fact "), F.col("question_id").cast("string"))))
-    return q.select("question_id", F.regexp_extract(made, r"Context:\nfact [0-9]+", 0).alias("part"), (~F.contains(made, F.lit("Choices"))).alias("open"))
+    return q.select("question_id", Q.open_prompt(F.col("question"), F.array(F.concat(F.lit("fact "), F.col("question_id").cast("string")), F.lit("more"))).alias("prompt"))
 
 
 _CONTEXT = ASKED + f", s AS (SELECT query_id, id, {sql_poincare('q', 'vec')} AS score FROM asked, points), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), id) AS rank FROM s), best AS (SELECT query_id // 200 AS question_id, id, round(min(score), 9) AS score FROM r WHERE rank <= 3 GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score, id) AS place FROM best)"
@@ -513,13 +514,33 @@ def answer_context(spark, sf_dir):
     return out.filter("prompt like '%Question:%'").select("question_id", "id", "context")
 
 
-@query(f"WITH {_MCQA} SELECT dataset, sum((answer = 'A')::INTEGER)::BIGINT AS correct, count(*) AS total, round(avg((answer = 'A')::INTEGER) * 100, 2) AS accuracy FROM mcqa GROUP BY dataset")
-def harness_over_datasets(spark, sf_dir):
-    """The whole flow over two datasets, with mentions for some questions, a predictor that says A, and result tables."""
+#: Some questions have a mention, whose nearest point says something that shares two words with the question, or not.
+_HARNESS = ASKED + f""", {_MCQA}, u AS (SELECT dataset, question_id, row_number() OVER (ORDER BY dataset, question_id) - 1 AS i FROM mcqa),
+m AS (SELECT dataset, question_id, list_transform(q, lambda x: x * 0.9::DOUBLE) AS q FROM u JOIN asked ON query_id = i * 100),
+s AS (SELECT dataset, question_id, id, row_number() OVER (PARTITION BY dataset, question_id ORDER BY round({sql_poincare('q', 'vec')}, 9), id) AS place FROM m, points),
+c AS (SELECT dataset, question_id, CASE WHEN id // 100 % 3 <> 0 THEN 'point ' || id || ' is a brand that has a part' END AS said FROM s WHERE place = 1),
+p AS (SELECT dataset, question_id, {prompt_sql('question', _LINES, 'said')} AS prompt, answer FROM mcqa LEFT JOIN c USING (dataset, question_id)),
+r AS (SELECT dataset, question_id, prompt, {LETTER.format('prompt')} AS prediction, answer FROM p)"""
+
+
+def _harness(spark, sf_dir):
     q, pts = questions(spark, sf_dir), points(spark, sf_dir)
     some = numbered(q.select("dataset", "question_id").distinct(), [F.col("dataset"), F.col("question_id")], "i", Scratch(spark, "mentions"))
-    mentions = some.join(asked(pts).select((F.col("query_id") / 100).cast("long").alias("i"), "q"), "i").select("dataset", "question_id", F.lit(1).alias("mention_id"), "q")
-    axioms = _entities(pts).select("iri", F.array(F.concat("verbalisation", F.lit(" is a part"))).alias("sentences"))
+    mentions = some.join(asked(pts).select((F.col("query_id") / 100).cast("long").alias("i"), F.transform("q", lambda x: x * 0.9).alias("q")), "i").select("dataset", "question_id", F.lit(1).alias("mention_id"), "q")
+    kind = F.when(F.floor(F.col("mapping_id") / 100) % 3 != 0, " is a brand that has a part").otherwise(" is a thing apart")
+    axioms = _entities(pts).select("iri", F.array(F.concat("verbalisation", kind)).alias("sentences"))
     vectors = pts.select(F.col("id").alias("mapping_id"), F.lit("hit").alias("model"), "vec")
-    _, scored = Q.harness(q, mentions, R.Retrievers(vectors, _entities(pts), K).make("hit"), axioms, lambda c: F.when(F.length(c) > 0, "A"), ["parts", "brands"], _folder(spark))
-    return scored
+    return Q.harness(q, mentions, R.Retrievers(vectors, _entities(pts), K).make("hit"), axioms, hashed_letter, ["parts", "brands"], _folder(spark))
+
+
+@query(f"WITH {_HARNESS} SELECT dataset, sum((prediction = answer)::INTEGER)::BIGINT AS correct, count(*) AS total, round(avg((prediction = answer)::INTEGER) * 100, 2) AS accuracy FROM r GROUP BY dataset")
+def harness_over_datasets(spark, sf_dir):
+    """The whole flow over two datasets, with mentions for some questions, a predictor that depends on the whole prompt,
+    and result tables."""
+    return _harness(spark, sf_dir)[1]
+
+
+@query(f"WITH {_HARNESS} SELECT dataset, question_id, prompt, prediction, answer FROM r")
+def harness_results(spark, sf_dir):
+    """Every prompt and prediction of that flow, read back from its result files."""
+    return _harness(spark, sf_dir)[0].select("dataset", "question_id", "prompt", "prediction", "answer")

@@ -369,7 +369,7 @@ def nf_ids(spark, sf_dir):
     return A.number_names(table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("seq")))
 
 
-@query("WITH u AS (SELECT s_suppkey AS axiom_id, ('0x' || substr(md5('0:' || s_suppkey), 1, 8))::BIGINT / 4294967296.0 AS u FROM supplier) SELECT axiom_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.8::DOUBLE + 0.1::DOUBLE THEN 'val' ELSE 'test' END AS split FROM u")
+@query("WITH u AS (SELECT s_suppkey AS axiom_id, row_number() OVER (ORDER BY md5('0:' || s_suppkey), s_suppkey::VARCHAR) - 1 AS i, count(*) OVER () AS n FROM supplier) SELECT axiom_id, CASE WHEN i < floor(0.8::DOUBLE * n) THEN 'train' WHEN i < floor(0.8::DOUBLE * n) + floor(0.1::DOUBLE * n) THEN 'val' ELSE 'test' END AS split FROM u")
 def nf_split(spark, sf_dir):
     return A.split_forms(_axioms(spark, sf_dir).select("axiom_id"), F.col("axiom_id").cast("string"))
 

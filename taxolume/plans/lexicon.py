@@ -43,7 +43,7 @@ def strip_parens(spark, sf_dir):
     return parts(spark, sf_dir).select("id", T.strip_parens(F.col("name")).alias("label"))
 
 
-@query(r"SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS tokens FROM conversations")
+@query(f"SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[{T.SPACES}]+'), lambda x: x <> '') AS tokens FROM conversations")
 def tokenise(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokenise(F.col("text")).alias("tokens"))
 
@@ -153,7 +153,7 @@ def tfidf_search(spark, sf_dir):
     return B.search(B.tfidf_blocks(_corpus(spark, sf_dir)), asked).withColumn("score", F.round("score", 5))
 
 
-_TOK = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
+_TOK = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[{T.SPACES}]+'), lambda x: x <> '')"
 _BM = f"""tok AS (SELECT doc_id, {_TOK} AS t FROM documents), dl AS (SELECT doc_id, len(t) AS dl FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY ALL),
 raw AS (SELECT term, count(*) AS df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY term, n), m AS (SELECT avg(raw) AS mean FROM raw),

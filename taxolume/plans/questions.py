@@ -110,18 +110,38 @@ def benchmark_counts(spark, sf_dir):
     return Q.benchmark_counts(Q.questions_of(questions(spark, sf_dir), ["parts", "brands"]))
 
 
-@query(f"WITH {_PERM}, w AS (SELECT n.question_id, min(n.letter) AS answer FROM n JOIN r ON r.question_id = n.question_id AND r.letter = 'A' AND r.text = n.text GROUP BY n.question_id) SELECT dataset, question_id, 'A' AS prediction, w.answer FROM mcqa JOIN w USING (question_id)")
+def hashed_letter(prompt):
+    """A stand-in for a model: a letter that depends on the whole prompt."""
+    return F.substring(F.lit("ABCD"), F.conv(F.substring(F.md5(prompt), 1, 8), 16, 10).cast("long") % 4 + 1, F.lit(1))
+
+
+LETTER = "substr('ABCD', (('0x' || substr(md5({0}), 1, 8))::BIGINT % 4 + 1)::BIGINT, 1)"
+
+
+def prompt_sql(question: str, lines: str, context: str | None = None) -> str:
+    """The SQL of a prompt; context is an expression, null for none."""
+    tail = f"chr(10) || chr(10) || 'Question:' || chr(10) || {question} || chr(10) || chr(10) || 'Choices:' || chr(10) || {lines} || chr(10) || chr(10) || 'Answer (letter only): '"
+    plain = f"'{Q.INSTRUCTION}' || {tail}"
+    if context is None:
+        return plain
+    return f"CASE WHEN {context} IS NULL THEN {plain} ELSE '{Q.INSTRUCTION_WITH_CONTEXT}' || chr(10) || chr(10) || 'Context:' || chr(10) || {context} || {tail} END"
+
+
+@query(f"""WITH {_PERM}, w AS (SELECT n.question_id, min(n.letter) AS answer FROM n JOIN r ON r.question_id = n.question_id AND r.letter = 'A' AND r.text = n.text GROUP BY n.question_id),
+l AS (SELECT question_id, array_to_string(list(letter || '. ' || text ORDER BY letter), chr(10)) AS lines FROM n GROUP BY question_id),
+p AS (SELECT dataset, question_id, {prompt_sql('question', 'lines', 'question')} AS prompt, w.answer FROM mcqa JOIN w USING (question_id) JOIN l USING (question_id))
+SELECT dataset, question_id, prompt, {LETTER.format('prompt')} AS prediction, answer FROM p""")
 def harness_run(spark, sf_dir):
-    """The evaluation flow with permuted options and a predictor that always says A."""
+    """The evaluation flow with permuted options, a fact as context, and a predictor that depends on the whole prompt."""
     q = questions(spark, sf_dir)
-    facts = q.select("dataset", "question_id", F.array("question").alias("sentences"))
+    facts = q.select("dataset", "question_id", F.array("question", F.lit("a thing apart")).alias("sentences"))
     # The seed column of the flow is seed|dataset|id; here the dataset is left out of the seed as in option_permute.
     p = Q.permute(F.col("options"), F.col("answer"), F.concat(F.lit("1|"), F.col("question_id").cast("string")))
     mixed = q.withColumn("_p", p).withColumns({"options": F.col("_p.options"), "answer": F.col("_p.answer")}).drop("_p")
-    return Q.run(mixed, facts, lambda c: F.when(F.length(c) > 0, "A")).select("dataset", "question_id", "prediction", "answer")
+    return Q.run(mixed, facts, hashed_letter).select("dataset", "question_id", "prompt", "prediction", "answer")
 
 
-_MENTION = "m AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS t FROM conversations)"
+_MENTION = f"m AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[{T.SPACES}]+'), lambda x: x <> '') AS t FROM conversations)"
 
 
 def _mentions(spark, sf_dir):
