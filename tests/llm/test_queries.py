@@ -277,8 +277,9 @@ def test_odd_tables(spark, odd, tmp_path):
             (df if n is None else df.limit(0)).write.parquet(str(tmp_path / name / f"{table}.parquet"))
     for query, run in queries.QUERIES.items():
         assert run(spark, str(tmp_path / "none")).count() == 0, query
-        if query not in ("op3_packing", "op5_top_k"):
-            assert run(spark, str(tmp_path / "rows")).count() == odd.count(), query
+        out = run(spark, str(tmp_path / "rows")).collect()
+        if query not in ("op3_packing", "op5_top_k", "op11_spelling", "op13_whitening"):
+            assert len(out) == odd.count(), query
     assert queries.op3_packing(spark, str(tmp_path / "rows")).filter("piece = 0").count() == odd.count()
     import corpus_pipeline
 
