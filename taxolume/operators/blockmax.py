@@ -227,7 +227,7 @@ def _scored(asked: _Asked, k: int, known: np.ndarray, kind: pa.DataType, only: d
                     hit &= s >= (floor[now] - _slack(floor[now]))[:, None]
                     for a in np.flatnonzero(hit.any(axis=1)):
                         x = now[a]
-                        best[x] = sorted([*best[x], *((-round(float(s[a, j]), DIGITS), ids[j], float(s[a, j])) for j in np.flatnonzero(hit[a]))], key=lambda t: (t[0], t[1] is None, t[1]))[:k]
+                        best[x] = sorted([*best[x], *((-round(float(s[a, j]), DIGITS), ids[j], float(s[a, j])) for j in np.flatnonzero(hit[a]))], key=lambda t: (t[0], t[1] is not None, t[1]))[:k]
                         if len(best[x]) == k:
                             floor[x] = max(floor[x], -best[x][-1][0])
                     place[now] = -1
@@ -241,7 +241,7 @@ def _scored(asked: _Asked, k: int, known: np.ndarray, kind: pa.DataType, only: d
 def search(index: Blocks, queries: DataFrame, k: int = 10, text: str = "text", share: list[float] | None = None) -> DataFrame:
     """(query_id, rank, id, score) of each query's (query_id, text) k best documents among those with a match.
 
-    Scores that agree to DIGITS digits are ties, by id, null last. Queries run in blocks of about QUERY_BLOCK, two scans
+    Scores that agree to DIGITS digits are ties, by id, null first. Queries run in blocks of about QUERY_BLOCK, two scans
     each; a block is all that is sent to tasks. Queries of an equal id are one query. share gets, for each such block,
     the part of all postings of queries' terms that was scored. Queries without a known term and empty tables give no rows.
     """
