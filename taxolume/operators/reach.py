@@ -45,7 +45,7 @@ def reach_index(edges: DataFrame, nodes: DataFrame | None = None) -> Reach:
     by = lambda df, column, out: df.join(names.select(F.col("node").alias(column), F.col("i").alias(out)), column).drop(column)
     up = store.put(by(by(pairs, "child", "a"), "parent", "b"))
     placed = _levels(store, names, up)
-    labels = _labels(store, placed, up)
+    labels = _labels(store, placed, up, placed.count())
     out = store.put(labels.join(names, "i").select("node", "lo", "hi", "entries", "path"))
     loose = store.put(names.join(placed.select("i"), "i", "left_anti").select("node"))
     store.clear(out, loose, pairs)
@@ -75,35 +75,35 @@ def _levels(store: Scratch, names: DataFrame, up: DataFrame) -> DataFrame:
     return store.put(out)
 
 
-def _labels(store: Scratch, placed: DataFrame, up: DataFrame) -> DataFrame:
-    """(i, lo, hi, entries, path) of the placed nodes."""
-    paths = _paths(store, placed)
+def _labels(store: Scratch, placed: DataFrame, up: DataFrame, n: int) -> DataFrame:
+    """(i, lo, hi, entries, path) of the n placed nodes."""
+    paths = _paths(store, placed, n)
     sizes = paths.select(F.explode("ids").alias("i")).groupBy("i").agg(F.count("*").alias("size"))
     sized = store.put(placed.join(sizes, "i"))
     # A node comes after its siblings' trees before it: a running sum over all, less what ran before the first sibling.
     run = store.put(numbered(sized, [F.col("tree").asc_nulls_first(), F.col("i")], "place", store, "size", "run").select("i", "tree", "size", (F.col("run") - F.col("size")).alias("ahead")))
     first = run.groupBy("tree").agg(F.min("ahead").alias("first"), F.count("*").alias("_rows"))
     roots = run.filter("tree is null").select("i", "size", F.col("ahead").alias("skip"))
-    rest = join_hot(run.filter("tree is not null"), first.select("tree", "first"), "tree", F.col("i"), first.select("tree", "_rows"))
+    rest = join_hot(run.filter("tree is not null"), first.select("tree", "first"), "tree", F.col("i"), first.select("tree", "_rows"), rows=n)
     skips = store.put(roots.unionByName(rest.select("i", "size", (F.col("ahead") - F.col("first")).alias("skip"))))
     steps = paths.select("i", F.posexplode("ids").alias("d", "j"))
     counts = sized.select(F.col("i").alias("j"), F.col("size").alias("_rows"))
-    spent = join_hot(steps, skips.select(F.col("i").alias("j"), "skip"), "j", F.col("i"), counts)
+    spent = join_hot(steps, skips.select(F.col("i").alias("j"), "skip"), "j", F.col("i"), counts, rows=n)
     # One for each node above it, besides what is skipped: the place in a walk that meets parents first.
     walked = spent.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("d", "skip"))).alias("s"))
     sums = F.aggregate("s", F.array(F.lit(-1).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + 1 + x["skip"])))
     own = walked.select("i", F.slice(sums, 2, F.size("s")).alias("path")).join(skips.select("i", "size"), "i")
     own = store.put(own.withColumn("lo", F.element_at("path", -1)).select("i", "lo", (F.col("lo") + F.col("size") - 1).alias("hi"), "path").join(placed, "i"))
-    return _entries(store, own, up)
+    return _entries(store, own, up, n)
 
 
-def _paths(store: Scratch, placed: DataFrame) -> DataFrame:
+def _paths(store: Scratch, placed: DataFrame, n: int) -> DataFrame:
     """(i, ids): the forest's nodes from a root down to each node, by doubling the part that is known."""
     at = store.put(placed.select("i", F.array("i").alias("ids"), F.col("tree").alias("next")))
     while not at.filter("next is not null").isEmpty():
         open_, done = at.filter("next is not null"), at.filter("next is null")
         above = at.select(F.col("i").alias("next"), F.col("ids").alias("more"), F.col("next").alias("then"))
-        longer = join_hot(open_, above, "next", F.col("i")).select("i", F.concat("more", "ids").alias("ids"), F.col("then").alias("next"))
+        longer = join_hot(open_, above, "next", F.col("i"), rows=n).select("i", F.concat("more", "ids").alias("ids"), F.col("then").alias("next"))
         after = store.put(done.unionByName(longer))
         store.drop(at)
         at = after
@@ -119,7 +119,7 @@ def _lowest(spans: Column, lo: Column) -> Column:
     return F.filter(inner, lambda x: x["lo"] != lo)
 
 
-def _entries(store: Scratch, own: DataFrame, up: DataFrame) -> DataFrame:
+def _entries(store: Scratch, own: DataFrame, up: DataFrame, n: int) -> DataFrame:
     """own with entries, level by level: the entries of all parents, and the parents that are not the tree's."""
     counts = store.put(up.groupBy("b").agg(F.count("*").alias("_rows")))
     height = own.agg(F.max("level")).first()[0]
@@ -130,7 +130,7 @@ def _entries(store: Scratch, own: DataFrame, up: DataFrame) -> DataFrame:
     for level in range(1, (height or 0) + 1):
         # An edge of the tree to a parent without entries brings none.
         above = done.select(F.col("i").alias("b"), "lo", "hi", "entries")
-        met = join_hot(edges.filter(F.col("level") == level), above, "b", F.col("a"), counts)
+        met = join_hot(edges.filter(F.col("level") == level), above, "b", F.col("a"), counts, rows=n)
         met = met.select("a", F.when(F.col("b") == F.col("tree"), F.col("entries")).otherwise(F.concat("entries", F.array(F.struct("lo", "hi")))).alias("e"))
         got = met.filter(F.size("e") > 0).groupBy(F.col("a").alias("i")).agg(F.flatten(F.collect_list("e")).alias("e"))
         now = own.filter(F.col("level") == level).join(got, "i", "left")
