@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from taxolume.functions.text import percentage, stable_order
 from taxolume.storage import Scratch, join_hot, numbered
 
+from .reach import Reach, related
+
 
 def _lowered(words: DataFrame) -> DataFrame:
     return words.select(F.lower("word").alias("word")).distinct()
@@ -59,37 +61,44 @@ def random_question(questions: DataFrame, dataset: str, seed: int | str) -> Data
     return own.withColumn("_o", stable_order(F.col("question_id").cast("string"), seed)).orderBy("_o", "question_id").limit(1).drop("_o")
 
 
-def hard_negatives(edges: DataFrame, closure: DataFrame, n: int | None = None, seed: int | str = 0) -> DataFrame:
-    """(child, negative): siblings that are neither the child nor one of its ancestors.
+def _no_ancestors(pairs: DataFrame, up: DataFrame | Reach) -> DataFrame:
+    """pairs (child, negative, ...) whose negative is no ancestor of the child: by a closure (node, ancestor), or by the
+    labels of an index, which need no closure."""
+    if isinstance(up, Reach):
+        return related(up, pairs, "child", "negative").filter("not above").drop("above")
+    return pairs.join(up.select(F.col("node").alias("child"), F.col("ancestor").alias("negative")), ["child", "negative"], "left_anti")
+
+
+def hard_negatives(edges: DataFrame, closure: DataFrame | Reach, n: int | None = None, seed: int | str = 0) -> DataFrame:
+    """(child, negative): siblings that are neither the child nor one of its ancestors, by a closure (node, ancestor) or
+    by an index, which is much smaller.
 
     All of them by default, which are as many as the square of a parent's children; with n, up to n of each child, drawn
     by place among each parent's children, so that a parent of very many is no larger a task than another.
     """
-    up = closure.select(F.col("node").alias("child"), F.col("ancestor").alias("negative"))
     if n is None:
         pairs = edges.join(edges.select(F.col("child").alias("negative"), "parent"), "parent").select("child", "negative").filter("child <> negative").distinct()
-        return pairs.join(up, ["child", "negative"], "left_anti")
+        return _no_ancestors(pairs, closure)
     store = Scratch(edges.sparkSession, "siblings")
     listed = store.put(numbered(edges.select("child", "parent").distinct(), [F.col("parent"), F.md5(F.concat(F.lit(f"{seed}#"), "child")), F.col("child")], "i", store))
     spans = listed.groupBy("parent").agg(F.min("i").alias("lo"), F.count("*").alias("m"))
     own = join_hot(listed, spans, "parent", F.xxhash64("child")).select("child", "lo", "m")
-    return _drawn(store, own, listed.select("i", F.col("child").alias("node")), up, n, seed).select("child", "negative")
+    return _drawn(store, own, listed.select("i", F.col("child").alias("node")), closure, n, seed).select("child", "negative")
 
 
-def random_negatives(children: DataFrame, nodes: DataFrame, closure: DataFrame, n: int, seed: int | str) -> DataFrame:
+def random_negatives(children: DataFrame, nodes: DataFrame, closure: DataFrame | Reach, n: int, seed: int | str) -> DataFrame:
     """(child, negative, place): n nodes for each child that are neither itself nor an ancestor, or all such nodes if
     there are fewer. Nodes stand in an order fixed by the seed; each child draws places in it."""
     store = Scratch(children.sparkSession, "negatives")
     listed = store.put(numbered(nodes.select("node").distinct(), [F.md5(F.concat(F.lit(f"{seed}#"), "node")), F.col("node")], "i", store))
     total = listed.count()
-    up = closure.select(F.col("node").alias("child"), F.col("ancestor").alias("negative"))
     own = children.select("child").distinct().select("child", F.lit(0).cast("long").alias("lo"), F.lit(total).cast("long").alias("m"))
-    return _drawn(store, own.filter("m > 0"), listed, up, n, seed)
+    return _drawn(store, own.filter("m > 0"), listed, closure, n, seed)
 
 
-def _drawn(store: Scratch, own: DataFrame, listed: DataFrame, up: DataFrame, n: int, seed: int | str) -> DataFrame:
+def _drawn(store: Scratch, own: DataFrame, listed: DataFrame, up: DataFrame | Reach, n: int, seed: int | str) -> DataFrame:
     """(child, negative, place): up to n of the nodes that each child (child, lo, m) may draw, the m from place lo on in
-    listed (i, node), without itself and its ancestors up (child, negative).
+    listed (i, node), without itself and its ancestors, by a closure or an index.
 
     Places are drawn by a hash and looked up, so no child meets all nodes. Draws that repeat, or hit the child or an
     ancestor, are replaced in further rounds, twice as many each; where as many are drawn as there are, all are taken.
@@ -103,7 +112,7 @@ def _drawn(store: Scratch, own: DataFrame, listed: DataFrame, up: DataFrame, n:
         met = drawn.withColumn("i", at).join(listed, "i").filter("child <> node").groupBy("child", F.col("node").alias("negative")).agg(F.min("draw").alias("draw"), F.min("whole").alias("whole"))
         by_hash = F.md5(F.concat(F.lit(f"{seed}:"), "child", F.lit("|"), "negative"))
         rank = F.row_number().over(Window.partitionBy("child").orderBy("whole", F.when(~F.col("whole"), F.col("draw")), by_hash, "negative"))
-        kept = store.put(met.join(up, ["child", "negative"], "left_anti").withColumn("place", rank).filter(F.col("place") <= n).select("child", "negative", "place"))
+        kept = store.put(_no_ancestors(met, up).withColumn("place", rank).filter(F.col("place") <= n).select("child", "negative", "place"))
         done = kept.groupBy("child").agg(F.count("*").alias("_n")).filter(F.col("_n") == n).select("child")
         done = done.union(open_.groupBy("child").agg(F.max("m").alias("m")).filter(F.col("m") <= want).select("child")).distinct()
         full = kept.join(done, "child", "left_semi")
