@@ -25,6 +25,8 @@ from taxolume.storage import Scratch
 
 #: Bytes of a dictionary up to which it is sent to the tasks; an automaton holds some fifty times as many.
 DICTIONARY_BYTES = 8 << 20
+#: Entities that a task holds and sends on at a time.
+MOST_SPANS = 10_000
 #: Words of an entry, at most; longer ones are never found.
 MOST_WORDS = 4
 #: Fixed value: a word is a run of letters, digits, hyphens and apostrophes.
@@ -101,17 +103,25 @@ def _told(words: DataFrame, patterns, most_words: int):
 
 
 def _tagged(told, digest: str, text: int):
-    """Of a batch, each row's other columns as often as it has entities, beside these."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tagger, rows, spans = _made(told, digest), [], []
-        for i, t in enumerate(batch.column(text)):
-            own = tagger.tag(t.as_py())
-            rows += [i] * len(own)
-            spans += own
-        kept = batch.take(pa.array(rows, pa.int64()))
-        made = [pa.array([s[j] for s in spans], kind) for j, kind in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))]
-        return pa.RecordBatch.from_arrays([*kept.columns, *made], [*batch.schema.names, *SPANS])
+    """Of batches, each row's other columns as often as it has entities, beside these. What goes out at a time has about
+    MOST_SPANS entities, and never the texts, which would come once for each entity."""
+
+    def made(batch: pa.RecordBatch, rows: list[int], spans: list[tuple[str, int, int, str]]) -> pa.RecordBatch:
+        kept = batch.select([i for i in range(batch.num_columns) if i != text]).take(pa.array(rows, pa.int64()))
+        out = [pa.array([s[j] for s in spans], kind) for j, kind in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))]
+        return pa.RecordBatch.from_arrays([*kept.columns, *out], [*kept.schema.names, *SPANS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tagger, rows, spans = _made(told, digest), [], []
+            for i, t in enumerate(batch.column(text)):
+                for span in tagger.tag(t.as_py()):
+                    rows.append(i)
+                    spans.append(span)
+                    if len(rows) == MOST_SPANS:
+                        yield made(batch, rows, spans)
+                        rows, spans = [], []
+            yield made(batch, rows, spans)
 
     return run
 
@@ -132,7 +142,7 @@ def tag_spans(docs: DataFrame, words: DataFrame, text: str = "text", key: str =
     run = _tagged(*made, 1)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
-    found = rows.mapInArrow(lambda batches: (run(b) for b in batches), f"k {kind}, t string, entity_literal string, start_position int, end_position int, entity_type string")
+    found = rows.mapInArrow(run, f"k {kind}, entity_literal string, start_position int, end_position int, entity_type string")
     return found.select(F.col("k").alias(key), *SPANS)
 
 
