@@ -4,14 +4,14 @@ A file is cut into blocks at line ends. What a block's first line is part of dep
 long string can reach over a line end, so a block starts in one of three states. A first pass finds, for each state, the
 state in which the block ends and whether a statement ends in it: a row a block, from which the driver follows the
 states through each file. The second pass cuts the blocks into statements; the parts of one that reaches over several
-blocks are put together by the block that it begins in. Then statements are parsed, each by itself, with the prefixes
-declared before it.
+blocks are put together by the block that it begins in. Then the statements of a block are parsed in their order, with the
+prefixes that hold where it begins, which the driver follows likewise, and those declared in it so far.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -23,8 +23,6 @@ from taxolume.storage import Scratch
 
 #: States at a line's start: between or inside statements, and inside a long string of either quote.
 PLAIN, DOUBLE, SINGLE = 0, 1, 2
-#: Prefix and base declarations of all files together, at most; they are sent to all tasks.
-DECLARATIONS = 100_000
 #: The namespaces that `compact` knows, and the predicates and types that the syntax stands for.
 NAMESPACES = {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "owl": "http://www.w3.org/2002/07/owl#", "skos": "http://www.w3.org/2004/02/skos/core#", "xsd": "http://www.w3.org/2001/XMLSchema#"}
 RDF = NAMESPACES["rdf"]
@@ -263,9 +261,12 @@ class _Parser:
         return self.out
 
 
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+
+
 def resolved(base: str, iri: str) -> str:
     """An iri against a base; one with a scheme stands as it is, an empty fragment stays."""
-    if not base or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", iri):
+    if not base or _SCHEME.match(iri):
         return iri
     return urljoin(base, iri) + "#" * (iri.endswith("#"))
 
@@ -289,6 +290,19 @@ def _declared(text: str) -> tuple[str, str] | None:
     return ("@", tokens[1][1][1:-1]) if base else (tokens[1][1][:-1], tokens[2][1][1:-1])
 
 
+def _tell(env: dict[str, list[str]], prefix: str, namespace: str) -> None:
+    """Adds a declaration to those of a block: by prefix (the base's is @), what its namespace is resolved through, from
+    the base that holds where the block begins."""
+    namespace = unescaped(namespace)
+    env[prefix] = [namespace] if _SCHEME.match(namespace) else [*env.get("@", []), namespace]
+
+
+def _through(base: str, steps: list[str]) -> str:
+    for step in steps:
+        base = resolved(base, step)
+    return base
+
+
 def _split_sparql(text: str) -> list[str]:
     """Declarations in SPARQL's style end without a full stop: they are cut off the statement that follows."""
     out = []
@@ -310,14 +324,44 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
     rows = statements(spark, path, store).filter(F.col("text").rlike(r"[^\s]"))
     cut = rows.mapInArrow(_each, "file string, block long, n long, i int, text string")
     cut = store.put(cut)
-    told = cut.filter(F.col("text").rlike(_TOLD.pattern)).limit(DECLARATIONS + 1).collect()
-    if len(told) > DECLARATIONS:
-        raise ValueError(f"more than {DECLARATIONS} declarations")
-    known: dict[str, list[tuple[tuple, str, str]]] = {}
-    for r in sorted(told, key=lambda r: (r["file"], r["block"], r["n"], r["i"])):
-        if (d := _declared(r["text"])) is not None:
-            known.setdefault(r["file"], []).append(((r["block"], r["n"], r["i"]), *d))
-    return cut.mapInArrow(_parsed(known), "s string, s_kind string, p string, o string, o_kind string")
+    in_order = lambda df: df.repartition("file", "block").sortWithinPartitions("file", "block", "n", "i")
+    told = in_order(cut.filter(F.col("text").rlike(_TOLD.pattern))).mapInArrow(_told, "file string, block long, prefix string, steps array<string>")
+    by: dict[str, dict[int, list[tuple[str, list[str]]]]] = {}
+    for r in told.collect():  # of each block, a row for each prefix that it declares
+        by.setdefault(r["file"], {}).setdefault(r["block"], []).append((r["prefix"], r["steps"]))
+    changes: dict[str, tuple[list[int], list[dict[str, str]]]] = {}
+    for file, blocks in by.items():
+        now, after = {}, []
+        for block in sorted(blocks):
+            new = now | {prefix: _through(now.get("@", ""), steps) for prefix, steps in blocks[block]}
+            now = now if new == now else new  # one object as long as nothing changes
+            after.append(now)
+        changes[file] = (sorted(blocks), after)
+    return in_order(cut).mapInArrow(_parsed(changes), "s string, s_kind string, p string, o string, o_kind string")
+
+
+def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, int, str]]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, block, prefix, steps) of each block's declarations, the last of each prefix."""
+
+    def made(now: tuple[str, int], env: dict[str, list[str]]) -> pa.RecordBatch:
+        columns = [pa.array([now[0]] * len(env)), pa.array([now[1]] * len(env), pa.int64()), pa.array(list(env)), pa.array(list(env.values()), pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, ["file", "block", "prefix", "steps"])
+
+    now, env = None, {}
+    for file, block, _, _, text in _by_row(batches):
+        if (file, block) != now:
+            if env:
+                yield made(now, env)
+            now, env = (file, block), {}
+        if (d := _declared(text)) is not None:
+            _tell(env, *d)
+    if env:
+        yield made(now, env)
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,37 +372,39 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "block", "n", "i", "text"])
 
 
-def _parsed(known: dict[str, list[tuple[tuple, str, str]]]):
+def _parsed(changes: dict[str, tuple[list[int], list[dict[str, str]]]]):
+    """The triples of rows sorted by file, block and place. changes: of each file, the blocks that declare something, and
+    what holds after each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        places = {f: [d[0] for d in own] for f, own in known.items()}
-        held: dict[tuple[str, int], tuple[dict[str, str], str]] = {}
-
-        def valid(file: str, count: int) -> tuple[dict[str, str], str]:
-            """The prefixes and the base after so many declarations of a file."""
-            if (file, count) not in held:
-                prefixes, base = {}, ""
-                for _, prefix, namespace in known.get(file, [])[:count]:
-                    namespace = resolved(base, unescaped(namespace))
-                    if prefix == "@":
-                        base = namespace
-                    else:
-                        prefixes[prefix] = namespace
-                held[file, count] = (prefixes, base)
-            return held[file, count]
-
-        for batch in batches:
-            out: list[tuple] = []
-            for file, block, n, i, text in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                prefixes, base = valid(file, bisect_right(places.get(file, []), (block, n, i)))
-                out += _Parser(text, prefixes, base, f"{zlib.crc32(file.encode()):08x}b{block}s{n}i{i}").triples()
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["s", "s_kind", "p", "o", "o_kind"])
+        now, env, start, holds, out = None, {}, {}, {}, []
+        for file, block, n, i, text in _by_row(batches):
+            if (file, block) != now:
+                blocks, after = changes.get(file, ([], []))
+                at = bisect_left(blocks, block)
+                now, env, start = (file, block), {}, after[at - 1] if at else {}
+                holds = start
+            if (d := _declared(text) if _TOLD.match(text) else None) is not None:
+                _tell(env, *d)
+                if holds.get(d[0]) != (namespace := _through(start.get("@", ""), env[d[0]])):
+                    holds = holds | {d[0]: namespace}
+            else:
+                out += _Parser(text, holds, holds.get("@", ""), f"{zlib.crc32(file.encode()):08x}b{block}s{n}i{i}").triples()
+            if len(out) >= 10_000:
+                yield _triples(out)
+                out = []
+        if out:
+            yield _triples(out)
 
     return run
 
 
+def _triples(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["s", "s_kind", "p", "o", "o_kind"])
+
+
 def compact(triples: DataFrame) -> DataFrame:
     """triples with iris of the known namespaces written with their prefix, as the operators on graphs read them."""
 

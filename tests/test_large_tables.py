@@ -5,6 +5,7 @@ import types
 import pyarrow as pa
 
 from taxolume.operators import tagger
+from taxolume.sources import turtle
 
 
 def test_tagger_sends_no_text_and_few_spans_at_a_time(monkeypatch):
@@ -15,3 +16,37 @@ def test_tagger_sends_no_text_and_few_spans_at_a_time(monkeypatch):
     assert all(b.schema.names == ["k", *tagger.SPANS] and b.num_rows <= 100 for b in out)
     rows = [r for b in out for r in zip(b.column("k").to_pylist(), b.column("start_position").to_pylist(), strict=True)]
     assert rows == [*((1, 4 * i) for i in range(250)), (3, 2)] * 2
+
+
+def test_turtle_with_more_declarations_than_once_were_taken(spark, tmp_path):
+    head = "".join(f"@prefix p{i}: <http://p{i}/> .\n" for i in range(5))
+    (tmp_path / "many.ttl").write_text("".join(f"{head}p{i % 5}:s{i} p0:p p1:o .\n" for i in range(20_100)))
+    got = turtle.read_turtle(spark, str(tmp_path / "many.ttl"))
+    assert got.select("s").distinct().count() == 20_100 and got.filter("s = 'http://p3/s13'").count() == 1
+
+
+def test_turtle_declarations_hold_over_blocks(spark, tmp_path):
+    lines, base = [], "http://b/"
+    wanted = []
+    for i in range(60):
+        if i % 7 == 0:
+            lines.append(f"@prefix x: <ns{i}/> .\n")
+            ns = base + f"ns{i}/"
+        if i % 11 == 0:
+            lines.append(f"@base <{'http://b/' if i % 22 == 0 else f'd{i}/'}> .\n")
+            base = "http://b/" if i % 22 == 0 else base + f"d{i}/"
+        if i == 0:
+            lines.append("@prefix x: <ns0/> .\n")
+            ns = base + "ns0/"
+        lines.append(f'<s{i}> x:p """long\n{i}""" .\n')
+        wanted.append((base + f"s{i}", ns + "p", f"long\n{i}"))
+    (tmp_path / "a.ttl").write_text("".join(lines))
+    settings = {"spark.sql.files.maxPartitionBytes": None, "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    try:
+        for n in (170, 100_000):
+            for k, v in settings.items():
+                spark.conf.set(k, v or str(n))
+            assert sorted((r.s, r.p, r.o) for r in turtle.read_turtle(spark, str(tmp_path)).collect()) == sorted(wanted)
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
