@@ -1,9 +1,16 @@
 """What larger tables showed: memory, work and results that only hold on small ones."""
 
+import random
 import types
 
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
+from taxolume.functions import vector as V
+from taxolume.operators import metrics as M
+from taxolume.operators import pairs as P
+from taxolume.operators import retrieve as R
 from taxolume.operators import tagger
 from taxolume.sources import turtle
 
@@ -50,3 +57,56 @@ def test_turtle_declarations_hold_over_blocks(spark, tmp_path):
     finally:
         for k in settings:
             spark.conf.unset(k)
+
+
+def vectors(spark, n, seed=1):
+    """Points of which every third repeats another, so that scores tie."""
+    rnd = random.Random(seed)
+    some = [[rnd.uniform(-0.4, 0.4) for _ in range(5)] for _ in range(n)]
+    rows = [(i, some[i // 6 if i % 3 == 0 else i], i % 4) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, vec array<double>, label int").repartition(3)
+
+
+def never(*args):
+    raise AssertionError("scored pair by pair")
+
+
+@pytest.mark.parametrize("score", ["cosine", "inner", "l2", "poincare", "subsumption"])
+def test_best_rows_by_numpy_are_those_of_the_expressions(spark, monkeypatch, score):
+    monkeypatch.setattr(P, "BLOCK", 40)
+    t = vectors(spark, 1300)
+    q = t.filter("id % 13 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
+    build, ascending = V.SCORES[score]
+    every = R.scan(q, t.select("id", "vec"), score, 0.5, 0.7).filter("query_id <> id")
+    plain = R.top_k(every, 7, ascending).select("query_id", "rank", "id", F.round("score", 12))
+    monkeypatch.setattr(R, "scan", never)
+    got = R.retrieve(q, t.select("id", "vec"), score, 7, 0.5, 0.7).select("query_id", "rank", "id", F.round("score", 12))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_best_rows_of_odd_vectors_are_left_to_the_expressions(spark):
+    t = vectors(spark, 30).select("id", "vec").union(spark.createDataFrame([(100, None), (101, [0.1, None, 0.0, 0.0, 0.0])], "id long, vec array<double>"))
+    q = t.filter("id = 4").select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
+    assert P.ready(q, t, P.score("l2", 1.0, 0.0)) is None and R.retrieve(q, t, "l2", 50).count() == 31
+
+
+@pytest.mark.parametrize("kernel", ["exp", "inv", "dist"])
+def test_fusion_in_one_scan(spark, monkeypatch, kernel):
+    t = vectors(spark, 700).select("id", "vec")
+    q = t.filter("id % 70 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
+    tables = [R.scan(q, t, s, 0.5).filter("query_id <> id") for s in ("poincare", "l2", "cosine")]
+    tables[2] = tables[2].withColumn("score", F.lit(1.0) - F.col("score"))
+    plain = R.mixed(tables, [1.0, 0.5, 0.35], kernel, 6).select("query_id", "rank", "id", F.round("score", 12))
+    monkeypatch.setattr(R, "mixed_scan", never)
+    got = R.mixed_top(q, t, ("poincare", "l2", "cosine"), [1.0, 0.5, 0.35], kernel, 6, 0.5).select("query_id", "rank", "id", F.round("score", 12))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_kinds_by_numpy_are_those_of_the_expressions(spark, monkeypatch):
+    t = vectors(spark, 600).select("id", "vec")
+    kind = F.element_at(F.array(*map(F.lit, M.KINDS)), (F.col("id") % 4 + 1).cast("int"))
+    q = t.filter("id < 60").select(kind.alias("kind"), (F.col("id") % 50).alias("query_id"), F.col("vec").alias("q"), (F.col("id") + 3).alias("answer"))
+    column = lambda c, p, w: F.round(V.subsumption(V.poincare(c, p, 0.5, eps=0.0), V.depth(V.squared_norm(c), 0.5), V.depth(V.squared_norm(p), 0.5), w), 9)
+    own = P.Kind(lambda d, c, p, w: P.nine(-(d + w * (p - c))), 0.5, never)
+    plain = sorted(map(tuple, M.kind_ranks(q, t, column, (0.0, 0.5, 1.5)).select("weight", "kind", "query_id", "rank").collect()))
+    assert len(plain) == 180 and sorted(map(tuple, M.kind_ranks(q, t, own, (0.0, 0.5, 1.5)).select("weight", "kind", "query_id", "rank").collect())) == plain
