@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from taxolume.storage import Scratch, numbered
 
+from . import pairs as P
 from .retrieve import stated
 
 
@@ -275,10 +276,16 @@ def static_evaluation(distances: DataFrame, poincare: bool = True) -> DataFrame:
 def kind_ranks(queries: DataFrame, candidates: DataFrame, score, weights: Sequence[float] = (1.0,)) -> DataFrame:
     """(weight, kind, query_id, rank) of queries (kind, query_id, q, answer) among candidates (id, vec), by each weight.
 
-    score(child, parent, weight) is better when large. A query's vector is the child; for nf3 it is the parent and the
-    candidates are the children. The stated queries, times weights, are broadcast in blocks, so candidates are read once
-    a block and never shuffled; each task counts those before the answer, whose own score comes from a join on its id.
+    score(child, parent, weight) is better when large; a `pairs.Kind` is counted by numpy, with distances and depths taken
+    once for all weights. A query's vector is the child; for nf3 it is the parent and the candidates are the
+    children. The stated queries, times weights, are broadcast in blocks, so candidates are read once a block and never
+    shuffled; each task counts those before the answer, whose own score comes from a join on its id.
     """
+    if isinstance(score, P.Kind):
+        counted = _counted_kinds(queries, candidates, score, weights)
+        if counted is not None:
+            return counted
+        score = score.column
     swap = lambda q, c: F.when(F.col("kind") == "nf3", score(c, q, F.col("weight"))).otherwise(score(q, c, F.col("weight")))
     own = queries.join(candidates.select(F.col("id").alias("answer"), F.col("vec").alias("_a")), "answer")
     own = own.withColumn("weight", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
@@ -288,6 +295,17 @@ def kind_ranks(queries: DataFrame, candidates: DataFrame, score, weights: Sequen
     return scored.groupBy("weight", "kind", "query_id").agg((F.sum(before.cast("long")) + 1).alias("rank"))
 
 
+def _counted_kinds(queries: DataFrame, candidates: DataFrame, score: P.Kind, weights: Sequence[float]) -> DataFrame | None:
+    own = queries.join(candidates.select(F.col("id").alias("answer"), F.col("vec").alias("a")), "answer")
+    own = own.select("query_id", "q", "answer", "a", "kind", (F.col("kind") != "nf3").alias("up"))
+    made = P.ready(own, candidates.select("id", "vec"), P.Score(None, True, ball=score.curvature))
+    found = None if made is None else P.before(*made, score, [float(w) for w in weights])
+    if found is None:
+        return None
+    names = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("w") + 1).alias("weight")
+    return found.select(names, "kind", "query_id", (F.col("n") + 1).alias("rank"))
+
+
 KINDS = ("nf1", "nf2", "nf3", "nf4")
 
 

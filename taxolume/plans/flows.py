@@ -12,6 +12,7 @@ from taxolume.operators import axioms as A
 from taxolume.operators import graph as G
 from taxolume.operators import lexical as L
 from taxolume.operators import metrics as M
+from taxolume.operators import pairs as P
 from taxolume.operators import qa as Q
 from taxolume.operators import retrieve as R
 from taxolume.operators import sets as S
@@ -415,16 +416,19 @@ def _subsumption_score(child, parent, weight):
     return F.round(V.subsumption(V.poincare(child, parent, K, eps=0.0), V.depth(V.squared_norm(child), K), V.depth(V.squared_norm(parent), K), weight), 9)
 
 
+_SUBSUMPTION = P.Kind(lambda distance, child, parent, weight: P.nine(-(distance + weight * (parent - child))), K, _subsumption_score)
+
+
 @query(f"WITH {_KINDS} SELECT kind, query_id, rank::BIGINT AS rank FROM ranks")
 def kind_ranks(spark, sf_dir):
     """Ranks by kind of normal form; nf3 asks for children."""
-    return M.kind_ranks(*_kind_queries(spark, sf_dir), _subsumption_score).drop("weight")
+    return M.kind_ranks(*_kind_queries(spark, sf_dir), _SUBSUMPTION).drop("weight")
 
 
 @query(f"WITH {_KINDS}, k AS (SELECT kind, rank FROM ranks UNION ALL SELECT 'combined', rank FROM ranks WHERE (SELECT count(DISTINCT kind) FROM ranks) = 4), shown AS (SELECT * FROM k WHERE kind = 'combined' OR NOT EXISTS (SELECT 1 FROM (SELECT unnest(['nf1', 'nf2', 'nf3', 'nf4']) AS x) a WHERE x < k.kind AND x NOT IN (SELECT kind FROM ranks))) SELECT kind, count(*) AS n, round(avg((rank <= 1)::INTEGER), 6) AS h1, round(avg((rank <= 10)::INTEGER), 6) AS h10, round(avg(1.0::DOUBLE / rank), 6) AS mrr, round(avg(rank), 6) AS mr FROM shown GROUP BY kind")
 def kind_evaluation(spark, sf_dir):
     """All four kinds together only if all are there."""
-    out = M.kind_evaluation(*_kind_queries(spark, sf_dir), _subsumption_score)
+    out = M.kind_evaluation(*_kind_queries(spark, sf_dir), _SUBSUMPTION)
     return out.select("kind", "n", *[r6(F.col(c)).alias(c) for c in ("h1", "h10", "mrr", "mr")])
 
 
@@ -437,7 +441,7 @@ ranks AS (SELECT weight, query_id, sum((score > t OR score = t AND id < answer):
 def best_rank_weight(spark, sf_dir):
     """The weight of the largest MRR, the first of equal ones."""
     queries_, candidates = _kind_queries(spark, sf_dir)
-    score = lambda c, p, w: F.round(V.subsumption(V.poincare(c, p, K, eps=0.0), V.depth(V.squared_norm(c), K), V.depth(V.squared_norm(p), K), 0.0) + w * (V.subsumption(V.poincare(c, p, K, eps=0.0), V.depth(V.squared_norm(c), K), V.depth(V.squared_norm(p), K), 1.0) - V.subsumption(V.poincare(c, p, K, eps=0.0), V.depth(V.squared_norm(c), K), V.depth(V.squared_norm(p), K), 0.0)), 9)
+    score = P.Kind(lambda distance, child, parent, weight: P.nine(-distance + weight * (-(distance + (parent - child)) - -distance)), K, _subsumption_score)
     return M.best_rank_weight(queries_.withColumn("kind", F.lit("nf1")), candidates, score).select("weight", r6(F.col("mrr")).alias("mrr"), "n")
 
 
