@@ -86,6 +86,23 @@ def hard_negatives(edges: DataFrame, closure: DataFrame | Reach, n: int | None =
     return _drawn(store, own, listed.select("i", F.col("child").alias("node")), closure, n, seed).select("child", "negative")
 
 
+def first_hard_negatives(edges: DataFrame, closure: DataFrame, n: int) -> DataFrame:
+    """(child, negative): the first n by name of each child's hard_negatives, which are all of them where there are fewer.
+
+    Among the first siblings of a parent only the child itself and its ancestors are none, so as many as these and n more
+    are looked up by place; no child meets all of its siblings.
+    """
+    store = Scratch(edges.sparkSession, "siblings")
+    listed = store.put(numbered(edges.select("child", "parent").distinct(), [F.col("parent"), F.col("child")], "i", store))
+    spans = listed.groupBy("parent").agg(F.min("i").alias("lo"), F.count("*").alias("m"))
+    above = closure.groupBy(F.col("node").alias("child")).agg(F.count_distinct("ancestor").alias("above"))
+    own = join_hot(listed, spans, "parent", F.xxhash64("child")).join(above, "child", "left")
+    most = F.least(F.col("m"), F.coalesce("above", F.lit(0)) + F.lit(n + 1))
+    met = own.select("child", F.explode(F.sequence(F.col("lo"), F.col("lo") + most - 1)).alias("i")).join(listed.select("i", F.col("child").alias("negative")), "i")
+    kept = store.put(_no_ancestors(met.select("child", "negative").filter("child <> negative").distinct(), closure))
+    return kept.withColumn("_n", F.row_number().over(Window.partitionBy("child").orderBy("negative"))).filter(F.col("_n") <= n).drop("_n")
+
+
 def random_negatives(children: DataFrame, nodes: DataFrame, closure: DataFrame | Reach, n: int, seed: int | str) -> DataFrame:
     """(child, negative, place): n nodes for each child that are neither itself nor an ancestor, or all such nodes if
     there are fewer. Nodes stand in an order fixed by the seed; each child draws places in it."""
@@ -122,7 +139,8 @@ def _drawn(store: Scratch, own: DataFrame, listed: DataFrame, up: DataFrame | Re
 
 
 def examples(edges: DataFrame, hard: DataFrame, random: DataFrame, n: int = 10) -> DataFrame:
-    """(child, parent, hard_negatives, random_negatives, negatives): hard ones first, filled up with random ones to n."""
+    """(child, parent, hard_negatives, random_negatives, negatives): hard ones first, filled up with random ones to n. Of
+    hard ones the first n by name are enough."""
     h = hard.groupBy("child").agg(F.array_sort(F.collect_list("negative")).alias("hard_negatives"))
     r = random.groupBy("child").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "negative"))), lambda x: x["negative"]).alias("random_negatives"))
     empty = F.expr("cast(array() as array<string>)")

@@ -181,7 +181,7 @@ def _examples(spark, sf_dir):
     closure = G.ancestors(e)
     nodes = e.select(F.col("child").alias("node")).union(e.select("parent")).distinct()
     random = S.random_negatives(e, nodes, closure, 10, 3)
-    return S.examples(e, S.hard_negatives(e, closure), random, 10)
+    return S.examples(e, S.first_hard_negatives(e, closure, 10), random, 10)
 
 
 _EX = _HARD + """, nodes AS (SELECT child AS node FROM edges UNION SELECT parent FROM edges),

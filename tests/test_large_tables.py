@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from taxolume.functions import vector as V
+from taxolume.operators import graph as G
 from taxolume.operators import metrics as M
 from taxolume.operators import pairs as P
 from taxolume.operators import retrieve as R
+from taxolume.operators import sets as S
 from taxolume.operators import tagger
 from taxolume.sources import turtle
 
@@ -110,3 +112,19 @@ def test_kinds_by_numpy_are_those_of_the_expressions(spark, monkeypatch):
     own = P.Kind(lambda d, c, p, w: P.nine(-(d + w * (p - c))), 0.5, never)
     plain = sorted(map(tuple, M.kind_ranks(q, t, column, (0.0, 0.5, 1.5)).select("weight", "kind", "query_id", "rank").collect()))
     assert len(plain) == 180 and sorted(map(tuple, M.kind_ranks(q, t, own, (0.0, 0.5, 1.5)).select("weight", "kind", "query_id", "rank").collect())) == plain
+
+
+def test_first_hard_negatives_meet_few_siblings(spark, monkeypatch):
+    rnd = random.Random(3)
+    pairs = {(f"c{i}", f"p{rnd.randrange(4)}") for i in range(300)} | {(f"c{rnd.randrange(300)}", f"p{rnd.randrange(4)}") for _ in range(80)}
+    pairs |= {("c7", "c0"), ("c0", "p1"), ("c7", "p1"), ("c1", "c7"), ("c1", "p1"), ("p2", "p1"), ("only", "alone")}
+    edges = spark.createDataFrame(sorted(pairs), "child string, parent string")
+    closure = G.ancestors(edges)
+    wanted = {}
+    for r in S.hard_negatives(edges, closure).collect():
+        wanted.setdefault(r.child, []).append(r.negative)
+    wanted = {(c, n) for c, own in wanted.items() for n in sorted(own)[:5]}
+    met, real = [], S._no_ancestors
+    monkeypatch.setattr(S, "_no_ancestors", lambda p, up: met.append(p.count()) or real(p, up))
+    assert {(r.child, r.negative) for r in S.first_hard_negatives(edges, closure, 5).collect()} == wanted
+    assert met[0] < 400 * 9
