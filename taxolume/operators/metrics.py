@@ -2,7 +2,8 @@
 
 ranked: (query_id, id, rank from 1); relevant: (query_id, id[, relevance]). Every query of `queries` or `relevant` counts,
 also one without a hit. Metrics over whole rankings only look at relevant rows, so ranked may hold these alone, as
-`ranks.relevant_ranks` makes them, with the length of each ranking.
+`ranks.relevant_ranks` makes them, with the length of each ranking. Rankings that also have seen and total, as
+`pairs.class_ranks` makes them, hold relevant rows alone and are joined with nothing.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from . import pairs as P
 from .retrieve import stated
 
 
+def _counted(ranked: DataFrame) -> bool:
+    return {"seen", "total"} <= set(ranked.columns)
+
+
 def hits(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     """ranked with rel (0 or 1) and relevance (0 where not relevant)."""
     has = "relevance" in relevant.columns
@@ -63,6 +68,9 @@ def _running(h: DataFrame) -> DataFrame:
 def average_precisions(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     """(query_id, ap, ap_seen): sum of hits / rank at each hit over all relevant ids, and over those that were seen. Only
     hits are sorted by rank."""
+    if _counted(ranked):
+        got = ranked.groupBy("query_id").agg(F.sum(F.col("seen") / F.col("rank")).alias("s"), F.max("total").alias("n"))
+        return got.select("query_id", (F.col("s") / F.col("n")).alias("ap"), (F.col("s") / F.col("n")).alias("ap_seen"))
     known = relevant.select("query_id", "id").distinct()
     n = known.groupBy("query_id").agg(F.count("*").alias("total"))
     seen = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
@@ -79,6 +87,8 @@ def average_precision(ranked: DataFrame, relevant: DataFrame, over_seen: bool =
 def r_precision(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     """(query_id, rp): hits among the first R over R, R the number of relevant ids; 0 for a list shorter than R. A list's
     length is its column length, or else its largest rank."""
+    if _counted(ranked):
+        return ranked.groupBy("query_id").agg((F.sum((F.col("rank") <= F.col("total")).cast("long")) / F.max("total")).alias("rp"))
     n = relevant.groupBy("query_id").agg(F.count_distinct("id").alias("total"))
     own = hits(ranked, relevant)
     if "length" in ranked.columns:
@@ -117,6 +127,8 @@ def targets_with_gain(targets: DataFrame, cutoff: int, kind: str = "exp") -> Dat
 
 def pr_points(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     """(query_id, rank, seen, total, precision, recall) at each hit."""
+    if _counted(ranked):
+        return ranked.select("query_id", "rank", "seen", "total", (F.col("seen") / F.col("rank")).alias("precision"), (F.col("seen") / F.col("total")).alias("recall"))
     n = relevant.groupBy("query_id").agg(F.count_distinct("id").alias("total"))
     return _running(hits(ranked, relevant)).filter("rel = 1").join(n, "query_id").select("query_id", "rank", "seen", "total", (F.col("seen") / F.col("rank")).alias("precision"), (F.col("seen") / F.col("total")).alias("recall"))
 
@@ -126,8 +138,10 @@ def macro_pr(ranked: DataFrame, relevant: DataFrame, steps: int = 100) -> DataFr
     grid = relevant.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("g"))
     q = relevant.select("query_id").distinct()
     pts = pr_points(ranked, relevant)
-    # The best precision at any recall from here on: a hit serves every grid point up to its own recall.
-    best = pts.select("query_id", "precision", F.explode(F.sequence(F.lit(0), F.floor(F.col("seen") * steps / F.col("total")).cast("int"))).alias("g")).groupBy("query_id", "g").agg(F.max("precision").alias("p"))
+    # The best precision at any recall from here on: a hit serves every grid point up to its own recall, so the best of
+    # each grid point is taken first and then the best of it and all later ones.
+    own = pts.groupBy("query_id", F.floor(F.col("seen") * steps / F.col("total")).cast("int").alias("g")).agg(F.max("precision").alias("p"))
+    best = own.select("query_id", "p", F.explode(F.sequence(F.lit(0), F.col("g"))).alias("g")).groupBy("query_id", "g").agg(F.max("p").alias("p"))
     return q.crossJoin(F.broadcast(grid)).join(best, ["query_id", "g"], "left").groupBy("g").agg(F.avg(F.coalesce("p", F.lit(0.0))).alias("precision")).select((F.col("g") / F.lit(float(steps))).alias("recall"), "precision")
 
 
@@ -141,7 +155,7 @@ def pr_curve(ranks: DataFrame, relevant: DataFrame) -> DataFrame:
     store = Scratch(ranks.sparkSession, "curve")
     n = relevant.groupBy("query_id").agg(F.count_distinct("id").alias("total"))
     queries = n.count()
-    hit = store.put(ranks.join(n, "query_id").groupBy("rank").agg((F.sum(F.lit(1.0) / F.col("total")) / queries).alias("dr"), F.count("*").alias("dn")))
+    hit = store.put((ranks if _counted(ranks) else ranks.join(n, "query_id")).groupBy("rank").agg((F.sum(F.lit(1.0) / F.col("total")) / queries).alias("dr"), F.count("*").alias("dn")))
     found = store.put(numbered(hit, [F.col("rank")], "i", store, "dr", "recall").select("i", "rank", "recall", "dn"))
     found = store.put(numbered(found, [F.col("rank")], "i", store, "dn", "seen").select("i", "rank", "recall", "seen"))
     length = ranks.agg(F.max("length").alias("length"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from taxolume.functions import vector as V
 from taxolume.operators import metrics as M
+from taxolume.operators import pairs as P
 from taxolume.operators import ranks as N
 from taxolume.operators import retrieve as R
 
@@ -52,6 +53,14 @@ def _ranks(spark, sf_dir, wanted):
     return N.relevant_ranks(asked(pts).select("query_id", "q"), pts.select("id", "vec"), wanted, "poincare", K)
 
 
+def _class_ranks(spark, sf_dir, relevant):
+    """Ranks of all relevant rows, those of the query's label."""
+    pts, own = points(spark, sf_dir), P.score("poincare", K, 0.0)
+    q = asked(pts).select("query_id", "q", F.col("q_label").alias("label"))
+    made = P.ready(q, pts.select("id", "vec", "label"), own)
+    return P.class_ranks(*made, own) if made else _ranks(spark, sf_dir, relevant)
+
+
 def _gold(spark, sf_dir):
     return _relevant(spark, sf_dir).filter("id > query_id").groupBy("query_id").agg(F.min("id").alias("id"))
 
@@ -84,13 +93,13 @@ def metric_coverage(spark, sf_dir):
 @query(f"WITH {_RANKED}, a AS (SELECT query_id, sum(CASE WHEN rel = 1 THEN seen / rank ELSE 0 END) AS s, sum(rel) AS n FROM run GROUP BY query_id) SELECT query_id, round(s / total, 6) AS ap, round(s / n, 6) AS ap_seen FROM a JOIN tot USING (query_id)")
 def metric_map(spark, sf_dir):
     rel = _relevant(spark, sf_dir)
-    return M.average_precisions(_ranks(spark, sf_dir, rel), rel).withColumns({c: r6(F.col(c)) for c in ("ap", "ap_seen")})
+    return M.average_precisions(_class_ranks(spark, sf_dir, rel), rel).withColumns({c: r6(F.col(c)) for c in ("ap", "ap_seen")})
 
 
 @query(f"WITH {_RANKED} SELECT query_id, round(sum(CASE WHEN rank <= total THEN rel ELSE 0 END) / total, 6) AS rp FROM h JOIN tot USING (query_id) GROUP BY query_id, total")
 def metric_rprecision(spark, sf_dir):
     rel = _relevant(spark, sf_dir)
-    return M.r_precision(_ranks(spark, sf_dir, rel), rel).withColumn("rp", r6(F.col("rp")))
+    return M.r_precision(_class_ranks(spark, sf_dir, rel), rel).withColumn("rp", r6(F.col("rp")))
 
 
 def _gain(rel: str, rank: str, kind: str) -> str:
@@ -121,7 +130,7 @@ def targets_with_gain(spark, sf_dir):
 @query(f"WITH {_RANKED} SELECT query_id, rank, seen::BIGINT AS seen, total, round(seen / rank, 6) AS precision, round(seen / total, 6) AS recall FROM run JOIN tot USING (query_id) WHERE rel = 1")
 def metric_pr_points(spark, sf_dir):
     rel = _relevant(spark, sf_dir)
-    return M.pr_points(_ranks(spark, sf_dir, rel), rel).withColumns({c: r6(F.col(c)) for c in ("precision", "recall")})
+    return M.pr_points(_class_ranks(spark, sf_dir, rel), rel).withColumns({c: r6(F.col(c)) for c in ("precision", "recall")})
 
 
 _MACRO = _RANKED + ", pt AS (SELECT query_id, seen, total, seen / rank AS p FROM run JOIN tot USING (query_id) WHERE rel = 1), g AS (SELECT unnest(range(101)) AS g), m AS (SELECT t.query_id, g.g, coalesce(max(p), 0) AS p FROM tot t CROSS JOIN g LEFT JOIN pt ON pt.query_id = t.query_id AND pt.seen * 100 >= g.g * pt.total GROUP BY ALL), c AS (SELECT g / 100.0::DOUBLE AS recall, avg(p) AS precision FROM m GROUP BY g)"
@@ -130,20 +139,20 @@ _MACRO = _RANKED + ", pt AS (SELECT query_id, seen, total, seen / rank AS p FROM
 @query(f"WITH {_MACRO} SELECT recall, round(precision, 6) AS precision FROM c")
 def metric_macro_pr(spark, sf_dir):
     rel = _relevant(spark, sf_dir)
-    return M.macro_pr(_ranks(spark, sf_dir, rel), rel).withColumn("precision", r6(F.col("precision")))
+    return M.macro_pr(_class_ranks(spark, sf_dir, rel), rel).withColumn("precision", r6(F.col("precision")))
 
 
 @query(f"WITH {_MACRO}, t AS (SELECT (recall - lag(recall) OVER (ORDER BY recall)) * (precision + lag(precision) OVER (ORDER BY recall)) / 2 AS a FROM c) SELECT round(sum(a), 6) AS area FROM t")
 def metric_macro_pr_auc(spark, sf_dir):
     rel = _relevant(spark, sf_dir)
-    return M.trapezoid(M.macro_pr(_ranks(spark, sf_dir, rel), rel), "recall", "precision").select(r6(F.col("area")).alias("area"))
+    return M.trapezoid(M.macro_pr(_class_ranks(spark, sf_dir, rel), rel), "recall", "precision").select(r6(F.col("area")).alias("area"))
 
 
 @query(f"WITH {_RANKED}, x AS (SELECT rank, avg(seen / total) AS r, avg(seen / rank) AS p FROM run JOIN tot USING (query_id) GROUP BY rank), t AS (SELECT (r - lag(r) OVER (ORDER BY r, p)) * (p + lag(p) OVER (ORDER BY r, p)) / 2 AS a FROM x) SELECT round(sum(a), 5) AS area FROM t")
 def metric_pr_auc(spark, sf_dir):
     """The area under (recall@k, precision@k) of all depths k."""
     rel = _relevant(spark, sf_dir)
-    pts = M.pr_curve(_ranks(spark, sf_dir, rel), rel)
+    pts = M.pr_curve(_class_ranks(spark, sf_dir, rel), rel)
     return M.trapezoid(pts, "recall", "precision").select(F.round("area", 5).alias("area"))
 
 

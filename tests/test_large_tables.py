@@ -128,3 +128,25 @@ def test_first_hard_negatives_meet_few_siblings(spark, monkeypatch):
     monkeypatch.setattr(S, "_no_ancestors", lambda p, up: met.append(p.count()) or real(p, up))
     assert {(r.child, r.negative) for r in S.first_hard_negatives(edges, closure, 5).collect()} == wanted
     assert met[0] < 400 * 9
+
+
+def test_rankings_by_class_in_rounds_and_ranges(spark, monkeypatch):
+    monkeypatch.setattr(P, "ROUND", 500 * 8)
+    monkeypatch.setattr(P, "GROUP", 60)
+    monkeypatch.setattr(P, "KEPT", 100)
+    t = vectors(spark, 500).withColumn("label", F.when(F.col("id") != 40, F.col("label")))
+    q = t.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("q"), "label")
+    every = R.top_k(R.scan(q, t.select("id", "vec"), "poincare", 0.5).filter("query_id <> id"), None, True)
+    relevant = q.join(t.select("id", "label"), "label").filter("id <> query_id").select("query_id", "id")
+    plain = M.hits(every, relevant).select("query_id", "id", "rank", "rel")
+    plain = M._running(plain).filter("rel = 1").join(relevant.groupBy("query_id").count(), "query_id")
+    own = P.score("poincare", 0.5, 0.0)
+    got = P.class_ranks(*P.ready(q, t, own), own)
+    assert sorted(map(tuple, got.collect())) == sorted((r.query_id, r.id, r["rank"], r.seen, r["count"], 499) for r in plain.collect())
+    for metric in (M.average_precisions, M.r_precision, M.pr_points, M.macro_pr, M.pr_curve):
+        rows = lambda df: sorted(tuple(round(x, 9) for x in r) for r in df.collect())
+        assert rows(metric(got, relevant)) == rows(metric(got.select("query_id", "id", "rank", "length"), relevant)), metric
+    joined = []
+    monkeypatch.setattr(M, "hits", lambda *a: joined.append(a))
+    M.average_precisions(got, relevant), M.r_precision(got, relevant), M.pr_points(got, relevant)
+    assert not joined
