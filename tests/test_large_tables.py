@@ -109,7 +109,7 @@ def test_kinds_by_numpy_are_those_of_the_expressions(spark, monkeypatch):
     kind = F.element_at(F.array(*map(F.lit, M.KINDS)), (F.col("id") % 4 + 1).cast("int"))
     q = t.filter("id < 60").select(kind.alias("kind"), (F.col("id") % 50).alias("query_id"), F.col("vec").alias("q"), (F.col("id") + 3).alias("answer"))
     column = lambda c, p, w: F.round(V.subsumption(V.poincare(c, p, 0.5, eps=0.0), V.depth(V.squared_norm(c), 0.5), V.depth(V.squared_norm(p), 0.5), w), 9)
-    own = P.Kind(lambda d, c, p, w: P.nine(-(d + w * (p - c))), 0.5, never)
+    own = P.Kind(lambda d, c, p, w: P.nine(-(d + w * (p - c))), 0.5, lambda *a: 1 / 0)
     plain = sorted(map(tuple, M.kind_ranks(q, t, column, (0.0, 0.5, 1.5)).select("weight", "kind", "query_id", "rank").collect()))
     assert len(plain) == 180 and sorted(map(tuple, M.kind_ranks(q, t, own, (0.0, 0.5, 1.5)).select("weight", "kind", "query_id", "rank").collect())) == plain
 
@@ -150,3 +150,13 @@ def test_rankings_by_class_in_rounds_and_ranges(spark, monkeypatch):
     monkeypatch.setattr(M, "hits", lambda *a: joined.append(a))
     M.average_precisions(got, relevant), M.r_precision(got, relevant), M.pr_points(got, relevant)
     assert not joined
+
+
+def test_ranks_of_targets_by_numpy_are_those_of_the_expressions(spark):
+    t = vectors(spark, 600).select("id", "vec")
+    q = t.filter("id % 7 = 0 and id < 590").select(F.col("id").alias("query_id"), F.col("vec").alias("q"), (F.col("id") + 9).alias("answer"))
+    every = R.top_k(R.scan(q, t, "poincare", 0.5).filter("query_id <> id"), None, True)
+    plain = every.join(q.select("query_id", F.col("answer").alias("id")), ["query_id", "id"]).select("query_id", "rank")
+    own = q.join(t.select(F.col("id").alias("answer"), F.col("vec").alias("a")), "answer").withColumn("kind", F.lit("nf1")).withColumn("up", F.lit(True))
+    got = P.before(*P.ready(own, t, P.score("poincare", 0.5, 0.0)), P.Kind(lambda d, c, p, w: -d, 0.5, eps=1e-7), [0.0], exclude_self=True)
+    assert sorted((r.query_id, r.n + 1) for r in got.collect()) == sorted(map(tuple, plain.collect()))
