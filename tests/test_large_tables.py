@@ -92,6 +92,34 @@ def test_best_rows_of_odd_vectors_are_left_to_the_expressions(spark):
     assert P.ready(q, t, P.score("l2", 1.0, 0.0)) is None and R.retrieve(q, t, "l2", 50).count() == 31
 
 
+@pytest.mark.parametrize("score, group, shift", [("subsumption", 2_000_000, 0), ("subsumption", 60, 0), ("cosine", 60, -7), ("l2", 150, 1 << 33)])
+def test_full_rankings_by_numpy_are_those_of_the_expressions(spark, monkeypatch, score, group, shift):
+    monkeypatch.setattr(P, "GROUP", group)
+    monkeypatch.setattr(P, "KEPT", 100)
+    monkeypatch.setattr(P, "SORTED", 5000)
+    monkeypatch.setattr(P, "BLOCK", 40)
+    t = vectors(spark, 700).select((F.col("id") + shift).alias("id"), "vec")
+    q = t.filter("id % 13 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
+    q = q.union(q.filter("query_id % 26 = 0").select("query_id", F.reverse("q")))  # a query that is there twice is ranked as one
+    every = R.scan(q, t, score, 0.5, 0.0).filter("query_id <> id")
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "rank", "id", "score").collect()))
+    plain = R.top_k(every, None, V.SCORES[score][1])
+    monkeypatch.setattr(R, "scan", never)
+    got = R.retrieve(q, t, score, None, 0.5, 0.0)
+    assert [f.dataType for f in got.schema] == [plain.schema[c].dataType for c in ("query_id", "rank", "id", "score")]
+    mine, theirs = rows(got), rows(plain)
+    assert [r[:3] for r in mine] == [r[:3] for r in theirs] and len(mine) > 50 * 600
+    assert max(abs(a[3] - b[3]) for a, b in zip(mine, theirs, strict=True)) < 1e-12
+
+
+def test_rounding_without_decimals_is_rounding(spark):
+    rnd = random.Random(5)
+    some = [rnd.uniform(-50, 50) for _ in range(3000)] + [(2 * rnd.randrange(10**7) + 1) / 2e6 * rnd.choice((1, -1)) for _ in range(3000)]
+    some += [0.0, -0.0, -1e-9, 4.9999999e-7, 5e-7, -5e-7, 999.9999995, 1e3, 1.5e300, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(x,) for x in some], "x double").select("x", F.round("x", 6).alias("a"), V.rounded(F.col("x"), 6).alias("b"))
+    assert df.filter("not a <=> b").count() == 0 and df.count() == len(some)
+
+
 @pytest.mark.parametrize("kernel", ["exp", "inv", "dist"])
 def test_fusion_in_one_scan(spark, monkeypatch, kernel):
     t = vectors(spark, 700).select("id", "vec")
