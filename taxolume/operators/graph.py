@@ -13,7 +13,7 @@ from taxolume.functions.text import numeric_key
 from taxolume.storage import Scratch, numbered, told
 
 from .components import connected_components
-from .reach import Reach, reach_index, redundant
+from .reach import Reach, parents_index, redundant
 
 #: The predicates that are read.
 SUBCLASS = "rdfs:subClassOf"
@@ -96,9 +96,7 @@ def transitive_reduction(edges: DataFrame, index: Reach | None = None) -> DataFr
     of the edges between parents.
     """
     if index is None:
-        pairs = Scratch(edges.sparkSession, "reduction").put(edges.select("child", "parent").dropna().distinct())
-        over = pairs.select(F.col("parent").alias("child")).distinct()
-        index = reach_index(pairs.join(told(over), "child", "left_semi"), over.withColumnRenamed("child", "node"))
+        index = parents_index(edges)
     return edges.join(redundant(index, edges), ["child", "parent"], "left_anti")
 
 

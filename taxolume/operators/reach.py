@@ -52,6 +52,14 @@ def reach_index(edges: DataFrame, nodes: DataFrame | None = None) -> Reach:
     return Reach(out, loose, pairs)
 
 
+def parents_index(edges: DataFrame) -> Reach:
+    """The index of the edges between nodes that are parents. Only these can reach anything, so for `redundant`, and for
+    ancestors by way of a node's parents, the others need no label."""
+    pairs = Scratch(edges.sparkSession, "parents").put(edges.select("child", "parent").dropna().distinct())
+    over = pairs.select(F.col("parent").alias("child")).distinct()
+    return reach_index(pairs.join(told(over), "child", "left_semi"), over.withColumnRenamed("child", "node"))
+
+
 def _levels(store: Scratch, names: DataFrame, up: DataFrame) -> DataFrame:
     """(i, level, tree): a node is placed once all its parents are, below one of the last of them."""
     wanted = store.put(up.groupBy(F.col("a").alias("i")).agg(F.count("*").alias("wanted")))

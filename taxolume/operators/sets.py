@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from taxolume.functions.text import percentage, stable_order
 from taxolume.storage import Scratch, join_hot, numbered
 
-from .reach import Reach, related
+from .reach import Reach, look_up, redundant, related
+
+#: Children of a parent that stand together, about; all pairs of two such blocks are made in one step of a task, of which
+#: each makes about so many pairs.
+SIBLINGS, MET = 2048, 8_000_000
 
 
 def _lowered(words: DataFrame) -> DataFrame:
@@ -71,14 +75,13 @@ def _no_ancestors(pairs: DataFrame, up: DataFrame | Reach) -> DataFrame:
 
 def hard_negatives(edges: DataFrame, closure: DataFrame | Reach, n: int | None = None, seed: int | str = 0) -> DataFrame:
     """(child, negative): siblings that are neither the child nor one of its ancestors, by a closure (node, ancestor) or
-    by an index, which is much smaller.
+    by an index, which is much smaller and need hold the parents only (`reach.parents_index`).
 
     All of them by default, which are as many as the square of a parent's children; with n, up to n of each child, drawn
     by place among each parent's children, so that a parent of very many is no larger a task than another.
     """
     if n is None:
-        pairs = edges.join(edges.select(F.col("child").alias("negative"), "parent"), "parent").select("child", "negative").filter("child <> negative").distinct()
-        return _no_ancestors(pairs, closure)
+        return _all_siblings(edges, closure)
     store = Scratch(edges.sparkSession, "siblings")
     listed = store.put(numbered(edges.select("child", "parent").distinct(), [F.col("parent"), F.md5(F.concat(F.lit(f"{seed}#"), "child")), F.col("child")], "i", store))
     spans = listed.groupBy("parent").agg(F.min("i").alias("lo"), F.count("*").alias("m"))
@@ -86,6 +89,50 @@ def hard_negatives(edges: DataFrame, closure: DataFrame | Reach, n: int | None =
     return _drawn(store, own, listed.select("i", F.col("child").alias("node")), closure, n, seed).select("child", "negative")
 
 
+def _all_siblings(edges: DataFrame, up: DataFrame | Reach) -> DataFrame:
+    """All hard_negatives. A parent's children stand in blocks, and pairs of blocks are dealt over the tasks, where pairs
+    of children are neither shuffled nor kept. Those that have several parents both may meet under each, and only these
+    pairs are made distinct."""
+    store = Scratch(edges.sparkSession, "siblings")
+    pairs = store.put(edges.select("child", "parent").dropna().distinct())
+    sizes = store.put(pairs.groupBy("parent").agg(F.count("*").alias("_rows")).withColumn("blocks", F.ceil(F.col("_rows") / SIBLINGS).cast("int")))
+    several = pairs.groupBy("child").agg((F.count("*") > 1).alias("several"))
+    told_ = pairs.join(several, "child").join(_siblings_above(pairs, up), "child", "left")
+    listed = join_hot(told_, sizes.select("parent", "blocks"), "parent", F.xxhash64("child"), sizes.select("parent", "_rows"))
+    listed = store.put(listed.withColumn("own", F.pmod(F.xxhash64("child"), F.col("blocks")).cast("int")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = listed.select("parent", "child", "several", "above", F.col("own").alias("i"), every.alias("j"))
+    right = listed.select("parent", F.col("child").alias("negative"), F.col("several").alias("other"), every.alias("i"), F.col("own").alias("j"))
+    cells = (sizes.agg(F.sum(F.col("_rows").cast("double") * F.col("_rows"))).first()[0] or 0.0) / MET
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(min(cells, 100_000.0)))  # fewer would be dealt again
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        a, b = a.repartition(tasks, "parent", "i", "j"), b.repartition(tasks, "parent", "i", "j")
+        return a.join(b.hint("merge"), ["parent", "i", "j"]).filter((F.col("child") != F.col("negative")) & (F.col("above").isNull() | ~F.array_contains("above", F.col("negative"))))
+
+    once = met(left, right).filter("not (several and other)").select("child", "negative")
+    if listed.filter("several").isEmpty():
+        return once
+    return once.union(met(left.filter("several"), right.filter("other")).select("child", "negative").distinct())
+
+
+def _siblings_above(pairs: DataFrame, up: DataFrame | Reach) -> DataFrame:
+    """(child, above): the siblings of a child that are its ancestors, for children that have some.
+
+    A sibling below the parent p that is above the child is reached by another of the child's parents, and reaches p; or
+    it is on a cycle with p. So an index is asked only about children with a redundant edge or a parent without labels.
+    """
+    if isinstance(up, Reach):
+        loose = pairs.join(up.loose.select(F.col("node").alias("parent")), "parent", "left_semi").select("child")
+        mine = pairs.join(redundant(up, pairs).select("child").union(loose).distinct(), "child", "left_semi")
+        over = look_up(up, mine.select(F.col("parent").alias("node")).distinct()).select(F.col("node").alias("parent"), F.col("ancestor").alias("negative"))
+        ancestors = mine.select("child", F.col("parent").alias("negative")).union(mine.join(over, "parent").select("child", "negative"))
+    else:
+        ancestors = up.select(F.col("node").alias("child"), F.col("ancestor").alias("negative"))
+    siblings = ancestors.distinct().join(pairs, "child").join(pairs.select(F.col("child").alias("negative"), "parent"), ["negative", "parent"])
+    return siblings.groupBy("child").agg(F.collect_set("negative").alias("above"))
+
+
 def first_hard_negatives(edges: DataFrame, closure: DataFrame, n: int) -> DataFrame:
     """(child, negative): the first n by name of each child's hard_negatives, which are all of them where there are fewer.
 

@@ -173,7 +173,7 @@ _HARD = PLACES + PATHS + ", hard AS (SELECT DISTINCT a.child, b.child AS negativ
 @query(f"WITH RECURSIVE {_HARD} SELECT child, negative FROM hard")
 def hard_negatives(spark, sf_dir):
     e = places(spark, sf_dir)
-    return S.hard_negatives(e, X.reach_index(e))
+    return S.hard_negatives(e, X.parents_index(e))
 
 
 def _examples(spark, sf_dir):

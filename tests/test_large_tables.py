@@ -11,6 +11,7 @@ from taxolume.functions import vector as V
 from taxolume.operators import graph as G
 from taxolume.operators import metrics as M
 from taxolume.operators import pairs as P
+from taxolume.operators import reach as X
 from taxolume.operators import retrieve as R
 from taxolume.operators import sets as S
 from taxolume.operators import tagger
@@ -158,6 +159,38 @@ def test_first_hard_negatives_meet_few_siblings(spark, monkeypatch):
     assert met[0] < 400 * 9
 
 
+@pytest.mark.parametrize("cycles", [False, True])
+def test_all_hard_negatives_in_blocks(spark, monkeypatch, cycles):
+    monkeypatch.setattr(S, "SIBLINGS", 7)
+    rnd = random.Random(11)
+    pairs = {(f"n{i}", f"n{rnd.randrange(min(i, 6))}") for i in range(1, 30)} | {(f"n{i}", f"n{rnd.randrange(9)}") for i in range(9, 30, 2)}
+    pairs |= {(f"leaf{i}", "n3") for i in range(40)} | {("leaf1", "n2"), ("leaf2", "leaf1"), ("leaf2", "n3")}
+    if cycles:
+        pairs |= {("n5", "n20"), ("n20", "n5"), ("n21", "n21"), ("leaf3", "n21"), ("n4", "n3"), ("n3", "n4"), ("leaf4", "n4")}
+    rows = [*sorted(pairs), ("leaf1", "n2"), (None, "n3"), ("leaf9", None)]
+    up, own = {}, {}
+    for c, p in pairs:
+        own.setdefault(c, set()).add(p)
+    for c in own:
+        todo = list(own[c])
+        while todo:
+            if (x := todo.pop()) not in up.setdefault(c, set()):
+                up[c].add(x)
+                todo += own.get(x, ())
+    wanted = sorted({(a, b) for a, p in pairs for b, q in pairs if p == q and a != b and b not in up[a]})
+    assert any(b in up[a] for a, p in pairs for b, q in pairs if p == q and a != b)
+    edges = spark.createDataFrame(rows, "child string, parent string")
+    for closure in (X.parents_index(edges), G.ancestors(edges))[: 1 + cycles]:
+        assert sorted(map(tuple, S.hard_negatives(edges, closure).collect())) == wanted
+
+
+def test_hard_negatives_of_a_tree_are_not_gathered(spark):
+    edges = spark.createDataFrame([(f"c{i}", f"p{i % 3}") for i in range(300)], "child string, parent string")
+    got = S.hard_negatives(edges, X.reach_index(edges))
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 3 * 100 * 99 and S.hard_negatives(edges.limit(0), X.reach_index(edges.limit(0))).count() == 0
+
+
 def test_rankings_by_class_in_rounds_and_ranges(spark, monkeypatch):
     monkeypatch.setattr(P, "ROUND", 500 * 8)
     monkeypatch.setattr(P, "GROUP", 60)
