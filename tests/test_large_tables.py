@@ -113,6 +113,20 @@ def test_full_rankings_by_numpy_are_those_of_the_expressions(spark, monkeypatch,
     assert max(abs(a[3] - b[3]) for a, b in zip(mine, theirs, strict=True)) < 1e-12
 
 
+@pytest.mark.parametrize("sorted_, block", [(16_000_000, 4096), (5000, 40), (150, 40)])
+def test_full_rankings_shuffle_no_pairs(spark, monkeypatch, sorted_, block):
+    monkeypatch.setattr(P, "SORTED", sorted_)  # 150: ranges of a query's rows
+    monkeypatch.setattr(P, "BLOCK", block)
+    monkeypatch.setattr(P, "LISTED", 64)
+    t = vectors(spark, 700).select("id", "vec")
+    q = t.filter("id % 13 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
+    q = q.union(q.filter("query_id % 26 = 0").select("query_id", F.reverse("q")))
+    plain = R.top_k(R.scan(q, t, "subsumption", 0.5, 0.0).filter("query_id <> id"), None, False).select("query_id", "rank", "id")
+    got = R.retrieve(q, t, "subsumption", None, 0.5, 0.0)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.select("query_id", "rank", "id").collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_rounding_without_decimals_is_rounding(spark):
     rnd = random.Random(5)
     some = [rnd.uniform(-50, 50) for _ in range(3000)] + [(2 * rnd.randrange(10**7) + 1) / 2e6 * rnd.choice((1, -1)) for _ in range(3000)]
