@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolume.functions.text import numeric_key
-from taxolume.storage import Scratch, numbered, told
+from taxolume.storage import Scratch, filed, numbered, sorted_join, told
 
 from .components import connected_components
 from .reach import Reach, parents_index, redundant
@@ -64,9 +64,9 @@ def ancestors(edges: DataFrame, start: DataFrame | None = None, max_depth: int |
     """
     store = Scratch(edges.sparkSession, "closure")
     pairs = edges.select(F.col("child"), F.col("parent")).dropna().distinct()
-    names = store.put(numbered(pairs.select(F.col("child").alias("name")).union(pairs.select("parent")).distinct(), [F.col("name")], "i", store))
+    names = filed(store.put(numbered(pairs.select(F.col("child").alias("name")).union(pairs.select("parent")).distinct(), [F.col("name")], "i", store)))
     by = lambda df, column, out: df.join(names.select(F.col("name").alias(column), F.col("i").alias(out)), column).drop(column)
-    up = store.put(by(by(pairs, "child", "a"), "parent", "next"))
+    up = filed(store.put(by(by(pairs, "child", "a"), "parent", "next")))
     first = up.select(F.col("a").alias("n"), F.col("next").alias("a"))
     if start is not None:
         first = first.join(by(start.select("node").distinct(), "node", "n"), "n", "left_semi")
@@ -75,7 +75,7 @@ def ancestors(edges: DataFrame, start: DataFrame | None = None, max_depth: int |
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.select("n", "a").join(up, "a").select("n", F.col("next").alias("a")).distinct()
-        new = store.put(step.join(seen.select("n", "a"), ["n", "a"], "left_anti").withColumn("depth", F.lit(depth)))
+        new = store.put(step.join(sorted_join(seen.select("n", "a")), ["n", "a"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
         seen, frontier = seen.union(new), new  # each part was computed once and is only read again

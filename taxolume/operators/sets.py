@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxolume.functions.text import percentage, stable_order
-from taxolume.storage import Scratch, join_hot, numbered
+from taxolume.storage import Scratch, filed, join_hot, numbered, sorted_join
 
 from .reach import Reach, look_up, redundant, related
 
@@ -70,7 +70,7 @@ def _no_ancestors(pairs: DataFrame, up: DataFrame | Reach) -> DataFrame:
     labels of an index, which need no closure."""
     if isinstance(up, Reach):
         return related(up, pairs, "child", "negative").filter("not above").drop("above")
-    return pairs.join(up.select(F.col("node").alias("child"), F.col("ancestor").alias("negative")), ["child", "negative"], "left_anti")
+    return pairs.join(sorted_join(up.select(F.col("node").alias("child"), F.col("ancestor").alias("negative"))), ["child", "negative"], "left_anti")
 
 
 def hard_negatives(edges: DataFrame, closure: DataFrame | Reach, n: int | None = None, seed: int | str = 0) -> DataFrame:
@@ -143,9 +143,9 @@ def first_hard_negatives(edges: DataFrame, closure: DataFrame, n: int) -> DataFr
     listed = store.put(numbered(edges.select("child", "parent").distinct(), [F.col("parent"), F.col("child")], "i", store))
     spans = listed.groupBy("parent").agg(F.min("i").alias("lo"), F.count("*").alias("m"))
     above = closure.groupBy(F.col("node").alias("child")).agg(F.count_distinct("ancestor").alias("above"))
-    own = join_hot(listed, spans, "parent", F.xxhash64("child")).join(above, "child", "left")
+    own = join_hot(listed, spans, "parent", F.xxhash64("child")).join(sorted_join(above), "child", "left")
     most = F.least(F.col("m"), F.coalesce("above", F.lit(0)) + F.lit(n + 1))
-    met = own.select("child", F.explode(F.sequence(F.col("lo"), F.col("lo") + most - 1)).alias("i")).join(listed.select("i", F.col("child").alias("negative")), "i")
+    met = own.select("child", F.explode(F.sequence(F.col("lo"), F.col("lo") + most - 1)).alias("i")).join(filed(listed).select("i", F.col("child").alias("negative")), "i")
     kept = store.put(_no_ancestors(met.select("child", "negative").filter("child <> negative").distinct(), closure))
     return kept.withColumn("_n", F.row_number().over(Window.partitionBy("child").orderBy("negative"))).filter(F.col("_n") <= n).drop("_n")
 
@@ -167,7 +167,7 @@ def _drawn(store: Scratch, own: DataFrame, listed: DataFrame, up: DataFrame | Re
     Places are drawn by a hash and looked up, so no child meets all nodes. Draws that repeat, or hit the child or an
     ancestor, are replaced in further rounds, twice as many each; where as many are drawn as there are, all are taken.
     """
-    open_, want, found = store.put(own), 2 * n, None
+    open_, want, found, listed = store.put(own), 2 * n, None, filed(listed)
     while not open_.isEmpty():
         whole = F.col("m") <= want
         drawn = open_.withColumn("whole", whole).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("m"), F.lit(want)) - 1)))
@@ -179,6 +179,7 @@ def _drawn(store: Scratch, own: DataFrame, listed: DataFrame, up: DataFrame | Re
         kept = store.put(_no_ancestors(met, up).withColumn("place", rank).filter(F.col("place") <= n).select("child", "negative", "place"))
         done = kept.groupBy("child").agg(F.count("*").alias("_n")).filter(F.col("_n") == n).select("child")
         done = done.union(open_.groupBy("child").agg(F.max("m").alias("m")).filter(F.col("m") <= want).select("child")).distinct()
+        done = sorted_join(done)
         full = kept.join(done, "child", "left_semi")
         found = full if found is None else found.union(full)
         open_, want = store.put(open_.join(done, "child", "left_anti")), want * 2
@@ -191,7 +192,7 @@ def examples(edges: DataFrame, hard: DataFrame, random: DataFrame, n: int = 10)
     h = hard.groupBy("child").agg(F.array_sort(F.collect_list("negative")).alias("hard_negatives"))
     r = random.groupBy("child").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "negative"))), lambda x: x["negative"]).alias("random_negatives"))
     empty = F.expr("cast(array() as array<string>)")
-    out = edges.join(h, "child", "left").join(r, "child", "left").withColumns({c: F.coalesce(F.col(c), empty) for c in ("hard_negatives", "random_negatives")})
+    out = edges.join(sorted_join(h), "child", "left").join(sorted_join(r), "child", "left").withColumns({c: F.coalesce(F.col(c), empty) for c in ("hard_negatives", "random_negatives")})
     return out.withColumn("negatives", F.slice(F.concat("hard_negatives", F.array_except("random_negatives", "hard_negatives")), 1, n))
 
 

@@ -178,7 +178,7 @@ def hard_negatives(spark, sf_dir):
 
 def _examples(spark, sf_dir):
     e = places(spark, sf_dir)
-    closure = G.ancestors(e)
+    closure = Scratch(spark, "examples").put(G.ancestors(e))
     nodes = e.select(F.col("child").alias("node")).union(e.select("parent")).distinct()
     random = S.random_negatives(e, nodes, closure, 10, 3)
     return S.examples(e, S.first_hard_negatives(e, closure, 10), random, 10)

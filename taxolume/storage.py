@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows (of ids and a few numbers) up to which a counted table is broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows of a stored table up to which Spark may plan a broadcast by the size of its files.
+FILED_ROWS = 20_000
 #: A key with more rows than this, and than this part of all rows, is split in joins; so there are fewer than HOT_PARTS of them.
 HOT_ROWS, HOT_PARTS = 1_000, 10_000
 #: Bytes of a table that is small enough to be shuffled once more.
@@ -104,6 +106,17 @@ def told(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def sorted_join(df: DataFrame) -> DataFrame:
+    """df, marked for joins by sorting, so that Spark does not broadcast it by the size of the compressed files that it is
+    read from: the driver would hold its rows, which take many times as much, for each join of a plan at once."""
+    return df.hint("merge")
+
+
+def filed(df: DataFrame) -> DataFrame:
+    """df, a stored table, for joins by sorting if it has more than FILED_ROWS rows."""
+    return df if df.limit(FILED_ROWS + 1).count() <= FILED_ROWS else sorted_join(df)
+
+
 def join_hot(many: DataFrame, one: DataFrame, key: str | list[str], salt: Column, counts: DataFrame | None = None, how: str = "inner", rows: int | None = None) -> DataFrame:
     """many joined with one on key, where values of key may hold any share of many; one has each value once, nulls match nothing.
 

@@ -1,12 +1,14 @@
 """What larger tables showed: memory, work and results that only hold on small ones."""
 
 import random
+import re
 import types
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from taxolume import storage
 from taxolume.functions import vector as V
 from taxolume.operators import graph as G
 from taxolume.operators import metrics as M
@@ -205,6 +207,21 @@ def test_hard_negatives_of_a_tree_are_not_gathered(spark):
     assert got.count() == 3 * 100 * 99 and S.hard_negatives(edges.limit(0), X.reach_index(edges.limit(0))).count() == 0
 
 
+def test_training_sets_broadcast_no_table_by_the_size_of_its_files(spark, monkeypatch):
+    monkeypatch.setattr(storage, "FILED_ROWS", 10)
+    plans, real = [], storage.Scratch.put
+    shown = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(storage.Scratch, "put", lambda self, df: real(self, shown(df)))
+    edges = spark.createDataFrame([(f"c{i}", f"p{i % 3}") for i in range(300)] + [(f"p{i}", "top") for i in range(3)], "child string, parent string")
+    nodes = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()
+    closure = storage.Scratch(spark, "closure").put(G.ancestors(edges))
+    ex = S.examples(edges, S.first_hard_negatives(edges, closure, 10), S.random_negatives(edges, nodes, closure, 10, 1), 10)
+    assert shown(S.triplets(ex)).count() == 3030
+    # What is meant to be broadcast has a row a range, or a row a parent.
+    found = [x for p in plans for x in re.findall(r"BroadcastHashJoin \[(.*?)\]", p)]
+    assert found and all(re.match(r"(coalesce\()?(_range|parent)#", x) for x in found), found
+
+
 def test_rankings_by_class_in_rounds_and_ranges(spark, monkeypatch):
     monkeypatch.setattr(P, "ROUND", 500 * 8)
     monkeypatch.setattr(P, "GROUP", 60)
