@@ -215,7 +215,7 @@ def pairs(ex: DataFrame) -> DataFrame:
 def index_lists(ex: DataFrame, ids: DataFrame) -> DataFrame:
     """(idx): ids of child, parent and negatives in that order; a name without an id raises an error when it is read."""
     names = F.concat(F.array("child", "parent"), F.col("negatives"))
-    rows = ex.withColumn("row", F.monotonically_increasing_id()).select("row", F.posexplode(names).alias("pos", "name")).join(ids, "name", "left")
+    rows = ex.withColumn("row", F.monotonically_increasing_id()).select("row", F.posexplode(names).alias("pos", "name")).join(sorted_join(ids), "name", "left")
     number = F.when(F.col("id").isNotNull(), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("no id for "), "name")))
     return rows.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", number.alias("id")))), lambda x: x["id"]).alias("idx")).select("idx")
 

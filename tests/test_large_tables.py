@@ -222,6 +222,14 @@ def test_training_sets_broadcast_no_table_by_the_size_of_its_files(spark, monkey
     assert found and all(re.match(r"(coalesce\()?(_range|parent)#", x) for x in found), found
 
 
+def test_index_lists_do_not_broadcast_all_ids(spark):
+    ex = spark.createDataFrame([("a", "b", ["d", "c"]), ("c", "b", [])], "child string, parent string, negatives array<string>")
+    ids = storage.Scratch(spark, "ids").put(spark.createDataFrame([(x, i) for i, x in enumerate("abcd")], "name string, id long"))
+    got = S.index_lists(ex, ids)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.idx for r in got.collect()) == [[0, 1, 3, 2], [2, 1]]
+
+
 def test_rankings_by_class_in_rounds_and_ranges(spark, monkeypatch):
     monkeypatch.setattr(P, "ROUND", 500 * 8)
     monkeypatch.setattr(P, "GROUP", 60)
